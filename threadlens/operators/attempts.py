@@ -86,7 +86,7 @@ def run_rounds(
     return ledger_dir
 
 
-def resolve_attempts(todo: DataFrame, ledger: DataFrame) -> DataFrame:
+def resolve_attempts(todo: DataFrame, ledger: DataFrame, max_tries: int = DEFAULT_MAX_TRIES) -> DataFrame:
     """One final row per todo key: the first terminal attempt decides.
 
     ``status``: ``ok`` / ``flagged`` / ``failed`` (no terminal attempt).  Status
@@ -115,6 +115,7 @@ def resolve_attempts(todo: DataFrame, ledger: DataFrame) -> DataFrame:
         blank("w.reasoning").alias("annotation_reasoning"),
         F.when(ok, F.col("w.seed")).otherwise(F.lit(BASE_SEED).cast("long")).alias("annotation_seed"),
         F.when(ok, F.col("w.attempt")).alias("attempt"),
+        F.coalesce(F.col("w.attempt") + 1, F.lit(max_tries)).cast("long").alias("n_attempts"),
         F.when(ok, F.col("w.response")).alias("response"),
         F.when(ok, F.col("w.ts")).alias("ts"),
     )
@@ -145,4 +146,4 @@ def annotate(
         prompts.select(*KEY, "user_prompt").write.mode("overwrite").parquet(ppath)
     stored = spark.read.parquet(ppath)
     ledger_dir = run_rounds(stored, generator, system_prompt, max_tries, os.path.join(work_dir, "attempts"))
-    return resolve_attempts(stored, read_ledger(spark, ledger_dir)), ledger_dir
+    return resolve_attempts(stored, read_ledger(spark, ledger_dir), max_tries), ledger_dir

@@ -7,6 +7,8 @@ plan rather than mirroring it.  Fragments are CTE bodies composed per query.
 
 from __future__ import annotations
 
+from ..constants import ALLOWED_ACTS
+
 # -- fixture view --------------------------------------------------------------
 UTTERANCES = r"""
 u_e AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line,
@@ -158,3 +160,167 @@ context_threaded AS (
  LEFT JOIN msg_texts nm ON nm.corpus = a.corpus AND nm.thread_id = a.thread_id AND nm.msg_id = sn.m
  LEFT JOIN rep_list rp ON rp.corpus = a.corpus AND rp.thread_id = a.thread_id AND rp.row_idx = a.row_idx)
 """
+
+
+# -- F1: stub generator over every row x attempts 0..2 (FIXTURES.md §3) -------------
+ACTS_SQL = ", ".join(f"'{a}'" for a in ALLOWED_ACTS)
+_ACT_CASE = " ".join(
+    f"WHEN {i} THEN '{a}'" for i, a in enumerate(ALLOWED_ACTS)
+)
+STUB = f"""
+att AS (SELECT u.corpus, u.thread_id, u.row_idx, CAST(a.attempt AS INTEGER) AS attempt
+        FROM utterances u CROSS JOIN (SELECT unnest([0, 1, 2]) AS attempt) a),
+k AS (SELECT *, (thread_id * 31 + row_idx * 7 + attempt * (CASE WHEN row_idx % 11 = 5 THEN 0 ELSE 13 END)) % 23 AS k FROM att),
+stub AS (
+ SELECT corpus, thread_id, row_idx, attempt, CAST(93187 + attempt AS BIGINT) AS seed,
+  CASE k WHEN 19 THEN 'Request rejected by content policy' WHEN 20 THEN 'empty output' END AS error,
+  CASE WHEN k IN (19, 20) THEN NULL
+   WHEN k = 21 THEN '[REASON]The speaker states something in context.[/REASON] {{"act":"Claim"}}'
+   ELSE concat('[REASON] ', CASE WHEN k = 22 THEN 'too short' ELSE concat('Row ', CAST(row_idx AS VARCHAR), ' is read in its local context.') END,
+     ' [/REASON]', chr(10), '[ANNOT]{{"act":"', CASE k {_ACT_CASE} ELSE 'Claim' END,
+     '","politeness":"', CASE (row_idx + attempt) % 29 WHEN 28 THEN '*P' WHEN 1 THEN '+P' WHEN 2 THEN '–N' WHEN 3 THEN '-P [Insult]' WHEN 4 THEN '—P [Silencer]' ELSE '' END,
+     '","self/reported":"', CASE row_idx % 5 WHEN 1 THEN 'reported' WHEN 2 THEN 'reported, bogus' WHEN 3 THEN 'NA' ELSE '' END,
+     '","non-bona fide":', CASE row_idx % 7 WHEN 1 THEN 'true' WHEN 2 THEN '"True"' WHEN 3 THEN '"Ture"' WHEN 4 THEN 'false' WHEN 5 THEN '"False"' WHEN 6 THEN 'null' ELSE '""' END,
+     '}}[/ANNOT]') END AS response,
+  1700000000.0 + attempt AS ts
+ FROM k)
+"""
+
+
+def _between(expr: str, open_tag: str, close_tag: str) -> str:
+    return (
+        f"CASE WHEN contains({expr}, '{open_tag}') AND contains({expr}, '{close_tag}') "
+        f"THEN {strip(f'split_part(substr({expr}, instr({expr}, {chr(39)}{open_tag}{chr(39)}) + {len(open_tag)}), {chr(39)}{close_tag}{chr(39)}, 1)')} END"
+    )
+
+
+def _field_text(path: str) -> str:
+    """Python ``str(value or '')`` of a JSON field, for DuckDB."""
+    jt = f"json_type(j, '{path}')"
+    ex = f"json_extract(j, '{path}')"
+    return (
+        f"CASE WHEN {jt} IS NULL OR {jt} = 'NULL' THEN '' "
+        f"WHEN {jt} = 'VARCHAR' THEN json_extract_string(j, '{path}') "
+        f"WHEN {jt} = 'BOOLEAN' THEN (CASE WHEN json_extract_string(j, '{path}') = 'true' THEN 'True' ELSE '' END) "
+        f"WHEN {jt} = 'ARRAY' AND json_array_length({ex}) = 0 THEN '' "
+        f"WHEN {jt} = 'OBJECT' AND CAST({ex} AS VARCHAR) = '{{}}' THEN '' "
+        f"WHEN {jt} IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') AND TRY_CAST(json_extract_string(j, '{path}') AS DOUBLE) = 0 THEN '' "
+        f"ELSE CAST({ex} AS VARCHAR) END"
+    )
+
+
+def _tag_list(expr: str, allowed: list[str]) -> str:
+    allowed_sql = "[" + ", ".join(f"'{a}'" for a in allowed) + "]"
+    return (
+        f"array_to_string(list_filter(list_transform(string_split({expr}, ','), lambda x: {strip('x')}), "
+        f"lambda x: x <> '' AND list_contains({allowed_sql}, x)), ', ')"
+    )
+
+
+# -- C5 + X8: parse every stub attempt ---------------------------------------------------
+PARSED = f"""
+p1 AS (SELECT *, coalesce({_between('response', '[REASON]', '[/REASON]')}, '') AS reasoning,
+              {_between('response', '[ANNOT]', '[/ANNOT]')} AS js FROM stub),
+p2 AS (SELECT *, CASE WHEN js IS NOT NULL AND json_valid(js) AND json_type(js) = 'OBJECT' THEN CAST(js AS JSON) END AS j FROM p1),
+p3 AS (SELECT *,
+   CASE WHEN json_type(j, '$."act"') = 'VARCHAR' THEN {strip("json_extract_string(j, '$.\"act\"')")} END AS act_v,
+   {strip("replace(replace(" + _field_text('$."politeness"') + ", '–', '-'), '—', '-')")} AS pol_v,
+   {strip(_field_text('$."self/reported"'))} AS meta_raw,
+   {strip(_field_text('$."non-bona fide"'))} AS nbf_raw
+ FROM p2),
+parsed AS (
+ SELECT corpus, thread_id, row_idx, attempt, seed, response, error, ts, reasoning, j IS NOT NULL AS j_ok,
+  CASE WHEN error IS NOT NULL THEN (CASE WHEN lower(error) LIKE '%policy%' OR lower(error) LIKE '%safety%' THEN 'flagged' ELSE 'api_error' END)
+       WHEN length(reasoning) < 20 THEN 'reason_short'
+       WHEN NOT (contains(response, '[ANNOT]') AND contains(response, '[/ANNOT]')) THEN 'no_tags'
+       WHEN j IS NULL THEN 'bad_json'
+       WHEN act_v IS NULL OR act_v NOT IN ({ACTS_SQL}) THEN 'bad_act'
+       WHEN pol_v <> '' AND split_part(pol_v, ' ', 1) NOT IN ('+P', '+N', '-P', '-N') THEN 'bad_politeness'
+       ELSE 'ok' END AS outcome,
+  act_v, pol_v, {_tag_list('meta_raw', ['non-bona fide', 'reported'])} AS meta_v, {_tag_list('nbf_raw', ['True', 'False'])} AS nbf_v
+ FROM p3),
+ledger AS (
+ SELECT p.* FROM parsed p
+ WHERE NOT EXISTS (SELECT 1 FROM parsed q WHERE q.corpus = p.corpus AND q.thread_id = p.thread_id AND q.row_idx = p.row_idx
+                   AND q.attempt < p.attempt AND q.outcome IN ('ok', 'flagged'))),
+first_terminal AS (
+ SELECT corpus, thread_id, row_idx, min(attempt) AS attempt FROM parsed WHERE outcome IN ('ok', 'flagged') GROUP BY ALL),
+resolved AS (
+ SELECT u.corpus, u.thread_id, u.row_idx,
+  CASE WHEN w.outcome IS NULL THEN 'failed' WHEN w.outcome = 'ok' THEN 'ok' ELSE 'flagged' END AS status,
+  CASE WHEN w.outcome IS NULL THEN '__FAILED__' WHEN w.outcome = 'ok' THEN w.act_v ELSE '__FLAGGED__' END AS annotation_act,
+  CASE WHEN w.outcome = 'ok' THEN w.pol_v ELSE '' END AS annotation_politeness,
+  CASE WHEN w.outcome = 'ok' THEN w.meta_v ELSE '' END AS annotation_meta,
+  CASE WHEN w.outcome = 'ok' THEN w.nbf_v ELSE '' END AS annotation_NBF,
+  CASE WHEN w.outcome = 'ok' THEN w.reasoning ELSE '' END AS annotation_reasoning,
+  CASE WHEN w.outcome = 'ok' THEN w.seed ELSE CAST(93187 AS BIGINT) END AS annotation_seed,
+  CASE WHEN w.outcome = 'ok' THEN w.attempt END AS attempt,
+  f.attempt AS decided_attempt,
+  CASE WHEN w.outcome = 'ok' THEN w.response END AS response,
+  CASE WHEN w.outcome = 'ok' THEN w.ts END AS ts
+ FROM utterances u
+ LEFT JOIN first_terminal f ON f.corpus = u.corpus AND f.thread_id = u.thread_id AND f.row_idx = u.row_idx
+ LEFT JOIN parsed w ON w.corpus = f.corpus AND w.thread_id = f.thread_id AND w.row_idx = f.row_idx AND w.attempt = f.attempt)
+"""
+
+
+def lit(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+from ..constants import (  # noqa: E402
+    BACKGROUND_SEQUENTIAL,
+    BACKGROUND_THREADED,
+    FORMAT_BLOCK,
+    REASONING_BLOCK,
+    TASK_INSTRUCTION,
+)
+
+# -- A1c / A2 / J10: thread starters, global context ---------------------------------
+STARTERS = f"""
+starter_rows AS (SELECT * FROM utterances
+  WHERE msg_id IS NOT NULL AND CASE WHEN layout = 'threaded' THEN coalesce(category = 'Original post', false)
+                                    ELSE coalesce(msg_id = 1, false) END),
+starter_msgs AS (SELECT corpus, thread_id, msg_id, CAST(min(row_idx) AS BIGINT) AS first_row,
+                        coalesce(string_agg(message, ' ' ORDER BY row_idx), '') AS text
+                 FROM starter_rows GROUP BY ALL)
+"""
+_BACKGROUND = f"CASE t.layout WHEN 'threaded' THEN {lit(BACKGROUND_THREADED)} ELSE {lit(BACKGROUND_SEQUENTIAL)} END"
+GLOBAL = f"""
+starter_lines AS (SELECT corpus, thread_id, string_agg(concat('- ', text), {NL} ORDER BY first_row) AS lines
+                  FROM starter_msgs GROUP BY ALL),
+threads AS (SELECT DISTINCT corpus, thread_id, layout FROM utterances),
+global_ctx AS (
+ SELECT t.corpus, t.thread_id, t.layout, {_BACKGROUND} AS background,
+        concat({_BACKGROUND}, {NL}, {NL}, 'Thread starter messages:', {NL}, coalesce(l.lines, '')) AS global_context
+ FROM threads t LEFT JOIN starter_lines l ON l.corpus = t.corpus AND l.thread_id = t.thread_id)
+"""
+# -- C4: prompts ------------------------------------------------------------------------
+PROMPTS = f"""
+narratives AS (SELECT corpus, thread_id, row_idx, narrative FROM context_threaded
+               UNION ALL SELECT corpus, thread_id, row_idx, narrative FROM context_sequential),
+prompts AS (
+ SELECT n.corpus, n.thread_id, n.row_idx,
+        concat({lit(TASK_INSTRUCTION)}, {NL}, {NL}, {strip('g.global_context')}, {NL}, {NL}, n.narrative, {NL},
+               {lit(REASONING_BLOCK)}, {NL}, {lit(FORMAT_BLOCK)}) AS user_prompt
+ FROM narratives n LEFT JOIN global_ctx g ON g.corpus = n.corpus AND g.thread_id = n.thread_id)
+"""
+
+
+def system_prompt_sql() -> str:
+    """The stripped system prompt asset, read by DuckDB from the package folder."""
+    from ..operators.prompts import DEFAULT_SYSTEM_PROMPT
+
+    return f"(SELECT {strip('content')} FROM read_text({lit(DEFAULT_SYSTEM_PROMPT)}))"
+
+
+def prompts_ctes() -> list[str]:
+    return [MSG_TEXTS, CONTEXT_SEQUENTIAL, CONTEXT_THREADED, STARTERS, GLOBAL, PROMPTS]
+
+
+def prompt_json_sql(user_expr: str) -> str:
+    return (
+        f"concat('[{{\"role\": \"system\", \"content\": ', to_json({system_prompt_sql()}), "
+        f"'}}, {{\"role\": \"user\", \"content\": ', to_json({user_expr}), '}}]')"
+    )
