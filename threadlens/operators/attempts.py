@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BASE_SEED, DEFAULT_MAX_TRIES, STATUS_FAILED, STATUS_FLAGGED
 from ..functions.text import is_policy_error
-from ..session import scratch_path
+from ..session import scratch_path, table_exists
 from .context import KEY
 from .generate import TextGenerator, backoff_seconds, generate
 from .parse import parse_responses
@@ -44,13 +43,7 @@ def classify_attempts(gen: DataFrame) -> DataFrame:
     return parsed.withColumn("outcome", outcome).withColumn("backoff_s", backoff_seconds(F.col("attempt"))).select(*LEDGER_COLUMNS)
 
 
-def _exists(spark, path: str) -> bool:
-    """Whether a committed table is at ``path`` (a failed write leaves none)."""
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
+_exists = table_exists
 
 
 def read_ledger(spark, ledger_dir: str) -> DataFrame:

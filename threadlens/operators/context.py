@@ -216,18 +216,25 @@ def same_author_messages(utt: DataFrame) -> DataFrame:
 
 
 def same_author_context(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """J3 + J4 with the full text (A1b) of each found message."""
+    """J3 + J4 with the full text (A1b) of each found message.
+
+    Both lookups go through one join with the message table: each row asks for
+    up to two messages (``prev``/``next``), the answers are folded back per row.
+    The message texts are therefore aggregated and shuffled once, not twice.
+    """
     texts = texts if texts is not None else message_texts(utt)
     t = texts.select(*THREAD, "msg_id", "text_all")
-    sa = same_author_messages(utt).where(
-        F.col("prev_same_msg").isNotNull() | F.col("next_same_msg").isNotNull()
-    )
-    prev_t = t.select(*THREAD, F.col("msg_id").alias("prev_same_msg"), F.col("text_all").alias("prev_same_text"))
-    next_t = t.select(*THREAD, F.col("msg_id").alias("next_same_msg"), F.col("text_all").alias("next_same_text"))
-    return (
-        sa.join(prev_t, THREAD + ["prev_same_msg"], "left")
-        .join(next_t, THREAD + ["next_same_msg"], "left")
-        .select(*KEY, "prev_same_msg", "prev_same_text", "next_same_msg", "next_same_text")
+    sa = same_author_messages(utt)
+    asks = sa.select(*KEY, F.lit("prev").alias("role"), F.col("prev_same_msg").alias("msg_id")).unionByName(
+        sa.select(*KEY, F.lit("next").alias("role"), F.col("next_same_msg").alias("msg_id"))
+    ).where(F.col("msg_id").isNotNull())
+    found = asks.join(t, THREAD + ["msg_id"], "left")
+    pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    return found.groupBy(*KEY).agg(
+        pick("prev", "msg_id").alias("prev_same_msg"),
+        pick("prev", "text_all").alias("prev_same_text"),
+        pick("next", "msg_id").alias("next_same_msg"),
+        pick("next", "text_all").alias("next_same_text"),
     )
 
 
@@ -252,6 +259,9 @@ def replies_received(utt: DataFrame) -> DataFrame:
         & F.col("msg_id").isNotNull()
         & (F.col("user_id") != F.col("reply_to"))
     ).select(*THREAD, F.col("reply_to").alias("key"), "row_idx", "msg_id", "user_id", s.alias("s"))
+    # one hash partitioning on (thread, key) serves all windows below: a
+    # (thread, key, msg) window is clustered by any partitioning on (thread, key)
+    cand = cand.repartition(*THREAD, "key")
 
     # text of the message from this row to its end (rows of this message, this target)
     w_suffix = Window.partitionBy(*THREAD, "key", "msg_id").orderBy(F.col("row_idx").desc()).rowsBetween(UNB, CUR)

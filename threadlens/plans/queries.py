@@ -29,7 +29,7 @@ from ..operators.summary import debug_sample, run_summary
 from ..operators.generate import StubGenerator, generate
 from ..session import scratch_path
 from ..sources.exports import read_exports, write_exports
-from ..sources.tables import table, utterances
+from ..sources.tables import table, utterances_table
 from . import oracle as O
 from .runs import prior_output, stub_run
 
@@ -52,7 +52,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _utt(spark, sf_dir):
-    return utterances(spark, sf_dir)
+    return utterances_table(spark, sf_dir)
 
 
 def _stub_attempts(spark, sf_dir, attempts=(0, 1, 2)) -> DataFrame:

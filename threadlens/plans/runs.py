@@ -18,7 +18,7 @@ from ..operators.output import annotated_output
 from ..operators.prompts import DEFAULT_MODEL, system_prompt_text, user_prompts
 from ..operators.resume import blank_annotations
 from ..session import scratch_path
-from ..sources.tables import utterances
+from ..sources.tables import utterances_table
 
 QUERY_TRIES = 3
 
@@ -41,7 +41,7 @@ _RUNS: dict[tuple, str] = {}
 
 def stub_run(spark: SparkSession, sf_dir: str, tries: int = QUERY_TRIES, model: str = DEFAULT_MODEL) -> Run:
     """Annotate every utterance of ``sf_dir`` with the stub generator."""
-    utt = utterances(spark, sf_dir)
+    utt = utterances_table(spark, sf_dir)
     system = system_prompt_text(spark)
     key = (id(spark), sf_dir, tries, model)
     work = _RUNS.get(key)

@@ -76,6 +76,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_COUNTER)}")
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a committed Parquet table is at ``path`` (a failed write leaves none)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path).schema
+        return True
+    except AnalysisException:
+        return False
+
+
 def _counter():
     i = 0
     while True:

@@ -89,5 +89,28 @@ def conversation_utterances(conversations: DataFrame) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``utterances`` view over ``<sf_dir>/conversations.parquet``."""
+    """The ``utterances`` view over ``<sf_dir>/conversations.parquet`` (lazy)."""
     return conversation_utterances(table(spark, sf_dir, "conversations"))
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def utterances_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``utterances`` view written once per session and input folder to the
+    shared checkpoint folder, then read back as a Parquet table.
+
+    The operators reference their input many times; reading a stored table
+    keeps the derivation (explode + windows over ``conversations``) from being
+    re-run for every reference, and cuts the lineage the way a production
+    input table would.
+    """
+    from ..session import scratch_path, table_exists
+
+    key = (id(spark), os.path.abspath(sf_dir))
+    path = _STORED.get(key)
+    if path is None or not table_exists(spark, path):
+        path = scratch_path(spark, "utterances")
+        utterances(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
