@@ -29,22 +29,28 @@ def variant_text(v: Column) -> Column:
     """X11: a JSON value as Python's ``str(value or "")`` would show it, for the
     cases that matter: strings as-is, ``true`` -> ``'True'``, falsy values
     (missing, null, false, 0, 0.0, [], {}) -> ``''``; anything else -> its JSON
-    text (which is never a valid label)."""
-    t = F.schema_of_variant(v)
-    js = F.to_json(v)
+    text (which is never a valid label).
+
+    The value is rendered to JSON once and classified by its text; only JSON
+    strings are decoded (escapes) with ``variant_get``.
+    """
+    return json_text_value(F.to_json(v), v)
+
+
+def json_text_value(js: Column, v: Column) -> Column:
+    """:func:`variant_text` given ``js = to_json(v)`` (compute it once)."""
     return (
-        F.when(v.isNull() | (t == "VOID"), F.lit(""))
-        .when(t == "STRING", F.variant_get(v, "$", "string"))
-        .when(t == "BOOLEAN", F.when(F.variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("")))
-        .when(js.isin("[]", "{}"), F.lit(""))
-        .when(F.try_variant_get(v, "$", "double") == 0, F.lit(""))
+        F.when(js.isNull() | (js == "null") | (js == "false") | js.isin("[]", "{}"), F.lit(""))
+        .when(F.startswith(js, F.lit('"')), F.variant_get(v, "$", "string"))
+        .when(js == "true", F.lit("True"))
+        .when(js.try_cast("double") == 0, F.lit(""))
         .otherwise(js)
     )
 
 
 def variant_string(v: Column) -> Column:
     """The value when it is a JSON string, else null."""
-    return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))
+    return F.when(F.startswith(F.to_json(v), F.lit('"')), F.variant_get(v, "$", "string"))
 
 
 def json_string(c: Column) -> Column:

@@ -149,17 +149,30 @@ def with_backend(df: DataFrame, model_col: str = "model") -> DataFrame:
 
 
 # -- the mapInPandas boundary -------------------------------------------------------
-def generate(pending: DataFrame, generator: TextGenerator, system_prompt: str = "") -> DataFrame:
+def generate(
+    pending: DataFrame,
+    generator: TextGenerator,
+    system_prompt: str = "",
+    parallelism: int | None = None,
+) -> DataFrame:
     """Call the generator once per pending attempt.
 
     ``pending`` needs ``corpus, thread_id, row_idx, attempt, user_prompt``; only
     those columns cross into Python (select first: projections and filters do
     not pass through ``mapInPandas``).  Result columns: ``GEN_COLUMNS``.
+
+    ``parallelism`` is the number of concurrent generator tasks (for a remote
+    model: the API concurrency limit).  When given, or when the input has fewer
+    partitions than the cluster's default parallelism, the prompts are spread
+    round-robin over that many tasks.
     """
     src = pending.select(
         "corpus", "thread_id", "row_idx", F.col("attempt").cast("int").alias("attempt"),
         attempt_seed(F.col("attempt")).alias("seed"), "user_prompt",
     )
+    want = parallelism or pending.sparkSession.sparkContext.defaultParallelism
+    if parallelism or src.rdd.getNumPartitions() < want:
+        src = src.repartition(want)
 
     def run(batches):
         generator.open()

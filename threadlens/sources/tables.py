@@ -111,6 +111,14 @@ def utterances_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _STORED.get(key)
     if path is None or not table_exists(spark, path):
         path = scratch_path(spark, "utterances")
-        utterances(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # range partitioning gives evenly sized files in (thread, row) order and
+        # splits a very long thread over several files instead of one writer
+        n = spark.sparkContext.defaultParallelism
+        (
+            utterances(spark, sf_dir)
+            .repartitionByRange(n, "corpus", "thread_id", "row_idx")
+            .write.mode("overwrite")
+            .parquet(path)
+        )
         _STORED[key] = path
     return spark.read.parquet(path)
