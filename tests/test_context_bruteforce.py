@@ -53,13 +53,25 @@ SCHEMA = (
 )
 
 
+@pytest.fixture(params=[None, 3, 0], ids=["default", "chunk3", "unchunked"])
+def chunk(request, spark):
+    """Run each test with whole groups in one chunk and with 3-row chunks
+    (every longer group then crosses chunk boundaries)."""
+    from threadlens.operators.scan import CHUNK_CONF
+
+    if request.param is not None:
+        spark.conf.set(CHUNK_CONF, str(request.param))
+    yield request.param
+    spark.conf.unset(CHUNK_CONF)
+
+
 def frame(spark, threads, layout):
     rows = [dict(r, layout=layout) for th in threads for r in th]
     return spark.createDataFrame(rows, SCHEMA + ", layout string")
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_threaded_narratives(spark, seed):
+def test_threaded_narratives(spark, chunk, seed):
     from threadlens.operators.context import context_threaded
 
     threads = random_threads(seed)
@@ -84,7 +96,7 @@ def test_sequential_narratives(spark, seed):
 
 
 @pytest.mark.parametrize("seed", [6, 7])
-def test_context_pair(spark, seed):
+def test_context_pair(spark, chunk, seed):
     from threadlens.operators.context import context_pair
 
     threads = random_threads(seed)

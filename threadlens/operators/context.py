@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..constants import CAT_COMMENT, CAT_ORIGINAL_POST, LAYOUT_THREADED, NO_TARGET
 from ..functions.text import ordered_concat, py_strip, text_or_blank
 from .messages import MSG, message_texts
+from .scan import Op, chunked, scan
 from .schema import THREAD, has_reply_target, threaded_flags
 
 KEY = THREAD + ["row_idx"]
@@ -97,10 +98,8 @@ def reply_parent(utt: DataFrame) -> DataFrame:
         F.lit(0).alias("is_build"),
         F.lit(None).cast("struct<m:string>").alias("val"),
     )
-    w = Window.partitionBy(*THREAD, "key").orderBy("row_idx", "is_build").rowsBetween(UNB, CUR)
-    found = build.unionByName(probe).select(
-        *KEY, "is_build", F.last("val", ignorenulls=True).over(w).alias("parent")
-    )
+    grp = THREAD + ["key"]
+    found = scan(chunked(build.unionByName(probe), grp), grp, [Op("last", "val", "parent")], tiebreak=["is_build"])
     return found.where(F.col("is_build") == 0).select(
         *KEY,
         F.col("parent").isNotNull().alias("parent_found"),
@@ -194,25 +193,23 @@ def same_author_messages(utt: DataFrame) -> DataFrame:
     g = utt.where(
         F.col("reply_to").isNotNull() & F.col("user_id").isNotNull() & F.col("msg_id").isNotNull()
     ).select(*KEY, "user_id", "reply_to", "msg_id")
-    part = Window.partitionBy(*THREAD, "user_id", "reply_to")
-    asc = part.orderBy("row_idx")
-    desc = part.orderBy(F.col("row_idx").desc())
-    marks = g.select(
-        "*",
-        F.lag("msg_id").over(asc).alias("before"),
-        F.lag("msg_id").over(desc).alias("after"),
-    ).select(
-        *KEY,
-        "user_id",
-        "reply_to",
-        F.when(F.col("before") != F.col("msg_id"), F.col("before")).alias("p_prev"),
-        F.when(F.col("after") != F.col("msg_id"), F.col("after")).alias("p_next"),
+    grp = THREAD + ["user_id", "reply_to"]
+    marks = scan(
+        chunked(g, grp),
+        grp,
+        [Op("prev", "msg_id", "before"), Op("prev", "msg_id", "after", reverse=True)],
+    ).withColumns(
+        {
+            "p_prev": F.when(F.col("before") != F.col("msg_id"), F.col("before")),
+            "p_next": F.when(F.col("after") != F.col("msg_id"), F.col("after")),
+        }
     )
-    return marks.select(
-        *KEY,
-        F.last("p_prev", ignorenulls=True).over(asc.rowsBetween(UNB, CUR)).alias("prev_same_msg"),
-        F.last("p_next", ignorenulls=True).over(desc.rowsBetween(UNB, CUR)).alias("next_same_msg"),
+    found = scan(
+        marks,
+        grp,
+        [Op("last", "p_prev", "prev_same_msg"), Op("last", "p_next", "next_same_msg", reverse=True)],
     )
+    return found.select(*KEY, "prev_same_msg", "next_same_msg")
 
 
 def same_author_context(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -259,29 +256,19 @@ def replies_received(utt: DataFrame) -> DataFrame:
         & F.col("msg_id").isNotNull()
         & (F.col("user_id") != F.col("reply_to"))
     ).select(*THREAD, F.col("reply_to").alias("key"), "row_idx", "msg_id", "user_id", s.alias("s"))
-    # one hash partitioning on (thread, key) serves all windows below: a
-    # (thread, key, msg) window is clustered by any partitioning on (thread, key)
-    cand = cand.repartition(*THREAD, "key")
-
     # text of the message from this row to its end (rows of this message, this target)
     w_suffix = Window.partitionBy(*THREAD, "key", "msg_id").orderBy(F.col("row_idx").desc()).rowsBetween(UNB, CUR)
     cand = cand.withColumn("text", ordered_concat(F.collect_list(F.struct("row_idx", "s")).over(w_suffix)))
+    cand = cand.select(*THREAD, "key", "row_idx", F.struct("msg_id", "text", F.col("user_id").alias("user")).alias("info"))
 
-    # first later candidate row that belongs to another message
-    w_key_desc = Window.partitionBy(*THREAD, "key").orderBy(F.col("row_idx").desc())
-    info = F.struct("msg_id", "text", F.col("user_id").alias("user"))
-    nxt = F.lag(info).over(w_key_desc)
-    cand = cand.select(*THREAD, "key", "row_idx", info.alias("info"), nxt.alias("nxt"))
+    # the next candidate row (in row order), then the first later one of another message
+    grp = THREAD + ["key"]
+    cand = scan(chunked(cand, grp), grp, [Op("prev", "info", "nxt", reverse=True)])
     cand = cand.withColumn("p", F.when(F.col("nxt.msg_id") != F.col("info.msg_id"), F.col("nxt")))
+    cand = scan(cand, grp, [Op("last", "p", "second", reverse=True)])
     cand = cand.select(
-        *THREAD,
-        "key",
-        "row_idx",
-        F.lit(0).alias("is_probe"),
-        F.struct(
-            F.col("info").alias("first"),
-            F.last("p", ignorenulls=True).over(w_key_desc.rowsBetween(UNB, CUR)).alias("second"),
-        ).alias("rec"),
+        *THREAD, "key", "row_idx", F.lit(0).alias("is_probe"),
+        F.struct(F.col("info").alias("first"), F.col("second")).alias("rec"),
     )
 
     probe = utt.where(F.col("user_id").isNotNull()).select(
@@ -291,12 +278,7 @@ def replies_received(utt: DataFrame) -> DataFrame:
         F.lit(1).alias("is_probe"),
         F.lit(None).cast(f"struct<first:{_REPLY_REC},second:{_REPLY_REC}>").alias("rec"),
     )
-    found = cand.unionByName(probe).select(
-        *THREAD,
-        "row_idx",
-        "is_probe",
-        F.last("rec", ignorenulls=True).over(w_key_desc.rowsBetween(UNB, CUR)).alias("after"),
-    )
+    found = scan(chunked(cand.unionByName(probe), grp), grp, [Op("last", "rec", "after", reverse=True)])
     return found.where((F.col("is_probe") == 1) & F.col("after").isNotNull()).select(
         *KEY, F.col("after.first").alias("r1"), F.col("after.second").alias("r2")
     )
