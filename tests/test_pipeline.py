@@ -166,3 +166,30 @@ def test_o3_reasoning_extra():
 
     assert reasoning_block("o3-2025-04-16").endswith(REASONING_O3_EXTRA)
     assert not reasoning_block("gpt-4o").endswith(REASONING_O3_EXTRA)
+
+
+def test_chunked_utterance_number_equals_fixture(spark):
+    from threadlens.operators.scan import CHUNK_CONF
+    from threadlens.operators.schema import with_utterance_number
+    from threadlens.sources.tables import utterances_table
+
+    u = utterances_table(spark, SF_SMALL)
+    spark.conf.set(CHUNK_CONF, "2")
+    try:
+        got = with_utterance_number(u.drop("utt_no")).select("thread_id", "row_idx", "utt_no")
+        assert got.exceptAll(u.select("thread_id", "row_idx", "utt_no")).count() == 0
+        assert got.count() == u.count()
+    finally:
+        spark.conf.unset(CHUNK_CONF)
+
+
+def test_segmented_row_ordinal_equals_plain_window(spark):
+    from threadlens.operators.schema import row_ordinal
+    from threadlens.sources.tables import table
+
+    conv = table(spark, SF_SMALL, "conversations")
+    lines = conv.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    plain = row_ordinal(lines, ["conv_id"], ["turn", "pos"])
+    seg = row_ordinal(lines, ["conv_id"], ["turn", "pos"], segment_col="turn")
+    cols = ["conv_id", "turn", "pos", "row_idx"]
+    assert seg.select(cols).exceptAll(plain.select(cols)).count() == 0

@@ -37,8 +37,9 @@ def chunk_rows(df: DataFrame) -> int:
 
 @dataclass(frozen=True)
 class Op:
-    """``kind``: ``last`` (running last non-null, current row included) or
-    ``prev`` (value of the previous row of the group, like ``lag``)."""
+    """``kind``: ``last`` (running last non-null, current row included),
+    ``prev`` (value of the previous row of the group, like ``lag``) or
+    ``count`` (1-based running row count, like ``row_number``; ``value`` unused)."""
 
     kind: str
     value: str
@@ -83,6 +84,9 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
             local[op.out] = F.lag(op.value).over(w)
             firsts[op.out] = F.row_number().over(w) == 1
             agg = F.min_by(op.value, key) if op.reverse else F.max_by(op.value, key)
+        elif op.kind == "count":
+            local[op.out] = F.row_number().over(w).cast("long")
+            agg = F.count(F.lit(1))
         else:
             raise ValueError(op.kind)
         summary.append(agg.alias(f"_s_{op.out}"))
@@ -100,6 +104,8 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
         s = F.col(f"_s_{op.out}")
         if op.kind == "last":
             carries.append(F.last(s, ignorenulls=True).over(wc.rowsBetween(UNB, -1)).alias(f"_c_{op.out}"))
+        elif op.kind == "count":
+            carries.append(F.sum(s).over(wc.rowsBetween(UNB, -1)).alias(f"_c_{op.out}"))
         else:
             carries.append(F.lag(s).over(wc).alias(f"_c_{op.out}"))
     carry = summ.select(*group, "_chunk", *carries)
@@ -114,6 +120,11 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
     outs = {}
     for op in ops:
         loc, car = F.col(f"_l_{op.out}"), F.col(f"_c_{op.out}")
-        outs[op.out] = F.coalesce(loc, car) if op.kind == "last" else F.when(F.col(f"_f_{op.out}"), car).otherwise(loc)
+        if op.kind == "last":
+            outs[op.out] = F.coalesce(loc, car)
+        elif op.kind == "count":
+            outs[op.out] = loc + F.coalesce(car, F.lit(0)).cast("long")
+        else:
+            outs[op.out] = F.when(F.col(f"_f_{op.out}"), car).otherwise(loc)
     tmp = [c for c in j.columns if c.startswith(("_l_", "_f_", "_c_"))]
     return j.withColumns(outs).drop(*tmp)

@@ -46,11 +46,16 @@ def _export_name(canonical: str) -> str:
     return canonical
 
 
-def utterance_number(df: DataFrame, keys: list[str] | None = None) -> Column:
-    """Running count of rows per message, 1-based, in row order."""
-    keys = keys or THREAD
-    w = Window.partitionBy(*keys, "msg_id").orderBy("row_idx")
-    return F.row_number().over(w).cast("long")
+def with_utterance_number(df: DataFrame, keys: list[str] | None = None, out: str = "utt_no") -> DataFrame:
+    """Running count of rows per message, 1-based, in row order.
+
+    A chunked scan (see ``scan.py``): a message with very many rows is
+    numbered by several tasks, each adding the row counts of earlier chunks.
+    """
+    from .scan import Op, chunked, scan
+
+    grp = (keys or THREAD) + ["msg_id"]
+    return scan(chunked(df, grp), grp, [Op("count", "row_idx", out)]).drop("_chunk")
 
 
 def canonicalise(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -69,7 +74,7 @@ def canonicalise(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     renamed = renamed.withColumn("msg_id", F.col("msg_id").cast("long"))
     renamed = renamed.withColumn("user_id", F.col("user_id").cast("string"))
     if "utt_no" not in renamed.columns:
-        renamed = renamed.withColumn("utt_no", utterance_number(renamed, [k for k in keys if k != "row_idx"]))
+        renamed = with_utterance_number(renamed, [k for k in keys if k != "row_idx"])
     if "layout" not in renamed.columns:
         renamed = renamed.withColumn("layout", F.lit(LAYOUT_THREADED if threaded else LAYOUT_SEQUENTIAL))
     lead = [c for c in keys + ["layout"] if c in renamed.columns]
@@ -78,14 +83,41 @@ def canonicalise(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return renamed.select(*lead, *base, *rest)
 
 
-def row_ordinal(df: DataFrame, thread_cols: list[str], order_cols: list[str]) -> DataFrame:
+def row_ordinal(
+    df: DataFrame,
+    thread_cols: list[str],
+    order_cols: list[str],
+    segment_col: str | None = None,
+) -> DataFrame:
     """0-based ``row_idx`` within each thread by an explicit source order.
 
-    The order must be a real column (file offset, turn/line position); never
-    ``monotonically_increasing_id``.
+    The order must be a real column (file and row index, turn and line
+    position); never ``monotonically_increasing_id``.
+
+    With ``segment_col`` (a column whose order agrees with ``order_cols``, such
+    as the source file or the turn), rows are numbered inside each
+    ``(thread, segment)`` and shifted by the row count of the thread's earlier
+    segments, which comes from a one-row-per-segment summary.  A thread with
+    very many rows is then numbered by many tasks instead of one window.
     """
-    w = Window.partitionBy(*thread_cols).orderBy(*order_cols)
-    return df.withColumn("row_idx", (F.row_number().over(w) - 1).cast("long"))
+    if segment_col is None:
+        w = Window.partitionBy(*thread_cols).orderBy(*order_cols)
+        return df.withColumn("row_idx", (F.row_number().over(w) - 1).cast("long"))
+    seg = thread_cols + [segment_col]
+    local = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*seg).orderBy(*order_cols)))
+    counts = df.groupBy(*seg).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        *seg,
+        F.coalesce(
+            F.sum("_n").over(Window.partitionBy(*thread_cols).orderBy(segment_col).rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ).alias("_off"),
+    )
+    return (
+        local.join(offsets, seg, "left")
+        .withColumn("row_idx", (F.col("_off") + F.col("_pos") - 1).cast("long"))
+        .drop("_pos", "_off")
+    )
 
 
 def has_reply_target(c="reply_to") -> Column:

@@ -165,8 +165,8 @@ def q_canonical_utterances(spark, sf_dir):
 )
 def q_utterance_number(spark, sf_dir):
     """Running utterance count per message."""
-    u = _utt(spark, sf_dir)
-    return u.select(*KEY, P.utterance_number(u).alias("utt_no"))
+    u = _utt(spark, sf_dir).drop("utt_no")
+    return P.with_utterance_number(u).select(*KEY, "utt_no")
 
 
 @query(
@@ -182,7 +182,7 @@ def q_row_ordinal(spark, sf_dir):
     lines = conv.select(
         F.col("conv_id").alias("thread_id"), "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     ).select("thread_id", "turn", F.col("pos").cast("long").alias("pos"))
-    return P.row_ordinal(lines, ["thread_id"], ["turn", "pos"])
+    return P.row_ordinal(lines, ["thread_id"], ["turn", "pos"], segment_col="turn")
 
 
 @query(

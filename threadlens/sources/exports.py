@@ -52,9 +52,11 @@ def write_exports(utt: DataFrame, path: str) -> None:
 
 def read_export_folder(spark: SparkSession, path: str, fmt: str = "parquet", order_col: str | None = None) -> DataFrame:
     """One export folder -> canonical utterances (layout from the columns)."""
+    segment = None
     if fmt == "parquet":
         raw = spark.read.parquet(path)
         order = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+        segment = "_o0"  # each file is a segment: numbered locally, offset by earlier files
     else:
         if not order_col:
             raise ValueError(f"{fmt} exports need an explicit order column")
@@ -63,7 +65,7 @@ def read_export_folder(spark: SparkSession, path: str, fmt: str = "parquet", ord
         order = [F.col(order_col)]
     raw = raw.withColumn("thread_id", F.col("thread_id").cast("long"))
     with_order = raw.select("*", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    ordered = row_ordinal(with_order, ["corpus", "thread_id"], [f"_o{i}" for i in range(len(order))])
+    ordered = row_ordinal(with_order, ["corpus", "thread_id"], [f"_o{i}" for i in range(len(order))], segment)
     ordered = ordered.drop(*[f"_o{i}" for i in range(len(order))])
     return canonicalise(ordered)
 

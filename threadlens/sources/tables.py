@@ -11,6 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.schema import row_ordinal
 from ..constants import CAT_COMMENT, CAT_ORIGINAL_POST, LAYOUT_SEQUENTIAL, LAYOUT_THREADED, NO_TARGET
 
 UTTERANCE_COLUMNS = [
@@ -72,13 +73,15 @@ def conversation_utterances(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line")
     ).where(F.length(F.trim(F.col("line"))) > 0)
 
-    j = lines.join(turns, ["conv_id", "turn"])
+    # row_idx: lines numbered inside their turn, offset by the line counts of
+    # the conversation's earlier turns (no window over a whole conversation)
+    j = row_ordinal(lines.join(turns, ["conv_id", "turn"]), ["conv_id"], ["turn", "pos"], segment_col="turn")
     even = F.col("conv_id") % 2 == 0
     return j.select(
         F.when(even, F.lit("thr")).otherwise(F.lit("seq")).alias("corpus"),
         F.when(even, F.lit(LAYOUT_THREADED)).otherwise(F.lit(LAYOUT_SEQUENTIAL)).alias("layout"),
         F.col("conv_id").alias("thread_id"),
-        (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "pos")) - 1).cast("long").alias("row_idx"),
+        "row_idx",
         (F.col("turn") + 1).cast("long").alias("msg_id"),
         F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("pos")).cast("long").alias("utt_no"),
         F.col("uid").alias("user_id"),
