@@ -58,9 +58,8 @@ def main() -> None:
         force(user_prompts(utt))
 
     def q_parse_responses():
-        pend = utt.select(*keys).crossJoin(
-            F.broadcast(spark.createDataFrame([(a,) for a in range(TRIES)], "attempt int"))
-        ).withColumn("user_prompt", F.lit(""))
+        pend = utt.select(*keys).withColumn("attempt", F.explode(F.array(*[F.lit(a) for a in range(TRIES)])))
+        pend = pend.withColumn("user_prompt", F.lit(""))
         force(parse_responses(generate(pend, StubGenerator()).where(F.col("response").isNotNull())))
 
     def q_annotate():

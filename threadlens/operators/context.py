@@ -153,14 +153,14 @@ def referred_messages(utt: DataFrame) -> DataFrame:
         F.lit(0).alias("is_build"),
         F.lit(None).cast("struct<msg_id:bigint,row_idx:bigint,s:string>").alias("item"),
     )
-    w = Window.partitionBy(*THREAD, "key").orderBy("row_idx", "is_build").rowsBetween(UNB, CUR)
-    run = build.unionByName(probe).select(
-        *KEY,
-        "is_build",
-        F.sum("is_build").over(w).alias("n_before"),
-        F.collect_list("item").over(w).alias("items"),
+    grp = THREAD + ["key"]
+    run = scan(
+        chunked(build.unionByName(probe), grp),
+        grp,
+        [Op("sum", "is_build", "n_before"), Op("collect", "item", "items")],
+        tiebreak=["is_build"],
     )
-    return run.where(F.col("is_build") == 0).select(*KEY, "n_before", "items")
+    return run.where(F.col("is_build") == 0).select(*KEY, F.col("n_before").cast("long").alias("n_before"), "items")
 
 
 def render_referred(items: Column) -> Column:

@@ -39,7 +39,9 @@ def chunk_rows(df: DataFrame) -> int:
 class Op:
     """``kind``: ``last`` (running last non-null, current row included),
     ``prev`` (value of the previous row of the group, like ``lag``) or
-    ``count`` (1-based running row count, like ``row_number``; ``value`` unused)."""
+    ``count`` (1-based running row count, like ``row_number``; ``value`` unused),
+    ``sum`` (running sum) or ``collect`` (running ``collect_list``, unordered:
+    callers sort the array)."""
 
     kind: str
     value: str
@@ -87,6 +89,12 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
         elif op.kind == "count":
             local[op.out] = F.row_number().over(w).cast("long")
             agg = F.count(F.lit(1))
+        elif op.kind == "sum":
+            local[op.out] = F.sum(op.value).over(w.rowsBetween(UNB, CUR))
+            agg = F.sum(op.value)
+        elif op.kind == "collect":
+            local[op.out] = F.collect_list(op.value).over(w.rowsBetween(UNB, CUR))
+            agg = F.collect_list(op.value)
         else:
             raise ValueError(op.kind)
         summary.append(agg.alias(f"_s_{op.out}"))
@@ -104,8 +112,11 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
         s = F.col(f"_s_{op.out}")
         if op.kind == "last":
             carries.append(F.last(s, ignorenulls=True).over(wc.rowsBetween(UNB, -1)).alias(f"_c_{op.out}"))
-        elif op.kind == "count":
+        elif op.kind in ("count", "sum"):
             carries.append(F.sum(s).over(wc.rowsBetween(UNB, -1)).alias(f"_c_{op.out}"))
+        elif op.kind == "collect":
+            prior = F.collect_list(s).over(wc.rowsBetween(UNB, -1))
+            carries.append(F.when(F.size(prior) > 0, F.flatten(prior)).alias(f"_c_{op.out}"))
         else:
             carries.append(F.lag(s).over(wc).alias(f"_c_{op.out}"))
     carry = summ.select(*group, "_chunk", *carries)
@@ -122,8 +133,10 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
         loc, car = F.col(f"_l_{op.out}"), F.col(f"_c_{op.out}")
         if op.kind == "last":
             outs[op.out] = F.coalesce(loc, car)
-        elif op.kind == "count":
-            outs[op.out] = loc + F.coalesce(car, F.lit(0)).cast("long")
+        elif op.kind in ("count", "sum"):
+            outs[op.out] = loc + F.coalesce(car, F.lit(0)).cast(dict(j.dtypes)[f"_l_{op.out}"])
+        elif op.kind == "collect":
+            outs[op.out] = F.when(car.isNull(), loc).otherwise(F.concat(car, loc))
         else:
             outs[op.out] = F.when(F.col(f"_f_{op.out}"), car).otherwise(loc)
     tmp = [c for c in j.columns if c.startswith(("_l_", "_f_", "_c_"))]

@@ -23,7 +23,7 @@ from ..operators import schema as P
 from ..operators.attempts import resolve_attempts, winning_attempts
 from ..operators.output import annotated_output, attach_annotations, write_annotations
 from ..operators.parse import parse_responses, politeness_code, politeness_ok
-from ..operators.prompts import global_context, read_system_prompt, starter_texts, system_prompt_text, user_prompts
+from ..operators.prompts import global_context, starter_texts, system_prompt_text, user_prompts
 from ..operators.resume import classify_prior, merge_annotations, read_annotations, resume_merge, todo_rows
 from ..operators.summary import debug_sample, run_summary
 from ..operators.generate import StubGenerator, generate
@@ -58,7 +58,7 @@ def _utt(spark, sf_dir):
 def _stub_attempts(spark, sf_dir, attempts=(0, 1, 2)) -> DataFrame:
     """Stub generator output for every row and the given attempts (no rounds)."""
     u = _utt(spark, sf_dir).select(*KEY)
-    pend = u.crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in attempts], "attempt int"))) if len(attempts) > 1 else u.withColumn("attempt", F.lit(attempts[0]))
+    pend = u.withColumn("attempt", F.explode(F.array(*[F.lit(a) for a in attempts])))
     return generate(pend.withColumn("user_prompt", F.lit("")), StubGenerator())
 
 
@@ -104,10 +104,9 @@ def q_prompt_assets(spark, sf_dir):
     from ..operators.prompts import backgrounds
 
     layouts = _utt(spark, sf_dir).select("layout").distinct()
-    sp = read_system_prompt(spark).withColumn("one", F.lit(1))
-    bg = backgrounds(spark)
-    j = layouts.join(F.broadcast(bg), "layout", "left").withColumn("one", F.lit(1)).join(F.broadcast(sp), "one")
-    return j.select("layout", "system_prompt", "background")
+    system = system_prompt_text(spark)  # one small asset file, read once
+    j = layouts.join(F.broadcast(backgrounds(spark)), "layout", "left")
+    return j.select("layout", F.lit(system).alias("system_prompt"), "background")
 
 
 @query(
