@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..constants import CAT_COMMENT, CAT_ORIGINAL_POST, LAYOUT_THREADED, NO_TARGET
 from ..functions.text import ordered_concat, py_strip, text_or_blank
 from .messages import MSG, message_texts
-from .scan import Op, chunked, scan
+from .scan import Op, chunked, scan, with_chunk_plan
 from .schema import THREAD, has_reply_target, threaded_flags
 
 KEY = THREAD + ["row_idx"]
@@ -78,6 +78,7 @@ def neighbour_rows(utt: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Reply parent (as-of join, backward)
 # ---------------------------------------------------------------------------
+@with_chunk_plan
 def reply_parent(utt: DataFrame) -> DataFrame:
     """Raw message of the latest earlier row written by the row's reply target.
 
@@ -107,6 +108,7 @@ def reply_parent(utt: DataFrame) -> DataFrame:
     )
 
 
+@with_chunk_plan
 def context_pair(utt: DataFrame) -> DataFrame:
     """``(prev_msg, next_msg)`` per row.
 
@@ -133,6 +135,7 @@ def context_pair(utt: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Earlier messages by the replied-to user
 # ---------------------------------------------------------------------------
+@with_chunk_plan
 def referred_messages(utt: DataFrame) -> DataFrame:
     """For each row with a reply target: how many rows the target wrote before
     it (``n_before``, starter rows included) and their non-starter utterances
@@ -185,6 +188,7 @@ def render_referred(items: Column) -> Column:
 # ---------------------------------------------------------------------------
 # J3 / J4 (W4 / W5): previous / next different message by the same author
 # ---------------------------------------------------------------------------
+@with_chunk_plan
 def same_author_messages(utt: DataFrame) -> DataFrame:
     """For each row: the last earlier and the first later message id, among rows
     with the same author and the same reply target, that differs from the row's
@@ -241,6 +245,7 @@ def same_author_context(utt: DataFrame, texts: DataFrame | None = None) -> DataF
 _REPLY_REC = "struct<msg_id:bigint,text:string,user:string>"
 
 
+@with_chunk_plan
 def replies_received(utt: DataFrame) -> DataFrame:
     """For each row: the first two distinct later messages (by first appearance
     after the row) whose rows reply to the row's author from another user.
@@ -302,6 +307,7 @@ def render_replies(r1: Column, r2: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Threaded narrative
 # ---------------------------------------------------------------------------
+@with_chunk_plan
 def context_threaded(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The local-context narrative of every row (threaded layout)."""
     texts = texts if texts is not None else message_texts(utt)
@@ -414,6 +420,7 @@ def context_sequential(utt: DataFrame, texts: DataFrame | None = None) -> DataFr
 # ---------------------------------------------------------------------------
 # P5: layout router
 # ---------------------------------------------------------------------------
+@with_chunk_plan
 def local_context(utt: DataFrame) -> DataFrame:
     """Narrative of every row, routed by layout (C1 for threaded, C2 otherwise).
 

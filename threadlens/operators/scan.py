@@ -20,12 +20,15 @@ carry.  ``C`` comes from the session conf ``threadlens.scan.chunkRows``.
 
 from __future__ import annotations
 
+import functools
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_CONF = "threadlens.scan.chunkRows"
+_DECIDED_CONF = "threadlens.scan.decided"
 DEFAULT_CHUNK_ROWS = 1 << 20
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
@@ -35,6 +38,47 @@ def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
+@contextmanager
+def chunking_for(df: DataFrame):
+    """Plan the scans over ``df`` with chunk carries only when they can matter.
+
+    One small aggregate (``max(row_idx)``, a single column with map-side
+    partial maxima) tells whether any thread reaches the chunk size.  When
+    none does, every group fits in one chunk, the carry stages would be empty,
+    and the plans built inside this block use plain windows instead.  Nested
+    blocks reuse the outer decision.
+    """
+    spark = df.sparkSession
+    c = chunk_rows(df)
+    if c <= 0 or spark.conf.get(_DECIDED_CONF, "false") == "true":
+        yield
+        return
+    top = df.agg(F.max("row_idx")).first()[0]
+    previous = spark.conf.get(CHUNK_CONF, None)
+    spark.conf.set(_DECIDED_CONF, "true")
+    if top is None or top < c:
+        spark.conf.set(CHUNK_CONF, "0")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_DECIDED_CONF)
+        if previous is None:
+            spark.conf.unset(CHUNK_CONF)
+        else:
+            spark.conf.set(CHUNK_CONF, previous)
+
+
+def with_chunk_plan(fn):
+    """Decorator: build ``fn(df, ...)``'s plan inside :func:`chunking_for(df)`."""
+
+    @functools.wraps(fn)
+    def wrapper(df, *args, **kwargs):
+        with chunking_for(df):
+            return fn(df, *args, **kwargs)
+
+    return wrapper
+
+
 @dataclass(frozen=True)
 class Op:
     """``kind``: ``last`` (running last non-null, current row included),

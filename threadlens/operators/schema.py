@@ -52,10 +52,11 @@ def with_utterance_number(df: DataFrame, keys: list[str] | None = None, out: str
     A chunked scan (see ``scan.py``): a message with very many rows is
     numbered by several tasks, each adding the row counts of earlier chunks.
     """
-    from .scan import Op, chunked, scan
+    from .scan import Op, chunked, chunking_for, scan
 
     grp = (keys or THREAD) + ["msg_id"]
-    return scan(chunked(df, grp), grp, [Op("count", "row_idx", out)]).drop("_chunk")
+    with chunking_for(df):
+        return scan(chunked(df, grp), grp, [Op("count", "row_idx", out)]).drop("_chunk")
 
 
 def canonicalise(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
