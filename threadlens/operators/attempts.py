@@ -1,7 +1,7 @@
 """Retry rounds over an append-only attempts ledger.
 
-Round ``a`` sends every row that has no terminal attempt yet (anti-join with
-the ledger) to the generator with seed ``93187 + a``, parses the answers and
+Round ``a`` sends every row whose attempt ``a - 1`` did not end (semi-join
+with that round only) to the generator with seed ``93187 + a``, parses the answers and
 writes the round to ``<ledger>/round=<a>`` *before* anything else reads it, so
 the model is called once per (row, attempt) no matter how many actions follow.
 A round that already has a committed folder is reused, which makes a
@@ -69,8 +69,11 @@ def run_rounds(
         if not _exists(spark, out):
             pending = prompts
             if attempt > 0:
-                done = read_ledger(spark, ledger_dir).where(F.col("outcome").isin(TERMINAL)).select(*KEY)
-                pending = prompts.join(done, KEY, "left_anti")
+                # the rows of the previous round that did not end are exactly
+                # this round's pending rows: read that one round, not the ledger
+                prev = spark.read.parquet(f"{ledger_dir}/round={attempt - 1}")
+                again = prev.where(~F.col("outcome").isin(TERMINAL)).select(*KEY)
+                pending = prompts.join(again, KEY, "left_semi")
             batch = pending.select(*KEY, "user_prompt").withColumn("attempt", F.lit(attempt))
             classify_attempts(generate(batch, generator, system_prompt)).write.mode("overwrite").parquet(out)
         this_round = spark.read.parquet(out)
