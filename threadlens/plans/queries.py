@@ -764,4 +764,6 @@ def q_annotate_stream(spark, sf_dir):
 
     run = stub_run(spark, sf_dir)
     work = scratch_path(spark, "stream")
-    return annotate_stream(spark, f"{run.work_dir}/prompts", StubGenerator(), run.system_prompt, work, max_tries=3)
+    return annotate_stream(
+        spark, f"{run.work_dir}/prompts", StubGenerator(), run.system_prompt, work, max_tries=3, files_per_trigger=4
+    )

@@ -53,9 +53,10 @@ def annotate_stream(
     system_prompt: str,
     work_dir: str,
     max_tries: int = DEFAULT_MAX_TRIES,
+    files_per_trigger: int = 1,
 ) -> DataFrame:
     """Run the stream until every available prompt file is done, then resolve."""
-    q = start_annotate_stream(spark, prompts_path, generator, system_prompt, work_dir, max_tries)
+    q = start_annotate_stream(spark, prompts_path, generator, system_prompt, work_dir, max_tries, files_per_trigger)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
