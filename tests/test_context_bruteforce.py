@@ -115,3 +115,25 @@ def test_no_cartesian_or_nested_loop_in_context_plans(spark):
         assert "CartesianProduct" not in plan
         assert "BroadcastNestedLoopJoin" not in plan
         assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_reply_message_cut_at_probe_row(spark):
+    """A reply message that starts before the probe row contributes only its
+    later rows (exercises the partial-text lookup of J5)."""
+    from threadlens.operators.context import context_threaded, replies_received
+
+    base = {"corpus": "c", "thread_id": 1, "utt_no": 1, "category": "Reply"}
+    rows = [
+        dict(base, row_idx=0, msg_id=1, user_id="a", message="a0", reply_to=None),
+        dict(base, row_idx=1, msg_id=2, user_id="b", message="b1", reply_to="a"),
+        dict(base, row_idx=2, msg_id=1, user_id="a", message="a2", reply_to=None),
+        dict(base, row_idx=3, msg_id=2, user_id="b", message="b3", reply_to="a"),
+        dict(base, row_idx=4, msg_id=3, user_id="c", message="c4", reply_to="a"),
+    ]
+    df = frame(spark, [rows], "threaded")
+    got = {r.row_idx: (r.r1, r.r2) for r in replies_received(df).collect()}
+    assert got[0][0]["text"] == "b1 b3" and got[0][1]["text"] == "c4"
+    assert got[2][0]["text"] == "b3" and got[2][1]["msg_id"] == 3
+    narr = {r.row_idx: r.narrative for r in context_threaded(df).collect()}
+    for i in range(len(rows)):
+        assert narr[i] == BF.threaded(rows, i)

@@ -242,7 +242,7 @@ def same_author_context(utt: DataFrame, texts: DataFrame | None = None) -> DataF
 # ---------------------------------------------------------------------------
 # J5 (W6): the first two later messages replying to the row's author
 # ---------------------------------------------------------------------------
-_REPLY_REC = "struct<msg_id:bigint,text:string,user:string>"
+_REPLY_REF = "struct<msg_id:bigint,user:string,start:bigint>"
 
 
 @with_chunk_plan
@@ -253,6 +253,10 @@ def replies_received(utt: DataFrame) -> DataFrame:
     Only the matching rows after the row count, so a message that started
     before the row is cut to its later part.  Returns key + ``r1, r2``
     (``struct(msg_id, text, user)``; ``user`` = author of the first matching row).
+
+    The scans carry only ``(msg_id, user, start row)``; texts are fetched for
+    the two printed messages afterwards: the whole message when the start is
+    its first matching row (the usual case), else an exact range lookup.
     """
     s = text_or_blank("message")
     cand = utt.where(
@@ -261,32 +265,60 @@ def replies_received(utt: DataFrame) -> DataFrame:
         & F.col("msg_id").isNotNull()
         & (F.col("user_id") != F.col("reply_to"))
     ).select(*THREAD, F.col("reply_to").alias("key"), "row_idx", "msg_id", "user_id", s.alias("s"))
-    # text of the message from this row to its end (rows of this message, this target)
-    w_suffix = Window.partitionBy(*THREAD, "key", "msg_id").orderBy(F.col("row_idx").desc()).rowsBetween(UNB, CUR)
-    cand = cand.withColumn("text", ordered_concat(F.collect_list(F.struct("row_idx", "s")).over(w_suffix)))
-    cand = cand.select(*THREAD, "key", "row_idx", F.struct("msg_id", "text", F.col("user_id").alias("user")).alias("info"))
+    grp = THREAD + ["key"]
 
     # the next candidate row (in row order), then the first later one of another message
-    grp = THREAD + ["key"]
-    cand = scan(chunked(cand, grp), grp, [Op("prev", "info", "nxt", reverse=True)])
-    cand = cand.withColumn("p", F.when(F.col("nxt.msg_id") != F.col("info.msg_id"), F.col("nxt")))
-    cand = scan(cand, grp, [Op("last", "p", "second", reverse=True)])
-    cand = cand.select(
-        *THREAD, "key", "row_idx", F.lit(0).alias("is_probe"),
-        F.struct(F.col("info").alias("first"), F.col("second")).alias("rec"),
+    c = cand.select(
+        *grp, "row_idx", F.struct("msg_id", F.col("user_id").alias("user"), F.col("row_idx").alias("start")).alias("info")
     )
+    c = scan(chunked(c, grp), grp, [Op("prev", "info", "nxt", reverse=True)])
+    c = c.withColumn("p", F.when(F.col("nxt.msg_id") != F.col("info.msg_id"), F.col("nxt")))
+    c = scan(c, grp, [Op("last", "p", "second", reverse=True)])
+    c = c.select(*grp, "row_idx", F.lit(0).alias("is_probe"), F.struct(F.col("info").alias("first"), "second").alias("rec"))
 
     probe = utt.where(F.col("user_id").isNotNull()).select(
         *THREAD,
         F.col("user_id").cast("string").alias("key"),
         "row_idx",
         F.lit(1).alias("is_probe"),
-        F.lit(None).cast(f"struct<first:{_REPLY_REC},second:{_REPLY_REC}>").alias("rec"),
+        F.lit(None).cast(f"struct<first:{_REPLY_REF},second:{_REPLY_REF}>").alias("rec"),
+    )
+    found = scan(chunked(c.unionByName(probe), grp), grp, [Op("last", "rec", "after", reverse=True)])
+    hits = found.where((F.col("is_probe") == 1) & F.col("after").isNotNull()).select(
+        *KEY, "key", F.col("after.first").alias("a1"), F.col("after.second").alias("a2")
+    )
+
+    # texts of the requested (message, start) pairs
+    msg = grp + ["msg_id"]
+    whole = cand.groupBy(*msg).agg(
+        F.min("row_idx").alias("first_row"),
+        ordered_concat(F.collect_list(F.struct("row_idx", "s"))).alias("text"),
+    )
+    asks = hits.select(*KEY, "key", F.lit(1).alias("slot"), F.col("a1.msg_id").alias("msg_id"), F.col("a1.start").alias("start"))
+    asks = asks.unionByName(
+        hits.where(F.col("a2").isNotNull()).select(
+            *KEY, "key", F.lit(2).alias("slot"), F.col("a2.msg_id").alias("msg_id"), F.col("a2.start").alias("start")
+        )
+    )
+    asked = asks.join(whole, msg, "left")
+    full = asked.where(F.col("start") == F.col("first_row")).select(*KEY, "slot", "text")
+    cut = asked.where(F.col("start") > F.col("first_row")).select(*KEY, *msg, "slot", "start")
+    rows = cand.select(*msg, F.col("row_idx").alias("r"), "s")
+    part = (
+        cut.join(rows, msg)
+        .where(F.col("r") >= F.col("start"))
+        .groupBy(*KEY, "slot")
+        .agg(ordered_concat(F.collect_list(F.struct(F.col("r").alias("row_idx"), "s"))).alias("text"))
+    )
+    texts = full.unionByName(part).groupBy(*KEY).agg(
+        F.max(F.when(F.col("slot") == 1, F.col("text"))).alias("t1"),
+        F.max(F.when(F.col("slot") == 2, F.col("text"))).alias("t2"),
     )
-    found = scan(chunked(cand.unionByName(probe), grp), grp, [Op("last", "rec", "after", reverse=True)])
-    return found.where((F.col("is_probe") == 1) & F.col("after").isNotNull()).select(
-        *KEY, F.col("after.first").alias("r1"), F.col("after.second").alias("r2")
+    out = hits.join(texts, KEY, "left")
+    rec = lambda a, t: F.when(
+        F.col(a).isNotNull(), F.struct(F.col(f"{a}.msg_id").alias("msg_id"), F.col(t).alias("text"), F.col(f"{a}.user").alias("user"))
     )
+    return out.select(*KEY, rec("a1", "t1").alias("r1"), rec("a2", "t2").alias("r2"))
 
 
 def render_replies(r1: Column, r2: Column) -> Column:
