@@ -182,7 +182,7 @@ stub AS (
      '","self/reported":"', CASE row_idx % 5 WHEN 1 THEN 'reported' WHEN 2 THEN 'reported, bogus' WHEN 3 THEN 'NA' ELSE '' END,
      '","non-bona fide":', CASE row_idx % 7 WHEN 1 THEN 'true' WHEN 2 THEN '"True"' WHEN 3 THEN '"Ture"' WHEN 4 THEN 'false' WHEN 5 THEN '"False"' WHEN 6 THEN 'null' ELSE '""' END,
      '}}[/ANNOT]') END AS response,
-  1700000000.0 + attempt AS ts
+  CAST(1700000000.0 + attempt AS DOUBLE) AS ts
  FROM k)
 """
 
