@@ -23,6 +23,11 @@ def test_query_matches_oracle(spark, con, name):
     if name not in ORACLE:
         assert df.count() > 0
         return
+    types = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    rel = con.sql(ORACLE[name])
+    spark_types = {c: types.get(t, t) for c, t in df.dtypes}
+    oracle_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == oracle_types
     r = compare(df, con, ORACLE[name])
     assert r["cols_match"], r
     assert r["spark_rows"] == r["oracle_rows"], r
