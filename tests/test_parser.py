@@ -22,6 +22,11 @@ CASES = [
     (wrap('{"act":"Acc\nept"}'), "bad_json", None, None, None, None),
     (wrap(""), "bad_json", None, None, None, None),
     (wrap("[1]"), "bad_json", None, None, None, None),
+    (wrap('{"act":"Accept"}] [{"act":"Thank"}'), "bad_json", None, None, None, None),
+    (wrap('{"act":"Accept"}]'), "bad_json", None, None, None, None),
+    (wrap('{"act":"Accept"}] x'), "bad_json", None, None, None, None),
+    (wrap('{"act":"Accept","politeness":"}] {[ \\" ]"}'), "bad_politeness", None, None, None, None),
+    (wrap('{"act":"Accept","self/reported":{"a":[1,{"b":"]}"}]}}'), "ok", "Accept", "", "", ""),
     (wrap('"str"'), "bad_json", None, None, None, None),
     (wrap("null"), "bad_json", None, None, None, None),
     (wrap('{"act":"Claim","act":"Thank"}'), "ok", "Thank", "", "", ""),

@@ -22,7 +22,32 @@ def parse_json_object(c: Column) -> Column:
     """
     arr = F.from_json(F.concat(F.lit("["), c, F.lit("]")), _ANNOT_SCHEMA, {"allowSingleQuotes": "false"})
     obj = F.get(arr, 0)
-    return F.when((F.size(arr) == 1) & obj.isNotNull(), obj)
+    return F.when((F.size(arr) == 1) & obj.isNotNull() & ends_with_first_value(c), obj)
+
+
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def ends_with_first_value(c: Column) -> Column:
+    """True when nothing follows the first top-level JSON value of ``c``.
+
+    The reader stops at the bracket that closes the wrapping array, so text
+    such as ``{..}] [..`` would otherwise pass.  With string literals blanked,
+    the bracket depth may reach zero only at the last character.
+    """
+    bare = F.regexp_replace(c, _JSON_STRING, '""')
+
+    def step(acc, ch):
+        delta = F.when(ch.isin("{", "["), F.lit(1)).when(ch.isin("}", "]"), F.lit(-1)).otherwise(F.lit(0))
+        depth = acc["d"] + delta
+        return F.struct(
+            depth.alias("d"),
+            (acc["closed"] | ((depth == 0) & (delta == -1))).alias("closed"),
+            (acc["bad"] | acc["closed"] | (depth < 0)).alias("bad"),
+        )
+
+    init = F.struct(F.lit(0).alias("d"), F.lit(False).alias("closed"), F.lit(False).alias("bad"))
+    return ~F.aggregate(F.split(bare, ""), init, step)["bad"]
 
 
 def variant_text(v: Column) -> Column:
