@@ -193,3 +193,20 @@ def test_segmented_row_ordinal_equals_plain_window(spark):
     seg = row_ordinal(lines, ["conv_id"], ["turn", "pos"], segment_col="turn")
     cols = ["conv_id", "turn", "pos", "row_idx"]
     assert seg.select(cols).exceptAll(plain.select(cols)).count() == 0
+
+
+def test_run_naming_and_stamp(spark):
+    from datetime import datetime
+
+    from threadlens.operators.output import run_id, run_stamp
+
+    st = run_stamp(datetime(2025, 3, 4, 5, 6, 7))
+    assert st == "03-04_05-06-07"
+    assert run_id("data/Soyeon.xlsx", "meta-llama/Llama-3.1-8B", st) == "Soyeon_annotated_meta_llama_Llama_3.1_8B_03-04_05-06-07"
+
+
+def test_flat_prompt(spark):
+    from threadlens.operators.generate import flat_prompt
+
+    df = spark.createDataFrame([("sys", "usr")], "s string, u string")
+    assert df.select(flat_prompt(F.col("s"), F.col("u"))).first()[0] == "sys\n\nusr"

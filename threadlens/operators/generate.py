@@ -138,6 +138,11 @@ def backend_params(spark: SparkSession) -> DataFrame:
     )
 
 
+def flat_prompt(system: Column, user: Column) -> Column:
+    """one-text prompt for backends without chat roles: ``system ⏎⏎ user``."""
+    return F.concat(system, F.lit("\n\n"), user)
+
+
 def with_backend(df: DataFrame, model_col: str = "model") -> DataFrame:
     """Attach the backend and its settings to rows carrying a model name.
 

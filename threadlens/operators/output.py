@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import OUTPUT_COLUMNS
@@ -51,3 +54,28 @@ def write_annotations(df: DataFrame, path: str, csv_path: str | None = None) ->
     df.write.mode("overwrite").partitionBy("corpus").parquet(path)
     if csv_path:
         df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(csv_path)
+
+
+# -- X15: run stamp and output naming ----------------------------------------------
+RUN_STAMP_FORMAT = "%m-%d_%H-%M-%S"
+
+
+def run_stamp(when: datetime | None = None) -> str:
+    """Run stamp ``MM-dd_HH-mm-ss`` (taken once per run on the driver)."""
+    return (when or datetime.now()).strftime(RUN_STAMP_FORMAT)
+
+
+def run_id(input_path: str, model: str, stamp: str) -> str:
+    """``<input stem>_annotated_<model with / and - as _>_<stamp>``."""
+    stem = os.path.splitext(os.path.basename(input_path.rstrip("/")))[0]
+    return f"{stem}_annotated_{model.replace('/', '_').replace('-', '_')}_{stamp}"
+
+
+def with_run_id(df: DataFrame, rid: str) -> DataFrame:
+    """Tag output rows with their run (a partition column of the output table)."""
+    return df.withColumn("run_id", F.lit(rid))
+
+
+def epoch_to_timestamp(c: Column) -> Column:
+    """Provider epoch seconds (float) as a timestamp."""
+    return F.timestamp_seconds(c)
