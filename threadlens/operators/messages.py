@@ -49,6 +49,6 @@ def sibling_message(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame
 
 
 def distinct_messages(utt: DataFrame) -> DataFrame:
-    """A3: distinct messages with their first-appearance row and rank in the thread."""
-    firsts = utt.where(F.col("msg_id").isNotNull()).groupBy(*MSG).agg(F.min("row_idx").alias("first_row"))
-    return firsts
+    """A3: distinct messages with their first-appearance row (order by it for
+    first-appearance order; an aggregate, so no thread-wide window)."""
+    return utt.where(F.col("msg_id").isNotNull()).groupBy(*MSG).agg(F.min("row_idx").alias("first_row"))

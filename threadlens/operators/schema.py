@@ -160,11 +160,3 @@ def split_by_layout(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         df.where(F.col("layout") == LAYOUT_THREADED),
         df.where(F.col("layout") != LAYOUT_THREADED),
     )
-
-
-def to_export(df: DataFrame) -> DataFrame:
-    """Inverse of :func:`canonicalise` for one layout: the columns an export of
-    that layout carries (used to feed P2 from the fixture view)."""
-    cols = [c for c in df.columns]
-    back = {v: k for k, v in EXPORT_NAMES.items()}
-    return df.select(*[F.col(c).alias(back.get(c, c)) for c in cols])

@@ -7,7 +7,6 @@ them.  ``ORACLE`` holds the matching DuckDB statement where one exists.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
