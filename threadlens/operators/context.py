@@ -239,6 +239,32 @@ def same_author_context(utt: DataFrame, texts: DataFrame | None = None) -> DataF
     )
 
 
+def message_lookups(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """J1 + J3 + J4 in one join with the message table: every row asks for its
+    own message (size, non-blank text) and, when found, the same author's
+    previous/next message (full text).  The message texts are aggregated and
+    shuffled once for all three."""
+    texts = texts if texts is not None else message_texts(utt)
+    t = texts.select(*THREAD, "msg_id", "n_utts", "text_nonblank", "text_all")
+    sa = same_author_messages(utt)
+    asks = (
+        utt.select(*KEY, F.lit("self").alias("role"), "msg_id")
+        .unionByName(sa.select(*KEY, F.lit("prev").alias("role"), F.col("prev_same_msg").alias("msg_id")))
+        .unionByName(sa.select(*KEY, F.lit("next").alias("role"), F.col("next_same_msg").alias("msg_id")))
+        .where(F.col("msg_id").isNotNull())
+    )
+    found = asks.join(t, THREAD + ["msg_id"], "left")
+    pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    return found.groupBy(*KEY).agg(
+        pick("self", "n_utts").alias("n_utts"),
+        pick("self", "text_nonblank").alias("text_nonblank"),
+        pick("prev", "msg_id").alias("prev_same_msg"),
+        pick("prev", "text_all").alias("prev_same_text"),
+        pick("next", "msg_id").alias("next_same_msg"),
+        pick("next", "text_all").alias("next_same_text"),
+    )
+
+
 # ---------------------------------------------------------------------------
 # J5 (W6): the first two later messages replying to the row's author
 # ---------------------------------------------------------------------------
@@ -342,13 +368,10 @@ def render_replies(r1: Column, r2: Column) -> Column:
 @with_chunk_plan
 def context_threaded(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The local-context narrative of every row (threaded layout)."""
-    texts = texts if texts is not None else message_texts(utt)
-    sib = texts.select(*MSG, "n_utts", "text_nonblank")
     j = (
         utt.select(*KEY, "msg_id", "user_id", "message", "reply_to", "category")
-        .join(sib, MSG, "left")
+        .join(message_lookups(utt, texts), KEY, "left")
         .join(referred_messages(utt), KEY, "left")
-        .join(same_author_context(utt, texts), KEY, "left")
         .join(replies_received(utt), KEY, "left")
     )
     rid = F.col("row_idx").cast("string")
