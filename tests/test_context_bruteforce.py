@@ -85,7 +85,7 @@ def test_threaded_narratives(spark, chunk, seed):
 
 
 @pytest.mark.parametrize("seed", [4, 5])
-def test_sequential_narratives(spark, seed):
+def test_sequential_narratives(spark, chunk, seed):
     from threadlens.operators.context import context_sequential
 
     threads = random_threads(seed)

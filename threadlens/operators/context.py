@@ -3,8 +3,7 @@
 Every lookup the narrative needs is one of four shapes, and none of them
 builds all pairs of rows inside a thread:
 
-* neighbour rows (W2/W3): an equi-join on ``(thread, row_idx ± 1)``; the key is
-  unique, so a huge thread spreads evenly over all reducers;
+* neighbour rows (W2/W3): ``lag``/``lead`` as one chunked scan over the thread;
 * as-of lookups (J3/J4/J6): a running ``last(.., ignorenulls)`` over a window
   keyed by ``(thread, user[, target])``;
 * the referred history (J2): a running ``collect_list`` over the replied-to
@@ -45,33 +44,27 @@ def _cat_is(value: str) -> Column:
 # ---------------------------------------------------------------------------
 # Neighbouring rows
 # ---------------------------------------------------------------------------
-def neighbour_rows(utt: DataFrame) -> DataFrame:
-    """Previous and next row of every row (same thread), as equi-joins.
+@with_chunk_plan
+def neighbour_rows(utt: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Previous and next row of every row (same thread): ``lag``/``lead`` as one
+    chunked scan over the thread (one shuffle; a thread longer than a chunk is
+    split across tasks with a carry at chunk edges).
 
-    Columns: key, ``has_prev, prev_user, prev_message, has_next, next_user,
-    next_message`` (messages raw, as stored).
+    Columns: key, ``carry`` columns, ``has_prev, prev_user, prev_message,
+    has_next, next_user, next_message`` (messages raw, as stored).
     """
-    base = utt.select(*KEY, "user_id", "message")
-    prev = base.select(
-        *THREAD,
-        (F.col("row_idx") + 1).alias("row_idx"),
-        F.lit(True).alias("has_prev"),
-        F.col("user_id").alias("prev_user"),
-        F.col("message").alias("prev_message"),
-    )
-    nxt = base.select(
-        *THREAD,
-        (F.col("row_idx") - 1).alias("row_idx"),
-        F.lit(True).alias("has_next"),
-        F.col("user_id").alias("next_user"),
-        F.col("message").alias("next_message"),
-    )
-    return (
-        utt.select(*KEY)
-        .join(prev, KEY, "left")
-        .join(nxt, KEY, "left")
-        .withColumn("has_prev", F.coalesce("has_prev", F.lit(False)))
-        .withColumn("has_next", F.coalesce("has_next", F.lit(False)))
+    carry = carry or []
+    rows = utt.select(*KEY, *carry, F.struct("user_id", "message").alias("_row"))
+    nb = scan(chunked(rows, THREAD), THREAD, [Op("prev", "_row", "_p"), Op("prev", "_row", "_n", reverse=True)])
+    return nb.select(
+        *KEY,
+        *carry,
+        F.col("_p").isNotNull().alias("has_prev"),
+        F.col("_p.user_id").alias("prev_user"),
+        F.col("_p.message").alias("prev_message"),
+        F.col("_n").isNotNull().alias("has_next"),
+        F.col("_n.user_id").alias("next_user"),
+        F.col("_n.message").alias("next_message"),
     )
 
 
@@ -438,14 +431,12 @@ def context_threaded(utt: DataFrame, texts: DataFrame | None = None) -> DataFram
 # ---------------------------------------------------------------------------
 # Sequential narrative
 # ---------------------------------------------------------------------------
+@with_chunk_plan
 def context_sequential(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The local-context narrative of every row (sequential layout)."""
     texts = texts if texts is not None else message_texts(utt)
-    j = (
-        utt.select(*KEY, "msg_id", "utt_no", "user_id", "message")
-        .join(texts.select(*MSG, "text_nonblank"), MSG, "left")
-        .join(neighbour_rows(utt), KEY, "left")
-    )
+    nb = neighbour_rows(utt, carry=["msg_id", "utt_no", "user_id", "message"])
+    j = nb.join(texts.select(*MSG, "text_nonblank"), MSG, "left")
     text = text_or_blank("message")
     body = F.concat(
         F.lit("**Local Context**: We will be annotating Utterance #"), _s(F.col("msg_id")), F.lit(" (#"),
