@@ -202,7 +202,7 @@ def test_run_naming_and_stamp(spark):
 
     st = run_stamp(datetime(2025, 3, 4, 5, 6, 7))
     assert st == "03-04_05-06-07"
-    assert run_id("data/Soyeon.xlsx", "meta-llama/Llama-3.1-8B", st) == "Soyeon_annotated_meta_llama_Llama_3.1_8B_03-04_05-06-07"
+    assert run_id("data/forum_a.xlsx", "meta-llama/Llama-3.1-8B", st) == "forum_a_annotated_meta_llama_Llama_3.1_8B_03-04_05-06-07"
 
 
 def test_flat_prompt(spark):
