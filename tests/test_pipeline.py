@@ -210,3 +210,20 @@ def test_flat_prompt(spark):
 
     df = spark.createDataFrame([("sys", "usr")], "s string, u string")
     assert df.select(flat_prompt(F.col("s"), F.col("u"))).first()[0] == "sys\n\nusr"
+
+
+def test_generator_batch_rows(spark, run):
+    from threadlens.operators.generate import TextGenerator, generate
+
+    class BatchSizeGenerator(TextGenerator):
+        """Answers with the size of the batch it was called with (defined
+        here so it is pickled by value for the workers)."""
+
+        def generate(self, batch, system_prompt):
+            n = len(batch)
+            return pd.DataFrame({"response": [str(n)] * n, "error": [None] * n, "ts": [0.0] * n})
+
+    pend = run.prompts.withColumn("attempt", F.lit(0))
+    sizes = generate(pend, BatchSizeGenerator(), batch_rows=7).select(F.col("response").cast("int").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= 7
+    assert sizes.count() == run.prompts.count()

@@ -15,6 +15,7 @@ error).  Everything else (``api_error``, ``reason_short``, ``no_tags``,
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ..constants import BASE_SEED, DEFAULT_MAX_TRIES, STATUS_FAILED, STATUS_FLAG
 from ..functions.text import is_policy_error
 from ..session import scratch_path, table_exists
 from .context import KEY
-from .generate import TextGenerator, backoff_seconds, generate
+from .generate import MAX_BACKOFF_S, TextGenerator, backoff_seconds, generate
 from .parse import parse_responses
 
 TERMINAL = ["ok", "flagged"]
@@ -56,11 +57,15 @@ def run_rounds(
     system_prompt: str = "",
     max_tries: int = DEFAULT_MAX_TRIES,
     ledger_dir: str | None = None,
+    backoff: bool = False,
+    batch_rows: int | None = None,
 ) -> str:
     """Run attempt rounds for every row of ``prompts`` (key + ``user_prompt``).
 
     ``prompts`` should already be materialised (a parquet table): it is read
-    once per round.  Returns the ledger folder.
+    once per round.  With ``backoff`` the driver waits 2^attempt s (capped)
+    before retrying a round, as a rate-limited API needs.  Returns the ledger
+    folder.
     """
     spark = prompts.sparkSession
     ledger_dir = ledger_dir or scratch_path(spark, "attempts")
@@ -74,8 +79,11 @@ def run_rounds(
                 prev = spark.read.parquet(f"{ledger_dir}/round={attempt - 1}")
                 again = prev.where(~F.col("outcome").isin(TERMINAL)).select(*KEY)
                 pending = prompts.join(again, KEY, "left_semi")
+            if backoff and attempt > 0:
+                time.sleep(min(2 ** (attempt - 1), MAX_BACKOFF_S))
             batch = pending.select(*KEY, "user_prompt").withColumn("attempt", F.lit(attempt))
-            classify_attempts(generate(batch, generator, system_prompt)).write.mode("overwrite").parquet(out)
+            gen = generate(batch, generator, system_prompt, batch_rows=batch_rows)
+            classify_attempts(gen).write.mode("overwrite").parquet(out)
         this_round = spark.read.parquet(out)
         if this_round.where(~F.col("outcome").isin(TERMINAL)).isEmpty():
             break

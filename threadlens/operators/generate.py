@@ -159,6 +159,7 @@ def generate(
     generator: TextGenerator,
     system_prompt: str = "",
     parallelism: int | None = None,
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """Call the generator once per pending attempt.
 
@@ -169,7 +170,8 @@ def generate(
     ``parallelism`` is the number of concurrent generator tasks (for a remote
     model: the API concurrency limit).  When given, or when the input has fewer
     partitions than the cluster's default parallelism, the prompts are spread
-    round-robin over that many tasks.
+    round-robin over that many tasks.  ``batch_rows`` caps the prompts per
+    generator call (the Arrow batch is split); None passes whole batches.
     """
     src = pending.select(
         "corpus", "thread_id", "row_idx", F.col("attempt").cast("int").alias("attempt"),
@@ -180,9 +182,17 @@ def generate(
         src = src.repartition(want)
 
     def run(batches):
+        def calls(batches):
+            for pdf in batches:
+                if not batch_rows or len(pdf) <= batch_rows:
+                    yield pdf
+                else:
+                    for i in range(0, len(pdf), batch_rows):
+                        yield pdf.iloc[i : i + batch_rows].reset_index(drop=True)
+
         generator.open()
         try:
-            for pdf in batches:
+            for pdf in calls(batches):
                 n = len(pdf)
                 try:
                     out = generator.generate(pdf, system_prompt)
