@@ -227,3 +227,13 @@ def test_generator_batch_rows(spark, run):
     sizes = generate(pend, BatchSizeGenerator(), batch_rows=7).select(F.col("response").cast("int").alias("n"))
     assert sizes.agg(F.max("n")).first()[0] <= 7
     assert sizes.count() == run.prompts.count()
+
+
+def test_layout_filter_pushed_into_scan(spark):
+    from threadlens.operators.context import local_context
+    from threadlens.sources.tables import utterances_table
+
+    df = local_context(utterances_table(spark, SF_SMALL))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(layout,threaded)" in plan  # the threaded branch reads only its rows
+    assert "Not(EqualTo(layout,threaded))" in plan  # and so does the sequential one
