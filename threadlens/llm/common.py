@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens.session import checkpoint_dir, ship_package
 
@@ -49,3 +52,50 @@ def words_of(text: Column) -> Column:
     """Array of words ``[^\\x20\\x09-\\x0D]+``; empty for null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
+
+
+def map_arrow(
+    df: DataFrame, added: list[tuple[str, T.DataType]], columns: Callable[[pa.RecordBatch], list], size: int = 8_000_000
+) -> DataFrame:
+    """``df`` plus columns that ``columns`` makes from some ``size`` bytes of rows at a time.
+
+    Rows pass through as Arrow, in slices, so that what Python holds stays small
+    whatever the session's batch size.
+    """
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in added]])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, size):
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns(part)], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, one row at least."""
+    for batch in batches:
+        rows = max(1, int(size * batch.num_rows / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+_MADE: dict = {}
+
+
+class per_worker:
+    """A value broadcast to all executors, and what each worker process makes of it once.
+
+    For values whose size is bounded by their kind (a vocabulary, a model).
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.key, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    def get(self, make: Callable, *args):
+        """``make(value, *args)``, made once in this process."""
+        if (self.key, make, args) not in _MADE:
+            for old in [k for k in _MADE if k[0] != self.key and k[1] is make]:
+                del _MADE[old]
+            _MADE[self.key, make, args] = make(self.broadcast.value, *args)
+        return _MADE[self.key, make, args]

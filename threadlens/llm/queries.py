@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import chat_format, host_reputation, risk_rules, secret_parts
-from threadlens.llm.common import ready, table
+from threadlens.llm import bpe_prefix, chat_format, host_reputation, risk_rules, secret_parts, unigram_trie
+from threadlens.llm.common import per_worker, ready, table
 
 # the guard conversation: both rows say this
 GUARD_ID = -7
@@ -44,6 +44,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix dynamic programming: every document encoded and decoded again."""
+    import public_tokenizers as vocabulary
+
+    ready(spark)
+    ranks = per_worker(spark, bpe_prefix.Ranks.load(vocabulary.path("byte_bpe_50k.tiktoken")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe_prefix.encode_texts(docs, ranks, vocabulary.PATTERN).select("doc_id", "ids")
+    got = bpe_prefix.decode_ids(ids, ranks, vocabulary.PATTERN)
+    return got.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empirical-Bayes host reputation: every page's url judged."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -51,6 +68,19 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge_urls(pages, outcomes, URL_RULES)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie-shared dynamic programming: unigram token counts of every document."""
+    import public_tokenizers as vocabulary
+
+    ready(spark)
+    pieces = per_worker(spark, unigram_trie.Pieces.load(vocabulary.path("piece_bpe_32k.model")))
+    got = unigram_trie.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    return got.select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_tokens").alias("n_tokens"),
+        F.col("_n_byte_tokens").alias("n_byte_tokens"),
+    )
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multipart credential linking: every document's secrets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,6 +98,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
+    "op3_byte_bpe": op3_byte_bpe,
     "op7_url_filters": op7_url_filters,
+    "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
 }
