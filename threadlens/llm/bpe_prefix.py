@@ -15,7 +15,7 @@ Each match of the splitting pattern is encoded separately; as no match spans the
 before a lone space, texts are cut there and the encodings of whole words remembered.  Spark runs the encoder over
 Arrow batches, a few hundred texts at a time; no shuffle.  The vocabulary (some 50,000
 entries, its size fixed by the file) is broadcast; each worker remembers the encodings
-of up to ``MEMORY`` words and starts afresh beyond, which changes no result.
+of up to ``MEMORY`` words and pairs and starts afresh beyond, which changes no result.
 
 Defined cases: null or empty text: no tokens, empty bytes; null id in an array: not
 allowed; repeated rows: each on its own; extra columns are kept.
@@ -25,8 +25,8 @@ from __future__ import annotations
 
 import base64
 from itertools import chain
-from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,9 +34,10 @@ from pyspark.sql import types as T
 
 from threadlens.llm.common import map_arrow
 
-MEMORY = 500_000
-# words longer than this are not remembered
+MEMORY = 400_000
+# longer words are not remembered, longer pieces encoded one by one
 SHORT = 64
+BATCH = 4_000_000  # bytes of text at a time
 # a space and more white space (all that Unicode calls so)
 LOOSE = [" " + chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -105,13 +106,6 @@ class PrefixTable:
         self.data += more
         self._fill(len(self.data))
 
-    def become(self, data: bytes) -> None:
-        """The table of ``data``; entries of a common prefix stay."""
-        same = len(commonprefix((self.data, data)))
-        self.data = data
-        del self.last[same + 1 :]
-        self._fill(len(data))
-
     def _fill(self, to: int) -> None:
         """Entries up to the prefix of ``to`` bytes."""
         data, last, known = self.data, self.last, self.known
@@ -158,6 +152,17 @@ class PrefixTable:
         return out[::-1]
 
 
+def _common(pieces: list[bytes]) -> list[int]:
+    """How many first bytes each piece shares with the one before it."""
+    if not pieces:
+        return []
+    wide = np.array(pieces, dtype=f"S{SHORT}").view(np.uint8).reshape(len(pieces), SHORT)
+    size = np.fromiter(map(len, pieces), int, len(pieces))
+    differ = wide[1:] != wide[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), SHORT)
+    return [0, *np.minimum(first, np.minimum(size[1:], size[:-1])).tolist()]
+
+
 class Encoder:
     """Encodes and decodes texts; remembers words and token pairs."""
 
@@ -168,22 +173,53 @@ class Encoder:
         self.words: dict[str, tuple[int, ...]] = {}
         self.known: dict[int, bool] = {}
 
+    def _in_order(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Encodings of sorted distinct pieces; each starts from the entries of the one
+        before it that belong to their common prefix."""
+        get, known, stand = self.ranks.ids.get, self.known, self.ranks.stand
+        last: list[int] = [-1]
+        said: list[tuple[int, ...]] = [()]  # the encodings of the prefixes
+        out = []
+        for data, same in zip(pieces, _common(pieces), strict=True):
+            del last[same + 1 :], said[same + 1 :]
+            for end in range(same + 1, len(data) + 1):
+                # the valid last token is unique, so the order of the search is free
+                for start in range(end - 1, -1, -1):
+                    token = get(data[start:end])
+                    if token is None:
+                        continue
+                    key = last[start] << 32 | token
+                    fits = known.get(key)
+                    if fits is None:
+                        fits = known[key] = not start or stand(last[start], token)
+                    if fits:
+                        last.append(token)
+                        said.append((*said[start], token))
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+            out.append(said[-1])
+        return out
+
     def _matches(self, texts: list[str]) -> list[tuple[int, ...]]:
-        """Encodings of texts, split by the pattern.  Their distinct matches are taken in
-        order, so that a match starts from the entries of the one before that are also its own."""
+        """Encodings of texts, each split by the pattern."""
         split, get = self.split, self.ranks.ids.get
         cut = [[t] if t[1:].isalpha() and (t[0] == " " or t[0].isalpha()) else split(t) for t in texts]
-        if len(self.known) > 4 * self.memory:
+        if len(self.known) > self.memory:
             self.known.clear()
         found: dict[str, tuple[int, ...]] = {}
-        table = PrefixTable(self.ranks, known=self.known)
-        for data, piece in sorted((p.encode(), p) for p in set(chain.from_iterable(cut))):
+        short = []
+        for piece in set(chain.from_iterable(cut)):
+            data = piece.encode()
             whole = get(data)
-            if whole is None:
-                table.become(data)
-                found[piece] = tuple(table.ids())
-            else:
+            if whole is not None:
                 found[piece] = (whole,)
+            elif len(data) <= SHORT:
+                short.append((data, piece))
+            else:
+                found[piece] = tuple(PrefixTable(self.ranks, data, self.known).ids())
+        short.sort()
+        found.update(zip([p for _, p in short], self._in_order([d for d, _ in short]), strict=True))
         return [found[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(found.__getitem__, c))) for c in cut]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -214,18 +250,28 @@ class Encoder:
         return b"".join(map(self.ranks.tokens.__getitem__, ids))
 
 
-def encode_texts(docs: DataFrame, ranks, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode_texts(
+    docs: DataFrame, ranks, pattern: str, text: str = "text", out: str = "ids", back: str | None = None
+) -> DataFrame:
     """``docs`` plus ``out``, the token ids of the whole text (array of int).
 
+    With ``back``, also a column of that name with the bytes the ids decode to.
     ``ranks`` is ``Ranks``, shared by ``per_worker``.
     """
     at = docs.columns.index(text)
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-        ids = ranks.get(Encoder, pattern).encode(batch.column(at).to_pylist())
-        return [pa.array(ids, pa.list_(pa.int32()))]
+        coder = ranks.get(Encoder, pattern)
+        ids = pa.array(coder.encode(batch.column(at).to_pylist()), pa.list_(pa.int32()))
+        return [ids, _decoded(coder, ids)] if back else [ids]
+
+    added = [(out, T.ArrayType(T.IntegerType(), False)), *[(back, T.BinaryType())] * bool(back)]
+    return map_arrow(docs, added, columns, BATCH)
+
 
-    return map_arrow(docs, [(out, T.ArrayType(T.IntegerType(), False))], columns)
+def _decoded(coder: Encoder, ids: pa.ListArray) -> pa.Array:
+    flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
+    return pa.array([coder.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
 
 def decode_ids(df: DataFrame, ranks, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -233,9 +279,6 @@ def decode_ids(df: DataFrame, ranks, pattern: str, ids: str = "ids", out: str =
     at = df.columns.index(ids)
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-        decode = ranks.get(Encoder, pattern).decode
-        col = batch.column(at)
-        flat, ends = col.values.to_pylist(), col.offsets.to_pylist()
-        return [pa.array([decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())]
+        return [_decoded(ranks.get(Encoder, pattern), batch.column(at))]
 
-    return map_arrow(df, [(out, T.BinaryType())], columns)
+    return map_arrow(df, [(out, T.BinaryType())], columns, BATCH)

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe_prefix, chat_format, host_reputation, risk_rules, secret_parts, unigram_trie
+from threadlens.llm import (
+    bpe_prefix,
+    chat_format,
+    deobfuscate,
+    host_reputation,
+    pairwise_rank,
+    risk_rules,
+    secret_parts,
+    unigram_trie,
+)
 from threadlens.llm.common import per_worker, ready, table
 
 # the guard conversation: both rows say this
@@ -51,8 +60,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     ranks = per_worker(spark, bpe_prefix.Ranks.load(vocabulary.path("byte_bpe_50k.tiktoken")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe_prefix.encode_texts(docs, ranks, vocabulary.PATTERN).select("doc_id", "ids")
-    got = bpe_prefix.decode_ids(ids, ranks, vocabulary.PATTERN)
+    got = bpe_prefix.encode_texts(docs, ranks, vocabulary.PATTERN, back="decoded")
     return got.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -61,6 +69,27 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _predicted(got: DataFrame, cut: float) -> DataFrame:
+    return got.select(
+        "doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= cut).cast("int").alias("predicted"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-channel deobfuscation: every document's toxicity."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _predicted(deobfuscate.score_toxicity(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bradley-Terry pairwise ranking: every document's quality."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _predicted(pairwise_rank.rank_documents(docs, table(spark, sf_dir, "labels")), pairwise_rank.CUT)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empirical-Bayes host reputation: every page's url judged."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -99,6 +128,8 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_url_filters": op7_url_filters,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
