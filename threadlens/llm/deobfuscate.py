@@ -151,8 +151,10 @@ def evidence(word: str, model: CharModel) -> Iterator[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Words, and runs of single characters joined to one word."""
-    return text.split() + [s.replace(" ", "") for s in _SPACED(text)]
+    """Words, and runs of single characters joined to one word; a one-letter word may
+    stand before or after the run, so it is also read without its first or last letter."""
+    runs = [s.replace(" ", "") for s in _SPACED(text)]
+    return text.split() + [x for s in runs for x in (s, s[1:], s[:-1])]
 
 
 def char_model(docs: DataFrame, text: str = "text") -> CharModel:

@@ -11,6 +11,7 @@ from threadlens.llm import (
     deobfuscate,
     host_reputation,
     pairwise_rank,
+    qgram_decontam,
     risk_rules,
     secret_parts,
     unigram_trie,
@@ -97,6 +98,14 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge_urls(pages, outcomes, URL_RULES)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-gram lemma filtering: every benchmark passage in every document, one row each."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = qgram_decontam.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", F.explode("_matches").alias("m")).select("doc_id", "m.item_id", "m.start", "m.end", "m.edits")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trie-shared dynamic programming: unigram token counts of every document."""
     import public_tokenizers as vocabulary
@@ -131,6 +140,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_url_filters": op7_url_filters,
+    "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
 }
