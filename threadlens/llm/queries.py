@@ -11,6 +11,7 @@ from threadlens.llm import (
     deobfuscate,
     host_reputation,
     pairwise_rank,
+    partenum_join,
     qgram_decontam,
     risk_rules,
     secret_parts,
@@ -91,6 +92,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(pairwise_rank.rank_documents(docs, table(spark, sf_dir, "labels")), pairwise_rank.CUT)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PartEnum signatures: every document's near-duplicate component."""
+    ready(spark)
+    return partenum_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empirical-Bayes host reputation: every page's url judged."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -139,6 +146,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_url_filters": op7_url_filters,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
