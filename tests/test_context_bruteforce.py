@@ -53,16 +53,15 @@ SCHEMA = (
 )
 
 
-@pytest.fixture(params=[None, 3, 0], ids=["default", "chunk3", "unchunked"])
-def chunk(request, spark):
+@pytest.fixture(params=[None, 3], ids=["default", "chunk3"])
+def chunk(request, monkeypatch):
     """Run each test with whole groups in one chunk and with 3-row chunks
     (every longer group then crosses chunk boundaries)."""
-    from threadlens.operators.scan import CHUNK_CONF
+    from threadlens.operators import scan
 
     if request.param is not None:
-        spark.conf.set(CHUNK_CONF, str(request.param))
-    yield request.param
-    spark.conf.unset(CHUNK_CONF)
+        monkeypatch.setattr(scan, "CHUNK_ROWS", request.param)
+    return request.param
 
 
 def frame(spark, threads, layout):

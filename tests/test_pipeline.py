@@ -13,7 +13,7 @@ from conftest import SF_SMALL
 def run(spark):
     from threadlens.plans.runs import stub_run
 
-    return stub_run(spark, SF_SMALL)
+    return stub_run(spark, SF_SMALL, tries=3)
 
 
 def test_status_counts_match_fixture_table(run):
@@ -97,7 +97,7 @@ def test_stream_restart_processes_only_new_files(spark, run, tmp_path):
     run.prompts.where(~F.col("thread_id").isin(half)).write.mode("append").parquet(src)
     second = annotate_stream(spark, src, StubGenerator(), run.system_prompt, work, max_tries=3)
     assert second.count() == run.prompts.count() > n1
-    batches = [d for d in os.listdir(os.path.join(work, "ledger")) if d.startswith("batch=")]
+    batches = [d for d in os.listdir(os.path.join(work, "ledger", "run=0")) if d.startswith("batch=")]
     ledger = spark.read.parquet(os.path.join(work, "ledger"))
     # every (row, attempt) was generated exactly once across both runs
     assert ledger.groupBy("thread_id", "row_idx", "attempt").count().where("count > 1").count() == 0
@@ -168,19 +168,16 @@ def test_o3_reasoning_extra():
     assert not reasoning_block("gpt-4o").endswith(REASONING_O3_EXTRA)
 
 
-def test_chunked_utterance_number_equals_fixture(spark):
-    from threadlens.operators.scan import CHUNK_CONF
+def test_chunked_utterance_number_equals_fixture(spark, monkeypatch):
+    from threadlens.operators import scan
     from threadlens.operators.schema import with_utterance_number
     from threadlens.sources.tables import utterances_table
 
     u = utterances_table(spark, SF_SMALL)
-    spark.conf.set(CHUNK_CONF, "2")
-    try:
-        got = with_utterance_number(u.drop("utt_no")).select("thread_id", "row_idx", "utt_no")
-        assert got.exceptAll(u.select("thread_id", "row_idx", "utt_no")).count() == 0
-        assert got.count() == u.count()
-    finally:
-        spark.conf.unset(CHUNK_CONF)
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 2)
+    got = with_utterance_number(u.drop("utt_no")).select("thread_id", "row_idx", "utt_no")
+    assert got.exceptAll(u.select("thread_id", "row_idx", "utt_no")).count() == 0
+    assert got.count() == u.count()
 
 
 def test_segmented_row_ordinal_equals_plain_window(spark):
@@ -237,3 +234,130 @@ def test_layout_filter_pushed_into_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(layout,threaded)" in plan  # the threaded branch reads only its rows
     assert "Not(EqualTo(layout,threaded))" in plan  # and so does the sequential one
+
+
+def _answers(fail=None, drop=None, log=None):
+    """A generator (pickled by value) that answers every prompt with a valid annotation,
+    but raises for prompts in ``fail`` and answers one row short for batches with ``drop``."""
+    from threadlens.operators.generate import TextGenerator
+
+    class Answers(TextGenerator):
+        def generate(self, batch, system_prompt):
+            prompts = batch["user_prompt"].tolist()
+            for p in prompts:
+                if fail and p in fail:
+                    raise RuntimeError(fail[p])
+            if drop and len(prompts) > 1:
+                prompts = prompts[1:]
+            if log:
+                with open(log, "a") as f:
+                    f.writelines(f"{r.row_idx} {r.attempt} {r.user_prompt}\n" for r in batch.itertuples())
+            said = "[REASON] a reason that is long enough [/REASON][ANNOT]{\"act\":\"Claim\"}[/ANNOT]"
+            return pd.DataFrame({"response": [said] * len(prompts), "error": [None] * len(prompts), "ts": [1.0] * len(prompts)})
+
+    return Answers()
+
+
+def _prompts(spark, n=40):
+    return spark.createDataFrame([("c", 1, i, f"p{i}") for i in range(n)], "corpus string, thread_id long, row_idx long, user_prompt string")
+
+
+@pytest.mark.parametrize("message,outcome", [("blocked by content policy", "flagged"), ("timeout", "api_error")])
+def test_one_failing_row_does_not_fail_its_batch(spark, message, outcome):
+    from threadlens.operators.attempts import classify_attempts
+    from threadlens.operators.generate import generate
+
+    pend = _prompts(spark).coalesce(1).withColumn("attempt", F.lit(0))
+    got = {r.row_idx: r.outcome for r in classify_attempts(generate(pend, _answers(fail={"p17": message}))).collect()}
+    assert got == {i: outcome if i == 17 else "ok" for i in range(40)}
+
+
+def test_short_answer_frame_is_isolated(spark):
+    from threadlens.operators.generate import generate
+
+    got = generate(_prompts(spark, 9).coalesce(1).withColumn("attempt", F.lit(0)), _answers(drop=True)).collect()
+    assert len(got) == 9 and all(r.error is None for r in got)
+
+
+def test_half_written_round_is_completed_without_new_calls(spark, tmp_path):
+    from threadlens.operators.attempts import classify_attempts, read_ledger, run_rounds
+    from threadlens.operators.generate import generate
+
+    prompts, log = _prompts(spark), str(tmp_path / "calls")
+    ledger = str(tmp_path / "attempts")
+    part = prompts.where("row_idx < 10").withColumn("attempt", F.lit(0))
+    classify_attempts(generate(part, _answers())).write.parquet(f"{ledger}/round=0")  # no marker: the job died
+    run_rounds(prompts, _answers(log=log), ledger_dir=ledger)
+    with open(log) as f:
+        assert sorted(int(x.split()[0]) for x in f) == list(range(10, 40))
+    assert read_ledger(spark, ledger).count() == 40
+
+
+def test_crash_within_a_round_loses_one_part(spark, tmp_path, monkeypatch):
+    from threadlens.operators import attempts
+
+    prompts, log, ledger = _prompts(spark), str(tmp_path / "calls"), str(tmp_path / "attempts")
+    real, seen = attempts.classify_attempts, []
+
+    def dies(gen):
+        seen.append(1)
+        if len(seen) == 3:
+            raise KeyboardInterrupt
+        return real(gen)
+
+    monkeypatch.setattr(attempts, "classify_attempts", dies)
+    with pytest.raises(KeyboardInterrupt):
+        attempts.run_rounds(prompts, _answers(log=log), ledger_dir=ledger)
+    monkeypatch.setattr(attempts, "classify_attempts", real)
+    attempts.run_rounds(prompts, _answers(log=log), ledger_dir=ledger)
+    with open(log) as f:
+        assert sorted(int(x.split()[0]) for x in f) == list(range(40))  # every row called once
+
+
+def test_settings_reach_the_generator(spark):
+    from threadlens.operators.generate import TextGenerator, generate
+
+    class Says(TextGenerator):
+        def generate(self, batch, system_prompt):
+            said = [f"{self.settings.backend} {self.settings.max_tokens} {system_prompt}|{p}" for p in batch["user_prompt"]]
+            return pd.DataFrame({"response": said, "error": [None] * len(said), "ts": [0.0] * len(said)})
+
+    pend = _prompts(spark, 1).withColumn("attempt", F.lit(0))
+    say = lambda m: generate(pend, Says(), "sys", model=m).first().response
+    assert say("gpt-4o") == "openai 10240 sys|p0"
+    assert say("meta-llama/Llama-3.1-8B") == "llama 1024 sys|p0"
+    assert say("gemini-2.5-pro") == "gemini 10240 |sys\n\np0"
+    with pytest.raises(ValueError, match="mistral"):
+        generate(pend, Says(), model="mistral")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_text_exports_keep_the_row_order(spark, tmp_path, fmt):
+    from threadlens.sources.exports import read_export_folder
+
+    path = str(tmp_path / fmt)
+    rows = [(i, i, "u", f"m{i}" if i != 5 else None, "c", 7) for i in range(12)]
+    df = spark.createDataFrame(rows, "`order` long, `Msg#` long, `User ID` string, Message string, corpus string, thread_id long")
+    df.orderBy(F.rand(3)).write.option("header", True).format(fmt).save(path)
+    got = read_export_folder(spark, path, fmt, order_col="order").orderBy("row_idx").collect()
+    assert [r.message for r in got] == [f"m{i}" if i != 5 else None for i in range(12)]
+    assert [r.msg_id for r in got] == list(range(12))
+    with pytest.raises(ValueError, match="order column"):
+        read_export_folder(spark, path, fmt, order_col="order", order_type="string")
+    with pytest.raises(Exception, match="not a valid value"):
+        read_export_folder(spark, path, fmt, order_col="User ID").collect()
+
+
+def test_merge_prefers_results_and_later_runs(spark, run):
+    from threadlens.operators.resume import blank_annotations, merge_annotations, resume_merge, todo_rows
+
+    out = run.output()
+    odd = F.col("row_idx") % 2 == 1
+    newer = blank_annotations(out.withColumn("annotation_reasoning", F.lit("a newer reasoning text")), odd)
+    merged = {(r.thread_id, r.row_idx): r.annotation_reasoning for r in merge_annotations(out, newer).collect()}
+    older = {(r.thread_id, r.row_idx): r.annotation_reasoning for r in out.collect()}
+    assert merged == {k: older[k] if k[1] % 2 else "a newer reasoning text" for k in older}
+    prior = blank_annotations(out, odd)
+    again = todo_rows(out, prior).withColumn("annotation_reasoning", F.lit("new"))
+    got = {(r.thread_id, r.row_idx): r.annotation_reasoning for r in resume_merge(prior, again).collect()}
+    assert set(got) == set(older) and {k for k, v in got.items() if v == "new"} >= {k for k in older if k[1] % 2}

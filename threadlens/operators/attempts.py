@@ -1,11 +1,12 @@
 """Retry rounds over an append-only attempts ledger.
 
-Round ``a`` sends every row whose attempt ``a - 1`` did not end (semi-join
-with that round only) to the generator with seed ``93187 + a``, parses the answers and
-writes the round to ``<ledger>/round=<a>`` *before* anything else reads it, so
-the model is called once per (row, attempt) no matter how many actions follow.
-A round that already has a committed folder is reused, which makes a
-restarted run replay the ledger without new calls.
+Round ``a`` sends every row whose attempt ``a - 1`` did not end to the generator with
+seed ``93187 + a``, parses the answers and appends them to ``<ledger>/round=<a>`` in
+``commit_parts`` jobs (by key hash) *before* anything else reads them, so a crash loses
+at most one part's calls.  When no row of a round is missing, a marker is written
+beside the ledger.  A round without its marker is completed: rows it already holds are not
+sent again, whatever the reason it is incomplete.  The rows a round has to send are stored
+too, so a later round reads them and not the whole prompts table.
 
 Terminal attempts: ``ok`` (valid annotation) and ``flagged`` (content-policy
 error).  Everything else (``api_error``, ``reason_short``, ``no_tags``,
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from ..constants import BASE_SEED, DEFAULT_MAX_TRIES, STATUS_FAILED, STATUS_FLAGGED
 from ..functions.text import is_policy_error
-from ..session import scratch_path, table_exists
+from ..session import is_complete, mark_complete, scratch_path, table_exists
 from .context import KEY
-from .generate import MAX_BACKOFF_S, TextGenerator, backoff_seconds, generate
+from .generate import TextGenerator, backoff_seconds, generate
 from .parse import parse_responses
 
 TERMINAL = ["ok", "flagged"]
@@ -44,9 +45,6 @@ def classify_attempts(gen: DataFrame) -> DataFrame:
     return parsed.withColumn("outcome", outcome).withColumn("backoff_s", backoff_seconds(F.col("attempt"))).select(*LEDGER_COLUMNS)
 
 
-_exists = table_exists
-
-
 def read_ledger(spark, ledger_dir: str) -> DataFrame:
     return spark.read.parquet(ledger_dir).select(*LEDGER_COLUMNS)
 
@@ -59,33 +57,46 @@ def run_rounds(
     ledger_dir: str | None = None,
     backoff: bool = False,
     batch_rows: int | None = None,
+    parallelism: int | None = None,
+    model: str | None = None,
+    commit_parts: int = 4,
+    max_wait: float | None = None,
+    state_dir: str | None = None,
 ) -> str:
     """Run attempt rounds for every row of ``prompts`` (key + ``user_prompt``).
 
-    ``prompts`` should already be materialised (a parquet table): it is read
-    once per round.  With ``backoff`` the driver waits 2^attempt s (capped)
-    before retrying a round, as a rate-limited API needs.  Returns the ledger
-    folder.
+    With ``backoff`` the driver waits 2^attempt s (at most ``max_wait`` s where given)
+    before retrying a round, as a rate-limited API needs.  The first round is committed in
+    ``commit_parts`` parts, each later one in half as many.  Markers and pending rows go to
+    ``state_dir`` (default: beside the ledger).  Returns the ledger folder.
     """
     spark = prompts.sparkSession
     ledger_dir = ledger_dir or scratch_path(spark, "attempts")
+    state_dir = state_dir or f"{ledger_dir.rstrip('/')}-state"
+    ended = F.col("outcome").isin(TERMINAL)
     for attempt in range(max_tries):
-        out = f"{ledger_dir}/round={attempt}"
-        if not _exists(spark, out):
-            pending = prompts
+        out, todo_at = f"{ledger_dir}/round={attempt}", f"{state_dir}/pending={attempt}"
+        if not is_complete(spark, f"{state_dir}/round={attempt}"):
+            pending = prompts.select(*KEY, "user_prompt")
             if attempt > 0:
-                # the rows of the previous round that did not end are exactly
-                # this round's pending rows: read that one round, not the ledger
-                prev = spark.read.parquet(f"{ledger_dir}/round={attempt - 1}")
-                again = prev.where(~F.col("outcome").isin(TERMINAL)).select(*KEY)
-                pending = prompts.join(again, KEY, "left_semi")
+                again = spark.read.parquet(f"{ledger_dir}/round={attempt - 1}").where(~ended).select(*KEY)
+                before = spark.read.parquet(f"{state_dir}/pending={attempt - 1}") if attempt > 1 else pending
+                before.join(again, KEY, "left_semi").write.mode("overwrite").parquet(todo_at)
+                pending = spark.read.parquet(todo_at)
+            if table_exists(spark, out):
+                pending = pending.join(spark.read.parquet(out).select(*KEY), KEY, "left_anti")
             if backoff and attempt > 0:
-                time.sleep(min(2 ** (attempt - 1), MAX_BACKOFF_S))
-            batch = pending.select(*KEY, "user_prompt").withColumn("attempt", F.lit(attempt))
-            gen = generate(batch, generator, system_prompt, batch_rows=batch_rows)
-            classify_attempts(gen).write.mode("overwrite").parquet(out)
-        this_round = spark.read.parquet(out)
-        if this_round.where(~F.col("outcome").isin(TERMINAL)).isEmpty():
+                wait = 2 ** (attempt - 1)
+                time.sleep(wait if max_wait is None else min(wait, max_wait))
+            parts = max(1, commit_parts >> attempt)
+            for part in range(parts):
+                rows = pending.where(F.pmod(F.xxhash64(*KEY), F.lit(parts)) == part) if parts > 1 else pending
+                gen = generate(
+                    rows.withColumn("attempt", F.lit(attempt)), generator, system_prompt, parallelism, batch_rows, model
+                )
+                classify_attempts(gen).write.mode("append").parquet(out)
+            mark_complete(spark, f"{state_dir}/round={attempt}")
+        if spark.read.parquet(out).where(~ended).isEmpty():
             break
     return ledger_dir
 
@@ -141,13 +152,18 @@ def annotate(
     system_prompt: str = "",
     max_tries: int = DEFAULT_MAX_TRIES,
     work_dir: str | None = None,
+    **options,
 ) -> tuple[DataFrame, str]:
-    """Materialise the prompts, run the rounds, resolve: ``(resolved, ledger_dir)``."""
+    """Materialise the prompts, run the rounds, resolve: ``(resolved, ledger_dir)``.
+
+    ``options`` go to :func:`run_rounds` (backoff, batch_rows, parallelism, model, ...).
+    """
     spark = prompts.sparkSession
     work_dir = work_dir or scratch_path(spark, "annotate")
-    ppath = os.path.join(work_dir, "prompts")
-    if not _exists(spark, ppath):
-        prompts.select(*KEY, "user_prompt").write.mode("overwrite").parquet(ppath)
-    stored = spark.read.parquet(ppath)
-    ledger_dir = run_rounds(stored, generator, system_prompt, max_tries, os.path.join(work_dir, "attempts"))
+    at, done = os.path.join(work_dir, "prompts"), os.path.join(work_dir, "prompts-state")
+    if not is_complete(spark, done):
+        prompts.select(*KEY, "user_prompt").write.mode("overwrite").parquet(at)
+        mark_complete(spark, done)
+    stored = spark.read.parquet(at)
+    ledger_dir = run_rounds(stored, generator, system_prompt, max_tries, os.path.join(work_dir, "attempts"), **options)
     return resolve_attempts(stored, read_ledger(spark, ledger_dir), max_tries), ledger_dir

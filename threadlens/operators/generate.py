@@ -3,14 +3,16 @@
 A ``TextGenerator`` turns a pandas batch of prompts into responses.  Spark
 hands it Arrow batches through ``mapInPandas``: one generator instance per
 task (one client / connection per task), many prompts per call.  The partition
-function never raises for a row: a failing call becomes an ``error`` value, an
-empty answer becomes the error ``empty output``.
+function never raises for a row: a call that fails, or answers with another number
+of rows, is repeated on both halves of its batch down to single rows, so only the rows
+that fail by themselves get an ``error`` value; an empty answer becomes the error
+``empty output``.
 """
 
 from __future__ import annotations
 
-import math
 import time
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,18 +33,47 @@ GEN_SCHEMA = (
     "response string, error string, ts double"
 )
 EMPTY_OUTPUT = "empty output"
-MAX_BACKOFF_S = 3600
+
+
+@dataclass(frozen=True)
+class Settings:
+    """what a backend is asked for: model and sampling settings."""
+
+    model: str
+    backend: str
+    temperature: float | None
+    top_p: float | None
+    max_tokens: int | None
+    sends_seed: bool
+    flat_prompt: bool
+
+
+def settings_for(model: str) -> Settings:
+    """The backend of a model name and its settings."""
+    routed = [b for prefix, b in BACKEND_PREFIXES if model.startswith(prefix)]
+    if not routed and BACKEND_SUBSTRING[0] in model.lower():
+        routed = [BACKEND_SUBSTRING[1]]
+    if not routed:
+        raise ValueError(f"no backend for model {model!r}")
+    row = next(r for r in BACKEND_PARAMS if r[0] == routed[0])
+    return Settings(model, *row)
 
 
 class TextGenerator:
     """Base class for pluggable generators.  Must be picklable.
 
+    ``settings`` holds the run's model and sampling settings (None when the run
+    names no model).  For backends without chat roles ``user_prompt`` already starts
+    with the system prompt, and ``system_prompt`` is empty.
+
     ``generate`` receives a batch with columns ``corpus, thread_id, row_idx,
     attempt, seed, user_prompt`` (and the run's ``system_prompt`` once) and
     returns a frame of the same length with ``response`` (str or None),
     ``error`` (str or None) and ``ts`` (epoch seconds, float).
     """
 
+    settings: Settings | None = None
+
     def open(self) -> None:  # once per task
         pass
 
@@ -111,8 +142,8 @@ def attempt_seed(attempt: Column) -> Column:
 
 
 def backoff_seconds(attempt: Column) -> Column:
-    """Wait before retrying after ``attempt`` (2^attempt s), capped at one hour."""
-    return F.least(F.pow(F.lit(2.0), attempt.cast("double")), F.lit(float(MAX_BACKOFF_S)))
+    """Wait before retrying after ``attempt`` (2^attempt s)."""
+    return F.pow(F.lit(2.0), attempt.cast("double"))
 
 
 def backend_route(model: Column) -> Column:
@@ -154,12 +185,36 @@ def with_backend(df: DataFrame, model_col: str = "model") -> DataFrame:
 
 
 # -- the mapInPandas boundary -------------------------------------------------------
+def _call(generator: TextGenerator, batch: pd.DataFrame, system_prompt: str) -> list[tuple]:
+    """(response, error, ts) per row; a failing batch is halved until one row fails alone."""
+    n = len(batch)
+    try:
+        out = generator.generate(batch, system_prompt)
+        if len(out) != n:
+            raise ValueError(f"{len(out)} answers to {n} prompts")
+        rows = zip(out["response"].tolist(), out["error"].tolist(), out["ts"].astype(float).tolist(), strict=True)
+        return [_row(*r) for r in rows]
+    except Exception as exc:
+        if n == 1:
+            return [(None, f"{type(exc).__name__}: {exc}", time.time())]
+        halves = batch.iloc[: n // 2].reset_index(drop=True), batch.iloc[n // 2 :].reset_index(drop=True)
+        return [r for half in halves for r in _call(generator, half, system_prompt)]
+
+
+def _row(response, error, ts: float) -> tuple:
+    error = None if pd.isna(error) else str(error)
+    if error is None and (pd.isna(response) or not str(response).strip()):
+        error = EMPTY_OUTPUT
+    return (None if error is not None else str(response)), error, ts
+
+
 def generate(
     pending: DataFrame,
     generator: TextGenerator,
     system_prompt: str = "",
     parallelism: int | None = None,
     batch_rows: int | None = None,
+    model: str | None = None,
 ) -> DataFrame:
     """Call the generator once per pending attempt.
 
@@ -168,57 +223,32 @@ def generate(
     not pass through ``mapInPandas``).  Result columns: ``GEN_COLUMNS``.
 
     ``parallelism`` is the number of concurrent generator tasks (for a remote
-    model: the API concurrency limit).  When given, or when the input has fewer
-    partitions than the cluster's default parallelism, the prompts are spread
-    round-robin over that many tasks.  ``batch_rows`` caps the prompts per
-    generator call (the Arrow batch is split); None passes whole batches.
+    model: the API concurrency limit); None keeps the input's partitioning.
+    ``batch_rows`` bounds the prompts per generator call (the Arrow batch is split);
+    None passes whole batches.  ``model`` selects the settings the generator gets.
     """
+    settings = settings_for(model) if model else None
     src = pending.select(
         "corpus", "thread_id", "row_idx", F.col("attempt").cast("int").alias("attempt"),
         attempt_seed(F.col("attempt")).alias("seed"), "user_prompt",
     )
-    want = parallelism or pending.sparkSession.sparkContext.defaultParallelism
-    if parallelism or src.rdd.getNumPartitions() < want:
-        src = src.repartition(want)
+    if settings and settings.flat_prompt:
+        src = src.withColumn("user_prompt", flat_prompt(F.lit(system_prompt), F.col("user_prompt")))
+        system_prompt = ""
+    if parallelism:
+        src = src.repartition(parallelism)
 
     def run(batches):
-        def calls(batches):
-            for pdf in batches:
-                if not batch_rows or len(pdf) <= batch_rows:
-                    yield pdf
-                else:
-                    for i in range(0, len(pdf), batch_rows):
-                        yield pdf.iloc[i : i + batch_rows].reset_index(drop=True)
-
+        generator.settings = settings
         generator.open()
         try:
-            for pdf in calls(batches):
-                n = len(pdf)
-                try:
-                    out = generator.generate(pdf, system_prompt)
-                    resp = pd.Series(out["response"], dtype=object).reset_index(drop=True)
-                    err = pd.Series(out["error"], dtype=object).reset_index(drop=True)
-                    ts = pd.Series(out["ts"], dtype=float).reset_index(drop=True)
-                except Exception as exc:  # the whole call failed: every row retries
-                    resp = pd.Series([None] * n, dtype=object)
-                    err = pd.Series([f"{type(exc).__name__}: {exc}"] * n, dtype=object)
-                    ts = pd.Series([time.time()] * n, dtype=float)
-                blank = resp.map(lambda x: x is None or (isinstance(x, float) and math.isnan(x)) or str(x).strip() == "")
-                no_err = err.isna()
-                err = err.where(~(blank & no_err), EMPTY_OUTPUT)
-                resp = resp.where(err.isna(), None)
-                yield pd.DataFrame(
-                    {
-                        "corpus": pdf["corpus"].to_numpy(),
-                        "thread_id": pdf["thread_id"].to_numpy(),
-                        "row_idx": pdf["row_idx"].to_numpy(),
-                        "attempt": pdf["attempt"].to_numpy(),
-                        "seed": pdf["seed"].to_numpy(),
-                        "response": resp.to_numpy(),
-                        "error": err.to_numpy(),
-                        "ts": ts.to_numpy(),
-                    }
-                )
+            for whole in batches:
+                size = batch_rows or max(1, len(whole))
+                for i in range(0, len(whole), size):
+                    pdf = whole.iloc[i : i + size].reset_index(drop=True)
+                    got = pd.DataFrame(_call(generator, pdf, system_prompt), columns=["response", "error", "ts"], dtype=object)
+                    keys = pdf[["corpus", "thread_id", "row_idx", "attempt", "seed"]]
+                    yield pd.concat([keys, got.astype({"ts": float})], axis=1)
         finally:
             generator.close()
 

@@ -20,7 +20,6 @@ from ..constants import (
 )
 from ..functions.text import py_strip
 from .context import KEY, local_context
-from .scan import with_chunk_plan
 from .schema import THREAD, is_thread_starter
 
 DEFAULT_SYSTEM_PROMPT = os.path.join(os.path.dirname(os.path.dirname(__file__)), "assets", "system_prompt.md")
@@ -107,7 +106,6 @@ def reasoning_block(model: str) -> str:
     return REASONING_BLOCK + (REASONING_O3_EXTRA if tag == "o3" else "")
 
 
-@with_chunk_plan
 def user_prompts(
     utt: DataFrame,
     model: str = DEFAULT_MODEL,

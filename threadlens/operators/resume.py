@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import OUTPUT_COLUMNS, STATUS_FAILED, STATUS_FLAGGED
@@ -55,22 +55,27 @@ def todo_rows(utt: DataFrame, prior: DataFrame, retry_failed: bool = False) -> D
 
 def merge_annotations(*outputs: DataFrame) -> DataFrame:
     """U2+U3: union of several runs' rows (oldest first); per key the last run
-    with a completed (or status) row wins, otherwise the newest row."""
+    with a completed (or status) row wins, otherwise the newest row.
+
+    An aggregate, not a window: of a key's rows only the winner so far is kept, before
+    the shuffle as well.
+    """
     tagged = [o.withColumn("_run", F.lit(i)) for i, o in enumerate(outputs)]
     u = tagged[0]
     for t in tagged[1:]:
         u = u.unionByName(t, allowMissingColumns=True)
-    u = u.withColumn("_has", (completion_status(u) != "todo").cast("int"))
-    # per key: prefer rows that hold a result, then the latest run; a key has
-    # only a handful of rows, so this window never holds a large group
-    w = Window.partitionBy(*KEY).orderBy(F.col("_has").desc(), F.col("_run").desc())
-    return u.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_run", "_has")
+    has = (completion_status(u) != "todo").cast("int")
+    rest = [c for c in u.columns if c not in (*KEY, "_run")]
+    best = u.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.struct(has.alias("h"), F.col("_run"))).alias("_w"))
+    return best.select(*[F.col(c) if c in KEY else F.col(f"_w.`{c}`").alias(c) for c in u.columns if c != "_run"])
 
 
 def resume_merge(prior: DataFrame, new: DataFrame) -> DataFrame:
-    """Previous output rows that were complete, plus the new run's rows."""
-    keep = prior.join(classify_prior(prior).where(F.col("prior_status") != "todo").select(*KEY), KEY, "left_semi")
-    return merge_annotations(keep, new)
+    """Previous output rows that were complete, plus the new run's rows.
+
+    The new run annotated the todo rows only, so the two share no key.
+    """
+    return prior.where(completion_status(prior) != "todo").unionByName(new, allowMissingColumns=True)
 
 
 def blank_annotations(out: DataFrame, blank_if: Column) -> DataFrame:

@@ -15,70 +15,23 @@ hold a large share of all rows.  Here each group is cut into chunks of
    already partitioned by.
 
 Groups shorter than a chunk (the common case) have one summary row and no
-carry.  ``C`` comes from the session conf ``threadlens.scan.chunkRows``.
+carry; the plan has the same shape for any input, and AQE drops the empty carry join
+at run time.  ``C`` is an argument.
 """
 
 from __future__ import annotations
 
-import functools
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_CONF = "threadlens.scan.chunkRows"
-_DECIDED_CONF = "threadlens.scan.decided"
-DEFAULT_CHUNK_ROWS = 1 << 20
+# rows of a group that one task scans; small enough that a running list of them is too
+CHUNK_ROWS = 1 << 14
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
 
 
-def chunk_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK_ROWS)))
-
-
-@contextmanager
-def chunking_for(df: DataFrame):
-    """Plan the scans over ``df`` with chunk carries only when they can matter.
-
-    One small aggregate (``max(row_idx)``, a single column with map-side
-    partial maxima) tells whether any thread reaches the chunk size.  When
-    none does, every group fits in one chunk, the carry stages would be empty,
-    and the plans built inside this block use plain windows instead.  Nested
-    blocks reuse the outer decision.
-    """
-    spark = df.sparkSession
-    c = chunk_rows(df)
-    if c <= 0 or spark.conf.get(_DECIDED_CONF, "false") == "true":
-        yield
-        return
-    top = df.agg(F.max("row_idx")).first()[0]
-    previous = spark.conf.get(CHUNK_CONF, None)
-    spark.conf.set(_DECIDED_CONF, "true")
-    if top is None or top < c:
-        spark.conf.set(CHUNK_CONF, "0")
-    try:
-        yield
-    finally:
-        spark.conf.unset(_DECIDED_CONF)
-        if previous is None:
-            spark.conf.unset(CHUNK_CONF)
-        else:
-            spark.conf.set(CHUNK_CONF, previous)
-
-
-def with_chunk_plan(fn):
-    """Decorator: build ``fn(df, ...)``'s plan inside :func:`chunking_for(df)`."""
-
-    @functools.wraps(fn)
-    def wrapper(df, *args, **kwargs):
-        with chunking_for(df):
-            return fn(df, *args, **kwargs)
-
-    return wrapper
-
-
 @dataclass(frozen=True)
 class Op:
     """``kind``: ``last`` (running last non-null, current row included),
@@ -93,14 +46,10 @@ class Op:
     reverse: bool = False
 
 
-def chunked(df: DataFrame, group: list[str]) -> DataFrame:
-    """Add ``_chunk`` and hash-partition on ``(group, _chunk)``.
-
-    ``chunkRows = 0`` turns chunking off (one chunk per group: plain windows,
-    no summary stage) for inputs whose groups are known to be small.
-    """
-    c = chunk_rows(df)
-    chunk = F.floor(F.col("row_idx") / F.lit(c)).cast("long") if c > 0 else F.lit(0).cast("long")
+def chunked(df: DataFrame, group: list[str], chunk_rows: int | None = None) -> DataFrame:
+    """Add ``_chunk`` (``chunk_rows`` rows of the thread each) and hash-partition on
+    ``(group, _chunk)``."""
+    chunk = F.floor(F.col("row_idx") / F.lit(chunk_rows or CHUNK_ROWS)).cast("long")
     return df.withColumn("_chunk", chunk).repartition(*group, "_chunk")
 
 
@@ -146,8 +95,6 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
     cols = {f"_l_{o}": c for o, c in local.items()}
     cols.update({f"_f_{o}": c for o, c in firsts.items()})
     d = df.withColumns(cols)
-    if chunk_rows(df) <= 0:
-        return d.withColumns({op.out: F.col(f"_l_{op.out}") for op in ops}).drop(*cols.keys())
 
     summ = df.groupBy(*group, "_chunk").agg(*summary)
     carries = []

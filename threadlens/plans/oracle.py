@@ -7,7 +7,7 @@ plan rather than mirroring it.  Fragments are CTE bodies composed per query.
 
 from __future__ import annotations
 
-from ..constants import ALLOWED_ACTS
+from ..constants import ALLOWED_ACTS, DEFAULT_MAX_TRIES
 
 # -- fixture view --------------------------------------------------------------
 UTTERANCES = r"""
@@ -162,14 +162,14 @@ context_threaded AS (
 """
 
 
-# -- F1: stub generator over every row x attempts 0..2 (FIXTURES.md §3) -------------
+# -- F1: stub generator over every row and attempt (FIXTURES.md §3) -------------
 ACTS_SQL = ", ".join(f"'{a}'" for a in ALLOWED_ACTS)
 _ACT_CASE = " ".join(
     f"WHEN {i} THEN '{a}'" for i, a in enumerate(ALLOWED_ACTS)
 )
 STUB = f"""
 att AS (SELECT u.corpus, u.thread_id, u.row_idx, CAST(a.attempt AS INTEGER) AS attempt
-        FROM utterances u CROSS JOIN (SELECT unnest([0, 1, 2]) AS attempt) a),
+        FROM utterances u CROSS JOIN (SELECT unnest(range({DEFAULT_MAX_TRIES})) AS attempt) a),
 k AS (SELECT *, (thread_id * 31 + row_idx * 7 + attempt * (CASE WHEN row_idx % 11 = 5 THEN 0 ELSE 13 END)) % 23 AS k FROM att),
 stub AS (
  SELECT corpus, thread_id, row_idx, attempt, CAST(93187 + attempt AS BIGINT) AS seed,
@@ -239,12 +239,11 @@ parsed AS (
        ELSE 'ok' END AS outcome,
   act_v, pol_v, {_tag_list('meta_raw', ['non-bona fide', 'reported'])} AS meta_v, {_tag_list('nbf_raw', ['True', 'False'])} AS nbf_v
  FROM p3),
-ledger AS (
- SELECT p.* FROM parsed p
- WHERE NOT EXISTS (SELECT 1 FROM parsed q WHERE q.corpus = p.corpus AND q.thread_id = p.thread_id AND q.row_idx = p.row_idx
-                   AND q.attempt < p.attempt AND q.outcome IN ('ok', 'flagged'))),
 first_terminal AS (
  SELECT corpus, thread_id, row_idx, min(attempt) AS attempt FROM parsed WHERE outcome IN ('ok', 'flagged') GROUP BY ALL),
+ledger AS (
+ SELECT p.* FROM parsed p LEFT JOIN first_terminal f ON f.corpus = p.corpus AND f.thread_id = p.thread_id AND f.row_idx = p.row_idx
+ WHERE p.attempt <= coalesce(f.attempt, {DEFAULT_MAX_TRIES})),
 resolved AS (
  SELECT u.corpus, u.thread_id, u.row_idx,
   CASE WHEN w.outcome IS NULL THEN 'failed' WHEN w.outcome = 'ok' THEN 'ok' ELSE 'flagged' END AS status,

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import BACKGROUND_SEQUENTIAL, BACKGROUND_THREADED
+from ..constants import BACKGROUND_SEQUENTIAL, BACKGROUND_THREADED, DEFAULT_MAX_TRIES
 from ..constants import ALLOWED_META, ALLOWED_NON_BONA_FIDE, ANNOT_CLOSE, ANNOT_OPEN, REASON_CLOSE, REASON_OPEN
-from ..functions.json import prompt_json
+from ..functions.json import first_text_part, prompt_json
 from ..functions.text import between_tags, clean_tag_list, is_policy_error, py_strip
 from ..operators import context as C
 from ..operators import messages as M
@@ -25,7 +25,7 @@ from ..operators.parse import parse_responses, politeness_code, politeness_ok
 from ..operators.prompts import global_context, starter_texts, system_prompt_text, user_prompts
 from ..operators.resume import classify_prior, merge_annotations, read_annotations, resume_merge, todo_rows
 from ..operators.summary import debug_sample, run_summary
-from ..operators.generate import StubGenerator, generate
+from ..operators.generate import StubGenerator, generate, with_backend
 from ..session import scratch_path
 from ..sources.exports import read_exports, write_exports
 from ..sources.tables import table, utterances_table
@@ -54,14 +54,14 @@ def _utt(spark, sf_dir):
     return utterances_table(spark, sf_dir)
 
 
-def _stub_attempts(spark, sf_dir, attempts=(0, 1, 2)) -> DataFrame:
-    """Stub generator output for every row and the given attempts (no rounds)."""
-    u = _utt(spark, sf_dir).select(*KEY)
-    pend = u.withColumn("attempt", F.explode(F.array(*[F.lit(a) for a in attempts])))
-    return generate(pend.withColumn("user_prompt", F.lit("")), StubGenerator())
+def _stub_attempts(spark, sf_dir, tries: int = DEFAULT_MAX_TRIES) -> DataFrame:
+    """Stub generator output for every row's stored prompt and attempts 0 .. tries - 1 (no rounds)."""
+    prompts = stub_run(spark, sf_dir).prompts
+    return generate(prompts.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))), StubGenerator())
 
 
 W = O.with_ctes
+_TEXT_COLUMNS = ["annotation_act", "annotation_politeness", "annotation_meta", "annotation_NBF", "annotation_reasoning"]
 
 # =============================================================================
 # S: sources and sinks
@@ -83,14 +83,17 @@ def q_read_utterances(spark, sf_dir):
 @query(
     "read_annotations",
     W(O.STUB, O.PARSED)
-    + "SELECT corpus, thread_id, row_idx, CASE WHEN (thread_id + row_idx) % 4 = 0 THEN '' ELSE annotation_act END AS annotation_act "
-    "FROM resolved",
+    + "SELECT corpus, thread_id, row_idx, "
+    + ", ".join(f"CASE WHEN (thread_id + row_idx) % 4 = 0 THEN '' ELSE {c} END AS {c}" for c in _TEXT_COLUMNS)
+    + ", CASE WHEN (thread_id + row_idx) % 4 <> 0 THEN coalesce(response, '') ELSE '' END AS raw_response"
+    + ", CASE WHEN (thread_id + row_idx) % 4 <> 0 THEN annotation_seed END AS annotation_seed"
+    + ", CASE WHEN (thread_id + row_idx) % 4 <> 0 THEN ts END AS annotation_timestamp FROM resolved",
 )
 def q_read_annotations(spark, sf_dir):
     """Write a previous output (prior-run fixture) and read it back."""
     path = scratch_path(spark, "prior")
     prior_output(stub_run(spark, sf_dir)).write.mode("overwrite").parquet(path)
-    return read_annotations(spark, path).select(*KEY, "annotation_act")
+    return read_annotations(spark, path).select(*KEY, *_TEXT_COLUMNS, "raw_response", "annotation_seed", "annotation_timestamp")
 
 
 @query(
@@ -110,19 +113,21 @@ def q_prompt_assets(spark, sf_dir):
 
 @query(
     "write_annotations",
-    W(O.STUB, O.PARSED) + "SELECT corpus, CAST(count(*) AS BIGINT) AS n_rows, "
-    "CAST(count_if(annotation_act NOT IN ('__FAILED__', '__FLAGGED__')) AS BIGINT) AS n_annotated FROM resolved GROUP BY corpus",
+    W(O.STUB, O.PARSED)
+    + "SELECT corpus, thread_id, row_idx, " + ", ".join(_TEXT_COLUMNS) + ", coalesce(response, '') AS raw_response, "
+    "annotation_seed, f AS format FROM resolved CROSS JOIN (SELECT unnest(['csv', 'parquet']) AS f)",
 )
 def q_write_annotations(spark, sf_dir):
-    """Write the output table partitioned by corpus (and a CSV export), read it back."""
+    """Write the output table partitioned by corpus and a CSV export, read both back."""
     run = stub_run(spark, sf_dir)
     path = scratch_path(spark, "output")
     write_annotations(run.output(), path, csv_path=path + "-csv")
-    back = spark.read.parquet(path)
-    return back.groupBy("corpus").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(~F.col("annotation_act").isin("__FAILED__", "__FLAGGED__")).alias("n_annotated"),
-    )
+    cols = [*KEY, *_TEXT_COLUMNS, "raw_response", "annotation_seed"]
+    table = spark.read.parquet(path)
+    text = read_annotations(spark, path + "-csv", "csv").select(*cols)
+    typed = text.select(*[F.col(c).cast(t).alias(c) for c, t in table.select(*cols).dtypes])
+    both = table.select(*cols, F.lit("parquet").alias("format")).unionByName(typed.withColumn("format", F.lit("csv")))
+    return both.select("*")
 
 
 # =============================================================================
@@ -338,6 +343,17 @@ def q_reply_parent(spark, sf_dir):
 
 
 _OUT_TEXT = "annotation_act, annotation_politeness, annotation_meta, annotation_NBF, annotation_reasoning"
+# rows kept from the earlier run say so in their reasoning; the new run's rows do not
+_MERGED_TEXT = _OUT_TEXT.replace(
+    "annotation_reasoning",
+    "CASE WHEN (thread_id + row_idx) % 4 <> 0 AND annotation_reasoning <> '' THEN concat('prior: ', annotation_reasoning) "
+    "ELSE annotation_reasoning END AS annotation_reasoning",
+)
+
+
+def _told_apart(prior: DataFrame) -> DataFrame:
+    said = F.col("annotation_reasoning")
+    return prior.withColumn("annotation_reasoning", F.when(said != "", F.concat(F.lit("prior: "), said)).otherwise(said))
 
 
 @query(
@@ -480,21 +496,18 @@ def q_debug_sample(spark, sf_dir):
 # =============================================================================
 # U: set operations
 # =============================================================================
-@query(
-    "merged_annotations",
-    W(O.STUB, O.PARSED) + f"SELECT corpus, thread_id, row_idx, {_OUT_TEXT}, annotation_seed FROM resolved",
-)
+@query("merged_annotations", W(O.STUB, O.PARSED) + f"SELECT corpus, thread_id, row_idx, {_MERGED_TEXT}, annotation_seed FROM resolved")
 def q_merged_annotations(spark, sf_dir):
     """Previous output + a re-run of its todo rows, last result wins."""
     run = stub_run(spark, sf_dir)
-    prior = prior_output(run)
+    prior = _told_apart(prior_output(run))
     todo = todo_rows(run.utt, prior).select(*KEY)
     new = run.output().join(todo, KEY, "left_semi")
     return merge_annotations(prior, new).select(*KEY, *_OUT_TEXT.split(", "), "annotation_seed")
 
 
 # =============================================================================
-# X: scalar functions (on the stub responses of attempts 0-2)
+# X: scalar functions (on the stub responses)
 # =============================================================================
 @query("clean_text", W() + f"SELECT corpus, thread_id, row_idx, {O.strip('message')} AS clean FROM utterances")
 def q_clean_text(spark, sf_dir):
@@ -625,7 +638,7 @@ def q_prompt_json(spark, sf_dir):
 @query(
     "attempt_schedule",
     W(O.STUB, O.PARSED)
-    + "SELECT corpus, thread_id, row_idx, attempt, seed, outcome, CAST(least(pow(2, attempt), 3600) AS DOUBLE) AS backoff_s FROM ledger",
+    + "SELECT corpus, thread_id, row_idx, attempt, seed, outcome, CAST(pow(2, attempt) AS DOUBLE) AS backoff_s FROM ledger",
 )
 def q_attempt_schedule(spark, sf_dir):
     """X16 + ledger: every attempt actually made, with its seed and backoff."""
@@ -641,7 +654,49 @@ def q_attempt_schedule(spark, sf_dir):
 )
 def q_generate_stub(spark, sf_dir):
     """one stub generation per row (attempt 0) through mapInPandas."""
-    return _stub_attempts(spark, sf_dir, (0,)).select(*_ATT, "seed", "response", "error")
+    return _stub_attempts(spark, sf_dir, 1).select(*_ATT, "seed", "response", "error")
+
+
+_MODELS = ["gpt-4o-2024-08-06", "o3-2025-04-16", "claude-sonnet-4", "gemini-2.5-pro", "meta-llama/Llama-3.1-8B"]
+_MODEL_SQL = f"CASE thread_id % {len(_MODELS)} " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MODELS)) + " END"
+
+
+@query(
+    "backend_params",
+    W()
+    + f""", routed AS (SELECT corpus, thread_id, row_idx, {_MODEL_SQL} AS model FROM utterances),
+b AS (SELECT *, CASE WHEN model LIKE 'gpt-%' OR model LIKE 'o3-%' THEN 'openai' WHEN model LIKE 'claude-%' THEN 'anthropic'
+  WHEN model LIKE 'gemini-%' THEN 'gemini' WHEN lower(model) LIKE '%llama%' THEN 'llama' END AS backend FROM routed)
+SELECT corpus, thread_id, row_idx, model, backend,
+  CAST(CASE backend WHEN 'openai' THEN 0.6 WHEN 'llama' THEN 0.6 WHEN 'anthropic' THEN 0 WHEN 'gemini' THEN 0 END AS DOUBLE) AS temperature,
+  CAST(CASE backend WHEN 'openai' THEN 0.9 WHEN 'llama' THEN 0.9 WHEN 'anthropic' THEN 1 WHEN 'gemini' THEN 1 END AS DOUBLE) AS top_p,
+  CAST(CASE WHEN backend = 'llama' THEN 1024 WHEN backend IS NOT NULL THEN 10240 END AS INTEGER) AS max_tokens,
+  CASE WHEN backend IS NOT NULL THEN backend IN ('openai', 'llama') END AS sends_seed,
+  CASE WHEN backend IS NOT NULL THEN backend = 'gemini' END AS flat_prompt FROM b""",
+)
+def q_backend_params(spark, sf_dir):
+    """Every utterance's thread routed to a model's backend, with its settings."""
+    u = _utt(spark, sf_dir).select(*KEY)
+    models = F.array(*map(F.lit, _MODELS))
+    routed = with_backend(u.withColumn("model", F.get(models, (F.col("thread_id") % len(_MODELS)).cast("int"))))
+    return routed.select(*KEY, "model", "backend", "temperature", "top_p", "max_tokens", "sends_seed", "flat_prompt")
+
+
+@query(
+    "first_text_part",
+    W(O.STUB)
+    + f"SELECT corpus, thread_id, row_idx, attempt, CASE WHEN row_idx % 3 = 2 THEN '' ELSE {O.strip('coalesce(response, chr(32))')} END AS answer "
+    "FROM stub WHERE attempt = 0",
+)
+def q_first_text_part(spark, sf_dir):
+    """The first text part of nested answers (an empty part first, the text in the
+    first or second candidate, or no candidate at all)."""
+    part = lambda *t: F.struct(F.struct(F.array(*[F.struct(x.alias("text")) for x in t]).alias("parts")).alias("content"))
+    empty, text = F.lit(""), F.col("response")
+    kind = F.col("row_idx") % 3
+    nested = F.when(kind == 0, F.array(part(empty, text))).when(kind == 1, F.array(part(empty, empty), part(text, text)))
+    nested = F.coalesce(nested, F.array().cast("array<struct<content:struct<parts:array<struct<text:string>>>>>"))
+    return _stub_attempts(spark, sf_dir, 1).select(*_ATT, first_text_part(nested).alias("answer"))
 
 
 # =============================================================================
@@ -691,7 +746,7 @@ def q_prompts(spark, sf_dir):
     "CASE WHEN outcome = 'ok' THEN nbf_v END AS nbf, reasoning FROM parsed WHERE response IS NOT NULL",
 )
 def q_parse_responses(spark, sf_dir):
-    """Parse and validate every stub response of attempts 0-2."""
+    """Parse and validate every stub response."""
     g = _stub_attempts(spark, sf_dir).where(F.col("response").isNotNull())
     return parse_responses(g).select(*_ATT, "outcome", "act", "politeness", "meta", "nbf", "reasoning")
 
@@ -703,23 +758,23 @@ _RESOLVED_COLS = (
 
 
 _RESOLVED_SQL = _RESOLVED_COLS.replace(
-    "n_attempts", "CAST(coalesce(decided_attempt + 1, 3) AS BIGINT) AS n_attempts"
+    "n_attempts", f"CAST(coalesce(decided_attempt + 1, {DEFAULT_MAX_TRIES}) AS BIGINT) AS n_attempts"
 )
 
 
 @query("annotate", W(O.STUB, O.PARSED) + f"SELECT {_RESOLVED_SQL} FROM resolved")
 def q_annotate(spark, sf_dir):
-    """Retry rounds (3 attempts) with the stub generator, resolved per row."""
+    """Retry rounds with the stub generator, resolved per row."""
     return stub_run(spark, sf_dir).resolved.select(*_RESOLVED_COLS.split(", "))
 
 
 @query("resolve_attempts", W(O.STUB, O.PARSED) + f"SELECT {_RESOLVED_SQL} FROM resolved")
 def q_resolve_attempts(spark, sf_dir):
-    """Resolution of a ledger holding all three attempts of every row."""
+    """Resolution of a ledger holding every attempt of every row."""
     from ..operators.attempts import classify_attempts
 
     ledger = classify_attempts(_stub_attempts(spark, sf_dir))
-    return resolve_attempts(_utt(spark, sf_dir), ledger, 3).select(*_RESOLVED_COLS.split(", "))
+    return resolve_attempts(_utt(spark, sf_dir), ledger).select(*_RESOLVED_COLS.split(", "))
 
 
 @query(
@@ -738,17 +793,17 @@ def q_annotated_output(spark, sf_dir):
 
 @query(
     "resume_merge",
-    W(O.STUB, O.PARSED) + f"SELECT corpus, thread_id, row_idx, {_OUT_TEXT}, annotation_seed FROM resolved",
+    W(O.STUB, O.PARSED) + f"SELECT corpus, thread_id, row_idx, {_MERGED_TEXT}, annotation_seed FROM resolved",
 )
 def q_resume_merge(spark, sf_dir):
     """Resume from a previous output: annotate only its todo rows, merge."""
     from ..operators.attempts import annotate as run_annotate
 
     run = stub_run(spark, sf_dir)
-    prior = prior_output(run)
+    prior = _told_apart(prior_output(run))
     todo = todo_rows(run.utt, prior)
     prompts = run.prompts.join(todo.select(*KEY), KEY, "left_semi")
-    resolved, _ = run_annotate(prompts, StubGenerator(), run.system_prompt, 3, scratch_path(spark, "resume"))
+    resolved, _ = run_annotate(prompts, StubGenerator(), run.system_prompt, work_dir=scratch_path(spark, "resume"))
     new = annotated_output(todo, resolved, run.prompts, run.system_prompt)
     return resume_merge(prior, new).select(*KEY, *_OUT_TEXT.split(", "), "annotation_seed")
 
@@ -756,7 +811,7 @@ def q_resume_merge(spark, sf_dir):
 # =============================================================================
 # ST: streaming
 # =============================================================================
-@query("annotate_stream")
+@query("annotate_stream", W(O.STUB, O.PARSED) + f"SELECT {_RESOLVED_SQL} FROM resolved")
 def q_annotate_stream(spark, sf_dir):
     """ST1: incremental annotation of materialised prompts (availableNow trigger)."""
     from ..streaming.annotate_stream import annotate_stream
@@ -764,5 +819,5 @@ def q_annotate_stream(spark, sf_dir):
     run = stub_run(spark, sf_dir)
     work = scratch_path(spark, "stream")
     return annotate_stream(
-        spark, f"{run.work_dir}/prompts", StubGenerator(), run.system_prompt, work, max_tries=3, files_per_trigger=4
-    )
+        spark, f"{run.work_dir}/prompts", StubGenerator(), run.system_prompt, work, files_per_trigger=4
+    ).select(*_RESOLVED_COLS.split(", "))

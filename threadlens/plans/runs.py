@@ -12,17 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.attempts import _exists, annotate, read_ledger
+from ..constants import DEFAULT_MAX_TRIES
+from ..operators.attempts import annotate, read_ledger
 from ..operators.generate import StubGenerator
 from ..operators.output import annotated_output
 from ..operators.prompts import DEFAULT_MODEL, system_prompt_text, user_prompts
 from ..operators.resume import blank_annotations
-from ..session import scratch_path
+from ..session import is_complete, scratch_path
 from ..sources.tables import utterances_table
 
-QUERY_TRIES = 3
-
-
 @dataclass
 class Run:
     utt: DataFrame
@@ -39,13 +37,13 @@ class Run:
 _RUNS: dict[tuple, str] = {}
 
 
-def stub_run(spark: SparkSession, sf_dir: str, tries: int = QUERY_TRIES, model: str = DEFAULT_MODEL) -> Run:
+def stub_run(spark: SparkSession, sf_dir: str, tries: int = DEFAULT_MAX_TRIES, model: str = DEFAULT_MODEL) -> Run:
     """Annotate every utterance of ``sf_dir`` with the stub generator."""
     utt = utterances_table(spark, sf_dir)
     system = system_prompt_text(spark)
     key = (id(spark), sf_dir, tries, model)
     work = _RUNS.get(key)
-    if work is None or not _exists(spark, f"{work}/prompts"):
+    if work is None or not is_complete(spark, f"{work}/prompts-state"):
         work = scratch_path(spark, "stub-run")
         _RUNS[key] = work
     resolved, ledger_dir = annotate(user_prompts(utt, model), StubGenerator(), system, tries, work)

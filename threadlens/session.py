@@ -85,8 +85,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` (a shared filesystem every
-    executor sees).  Only when the session has none (local tests) do we create
-    one under the system temp folder.
+    executor sees), and it must be set.  Only a local master (tests), where all tasks
+    share one machine, may fall back to a folder under the system's temp folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -97,6 +97,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     )
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
+    elif not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="threadlens-ckpt-"))
     return sc.getCheckpointDir()
@@ -108,8 +110,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_COUNTER)}")
 
 
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Leave a marker at ``path``: what it stands for is written in full."""
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether :func:`mark_complete` was called for ``path``."""
+    return table_exists(spark, path) and not spark.read.parquet(path).isEmpty()
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a committed Parquet table is at ``path`` (a failed write leaves none)."""
+    """Whether any readable Parquet file is at ``path`` (it may be part of a table)."""
     from pyspark.errors import AnalysisException
 
     try:

@@ -6,7 +6,8 @@ ones do not (``Msg#, Utterance #, User ID, Message[, Reply to_ID]``).  Threads
 are the ``corpus=<c>/thread_id=<t>`` sub-folders; the row order is the order
 of the rows in the files, taken from Parquet's ``_metadata`` (file, row index)
 — never from ``monotonically_increasing_id``.  CSV/JSON exports carry no row
-index, so they must name an explicit order column.
+index, so they must name an explicit order column and its (numeric or time) type;
+text sorts ``m10`` before ``m2`` and is refused.
 """
 
 from __future__ import annotations
@@ -50,8 +51,17 @@ def write_exports(utt: DataFrame, path: str) -> None:
         )
 
 
-def read_export_folder(spark: SparkSession, path: str, fmt: str = "parquet", order_col: str | None = None) -> DataFrame:
-    """One export folder -> canonical utterances (layout from the columns)."""
+ORDER_TYPES = ("int", "bigint", "double", "date", "timestamp")
+
+
+def read_export_folder(
+    spark: SparkSession, path: str, fmt: str = "parquet", order_col: str | None = None, order_type: str = "bigint"
+) -> DataFrame:
+    """One export folder -> canonical utterances (layout from the columns).
+
+    CSV and JSON: rows are ordered by ``order_col`` read as ``order_type``; a value that is
+    not of that type fails the job.  Empty CSV cells are nulls.
+    """
     segment = None
     if fmt == "parquet":
         raw = spark.read.parquet(path)
@@ -60,9 +70,18 @@ def read_export_folder(spark: SparkSession, path: str, fmt: str = "parquet", ord
     else:
         if not order_col:
             raise ValueError(f"{fmt} exports need an explicit order column")
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        raw = reader.csv(path) if fmt == "csv" else spark.read.json(path)
-        order = [F.col(order_col)]
+        if order_type not in ORDER_TYPES:
+            raise ValueError(f"order column as {order_type!r}: it must be one of {', '.join(ORDER_TYPES)}")
+        # every column as text: types must not depend on which rows inference sees
+        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "")
+        raw = reader.csv(path) if fmt == "csv" else spark.read.option("primitivesAsString", True).json(path)
+        value = F.col(order_col).cast("string")
+        typed = F.expr(f"try_cast(`{order_col}` AS {order_type})")
+        wrong = F.concat(F.lit("order column: not a valid value: "), F.coalesce(value, F.lit("null")))
+        order = [F.when(typed.isNull(), F.raise_error(wrong).cast(order_type)).otherwise(typed)]
+        for c in ("Msg#", "Utterance #"):
+            if c in raw.columns:
+                raw = raw.withColumn(c, F.col(f"`{c}`").cast("bigint"))
     raw = raw.withColumn("thread_id", F.col("thread_id").cast("long"))
     with_order = raw.select("*", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
     ordered = row_ordinal(with_order, ["corpus", "thread_id"], [f"_o{i}" for i in range(len(order))], segment)

@@ -3,7 +3,7 @@
 Context needs *later* rows of a thread, so it stays a batch step that writes
 the prompts table.  The stream then picks up prompt files as they arrive
 (``maxFilesPerTrigger`` bounds a micro-batch), runs the attempt rounds for the
-micro-batch and commits them to a ledger folder of that batch.  The stream is
+micro-batch and commits them to a ledger folder of that run and batch.  The stream is
 stateless; its checkpoint records which files were done, so a restart
 processes only new files, and a re-run micro-batch (same ``batch_id``) reuses
 the rounds it already committed instead of calling the model again.
@@ -32,16 +32,24 @@ def start_annotate_stream(
     max_tries: int = DEFAULT_MAX_TRIES,
     files_per_trigger: int = 1,
     available_now: bool = True,
+    run_id: str = "0",
+    **options,
 ):
-    """Start the stream; returns the ``StreamingQuery``."""
-    ledger_root = os.path.join(work_dir, "ledger")
+    """Start the stream; returns the ``StreamingQuery``.
+
+    ``run_id`` names the ledger's share of this checkpoint: a stream that starts with a
+    new checkpoint over an old work folder must have a new one.  ``options`` go to
+    :func:`run_rounds`.
+    """
+    mine = f"run={run_id}"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*KEY, "user_prompt")
-        run_rounds(batch, generator, system_prompt, max_tries, os.path.join(ledger_root, f"batch={batch_id}"))
+        ledger, state = (os.path.join(work_dir, x, mine, f"batch={batch_id}") for x in ("ledger", "state"))
+        run_rounds(batch, generator, system_prompt, max_tries, ledger, state_dir=state, **options)
 
     stream = spark.readStream.schema(PROMPT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(prompts_path)
-    writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", os.path.join(work_dir, "checkpoint"))
+    writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", os.path.join(work_dir, "checkpoint", mine))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
@@ -54,11 +62,13 @@ def annotate_stream(
     work_dir: str,
     max_tries: int = DEFAULT_MAX_TRIES,
     files_per_trigger: int = 1,
+    run_id: str = "0",
+    **options,
 ) -> DataFrame:
     """Run the stream until every available prompt file is done, then resolve."""
-    q = start_annotate_stream(spark, prompts_path, generator, system_prompt, work_dir, max_tries, files_per_trigger)
+    q = start_annotate_stream(spark, prompts_path, generator, system_prompt, work_dir, max_tries, files_per_trigger, run_id=run_id, **options)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     prompts = spark.read.schema(PROMPT_SCHEMA).parquet(prompts_path)
-    return resolve_attempts(prompts, read_ledger(spark, os.path.join(work_dir, "ledger")), max_tries)
+    return resolve_attempts(prompts, read_ledger(spark, os.path.join(work_dir, "ledger", f"run={run_id}")), max_tries)
