@@ -302,7 +302,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         return [pa.array(list(scorer.get(Scorer).measure(batch.column(0).to_pylist())), pa.list_(pa.float64()))]
 
     rest = map_arrow(rows.where(F.col("_half") == 1), [("_x", T.ArrayType(T.DoubleType()))], columns)
-    rest = rest.select("_y", "_x").orderBy("_x", "_y").collect()
+    rest = sorted(rest.select("_y", "_x").collect(), key=lambda r: (r["_x"], r["_y"]))
     x, y = np.array([r["_x"] for r in rest]).reshape(-1, 6), np.array([r["_y"] for r in rest], dtype=float)
     if 0 < y.sum() < len(y):
         # the logistic function is known; for scoring, both halves give evidence
