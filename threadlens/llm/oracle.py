@@ -1,3 +1,81 @@
-"""DuckDB statements for the queries that SQL can express."""
+"""DuckDB statements for the queries that SQL can express on whole tables.
 
-ORACLE: dict[str, str] = {}
+The encodings (op3, op9), learned models (op4, op5), alignments (op8), numerically
+integrated posteriors (op7) and linked spans (op10) are tested against brute-force
+versions, the tokenizer library or held-out labels instead.
+"""
+
+from __future__ import annotations
+
+from threadlens.llm.queries import GUARD_ID, GUARD_TEXT
+from threadlens.llm.risk_rules import CUTOFFS, RULES, Risk
+
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP1 = f"""
+WITH t AS (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT {GUARD_ID}, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{GUARD_TEXT}' FROM range(2) r(i)),
+e AS (
+ SELECT *, length(role) + length(text) + 15
+   + len(regexp_extract_all(role || text, '[<>\\\\]')) AS shown,
+  CASE WHEN trim(text, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, ' '), '\\s+')) END AS tokens
+ FROM t)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+ sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(shown) AS BIGINT) AS formatted_chars, CAST(sum(tokens) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_attachments
+FROM e GROUP BY conv_id
+"""
+
+
+def _op2() -> str:
+    risk = Risk()
+    share = risk.risk / len(RULES)
+    pick = " UNION ALL ".join(
+        f"SELECT lang, good, '{r}' AS rule, CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END AS v FROM usable" for r, (a, b) in RULES.items()
+    )
+    over = " OR ".join(
+        f"coalesce((CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END) > (SELECT cutoff FROM best WHERE best.lang = m.stratum AND rule = '{r}'), false)"
+        for r, (a, b) in RULES.items()
+    )
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
+windows AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, unnest(list(i)) AS i FROM windows GROUP BY doc_id, win HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+ SELECT w.doc_id, w.stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+ FROM w JOIN lines USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+usable AS (SELECT j.stratum AS lang, l.quality = 1 AS good, j.* EXCLUDE (stratum) FROM judged j JOIN labels l USING (doc_id) WHERE NOT base_failed AND l.quality IS NOT NULL),
+strata AS (SELECT lang, CAST(count_if(good) AS DOUBLE) AS n FROM usable GROUP BY lang),
+vals AS ({pick}),
+tests AS (SELECT v.lang, v.rule, c.cutoff, s.n, CAST(count_if(good AND v.v > c.cutoff) AS BIGINT) AS k, CAST(count_if(NOT good AND v.v > c.cutoff) AS BIGINT) AS b
+ FROM vals v JOIN strata s USING (lang), (SELECT unnest([{', '.join(f'{c}::DOUBLE' for c in CUTOFFS)}]) AS cutoff) c GROUP BY ALL),
+certified AS (SELECT * FROM tests WHERE k <= n * {share!r} AND b > k AND
+ CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share!r}) + (n - j) * ln(1 - {share!r})))) END
+  <= {risk.delta!r} / ((SELECT count(*) FROM strata) * {len(RULES) * len(CUTOFFS)})),
+best AS (SELECT lang, rule, cutoff FROM certified QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY b - k DESC, cutoff DESC) = 1)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM judged m
+"""
+
+
+OP6 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN ws ELSE list_slice(ws, i, i + 4) END AS sh
+ FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(a, b) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY a) c USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_rules": _op2(), "op6_ngram_jaccard": OP6}
