@@ -1,13 +1,14 @@
 """DuckDB statements for the queries that SQL can express on whole tables.
 
-The encodings (op3, op9), learned models (op4, op5), alignments (op8), numerically
-integrated posteriors (op7) and linked spans (op10) are tested against brute-force
+The encodings (op3, op9), learned models (op4, op5), alignments (op8) and linked spans
+(op10) are tested against brute-force
 versions, the tokenizer library or held-out labels instead.
 """
 
 from __future__ import annotations
 
-from threadlens.llm.queries import GUARD_ID, GUARD_TEXT
+from threadlens.llm.host_reputation import LONG_SUFFIXES
+from threadlens.llm.queries import GUARD_ID, GUARD_TEXT, URL_RULES
 from threadlens.llm.risk_rules import CUTOFFS, RULES, Risk
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -78,4 +79,45 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.b, w
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY a) c USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_rules": _op2(), "op6_ngram_jaccard": OP6}
+_STRENGTH = """(SELECT CASE WHEN coalesce(sum(p * (1 - p) * (n - 1)), 0) = 0 THEN 1.0 ELSE
+ round(1 / least(greatest((sum((k - n * p) * (k - n * p) / n) - sum(p * (1 - p))) / sum(p * (1 - p) * (n - 1)), 1e-4), 0.5) - 1, 6) END
+ FROM {0} WHERE n > 0)"""
+_LONG = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+_RULE = " ".join(
+    f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'"
+    for _, r in sorted(URL_RULES, key=lambda x: -len(x[1]))
+)
+_VERDICT = " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in URL_RULES)
+
+OP7 = f"""
+WITH p AS (
+ SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+counts AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k
+ FROM p JOIN known ON doc_id = TRY_CAST(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) GROUP BY host),
+h0 AS (SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS l
+ FROM (SELECT DISTINCT host FROM p) LEFT JOIN counts USING (host)),
+h AS (SELECT host, n, k, CASE WHEN array_to_string(l[-2:], '.') IN ({_LONG}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+  CASE WHEN array_to_string(l[-2:], '.') IN ({_LONG}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h0),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM counts) AS p FROM h GROUP BY suffix),
+ps AS (SELECT suffix, (k + m * p) / (n + m) AS ps FROM s, (SELECT {_STRENGTH.format("s")} AS m)),
+d AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(ps) AS p FROM h JOIN ps USING (suffix) GROUP BY domain),
+pd AS (SELECT domain, (k + m * p) / (n + m) AS pd FROM d, (SELECT {_STRENGTH.format("d")} AS m)),
+r AS (SELECT host, n, k, pd AS p FROM h JOIN pd USING (domain)),
+ab AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM r, (SELECT {_STRENGTH.format("r")} AS m)),
+g AS (SELECT host, a, b, i, (a - 1) * ln((i - 0.5) / 1024) + (b - 1) * ln(1 - (i - 0.5) / 1024) AS v FROM ab, range(1, 1025) t(i)),
+w AS (SELECT host, a, b, i, exp(v - max(v) OVER (PARTITION BY host)) AS w FROM g),
+c AS (SELECT host, a, b, sum(w) OVER (PARTITION BY host ORDER BY i) AS c, sum(w) OVER (PARTITION BY host) AS total FROM w),
+q AS (SELECT host, any_value(a) AS a, any_value(b) AS b, round((count_if(c < 0.05 * total) + 0.5) / 1024, 9) AS bound FROM c GROUP BY host),
+f AS (SELECT p.*, CASE {_RULE} END AS rule, q.a, q.b, q.bound FROM p JOIN q USING (host))
+SELECT page_id, host, path, rule, coalesce(CASE rule {_VERDICT} END, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+ round(a / (a + b), 9) AS bad_rate, bound AS bad_rate_bound FROM f
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_chat_formatting": OP1,
+    "op2_quality_rules": _op2(),
+    "op6_ngram_jaccard": OP6,
+    "op7_url_filters": OP7,
+}
