@@ -86,14 +86,15 @@ def q_read_utterances(spark, sf_dir):
     + "SELECT corpus, thread_id, row_idx, "
     + ", ".join(f"CASE WHEN (thread_id + row_idx) % 4 = 0 THEN '' ELSE {c} END AS {c}" for c in _TEXT_COLUMNS)
     + ", CASE WHEN (thread_id + row_idx) % 4 <> 0 THEN coalesce(response, '') ELSE '' END AS raw_response"
-    + ", CASE WHEN (thread_id + row_idx) % 4 <> 0 THEN annotation_seed END AS annotation_seed"
+    + ", CASE WHEN (thread_id + row_idx) % 4 <> 0 THEN CAST(annotation_seed AS VARCHAR) END AS annotation_seed"
     + ", CASE WHEN (thread_id + row_idx) % 4 <> 0 THEN ts END AS annotation_timestamp FROM resolved",
 )
 def q_read_annotations(spark, sf_dir):
     """Write a previous output (prior-run fixture) and read it back."""
     path = scratch_path(spark, "prior")
     prior_output(stub_run(spark, sf_dir)).write.mode("overwrite").parquet(path)
-    return read_annotations(spark, path).select(*KEY, *_TEXT_COLUMNS, "raw_response", "annotation_seed", "annotation_timestamp")
+    back = read_annotations(spark, path).withColumn("annotation_seed", F.col("annotation_seed").cast("string"))
+    return back.select(*KEY, *_TEXT_COLUMNS, "raw_response", "annotation_seed", "annotation_timestamp")
 
 
 @query(
