@@ -45,7 +45,7 @@ def test_whole_table(ready, rows):
 @pytest.mark.parametrize("subset", [1, 2])
 def test_similar_sets_share_a_signature(subset):
     rng = np.random.default_rng(subset)
-    none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    none = P.Often((np.empty(0, np.uint64), np.empty(0, np.int64)))
     tried = 0
     for _ in range(3000):
         r = int(rng.integers(1, 30 if subset > 1 else 400))
@@ -58,7 +58,7 @@ def test_similar_sets_share_a_signature(subset):
         tried += 1
         every = np.unique(np.concatenate([P.parts(x, b) for b, _ in P.schemes(r)]))
         often = np.sort(rng.choice(every, len(every) // 2, replace=False))
-        for hot in (none, (often, rng.integers(1, 5, len(often)))):
+        for hot in (none, P.Often((often, rng.integers(1, 5, len(often))))):
             a, b = (P.signatures(np.unique(v), hot, subset) for v in (x, y))
             assert np.intersect1d(a, b).size, (r, lose, gain)
     assert tried > 300
@@ -100,6 +100,25 @@ def test_all_parts_frequent_and_subsets_of_two(ready, monkeypatch):
     assert got == brute(small)
 
 
+def test_large_groups_are_compared_in_blocks(ready, monkeypatch):
+    monkeypatch.setattr(P, "FEW", 2)
+    monkeypatch.setattr(P, "BLOCK", 3)
+    rnd = random.Random(8)
+    common = " ".join(f"p{i}" for i in range(40))
+    # a family whose members share much, but seldom enough to link
+    rows = [(i, common + " " + " ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randint(5, 16)))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in _variants(11, 50)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in P.near_duplicates(ready.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_sets_that_share_a_name(ready, monkeypatch):
+    monkeypatch.setattr(P, "NAME_BYTES", 1)
+    rows = _variants(5, 40) + [(100 + i, t) for i, t in _variants(6, 40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in P.near_duplicates(ready.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_rows(ready):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [

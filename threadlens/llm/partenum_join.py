@@ -19,16 +19,21 @@ documents share), as far as a bounded list of such parts knows them; any order g
 the same links.  The few sets with too few non-empty parts to be sure also show one
 signature that all such sets of the band have in common.
 
-Copies (equal sets) are first joined to one representative.  Within a signature's
-group, every member is paired with the smallest one; where the verified links leave
-more than one component in a group, its members of different components are paired,
-so nothing is lost, and pairs within a component, which can change nothing, are not
-made.  Pairs are verified on the sets themselves.  Components are found by repeated
-minima with shortcuts, all as Spark joins.
+Copies (equal sets) are one node, named by a hash of the set, so they never meet as pairs.
+Within a signature's group, every member is paired with the hub, the member that meets
+most others; where the verified links leave more than one component in a group, the same
+is done once more with the best hub of another component, and then all members of
+different components are paired, so nothing is lost, and pairs within a component, which can change
+nothing, are not made.  A pair is first held against counts of its shingles by hash
+bucket, which bound the common ones from above, then verified on the sets themselves.
+Components are found by repeated minima with shortcuts, all as Spark joins.
+
+Texts are never shuffled: each pass over the documents makes what it needs of them.
 
 Defined cases: null, empty or blank text: an empty set, linked with nothing; fewer than
 five words: the whole sequence is one shingle; null ids: a row of their own, linked with
-nothing; rows with equal ids are one document for linking; extra columns are ignored.
+nothing; rows with equal ids are one document, which links all their texts; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -49,9 +54,15 @@ WORDS = 5
 SUBSET = 1
 BAND = 4  # sizes of a band span this factor
 MIN_PARTS = 16
-HOT_LOCAL = 3  # times a part is seen in a chunk to be reported as frequent
+HOT_LOCAL = 2  # times a part is seen in a chunk to be reported as frequent
 HOT_CHUNK = 4_000_000  # signatures a chunk
 MAX_HOT = 200_000  # entries of the broadcast list of frequent parts
+NAME_BYTES = 8  # of a set's digest that name its node
+BUCKETS = 256
+FULL = 65_535  # a bucket's count is known up to this
+BITMAP = 1 << 24
+FEW = 24  # members of a group whose pairs are made as rows
+BLOCK = 512  # members of a larger group that are compared at a time
 MEMORY = 1_000_000
 BATCH = 8_000_000
 
@@ -94,12 +105,18 @@ class Shingler:
         if not n:
             return h
         with np.errstate(over="ignore"):
-            total = np.full(len(words) - n + 1, n, _U)
-            for i in range(n):
-                total += _mix(h[i : len(words) - n + 1 + i] * _FACTORS[i])
+            total = h[: len(h) - n + 1] * _FACTORS[0] + _U(n)
+            for i in range(1, n):
+                total += h[i : len(h) - n + 1 + i] * _FACTORS[i]
         return np.unique(_mix(total))
 
 
+def buckets(x: np.ndarray) -> bytes:
+    """How many elements of a set fall in each hash bucket."""
+    counts = np.bincount((x & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, FULL).astype(np.uint16).tobytes()
+
+
 def band_of(size: int) -> int:
     """Band b holds the sizes from BAND ** b up to BAND ** (b + 1) - 1."""
     b = 0
@@ -120,36 +137,60 @@ def schemes(size: int) -> list[tuple[int, int]]:
 
 def parts(x: np.ndarray, band: int) -> np.ndarray:
     """Signatures of the non-empty parts of a set in a band's partition."""
+    n = max(MIN_PARTS, 3 * BAND**band)
     with np.errstate(over="ignore"):
-        n = max(MIN_PARTS, 3 * BAND**band)
-        at = _mix(x + _U(band + 1) * _FACTORS[0]) % _U(n)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        content = np.add.reduceat(_mix(x[order] ^ _FACTORS[1]), first)
-        return _mix(content + _mix(at[first] * _FACTORS[2] + _U(band)))
-
-
-def signatures(x: np.ndarray, hot: tuple[np.ndarray, np.ndarray], subset: int = SUBSET) -> np.ndarray:
-    """What a set shows: subsets of its first parts in the common order, per band."""
+        # the part by a product with a constant of the band, the contents by their sum
+        at = ((x * (_FACTORS[1] + _U(2 * band))) >> _U(32)) * _U(n) >> _U(32)
+        at = at.astype(np.int64)
+        # sums of 32-bit halves stay exact as floats
+        low = np.bincount(at, weights=(x & _U(0xFFFFFFFF)).astype(np.float64), minlength=n)
+        high = np.bincount(at, weights=(x >> _U(32)).astype(np.float64), minlength=n)
+        full = np.flatnonzero(np.bincount(at, minlength=n))
+        content = low[full].astype(_U) + (high[full].astype(_U) << _U(32))
+        return _mix(content + full.astype(_U) * _FACTORS[2] + _U(band + 1) * _FACTORS[3])
+
+
+class Often:
+    """A bounded list of parts that many sets have, with their counts."""
+
+    def __init__(self, listed: tuple[np.ndarray, np.ndarray]):
+        self.sig, self.n = listed
+        self.some = np.zeros(1 << 20, bool)
+        self.some[self.sig >> _U(44)] = True
+
+    def seen(self, p: np.ndarray) -> np.ndarray:
+        """How often each of ``p`` is known to occur."""
+        out = np.zeros(len(p), np.int64)
+        maybe = np.flatnonzero(self.some[p >> _U(44)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.sig, p[maybe]), len(self.sig) - 1)
+            out[maybe] = np.where(self.sig[at] == p[maybe], self.n[at], 0)
+        return out
+
+
+def signatures(x: np.ndarray, often: Often, subset: int = SUBSET) -> np.ndarray:
+    """What a set shows: subsets of its first parts in the common order (rarest first,
+    then by hash), per band."""
     out = []
     for band, differ in schemes(len(x)):
-        p = parts(x, band)
-        if len(hot[0]):
-            at = np.minimum(np.searchsorted(hot[0], p), len(hot[0]) - 1)
-            seen = np.where(hot[0][at] == p, hot[1][at], 0)
-            p = p[np.lexsort((p, seen))]
+        p, need = parts(x, band), differ + subset
+        if len(p) > need:
+            seen = often.seen(p)
+            rare = p[seen == 0]
+            if len(rare) > need:
+                shown = np.partition(rare, need - 1)[:need]
+            else:
+                shown = p[np.lexsort((p, seen))[:need]]
         else:
-            p = np.sort(p)
-        shown = p[: differ + subset]
+            shown = p
         if subset > 1:
             with np.errstate(over="ignore"):
                 sets = [np.sort(np.array(c)) for c in combinations(shown, subset)]
                 shown = np.array([_mix((c * _FACTORS[: len(c)]).sum(keepdims=True))[0] for c in sets], _U)
         out.append(shown)
-        if len(p) < differ + subset:
+        if len(p) < need:
             # too few parts for a sure match: all such sets of the band meet here
-            out.append(_mix(np.array([band + 1], _U) * _FACTORS[3]))
+            out.append(_mix(np.array([band + 1], _U) * _FACTORS[4]))
     return np.concatenate(out) if out else x
 
 
@@ -157,13 +198,32 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
+def _namer(odd: dict[bytes, int], size: int):
+    """Names nodes: the first bytes of a set's digest as a signed number.
+
+    Sets that share these (some N * N / 2**65 of N sets) but one are listed in ``odd``
+    and take the last eight bytes.
+    """
+
+    def name(key: bytes) -> int:
+        other = odd.get(key)
+        return int.from_bytes(key[:size], "little", signed=True) if other is None else other
+
+    return name
+
+
 def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per document (doc_id, n, key: the set's 128-bit digest), and per chunk the frequent
-    parts (sig, n); one pass, stored."""
+    """Per document (doc_id, n, key: the set's 128-bit digest, node, counts by bucket), and per
+    chunk the frequent parts (sig, n); one pass, stored."""
     shingler = per_worker(docs.sparkSession, None)
+    names = ["doc_id", "n", "key", "node", "buckets", "sig"]
+    name = _namer({}, NAME_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "key", "sig"]
         seen: set[bytes] = set()
         found: list[np.ndarray] = []
         held = 0
@@ -172,82 +232,175 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             sig, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, _U), np.empty(0, int))
             keep = n >= HOT_LOCAL
             k = int(keep.sum())
+            none = [pa.nulls(k, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.array(n[keep], pa.int64()), pa.nulls(k, pa.binary()), pa.array(_signed(sig[keep]), pa.int64())], names
+                [none[0], pa.array(n[keep], pa.int64()), *none[1:], pa.array(_signed(sig[keep]), pa.int64())], names
             )
 
         make = shingler.get(Shingler).shingles
         for part in slices(batches, BATCH):
-            sizes, keys = [], []
+            rows = []
             for t in part.column(1).to_pylist():
                 x = make(t)
-                sizes.append(len(x))
-                keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                if len(x) and keys[-1] not in seen:
-                    seen.add(keys[-1])
+                key = _digest(x) if len(x) else None
+                new = key is not None and key not in seen
+                # copies in one chunk carry the counts once
+                rows.append((len(x), key, key and name(key), buckets(x) if new else None))
+                if new:
+                    seen.add(key)
                     found += [parts(x, b) for b, _ in schemes(len(x))]
                     held += len(x)
                 if held >= HOT_CHUNK:
                     yield frequent()
                     found, held = [], 0
                     seen.clear()
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(n, pa.int64())], names
-            )
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.nulls(len(rows), pa.int64())], names)
         yield frequent()
 
-    both = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, sig long"),
-        "shingle-sets",
-    )
+    schema = "doc_id long, n long, key binary, node long, buckets binary, sig long"
+    both = stored(docs.mapInArrow(run, schema), "shingle-sets")
     return both.where("sig IS NULL").drop("sig"), both.where("sig IS NOT NULL").select("sig", "n")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(node, size, set) of documents, the set as bytes of its sorted hashes."""
-    shingler = per_worker(docs.sparkSession, None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = shingler.get(Shingler).shingles
-        for part in slices(batches, BATCH):
-            x = [make(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["node", "set"]
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(run, "node long, set binary")
-
-
-def sign(docs: DataFrame, hot: DataFrame, subset: int = SUBSET) -> DataFrame:
-    """(sig, node, size) rows of all documents given."""
+def sign(docs: DataFrame, hot: DataFrame, subset: int = SUBSET, name=_namer({}, 8)) -> DataFrame:
+    """(sig, node, size) rows of all documents (doc_id, text); copies in one task sign once."""
     rows = hot.groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(MAX_HOT).collect()
     sig = np.array([r["sig"] for r in rows], np.int64).view(_U)
     n = np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(sig)
     shingler = per_worker(docs.sparkSession, None)
-    often = per_worker(docs.sparkSession, (sig[order], n[order]))  # bounded by MAX_HOT
+    listed = per_worker(docs.sparkSession, (sig[order], n[order]))  # bounded by MAX_HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, known = shingler.get(Shingler).shingles, often.get(tuple)
+        make, often = shingler.get(Shingler).shingles, listed.get(Often)
+        seen: set[int] = set()
         for part in slices(batches, BATCH // 4):
-            sigs, nodes, sizes = [np.empty(0, _U)], [], []
-            for node, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                x = make(t)
-                if len(x):
-                    s = np.unique(signatures(x, known, subset))
+            sigs, nodes, sizes = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                x = make(t) if i is not None else ()
+                if len(x) and (node := name(_digest(x))) not in seen:
+                    seen.add(node)
+                    s = signatures(x, often, subset)
                     sigs.append(s)
                     nodes.append(np.full(len(s), node, np.int64))
                     sizes.append(np.full(len(s), len(x), np.int32))
-            joined = lambda v, kind: np.concatenate(v) if v else np.empty(0, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate(sigs))), pa.array(joined(nodes, np.int64)), pa.array(joined(sizes, np.int32))],
+                [pa.array(_signed(np.concatenate(sigs))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))],
                 ["sig", "node", "size"],
             )
 
     return docs.mapInArrow(run, "sig long, node long, size int")
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, name) -> DataFrame:
+    """(node, set: bytes of its sorted hashes) of the documents ``wanted`` (doc_id).
+
+    The ids wanted are broadcast as a bitmap of fixed size; others that it lets through
+    do no harm, as the sets are joined by node.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    words = wanted.groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {BITMAP}), 64) AS int))")).alias("b")
+    )
+    bits = np.zeros(BITMAP // 64, np.int64)
+    for r in words.collect():  # at most BITMAP / 64 rows
+        bits[r["w"]] = r["b"]
+    shingler, bitmap = per_worker(docs.sparkSession, None), per_worker(docs.sparkSession, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, known = shingler.get(Shingler).shingles, bitmap.get(np.asarray)
+        for part in slices(batches, BATCH):
+            at = part.column(0).to_numpy()
+            keep = (known[at // 64] >> (at % 64)) & 1 == 1
+            x = [make(t) for t in part.column(1).filter(pa.array(keep)).to_pylist()]
+            x = [v for v in x if len(v)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name(_digest(v)) for v in x], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())],
+                ["node", "set"],
+            )
+
+    chosen = docs.where("doc_id IS NOT NULL").select(slot.alias("slot"), "text")
+    return chosen.mapInArrow(run, "node long, set binary").groupBy("node").agg(F.any_value("set").alias("set"))
+
+
+def _may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of bucket counts ``x`` and ``y`` may be similar, as a matrix."""
+    most = np.minimum(x[:, None, :], y[None, :, :]).sum(axis=2, dtype=np.int64)
+    total = x.sum(axis=1, dtype=np.int64)[:, None] + y.sum(axis=1, dtype=np.int64)[None, :]
+    full = (x >= FULL).any(axis=1)[:, None] | (y >= FULL).any(axis=1)[None, :]
+    return (100 * most >= 75 * (total - most)) | full
+
+
+def in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each group's members (sig, node, c, many) of different components
+    that the counts by bucket allow, without making all pairs as rows.
+
+    A group is dealt into blocks of about ``BLOCK`` members; each task compares two blocks
+    as matrices and returns the few pairs that remain.
+    """
+    n = F.ceil(F.col("many") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    dealt = rows.withColumn("n", n).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("sig", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "c")
+    keys = ["sig", "lo", "hi"]
+    dealt = dealt.join(nodes.select("node", "buckets"), "node").select(*keys, "own", "node", "c", "buckets")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        lo, hi, own, node, c = (t.column(k).to_numpy() for k in ("lo", "hi", "own", "node", "c"))
+        counts = np.frombuffer(b"".join(t.column("buckets").to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int32)
+        left = np.flatnonzero(own == lo[0])
+        right = left if lo[0] == hi[0] else np.flatnonzero(own == hi[0])
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(0, len(left), 32):
+            some = left[i : i + 32]
+            x, y = np.nonzero(_may_link(counts[some], counts[right]) & (c[some][:, None] != c[right][None, :]))
+            one, two = node[some[x]], node[right[y]]
+            a.append(np.minimum(one, two))
+            b.append(np.maximum(one, two))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(k[i]) != key:
+                    yield compare(held)
+                    held = []
+                key = tuple(k[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield compare(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the counts by bucket do not rule out."""
+    one = nodes.select(F.col("node").alias("a"), F.col("buckets").alias("ca"))
+    two = nodes.select(F.col("node").alias("b"), F.col("buckets").alias("cb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, BATCH):
+            col = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+            x, y = (
+                np.frombuffer(b"".join(col[c].to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int64) for c in ("ca", "cb")
+            )
+            most, total = np.minimum(x, y).sum(axis=1), (x + y).sum(axis=1)
+            keep = (100 * most >= 75 * (total - most)) | (np.maximum(x, y) >= FULL).any(axis=1)
+            yield pa.RecordBatch.from_arrays([col["a"], col["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by the sets themselves."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
@@ -292,52 +445,90 @@ def _fits(a: str, b: str):
     return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
 
 
-def link(docs: DataFrame, hot: DataFrame, subset: int = SUBSET) -> DataFrame:
-    """(node, component) of the documents (node, text) that have a link; sets distinct."""
-    spark = docs.sparkSession
+def link(docs: DataFrame, sets: DataFrame, hot: DataFrame, subset: int, name) -> DataFrame:
+    """(node, component: smallest node) of the nodes that have a link."""
     groups = Window.partitionBy("sig")
-    shown = sign(docs.select("node", "text"), hot, subset).repartition("sig")
-    # a part that one set alone shows links nothing
-    shared = shown.withColumn("hub", F.min("node").over(groups)).withColumn("top", F.max("node").over(groups))
-    shared = stored(shared.where("hub <> top").withColumn("hub_size", F.min_by("size", "node").over(groups)).drop("top"), "shared")
-    star = shared.where((F.col("hub") < F.col("node")) & _fits("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    star = stored(star.distinct(), "star")
+    known = sets.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("buckets").alias("buckets")), "nodes")
+    shown = sign(docs, hot, subset, name).repartition("sig")
+    # a part that one node alone shows links nothing
+    shared = shown.withColumn("low", F.min("node").over(groups)).withColumn("top", F.max("node").over(groups))
+    shared = shared.withColumn("many", F.count("*").over(groups)).where("low <> top")
+    shared = stored(shared.select("sig", "node", "size", "many").distinct(), "shared")
+    # a group's hub is the member that meets most others in all its groups: in a family of
+    # variants the one they all come from, or the one nearest to it
+    fame = stored(shared.groupBy("node").agg(F.sum("many").alias("fame")), "fame")
+    ranked = shared.join(fame, "node")
+
+    def star_of(rows: DataFrame) -> DataFrame:
+        """Pairs of a group's hub with its other members that it may be similar to."""
+        best = F.struct("fame", "node", "size", *[c for c in rows.columns if c == "c"])
+        d = rows.withColumn("h", F.max(best).over(groups)).withColumn("hub", F.col("h.node"))
+        d = d.where(F.col("hub") != F.col("node")).withColumn("hub_size", F.col("h.size")).where(_fits("size", "hub_size"))
+        if "c" in rows.columns:
+            d = d.where(F.col("c") != F.col("h.c"))
+        return d.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+    star = stored(star_of(ranked), "star")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = docs.select(F.col("node").alias("doc_id"), "text", "node").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-        return stored(verify(pairs, stored(_sets(texts), "sets")), "links")
+        left = stored(possible(pairs, nodes), "possible")
+        ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+        wanted = nodes.select("node", "doc_id").join(ends, "node", "left_semi").select("doc_id")
+        return stored(verify(left, _sets(docs, wanted, name)), "links")
+
+    def open_groups(found: DataFrame) -> DataFrame:
+        """Groups that the links so far leave in more than one component."""
+        own = ranked.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        own = own.withColumn("lo", F.min("c").over(groups)).withColumn("hi", F.max("c").over(groups)).where("lo <> hi")
+        return stored(own.select("sig", "node", "size", "fame", "c"), "open")
 
     links = checked(star)
     found = components(links)
-    # groups that the links leave in more than one component
-    own = shared.select("sig", "node", "size").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    split = own.withColumn("lo", F.min("c").over(groups)).withColumn("hi", F.max("c").over(groups)).where("lo <> hi")
-    split = stored(split.select("sig", "node", "size", "c"), "split")
-    other = split.select("sig", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
-    rest = split.join(other, "sig").where("node < b AND c <> cb").where(_fits("size", "sb")).select(F.col("node").alias("a"), "b").distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = checked(rest)
-        if more.limit(1).count():
-            found = components(links.union(more))
+    tried = star
+    for last in (False, True):
+        rows = open_groups(found)
+        if last:  # whatever is left: all pairs of different components
+            rows = stored(rows.withColumn("many", F.count("*").over(groups)), "rest-rows")
+            few = rows.where(F.col("many") <= FEW)
+            two = few.select("sig", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
+            rest = few.join(two, "sig").where("node < b AND c <> cb").where(_fits("size", "sb")).select(F.col("node").alias("a"), "b")
+            rest = rest.union(in_blocks(rows.where(F.col("many") > FEW), nodes)).distinct()
+        else:  # each group's most met member of another component than the first hub's
+            first = rows.withColumn("h", F.max_by("c", F.struct("fame", "node")).over(groups))
+            rest = star_of(first.withColumn("fame", F.when(F.col("c") == F.col("h"), F.lit(-1)).otherwise(F.col("fame"))).drop("h"))
+        rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            more = checked(rest)
+            tried = tried.union(rest)
+            if more.limit(1).count():
+                links = links.union(more)
+                found = components(links)
     return found
 
 
 def near_duplicates(docs: DataFrame, subset: int = SUBSET) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets, hot = describe(docs)
-    whole = sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = whole.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = stored(classes.select(F.col("rep").alias("doc_id")).distinct(), "representatives")
-    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.hint("shuffle_hash"), "doc_id", "left_semi")
-    first = first.select(F.col("doc_id").alias("node"), "text")
-    # an id with several texts links their classes
-    ids = whole.join(classes, "key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = link(first, hot, subset)
-    repeated = whole.groupBy("doc_id").agg(F.count_distinct("key").alias("k")).where("k > 1")
-    if repeated.limit(1).count():
-        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(ids))
-    got = sets.join(classes, "key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    low = F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id"))
-    return got.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), low).alias("component_id"))
+    some = sets.where("node IS NOT NULL").select("node", "key").distinct()
+    first = some.groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    odd = {bytes(r["key"]): int.from_bytes(r["key"][8:], "little", signed=True)
+           for r in some.join(first, "node").where("key <> lo").select("key").collect()}
+    for key, node in odd.items():
+        sets = sets.withColumn("node", F.when(F.col("key") == F.lit(key), F.lit(node)).otherwise(F.col("node")))
+    found = link(docs, sets, hot, subset, _namer(odd, NAME_BYTES))
+    known = sets.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "node", "key")
+    # an id with several texts links their nodes
+    several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    if several.limit(1).count():
+        more = known.join(several.select("doc_id", "a"), "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+        found = components(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+    named = known.select("doc_id", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    low = named.groupBy("c").agg(F.min("doc_id").alias("low"))
+    of = named.select("node", "c").distinct().join(low, "c").select("node", "low")
+    got = sets.select("doc_id", "n", "node").join(of, "node", "left")
+    return got.select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"),
+    )
