@@ -170,11 +170,12 @@ def quality_rules(
     """All columns of ``docs`` (without the text unless ``keep_text``) plus ``_m``,
     ``_base_failed`` and ``_kept``."""
     key = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    # without the texts the measures are small; where those are asked for, they are measured again
-    known = stored(measure(docs, text).drop(text), "measured")
+    # stored, so that a later filter on the verdict cannot pull the measuring into itself
+    measured = measure(docs, text)
+    known = stored(measured if keep_text else measured.drop(text), "measured")
     truth = labels.where(F.col("quality").isNotNull()).select(
         F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("good")
     )
     narrow = known.select(F.col("doc_id").alias("_id"), key.alias("stratum"), "_m")
     cutoffs = stored(calibrate(narrow.join(truth, "_id").select("stratum", "good", "_m"), risk), "cutoffs")
-    return judge(measure(docs, text) if keep_text else known, cutoffs, key)
+    return judge(known, cutoffs, key)
