@@ -95,7 +95,8 @@ class per_worker:
     def get(self, make: Callable, *args):
         """``make(value, *args)``, made once in this process."""
         if (self.key, make, args) not in _MADE:
-            for old in [k for k in _MADE if k[0] != self.key and k[1] is make]:
-                del _MADE[old]
+            # what earlier stages left in this process goes, so that memories don't add up
+            for old in [k for k in _MADE if k[0] != self.key and k[1] is make] + list(_MADE)[:-2]:
+                _MADE.pop(old, None)
             _MADE[self.key, make, args] = make(self.broadcast.value, *args)
         return _MADE[self.key, make, args]

@@ -63,8 +63,8 @@ FULL = 65_535  # a bucket's count is known up to this
 BITMAP = 1 << 24
 FEW = 24  # members of a group whose pairs are made as rows
 BLOCK = 512  # members of a larger group that are compared at a time
-MEMORY = 1_000_000
-BATCH = 8_000_000
+MEMORY = 300_000
+BATCH = 4_000_000
 
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U)
