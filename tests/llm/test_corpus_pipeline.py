@@ -69,3 +69,13 @@ def test_odd_documents(ready, tmp_path):
         ready.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
         got = C.run(ready, at).collect()
         assert len(got) == n and all(r.exact for r in got)
+
+
+def test_null_id_before_a_copy_with_a_near_copy(ready, tmp_path):
+    body = " ".join(f"word{i}" for i in range(100))
+    rows = [(None, body, "en", "s", 1), (1, body, "en", "s", 1), (2, body + " more", "en", "s", 1)]
+    at = str(tmp_path)
+    ready.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    ready.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    ready.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    assert sorted(r.doc_id or 0 for r in C.run(ready, at).collect()) == [0, 1]

@@ -134,6 +134,16 @@ def test_odd_rows(ready):
     assert P.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_id_comes_before_a_copy_with_a_near_copy(ready, monkeypatch):
+    monkeypatch.setattr(P, "FEW", 0)  # also in the block comparison
+    a = " ".join(f"x{i}" for i in range(100))
+    rows = [(None, a), (1, a), (2, a + " y"), (None, a + " y"), (3, "b " + a)]
+    df = ready.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in P.near_duplicates(df).collect() if r.doc_id)
+    assert got == [(1, 96, 1), (2, 97, 1), (3, 97, 1)]
+    assert [r.component_id for r in P.near_duplicates(df).where("doc_id IS NULL").collect()] == [None, None]
+
+
 def test_one_id_with_two_texts_links_both(ready):
     a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     rows = [(1, a), (2, b), (5, a), (5, b), (6, "c d e f g h")]

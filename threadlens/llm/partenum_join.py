@@ -240,11 +240,11 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         make = shingler.get(Shingler).shingles
         for part in slices(batches, BATCH):
             rows = []
-            for t in part.column(1).to_pylist():
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 x = make(t)
                 key = _digest(x) if len(x) else None
-                new = key is not None and key not in seen
-                # copies in one chunk carry the counts once
+                new = key is not None and i is not None and key not in seen
+                # copies in one chunk carry the counts once, on a row that link() keeps
                 rows.append((len(x), key, key and name(key), buckets(x) if new else None))
                 if new:
                     seen.add(key)
