@@ -77,3 +77,40 @@ def test_blocks_nulls_and_clashing_names(ready, size, monkeypatch):
     ]
     assert Q.find_passages(docs, bench.limit(0)).where("size(_matches) > 0").count() == 0
     assert Q.find_passages(docs.limit(0), bench).count() == 0
+
+
+def test_windows_equal_single_alignments():
+    rnd = np.random.default_rng(3)
+    item = rnd.integers(97, 101, 140).astype(np.uint32)
+    for _ in range(20):
+        region = item.copy()
+        for p in rnd.integers(0, len(region), 12):
+            region = np.insert(region, p, 120) if rnd.random() < 0.5 else np.delete(region, min(p, len(region) - 1))
+        region = region[rnd.integers(0, 30) :]
+        starts = np.arange(len(item) - Q.PART + 1)
+        got = Q.window_edits(item, starts, region, -40, 10)
+        for s in starts.tolist():
+            want = Q.align(item[s : s + Q.PART], region, s - 40, s + 10, Q.PART_EDITS)
+            assert (got[s] if got[s] <= Q.PART_EDITS else None) == (want[0] if want else None)
+
+
+def test_parts_and_replaced_words(ready):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(70)]
+    item = " ".join(words)[:400]
+    short = " ".join(words[::-1])[:233]
+    changed = list(short)
+    for at in (60, 120, 180):
+        changed[at : at + 5] = "VWXYZ"
+    noise = " ".join("".join(rnd.choice("qrstuvwxyz") for _ in range(5)) for _ in range(60))
+    texts = [
+        item[:360], noise + item[200:] + noise, noise + item[100:300], "".join(changed) + noise, item[50:130], item[50 : 50 + Q.PART - Q.PART_EDITS - 1],
+        noise, item[:100] + noise + item[300:], noise + item, None,
+    ]
+    docs = ready.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = ready.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    got = {r.doc_id: [tuple(m) for m in r._matches] for r in Q.find_passages(docs, bench).collect()}
+    n = len(noise)
+    assert [m[0] for m in got[3]] == [2] and got[5] == got[6] == got[9] == []
+    assert [(m[0], m[1] <= a, m[2] >= b, m[3] <= 2 * Q.PART_EDITS) for d, a, b in ((0, 0, 360), (1, n, n + 200), (2, n, n + 200), (4, 0, 80)) for m in got[d]] == [(1, True, True, True)] * 4
+    assert [m[0] for m in got[7]] == [1, 1] and got[8] == [(1, n, n + 400, 0)]

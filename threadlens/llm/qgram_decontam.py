@@ -10,6 +10,12 @@ verified by a banded alignment.  No match within the budget is lost.  Items shor
 than ``SHORT_ITEM`` characters, for which the bound says nothing, count only if they stand
 in the document exactly.
 
+Parts of an item count as well: a document is also contaminated by a stretch that is at
+most ``PART_EDITS`` edits away from some ``PART`` consecutive characters of the item.  The
+same lemma holds for every such window: of its q-grams PART - q + 1 - q * PART_EDITS are
+shared in one band, so all windows of the item that reach this bound are aligned.
+Overlapping windows that match are reported as one part, aligned as a whole.
+
 Plan: the benchmark is a stated query set; it is read in blocks of at most
 ``BLOCK_CHARS`` characters (its index, some 20 bytes a character, is what is broadcast), and
 each block is one pass over the documents without a shuffle.  A pass hashes all places
@@ -17,7 +23,8 @@ of a batch of texts at once.
 
 Defined cases: null or empty text: no match; empty or null items: ignored; items with
 equal texts: each reported; null ids are reported as such; repeated rows: each on its
-own; overlapping matches of one item: the one with the fewest edits; extra columns are kept.
+own; overlapping matches of one item: the whole item with the fewest edits, else the longest
+part, of these the one with the fewest edits; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -35,6 +42,7 @@ from threadlens.llm.common import map_arrow, per_worker
 Q = 12
 EDIT_RATE = 0.05
 SHORT_ITEM = 3 * Q
+PART, PART_EDITS = 80, 5  # 13 words or so, one of them replaced
 BLOCK_CHARS = 4_000_000
 FILTER_BITS = 20
 MATCH = T.ArrayType(
@@ -107,6 +115,24 @@ def align(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int
     return (cost, int(row[j] % _STEP), m + low + j) if cost <= budget else None
 
 
+def window_edits(item: np.ndarray, starts: np.ndarray, region: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Per window of ``PART`` characters of ``item`` the edits to its best stretch of
+    ``region`` on the diagonals ``low`` to ``high``; what is over the budget is not exact."""
+    far = PART_EDITS + 1
+    step = np.arange(high - low + 1)
+    places = starts[:, None] + low + step
+    inside = (places >= 0) & (places <= len(region))
+    row = np.where(inside, 0, far)
+    padded = np.concatenate([np.zeros(1, np.uint32), region, np.zeros(1, np.uint32)])
+    for i in range(PART):
+        swap = row + (padded[np.clip(places + i + 1, 0, len(region) + 1)] != item[starts + i][:, None])
+        skip = np.concatenate([row[:, 1:], np.full((len(starts), 1), far)], axis=1) + 1
+        inside = (places + i + 1 >= 0) & (places + i + 1 <= len(region))
+        best = np.where(inside, np.minimum(swap, skip), far)
+        row = np.where(inside, np.minimum.accumulate(best - step, axis=1) + step, far)
+    return row.min(axis=1)
+
+
 class Index:
     """The q-grams of a block of benchmark items."""
 
@@ -132,8 +158,9 @@ class Index:
         self.budget = np.array([edits(n) for n in size], np.int64)
         self.bound = size - Q + 1 - Q * self.budget
 
-    def scan(self, texts: list[str | None]) -> list[list[tuple]]:
-        """Per text the matches (item id, start, end, edits), by start."""
+    def scan(self, texts: list[str | None], parts: bool = False) -> list[list[tuple]]:
+        """Per text the matches (item id, start, end, edits) of whole items, or of their
+        ``parts`` too, by start."""
         codes = [plain(t or "") for t in texts]
         out: list[list[tuple]] = [[] for _ in texts]
         gap = np.zeros(Q, np.uint32)
@@ -144,7 +171,9 @@ class Index:
             hits = np.flatnonzero(self.seen[_slot(h)])
             at = np.minimum(np.searchsorted(self.grams, h[hits]), len(self.grams) - 1)
             real = self.grams[at] == h[hits]
-            self._verify(codes, out, starts, hits[real], at[real])
+            whole = self._verify(codes, out, starts, hits[real], at[real])
+            if parts:
+                self._verify_parts(codes, out, starts, hits[real], at[real], whole)
         for k in self.short:
             needle = self.codes[k].tobytes()
             for i, c in enumerate(codes) if needle else ():
@@ -152,23 +181,32 @@ class Index:
                 out[i] += [(self.ids[k], a, a + len(self.codes[k]), 0) for a in found]
         return [sorted(x, key=lambda y: (y[1], y[2], y[0] is None, y[0] or 0)) for x in out]
 
-    def _verify(self, codes, out, starts, hits, grams) -> None:
-        """Counts per text, item and band, and aligns where the bound is met."""
+    def _bands(self, starts, hits, grams, width, bound) -> np.ndarray:
+        """Columns (text, item, band, place in the item) of the shared q-grams, sorted, of
+        the texts and items that share as many as the bound in all."""
         n = self.count[grams]
         total = int(n.sum())
-        if not total:
-            return
         # every hit with every place of its gram in the items
         offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
         entry = np.repeat(self.first[grams], n) + offset
         place, item = self.place[entry].astype(np.int64), self.owner[entry].astype(np.int64)
         doc = np.repeat(np.searchsorted(starts, hits, side="right") - 1, n)
         diagonal = np.repeat(hits, n) - starts[doc] - place
-        width = np.maximum(self.budget[item], 1)
-        band = diagonal // width
+        _, pair, many = np.unique(doc * len(self.codes) + item, return_inverse=True, return_counts=True)
+        keep = many[pair] >= bound[item]
+        doc, item, place, diagonal = doc[keep], item[keep], place[keep], diagonal[keep]
+        band = diagonal // width[item]
         # bands are two budgets wide and overlap by one: a hit is in its own and the one before
         key = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(place, 2)])
-        key = np.unique(key, axis=1)  # each q-gram of an item counts once
+        return np.unique(key, axis=1)  # each q-gram of an item counts once
+
+    def _verify(self, codes, out, starts, hits, grams) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """Counts per text, item and band, and aligns where the bound is met; the stretches
+        found by text and item."""
+        whole: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        key = self._bands(starts, hits, grams, np.maximum(self.budget, 1), self.bound)
+        if not key.size:
+            return whole
         change = np.flatnonzero((np.diff(key[:3], axis=1) != 0).any(axis=0)) + 1
         first = np.concatenate([[0], change])
         size = np.diff(np.concatenate([first, [key.shape[1]]]))
@@ -187,9 +225,52 @@ class Index:
             if last and last[:2] == (d, k) and out[d][-1][2] > match[1]:
                 if match[3] < out[d][-1][3]:
                     out[d][-1] = match
+                    whole[d, k][-1] = match[1:3]
                 continue
             out[d].append(match)
+            whole.setdefault((d, k), []).append(match[1:3])
             last = (d, k)
+        return whole
+
+    def _verify_parts(self, codes, out, starts, hits, grams, whole) -> None:
+        """Aligns the windows of an item whose q-grams in one band reach the bound."""
+        more = PART - Q - Q * PART_EDITS  # shared q-grams of a window besides its first
+        key = self._bands(starts, hits, grams, *(np.full(len(self.codes), n) for n in (PART_EDITS, more + 1)))
+        one, other = key[:, : max(0, key.shape[1] - more)], key[:, more:]
+        close = (one[:3] == other[:3]).all(axis=0) & (other[3] - one[3] <= PART - Q)
+        size = np.array([len(c) for c in self.codes])
+        some = np.flatnonzero(close & (size[one[1]] >= PART))
+        if not len(some):
+            return
+        cuts = np.flatnonzero((np.diff(one[:3, some], axis=1) != 0).any(axis=0)) + 1
+        found: dict[tuple[int, int], list[tuple]] = {}
+        for group in np.split(some, cuts):
+            d, k, b = one[:3, group[0]].tolist()
+            text, item = codes[d], self.codes[k]
+            low, high = (b - 1) * PART_EDITS, (b + 3) * PART_EDITS - 1
+            # the windows that hold both ends of a run of enough shared q-grams
+            marks = np.zeros(len(item) + 1, np.int64)
+            np.add.at(marks, np.maximum(other[3, group] - (PART - Q), 0), 1)
+            np.add.at(marks, np.minimum(one[3, group], len(item) - PART) + 1, -1)
+            at = np.flatnonzero(np.cumsum(marks) > 0)
+            for u, v in whole.get((d, k), ()):  # wherever these match, they overlap the whole item's stretch
+                at = at[(at + high >= v) | (at + low + PART <= u)]
+            if not len(at):
+                continue
+            lo, hi = max(0, low + int(at[0])), max(0, min(len(text), high + int(at[-1]) + PART))
+            at = at[window_edits(item, at, text[lo:hi], low - lo, high - lo) <= PART_EDITS]
+            for run in np.split(at, np.flatnonzero(np.diff(at) >= PART) + 1) if len(at) else ():
+                i, j = int(run[0]), int(run[-1]) + PART
+                lo, hi = max(0, low + i), min(len(text), high + j)
+                got = align(item[i:j], text[lo:hi], low + i - lo, high + i - lo, j - i)
+                if got is not None:
+                    found.setdefault((d, k), []).append((i - j, got[0], lo + got[1], lo + got[2]))
+        for (d, k), stretches in found.items():
+            taken = list(whole.get((d, k), ()))
+            for _, cost, x, y in sorted(stretches):
+                if all(y <= u or v <= x for u, v in taken):
+                    taken.append((x, y))
+                    out[d].append((self.ids[k], x, y, cost))
 
 
 def _find(data: bytes, needle: bytes) -> Iterator[int]:
@@ -217,7 +298,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "_matches") -> DataFrame:
-    """``docs`` plus ``out``: the benchmark passages in the whole text, as an array of
+    """``docs`` plus ``out``: the benchmark items and parts of them in the whole text, as an array of
     (item_id, start, end, edits) in code points, by start."""
     at, found = docs.columns.index(text), docs
     names = []
@@ -225,7 +306,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", out
         shared = per_worker(docs.sparkSession, block)
 
         def columns(batch: pa.RecordBatch, shared=shared) -> list[pa.Array]:
-            rows = shared.get(Index).scan(batch.column(at).to_pylist())
+            rows = shared.get(Index).scan(batch.column(at).to_pylist(), parts=True)
             keys = ("item_id", "start", "end", "edits")
             return [pa.array([[dict(zip(keys, m, strict=True)) for m in r] for r in rows], _MATCH)]
 
