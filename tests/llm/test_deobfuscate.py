@@ -76,3 +76,21 @@ def test_odd_rows(ready):
     got = D.score_toxicity(df, none).collect()
     assert len(got) == 4 and len({r._score for r in got}) == 1 and sorted(r._t for r in got) == ["x", "y", "z", "z"]
     assert D.score_toxicity(df.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("text,words", [
+    ("so y o u a r e s t u p i d ok", ["you", "are", "stupid"]), ("w h a t a n i d i o t", ["what", "an", "idiot"]),
+    ("y o u  a r e  s t u p 1 d", ["you", "are", "stupid"]), ("w\th\ta\tt\na\tn\ti\td\ti\to\tt", ["what", "an", "idiot"]),
+    ("I  D  I  O  T", ["idiot"]), ("1 2 3 4 5", []), ("no run here", []),
+])
+def test_phrases_spaced_letter_by_letter(text, words):
+    grams = {}
+    for w in [*WORDS.split(), *"you are what an".split() * 3]:
+        s = "^^" + w + "$"
+        for i in range(len(s) - 2):
+            grams[s[i : i + 3]] = grams.get(s[i : i + 3], 0) + 50
+    chars = D.CharModel(grams)
+    heavy = {w: 2.0 for w in ("stupid", "idiot")}
+    assert (D.Scorer((chars, heavy)).measure([text])[0][1] == 2.0) == any(w in heavy for w in words)
+    assert D.spaced_words(text, chars) == words
+    assert len(D.spaced_words("a b " * 50_000, chars)) > 0

@@ -4,7 +4,9 @@ Writers hide words by look-alike signs (``1d10t``), separators (``s.t.u.p.i.d``,
 letter a word) and repetition (``looooser``).  Such a word is a lattice: each sign stands
 for itself, for the letters it looks like, or for nothing, each at a cost of the
 channel.  Viterbi decoding finds the path that is likeliest under a character trigram
-model and the channel.  Words without such signs have one path and stay.
+model and the channel.  Words without such signs have one path and stay.  A run of single
+characters is one lattice in which every gap may also be a word end, so that a phrase
+spaced letter by letter gives all its words.
 
 The character model comes from all words of all documents: every task counts
 trigrams, Spark sums them.  What toxic text is made of is learned from labelled documents:
@@ -61,9 +63,10 @@ START, END = "^", "$"
 
 _DISGUISED = re.compile(r"(?i)^[\w@$!|+(€£¡.*'~-]+$").match
 _RUN = re.compile(r"([^\W\d_])\1\1").search
-_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)").findall
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)").findall
 # channel costs in nats
 SWAP, DROP_SIGN, DROP_EDGE, DROP_BETWEEN, DROP_REPEAT, DROP_DOUBLE = 1.0, 14.0, 3.0, 0.3, 0.5, 6.0
+WORD_END, DROP_WIDE = 1.0, 3.0  # a word end at a narrow gap of a run, none at a wide one
 
 
 class CharModel:
@@ -121,6 +124,50 @@ def decode(word: str, model: CharModel) -> str:
     return min((cost + model.cost(s, END), said) for s, (cost, said) in best.items())[1]
 
 
+def spaced_words(text: str, model: CharModel) -> list[str]:
+    """The likeliest words of the runs of single characters in a text.
+
+    A gap wider than the run's narrowest one is a word end for nothing.
+    """
+    out = []
+    for run in _SPACED(text.lower()):
+        signs, gaps = run.split(), [len(g) for g in re.findall(r"\s+", run)]
+        if not any(map(str.isalpha, signs)):
+            continue
+        narrow = min(gaps)
+        # per context the cost and the path as (path before, character)
+        best: dict[str, tuple[float, tuple | None]] = {START * 2: (0.0, None)}
+        for i, options in enumerate(lattice("".join(signs))):
+            if i:
+                wide = gaps[i - 1] > narrow
+                ends = [
+                    (cost + model.cost(s, END) + (0.0 if wide else WORD_END), (path, " "))
+                    for s, (cost, path) in best.items() if s != START * 2
+                ]
+                if wide:
+                    best = {s: (cost + (DROP_WIDE if s != START * 2 else 0.0), path) for s, (cost, path) in best.items()}
+                if ends:
+                    end = min(ends, key=lambda e: e[0])
+                    if START * 2 not in best or end[0] < best[START * 2][0]:
+                        best[START * 2] = end
+            after: dict[str, tuple[float, tuple | None]] = {}
+            for context, (cost, path) in best.items():
+                for c, extra in options:
+                    state, total = context, cost + extra
+                    if c:
+                        state, total = context[1] + c, total + model.cost(context, c)
+                    if state not in after or total < after[state][0]:
+                        after[state] = total, (path, c) if c else path
+            best = after
+        path = min(((cost + model.cost(s, END), path) for s, (cost, path) in best.items()), key=lambda e: e[0])[1]
+        said = []
+        while path:
+            path, c = path
+            said.append(c)
+        out += "".join(reversed(said)).split()
+    return out
+
+
 def disguised(core: str) -> bool:
     """Whether a word (without outer punctuation) could be read otherwise."""
     if len(core) < 3 or len(core) > LONGEST or core.isalpha() and not _RUN(core):
@@ -153,7 +200,7 @@ def evidence(word: str, model: CharModel) -> Iterator[str]:
 def words_of(text: str) -> list[str]:
     """Words, and runs of single characters joined to one word; a one-letter word may
     stand before or after the run, so it is also read without its first or last letter."""
-    runs = [s.replace(" ", "") for s in _SPACED(text)]
+    runs = ["".join(s.split()) for s in _SPACED(text)]
     return text.split() + [x for s in runs for x in (s, s[1:], s[:-1])]
 
 
@@ -194,7 +241,7 @@ def _having(docs: DataFrame, model: per_worker, wanted: set[str] | None, at: int
         for part in slices(batches, 8_000_000):
             for t in part.column(at).to_pylist():
                 found: set[str] = set()
-                for w in set(words_of(t or "")):
+                for w in {*words_of(t or ""), *spaced_words(t or "", chars)}:
                     if w not in memo:
                         if len(memo) > MEMORY:
                             memo.clear()
@@ -223,7 +270,7 @@ class Scorer:
 
     def measure(self, texts: Iterable[str | None]) -> np.ndarray:
         """Per text: 1, the three heaviest distinct words, all weights, length (both as logs)."""
-        cut = [words_of(t or "") for t in texts]
+        cut = [words_of(t or "") + spaced_words(t or "", self.chars) for t in texts]
         known, asked = self.known, set()
         for c in cut:
             asked.update(c)
