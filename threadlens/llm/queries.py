@@ -10,6 +10,7 @@ from threadlens.llm import (
     chat_format,
     deobfuscate,
     host_reputation,
+    merkle_manifest,
     pairwise_rank,
     partenum_join,
     qgram_decontam,
@@ -140,6 +141,29 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time-forward processing: every document's leaf, proof and check against the root."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents")
+    values = {c: F.col(c) for c in merkle_manifest.FIELDS}
+    tampered = values | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaf = merkle_manifest.leaf_digest([*values.values()])
+    leaves = docs.select(
+        F.col("lang").alias("grp"), F.col("doc_id").cast("long").alias("key"), leaf.alias("leaf"),
+        F.when(chosen, merkle_manifest.leaf_digest([*tampered.values()])).alias("changed"),
+    )
+    made = merkle_manifest.manifest(leaves, carry=("changed",)).withColumn("given", F.coalesce("changed", "leaf"))
+    got = merkle_manifest.folded(made, "given")
+    return got.select(
+        F.col("key").alias("doc_id"),
+        *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"),
+        F.lower(F.hex("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
@@ -151,4 +175,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
