@@ -115,9 +115,80 @@ SELECT page_id, host, path, rule, coalesce(CASE rule {_VERDICT} END, CASE WHEN b
  round(a / (a + b), 9) AS bad_rate, bound AS bad_rate_bound FROM f
 """
 
+# crc32 by its definition: eight shifts a byte, from all ones, inverted at the end
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS BIGINT))),
+ lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))))"""
+
+
+def _op11() -> str:
+    def leaf(n_chars: str) -> str:
+        told = [f"coalesce(strlen(v{i}) || ':' || v{i}, '-')" for i in range(5)]
+        told[3] = f"coalesce(strlen({n_chars}) || ':' || {n_chars}, '-')"
+        return f"sha256({' || '.join(told)})"
+
+    # a level of all groups is made from the one below; what remains of a group stays at its level
+    def levels(name: str, start: str) -> str:
+        return f"""{name} AS (
+ SELECT g, pos, n, 0 AS l, d FROM {start}
+ UNION ALL SELECT g, pos // 2, (n + 1) // 2, l + 1, sha256(string_agg(d, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, pos // 2, n, l)"""
+
+    return f"""
+WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS v0, source AS v1, lang AS v2, CAST(n_chars AS VARCHAR) AS v3, text AS v4,
+  CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR) AS w3 FROM documents),
+leaves AS MATERIALIZED (SELECT doc_id, lang, {leaf("v3")} AS d, CASE WHEN v0 IS NOT NULL AND {_CRC.format("v0")} % 7 = 0 THEN {leaf("w3")} ELSE {leaf("v3")} END AS given FROM s),
+p AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, d) - 1 AS pos,
+  count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS rid, * FROM leaves),
+{levels("low", "p")},
+sub AS MATERIALIZED (SELECT g, d AS subroot FROM low WHERE n = 1),
+q AS MATERIALIZED (SELECT 0 AS g, g - 1 AS pos, count(*) OVER () AS n, subroot AS d FROM sub),
+{levels("high", "q")},
+top AS MATERIALIZED (SELECT d AS root FROM high WHERE n = 1),
+nodes AS MATERIALIZED (SELECT 0 AS part, g, pos, n, l, d FROM low UNION ALL SELECT 1, g, pos, n, l, d FROM high),
+steps AS MATERIALIZED (
+ SELECT rid, own.part, own.l, here % 2 AS odd, other.d AS sibling
+ FROM (SELECT p.rid, 0 AS part, p.g, l.l, l.n, p.pos >> l.l AS here FROM p JOIN (SELECT DISTINCT g, l, n FROM low WHERE n > 1) l USING (g)
+  UNION ALL SELECT p.rid, 1, 0, l.l, l.n, (p.g - 1) >> l.l FROM p CROSS JOIN (SELECT DISTINCT l, n FROM high WHERE n > 1) l) own
+ LEFT JOIN nodes other ON other.part = own.part AND other.g = own.g AND other.l = own.l AND other.pos = xor(own.here, 1)),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY part, l) AS k FROM steps),
+fold AS (
+ SELECT rid, CAST(0 AS BIGINT) AS k, given AS d FROM p
+ UNION ALL SELECT f.rid, f.k + 1, sha256(CASE WHEN s.odd = 1 THEN coalesce(s.sibling, '') || f.d ELSE f.d || coalesce(s.sibling, '') END)
+ FROM fold f JOIN numbered s ON s.rid = f.rid AND s.k = f.k + 1),
+folded AS (SELECT rid, arg_max(d, k) AS folded_root FROM fold GROUP BY rid),
+proof AS (SELECT rid, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY k)) AS proof_sha256 FROM numbered GROUP BY rid)
+SELECT doc_id, d AS leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN sub USING (g) CROSS JOIN top JOIN folded USING (rid) LEFT JOIN proof USING (rid)
+"""
+
+
+def _op12(k: int = 40, rounds: int = 5) -> str:
+    def nearest(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT rid, min({{'d': d, 'c': c}}) AS m FROM (
+  SELECT rid, c, list_sum(list_transform(list_zip(v.x, c{i}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v CROSS JOIN c{i}) GROUP BY rid)"""
+
+    def moved(i: int) -> str:
+        return f"""c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(w.x, o.x) AS x FROM c{i} o LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+   SELECT m.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{i} JOIN v USING (rid) CROSS JOIN range(1, 65) t(i) GROUP BY ALL) GROUP BY c) w ON w.c = o.c)"""
+
+    ctes = ", ".join(f"{nearest(i)}, {moved(i)}" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+ FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id))) - 1 AS c, x FROM v QUALIFY c < {k}),
+{ctes}, {nearest(rounds)},
+r AS MATERIALIZED (SELECT rid, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+ CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM r JOIN v USING (rid) JOIN c{rounds} ON c{rounds}.c = r.cluster
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": OP1,
     "op2_quality_rules": _op2(),
     "op6_ngram_jaccard": OP6,
     "op7_url_filters": OP7,
+    "op11_merkle_manifest": _op11(),
+    "op12_centroid_clustering": _op12(),
 }

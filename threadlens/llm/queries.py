@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import (
+    bitplane_kmeans,
     bpe_prefix,
     chat_format,
     deobfuscate,
@@ -164,6 +165,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit-plane popcount: every usable vector's cluster after five rounds."""
+    ready(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    got = bitplane_kmeans.with_inertia(*bitplane_kmeans.cluster(vectors))
+    return got.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
@@ -176,4 +185,5 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
