@@ -17,6 +17,7 @@ from threadlens.llm import (
     qgram_decontam,
     risk_rules,
     secret_parts,
+    sliced_simhash,
     unigram_trie,
 )
 from threadlens.llm.common import per_worker, ready, table
@@ -173,6 +174,13 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit-sliced comparison: every document's fingerprint and near-duplicate component."""
+    ready(spark)
+    got = sliced_simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
@@ -186,4 +194,5 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
