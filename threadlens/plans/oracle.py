@@ -20,7 +20,7 @@ u_r AS (SELECT u_t.*, lag(uid) OVER (PARTITION BY conv_id ORDER BY turn) AS prev
                first_value(uid) OVER (PARTITION BY conv_id ORDER BY turn) AS op_uid FROM u_t),
 u_x AS (SELECT *, CASE WHEN turn = t0 THEN NULL WHEN (conv_id + turn) % 7 = 0 THEN 'N/A'
                        WHEN (conv_id + turn) % 5 = 0 THEN op_uid ELSE prev_uid END AS reply_to FROM u_r),
-utterances AS (
+utterances AS MATERIALIZED (
  SELECT CASE WHEN u_e.conv_id % 2 = 0 THEN 'thr' ELSE 'seq' END AS corpus,
         CASE WHEN u_e.conv_id % 2 = 0 THEN 'threaded' ELSE 'sequential' END AS layout,
         u_e.conv_id AS thread_id,
@@ -65,7 +65,7 @@ NL = "chr(10)"
 
 # -- per-message aggregates (A1a / A1b / A4) -------------------------------------
 MSG_TEXTS = f"""
-msg_texts AS (
+msg_texts AS MATERIALIZED (
  SELECT corpus, thread_id, msg_id, CAST(count(*) AS BIGINT) AS n_utts, CAST(min(row_idx) AS BIGINT) AS first_row,
         coalesce(string_agg({S('message')}, ' ' ORDER BY row_idx) FILTER (WHERE {S('message')} <> ''), '') AS text_nonblank,
         string_agg({S('message')}, ' ' ORDER BY row_idx) AS text_all
@@ -171,7 +171,7 @@ STUB = f"""
 att AS (SELECT u.corpus, u.thread_id, u.row_idx, CAST(a.attempt AS INTEGER) AS attempt
         FROM utterances u CROSS JOIN (SELECT unnest(range({DEFAULT_MAX_TRIES})) AS attempt) a),
 k AS (SELECT *, (thread_id * 31 + row_idx * 7 + attempt * (CASE WHEN row_idx % 11 = 5 THEN 0 ELSE 13 END)) % 23 AS k FROM att),
-stub AS (
+stub AS MATERIALIZED (
  SELECT corpus, thread_id, row_idx, attempt, CAST(93187 + attempt AS BIGINT) AS seed,
   CASE k WHEN 19 THEN 'Request rejected by content policy' WHEN 20 THEN 'empty output' END AS error,
   CASE WHEN k IN (19, 20) THEN NULL
@@ -221,14 +221,14 @@ def _tag_list(expr: str, allowed: list[str]) -> str:
 PARSED = f"""
 p1 AS (SELECT *, coalesce({_between('response', '[REASON]', '[/REASON]')}, '') AS reasoning,
               {_between('response', '[ANNOT]', '[/ANNOT]')} AS js FROM stub),
-p2 AS (SELECT *, CASE WHEN js IS NOT NULL AND json_valid(js) AND json_type(js) = 'OBJECT' THEN CAST(js AS JSON) END AS j FROM p1),
-p3 AS (SELECT *,
+p2 AS MATERIALIZED (SELECT *, CASE WHEN js IS NOT NULL AND json_valid(js) AND json_type(js) = 'OBJECT' THEN CAST(js AS JSON) END AS j FROM p1),
+p3 AS MATERIALIZED (SELECT *,
    CASE WHEN json_type(j, '$."act"') = 'VARCHAR' THEN {strip("json_extract_string(j, '$.\"act\"')")} END AS act_v,
    {strip("replace(replace(" + _field_text('$."politeness"') + ", '–', '-'), '—', '-')")} AS pol_v,
    {strip(_field_text('$."self/reported"'))} AS meta_raw,
    {strip(_field_text('$."non-bona fide"'))} AS nbf_raw
  FROM p2),
-parsed AS (
+parsed AS MATERIALIZED (
  SELECT corpus, thread_id, row_idx, attempt, seed, response, error, ts, reasoning, j IS NOT NULL AS j_ok,
   CASE WHEN error IS NOT NULL THEN (CASE WHEN lower(error) LIKE '%policy%' OR lower(error) LIKE '%safety%' THEN 'flagged' ELSE 'api_error' END)
        WHEN length(reasoning) < 20 THEN 'reason_short'
@@ -239,27 +239,27 @@ parsed AS (
        ELSE 'ok' END AS outcome,
   act_v, pol_v, {_tag_list('meta_raw', ['non-bona fide', 'reported'])} AS meta_v, {_tag_list('nbf_raw', ['True', 'False'])} AS nbf_v
  FROM p3),
-first_terminal AS (
- SELECT corpus, thread_id, row_idx, min(attempt) AS attempt FROM parsed WHERE outcome IN ('ok', 'flagged') GROUP BY ALL),
-ledger AS (
- SELECT p.* FROM parsed p LEFT JOIN first_terminal f ON f.corpus = p.corpus AND f.thread_id = p.thread_id AND f.row_idx = p.row_idx
- WHERE p.attempt <= coalesce(f.attempt, {DEFAULT_MAX_TRIES})),
+decided AS MATERIALIZED (
+ SELECT *, min(CASE WHEN outcome IN ('ok', 'flagged') THEN attempt END) OVER (PARTITION BY corpus, thread_id, row_idx) AS decided FROM parsed),
+ledger AS (SELECT * FROM decided WHERE attempt <= coalesce(decided, {DEFAULT_MAX_TRIES})),
+last_tries AS MATERIALIZED (
+ SELECT corpus, thread_id, row_idx, decided, decided IS NOT NULL AND outcome = 'ok' AS good, decided IS NOT NULL AND outcome = 'flagged' AS refused,
+  act_v, pol_v, meta_v, nbf_v, reasoning, seed, response, ts
+ FROM decided WHERE attempt = coalesce(decided, 0)),
 resolved AS (
- SELECT u.corpus, u.thread_id, u.row_idx,
-  CASE WHEN w.outcome IS NULL THEN 'failed' WHEN w.outcome = 'ok' THEN 'ok' ELSE 'flagged' END AS status,
-  CASE WHEN w.outcome IS NULL THEN '__FAILED__' WHEN w.outcome = 'ok' THEN w.act_v ELSE '__FLAGGED__' END AS annotation_act,
-  CASE WHEN w.outcome = 'ok' THEN w.pol_v ELSE '' END AS annotation_politeness,
-  CASE WHEN w.outcome = 'ok' THEN w.meta_v ELSE '' END AS annotation_meta,
-  CASE WHEN w.outcome = 'ok' THEN w.nbf_v ELSE '' END AS annotation_NBF,
-  CASE WHEN w.outcome = 'ok' THEN w.reasoning ELSE '' END AS annotation_reasoning,
-  CASE WHEN w.outcome = 'ok' THEN w.seed ELSE CAST(93187 AS BIGINT) END AS annotation_seed,
-  CASE WHEN w.outcome = 'ok' THEN w.attempt END AS attempt,
-  f.attempt AS decided_attempt,
-  CASE WHEN w.outcome = 'ok' THEN w.response END AS response,
-  CASE WHEN w.outcome = 'ok' THEN w.ts END AS ts
- FROM utterances u
- LEFT JOIN first_terminal f ON f.corpus = u.corpus AND f.thread_id = u.thread_id AND f.row_idx = u.row_idx
- LEFT JOIN parsed w ON w.corpus = f.corpus AND w.thread_id = f.thread_id AND w.row_idx = f.row_idx AND w.attempt = f.attempt)
+ SELECT corpus, thread_id, row_idx,
+  CASE WHEN good THEN 'ok' WHEN refused THEN 'flagged' ELSE 'failed' END AS status,
+  CASE WHEN good THEN act_v WHEN refused THEN '__FLAGGED__' ELSE '__FAILED__' END AS annotation_act,
+  CASE WHEN good THEN pol_v ELSE '' END AS annotation_politeness,
+  CASE WHEN good THEN meta_v ELSE '' END AS annotation_meta,
+  CASE WHEN good THEN nbf_v ELSE '' END AS annotation_NBF,
+  CASE WHEN good THEN reasoning ELSE '' END AS annotation_reasoning,
+  CASE WHEN good THEN seed ELSE CAST(93187 AS BIGINT) END AS annotation_seed,
+  CASE WHEN good THEN decided END AS attempt,
+  decided AS decided_attempt,
+  CASE WHEN good THEN response END AS response,
+  CASE WHEN good THEN ts END AS ts
+ FROM last_tries)
 """
 
 
