@@ -6,8 +6,7 @@ builds all pairs of rows inside a thread:
 * neighbour rows (W2/W3): ``lag``/``lead`` as one chunked scan over the thread;
 * as-of lookups (J3/J4/J6): a running ``last(.., ignorenulls)`` over a window
   keyed by ``(thread, user[, target])``;
-* the referred history (J2): a running ``collect_list`` over the replied-to
-  user's rows, which is exactly the text each prompt must contain;
+* the referred history (J2): shared pages of each user's messages (``history``);
 * the first replies (J5): gaps-and-islands on a reverse-ordered window, so
   only the two messages that are printed are ever materialised.
 
@@ -21,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CAT_COMMENT, CAT_ORIGINAL_POST, LAYOUT_THREADED, NO_TARGET
+from ..constants import CAT_COMMENT, CAT_ORIGINAL_POST, LAYOUT_THREADED
 from ..functions.text import ordered_concat, py_strip, text_or_blank
+from .history import referred_messages
 from .messages import MSG, message_texts
 from .scan import Op, chunked, scan
 from .schema import THREAD, has_reply_target, threaded_flags
@@ -122,58 +122,6 @@ def context_pair(utt: DataFrame) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------------------
-# Earlier messages by the replied-to user
-# ---------------------------------------------------------------------------
-def referred_messages(utt: DataFrame) -> DataFrame:
-    """For each row with a reply target: how many rows the target wrote before
-    it (``n_before``, starter rows included) and their non-starter utterances
-    (``items``: ``struct(msg_id, row_idx, s)``, only rows before this one)."""
-    s = text_or_blank("message")
-    build = utt.where(F.col("user_id").isNotNull()).select(
-        *KEY,
-        F.col("user_id").cast("string").alias("key"),
-        F.lit(1).alias("is_build"),
-        F.when(
-            ~_cat_is(CAT_ORIGINAL_POST) & F.col("msg_id").isNotNull(),
-            F.struct("msg_id", "row_idx", s.alias("s")),
-        ).alias("item"),
-    )
-    probe = utt.where(F.col("reply_to").isNotNull() & (F.col("reply_to") != NO_TARGET)).select(
-        *KEY,
-        F.col("reply_to").alias("key"),
-        F.lit(0).alias("is_build"),
-        F.lit(None).cast("struct<msg_id:bigint,row_idx:bigint,s:string>").alias("item"),
-    )
-    grp = THREAD + ["key"]
-    run = scan(
-        chunked(build.unionByName(probe), grp),
-        grp,
-        [Op("sum", "is_build", "n_before"), Op("collect", "item", "items")],
-        tiebreak=["is_build"],
-    )
-    return run.where(F.col("is_build") == 0).select(*KEY, F.col("n_before").cast("long").alias("n_before"), "items")
-
-
-def render_referred(items: Column) -> Column:
-    """``\\n- Message #{m}: "{utterances}"`` per message, ascending by message."""
-    srt = F.array_sort(items)
-    n = F.size(srt)
-
-    def piece(x, i):
-        opens = (i == 0) | (F.get(srt, i - 1)["msg_id"] != x["msg_id"])
-        closes = (i == n - 1) | (F.get(srt, i + 1)["msg_id"] != x["msg_id"])
-        return F.concat(
-            F.when(opens, F.concat(F.lit('\n- Message #'), x["msg_id"].cast("string"), F.lit(': "'))).otherwise(
-                F.lit(" ")
-            ),
-            x["s"],
-            F.when(closes, F.lit('"')).otherwise(F.lit("")),
-        )
-
-    return F.array_join(F.transform(srt, piece), "")
-
-
 # ---------------------------------------------------------------------------
 # J3 / J4 (W4 / W5): previous / next different message by the same author
 # ---------------------------------------------------------------------------
@@ -357,7 +305,7 @@ def context_threaded(utt: DataFrame, texts: DataFrame | None = None) -> DataFram
     j = (
         utt.select(*KEY, "msg_id", "user_id", "message", "reply_to", "category")
         .join(message_lookups(utt, texts), KEY, "left")
-        .join(referred_messages(utt), KEY, "left")
+        .join(referred_messages(utt, text_if=~_cat_is(CAT_COMMENT)), KEY, "left")
         .join(replies_received(utt), KEY, "left")
     )
     rid = F.col("row_idx").cast("string")
@@ -391,7 +339,7 @@ def context_threaded(utt: DataFrame, texts: DataFrame | None = None) -> DataFram
             F.concat(
                 F.lit("\nUtterance #"), rid, F.lit(' is a reply to user "'), reply_to,
                 F.lit('". The following earlier messages by '), reply_to,
-                F.lit(" may help contextualize the reply:"), render_referred(F.col("items")),
+                F.lit(" may help contextualize the reply:"), F.col("referred"),
             )
         ),
     )

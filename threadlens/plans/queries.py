@@ -19,6 +19,7 @@ from ..functions.text import between_tags, clean_tag_list, is_policy_error, py_s
 from ..operators import context as C
 from ..operators import messages as M
 from ..operators import schema as P
+from ..operators.history import referred_messages
 from ..operators.attempts import resolve_attempts, winning_attempts
 from ..operators.output import annotated_output, attach_annotations, write_annotations
 from ..operators.parse import parse_responses, politeness_code, politeness_ok
@@ -274,8 +275,7 @@ ref_list AS (SELECT corpus, thread_id, row_idx, string_agg(concat(chr(10), '- Me
 )
 def q_referred_messages(spark, sf_dir):
     """Earlier messages by the replied-to user (count and rendered list)."""
-    r = C.referred_messages(_utt(spark, sf_dir))
-    return r.select(*KEY, F.col("n_before").cast("long").alias("n_before"), C.render_referred(F.col("items")).alias("referred"))
+    return referred_messages(_utt(spark, sf_dir))
 
 
 def _same_author_sql(direction: str) -> str:
