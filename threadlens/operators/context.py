@@ -4,11 +4,11 @@ Every lookup the narrative needs is one of four shapes, and none of them
 builds all pairs of rows inside a thread:
 
 * neighbour rows (W2/W3): ``lag``/``lead`` as one chunked scan over the thread;
-* as-of lookups (J3/J4/J6): a running ``last(.., ignorenulls)`` over a window
-  keyed by ``(thread, user[, target])``;
+* as-of lookups (J3/J4/J6): a running ``last(.., ignorenulls)`` (of the latest two
+  different values for J3/J4) over a window keyed by ``(thread, user[, target])``;
 * the referred history (J2): shared pages of each user's messages (``history``);
-* the first replies (J5): gaps-and-islands on a reverse-ordered window, so
-  only the two messages that are printed are ever materialised.
+* the first replies (J5): the next two different messages, carried by one scan in
+  reverse order, so only the two messages that are printed are ever materialised.
 
 Reverse scans use ``ORDER BY row_idx DESC`` with an *unbounded preceding*
 frame: Spark evaluates such frames incrementally (an *unbounded following*
@@ -17,19 +17,19 @@ frame would be re-aggregated for every row).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CAT_COMMENT, CAT_ORIGINAL_POST, LAYOUT_THREADED
-from ..functions.text import ordered_concat, py_strip, text_or_blank
-from .history import referred_messages
+from ..functions.text import py_strip, text_or_blank
+from .history import history_text, referred_parts
 from .messages import MSG, message_texts
 from .scan import Op, chunked, scan
 from .schema import THREAD, has_reply_target, threaded_flags
 
 KEY = THREAD + ["row_idx"]
-UNB = Window.unboundedPreceding
-CUR = Window.currentRow
 
 
 def _s(c: Column) -> Column:
@@ -125,99 +125,63 @@ def context_pair(utt: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # J3 / J4 (W4 / W5): previous / next different message by the same author
 # ---------------------------------------------------------------------------
-def same_author_messages(utt: DataFrame) -> DataFrame:
+def same_author_messages(utt: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """For each row: the last earlier and the first later message id, among rows
     with the same author and the same reply target, that differs from the row's
-    own message (gaps-and-islands, exact under interleaving).  A null target
-    matches nothing.  Returns key + ``prev_same_msg, next_same_msg``."""
-    g = utt.where(
-        F.col("reply_to").isNotNull() & F.col("user_id").isNotNull() & F.col("msg_id").isNotNull()
-    ).select(*KEY, "user_id", "reply_to", "msg_id")
+    own message (exact under interleaving).  A null target, author or message matches
+    nothing.  Returns key, ``carry``, ``prev_same_msg, next_same_msg``; one scan."""
+    usable = F.col("reply_to").isNotNull() & F.col("user_id").isNotNull() & F.col("msg_id").isNotNull()
+    g = utt.select(*KEY, *carry, "user_id", "reply_to", F.when(usable, F.col("msg_id")).alias("_msg"))
     grp = THREAD + ["user_id", "reply_to"]
-    marks = scan(
-        chunked(g, grp),
-        grp,
-        [Op("prev", "msg_id", "before"), Op("prev", "msg_id", "after", reverse=True)],
-    ).withColumns(
-        {
-            "p_prev": F.when(F.col("before") != F.col("msg_id"), F.col("before")),
-            "p_next": F.when(F.col("after") != F.col("msg_id"), F.col("after")),
-        }
-    )
-    found = scan(
-        marks,
-        grp,
-        [Op("last", "p_prev", "prev_same_msg"), Op("last", "p_next", "next_same_msg", reverse=True)],
+    found = scan(chunked(g, grp), grp, [Op("two", "_msg", "_p"), Op("two", "_msg", "_n", reverse=True)])
+    return found.select(
+        *KEY, *carry,
+        F.when(F.col("_msg").isNotNull(), F.col("_p.second")).alias("prev_same_msg"),
+        F.when(F.col("_msg").isNotNull(), F.col("_n.second")).alias("next_same_msg"),
     )
-    return found.select(*KEY, "prev_same_msg", "next_same_msg")
 
 
-def same_author_context(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """J3 + J4 with the full text (A1b) of each found message.
+def message_lookups(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """J1 + J3 + J4 as one row per answer: every row asks for its own message (``self``)
+    and, where found, the same author's previous and next message (``prev``, ``next``).
 
-    Both lookups go through one join with the message table: each row asks for
-    up to two messages (``prev``/``next``), the answers are folded back per row.
-    The message texts are therefore aggregated and shuffled once, not twice.
+    One join with the message table answers all three.  Returns key, ``role``, ``msg_id``,
+    ``n_utts``, ``text`` (of the own message without blank utterances, of the others whole).
     """
     texts = texts if texts is not None else message_texts(utt)
-    t = texts.select(*THREAD, "msg_id", "text_all")
-    sa = same_author_messages(utt)
-    asks = sa.select(*KEY, F.lit("prev").alias("role"), F.col("prev_same_msg").alias("msg_id")).unionByName(
-        sa.select(*KEY, F.lit("next").alias("role"), F.col("next_same_msg").alias("msg_id"))
-    ).where(F.col("msg_id").isNotNull())
-    found = asks.join(t, THREAD + ["msg_id"], "left")
-    pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
-    return found.groupBy(*KEY).agg(
-        pick("prev", "msg_id").alias("prev_same_msg"),
-        pick("prev", "text_all").alias("prev_same_text"),
-        pick("next", "msg_id").alias("next_same_msg"),
-        pick("next", "text_all").alias("next_same_text"),
+    t = texts.select(*THREAD, "msg_id", "n_utts", "text_nonblank", "text_all")
+    ask = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("msg_id"))
+    asks = same_author_messages(utt, carry=("msg_id",)).select(
+        *KEY, F.inline(F.array(ask("self", "msg_id"), ask("prev", "prev_same_msg"), ask("next", "next_same_msg")))
     )
+    found = asks.where(F.col("msg_id").isNotNull()).join(t, THREAD + ["msg_id"])
+    text = F.when(F.col("role") == "self", F.col("text_nonblank")).otherwise(F.col("text_all"))
+    return found.select(*KEY, "role", "msg_id", "n_utts", text.alias("text"))
 
 
-def message_lookups(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """J1 + J3 + J4 in one join with the message table: every row asks for its
-    own message (size, non-blank text) and, when found, the same author's
-    previous/next message (full text).  The message texts are aggregated and
-    shuffled once for all three."""
-    texts = texts if texts is not None else message_texts(utt)
-    t = texts.select(*THREAD, "msg_id", "n_utts", "text_nonblank", "text_all")
-    sa = same_author_messages(utt)
-    asks = (
-        utt.select(*KEY, F.lit("self").alias("role"), "msg_id")
-        .unionByName(sa.select(*KEY, F.lit("prev").alias("role"), F.col("prev_same_msg").alias("msg_id")))
-        .unionByName(sa.select(*KEY, F.lit("next").alias("role"), F.col("next_same_msg").alias("msg_id")))
-        .where(F.col("msg_id").isNotNull())
-    )
-    found = asks.join(t, THREAD + ["msg_id"], "left")
+def same_author_context(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """J3 + J4 with the full text (A1b) of each found message, for rows that have one."""
+    found = message_lookups(utt, texts).where("role <> 'self'")
     pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
     return found.groupBy(*KEY).agg(
-        pick("self", "n_utts").alias("n_utts"),
-        pick("self", "text_nonblank").alias("text_nonblank"),
         pick("prev", "msg_id").alias("prev_same_msg"),
-        pick("prev", "text_all").alias("prev_same_text"),
+        pick("prev", "text").alias("prev_same_text"),
         pick("next", "msg_id").alias("next_same_msg"),
-        pick("next", "text_all").alias("next_same_text"),
+        pick("next", "text").alias("next_same_text"),
     )
 
 
 # ---------------------------------------------------------------------------
 # J5 (W6): the first two later messages replying to the row's author
 # ---------------------------------------------------------------------------
-_REPLY_REF = "struct<msg_id:bigint,user:string,start:bigint>"
-
-
-def replies_received(utt: DataFrame) -> DataFrame:
-    """For each row: the first two distinct later messages (by first appearance
-    after the row) whose rows reply to the row's author from another user.
-
-    Only the matching rows after the row count, so a message that started
-    before the row is cut to its later part.  Returns key + ``r1, r2``
+def reply_events(utt: DataFrame) -> DataFrame:
+    """J5 as one row per found message: key, ``slot`` (1 or 2, by first appearance), ``reply``
     (``struct(msg_id, text, user)``; ``user`` = author of the first matching row).
 
-    The scans carry only ``(msg_id, user, start row)``; texts are fetched for
-    the two printed messages afterwards: the whole message when the start is
-    its first matching row (the usual case), else an exact range lookup.
+    Candidates (rows that reply to somebody else) and askers (authors) meet in one scan in
+    reverse row order, which carries the next two candidates of different messages as ``(msg_id, user,
+    start row)``.  The texts come from one join with the candidates' messages: whole, or from
+    the start row on when the message began before the asking row.
     """
     s = text_or_blank("message")
     cand = utt.where(
@@ -225,61 +189,38 @@ def replies_received(utt: DataFrame) -> DataFrame:
         & F.col("user_id").isNotNull()
         & F.col("msg_id").isNotNull()
         & (F.col("user_id") != F.col("reply_to"))
-    ).select(*THREAD, F.col("reply_to").alias("key"), "row_idx", "msg_id", "user_id", s.alias("s"))
-    grp = THREAD + ["key"]
-
-    # the next candidate row (in row order), then the first later one of another message
-    c = cand.select(
-        *grp, "row_idx", F.struct("msg_id", F.col("user_id").alias("user"), F.col("row_idx").alias("start")).alias("info")
     )
-    c = scan(chunked(c, grp), grp, [Op("prev", "info", "nxt", reverse=True)])
-    c = c.withColumn("p", F.when(F.col("nxt.msg_id") != F.col("info.msg_id"), F.col("nxt")))
-    c = scan(c, grp, [Op("last", "p", "second", reverse=True)])
-    c = c.select(*grp, "row_idx", F.lit(0).alias("is_probe"), F.struct(F.col("info").alias("first"), "second").alias("rec"))
-
+    grp = THREAD + ["key"]
+    info = F.struct("msg_id", F.col("user_id").alias("user"), F.col("row_idx").alias("start"))
+    c = cand.select(*THREAD, F.col("reply_to").alias("key"), "row_idx", F.lit(0).alias("is_probe"), info.alias("info"))
     probe = utt.where(F.col("user_id").isNotNull()).select(
-        *THREAD,
-        F.col("user_id").cast("string").alias("key"),
-        "row_idx",
-        F.lit(1).alias("is_probe"),
-        F.lit(None).cast(f"struct<first:{_REPLY_REF},second:{_REPLY_REF}>").alias("rec"),
-    )
-    found = scan(chunked(c.unionByName(probe), grp), grp, [Op("last", "rec", "after", reverse=True)])
-    hits = found.where((F.col("is_probe") == 1) & F.col("after").isNotNull()).select(
-        *KEY, "key", F.col("after.first").alias("a1"), F.col("after.second").alias("a2")
+        *THREAD, F.col("user_id").cast("string").alias("key"), "row_idx", F.lit(1).alias("is_probe"),
+        F.lit(None).cast(c.schema["info"].dataType).alias("info"),
     )
-
-    # texts of the requested (message, start) pairs
+    both = chunked(c.unionByName(probe), grp)
+    found = scan(both, grp, [Op("two", "info", "after", reverse=True, by="msg_id")], tiebreak=["is_probe"])
+    slot = lambda i, c: F.struct(F.lit(i).alias("slot"), F.col(f"after.{c}").alias("hit"))
+    asks = found.where("is_probe = 1").select(*KEY, "key", F.inline(F.array(slot(1, "first"), slot(2, "second"))))
+    asks = asks.where(F.col("hit").isNotNull()).select(*KEY, "key", "slot", "hit", F.col("hit.msg_id").alias("msg_id"))
     msg = grp + ["msg_id"]
-    whole = cand.groupBy(*msg).agg(
-        F.min("row_idx").alias("first_row"),
-        ordered_concat(F.collect_list(F.struct("row_idx", "s"))).alias("text"),
-    )
-    asks = hits.select(*KEY, "key", F.lit(1).alias("slot"), F.col("a1.msg_id").alias("msg_id"), F.col("a1.start").alias("start"))
-    asks = asks.unionByName(
-        hits.where(F.col("a2").isNotNull()).select(
-            *KEY, "key", F.lit(2).alias("slot"), F.col("a2.msg_id").alias("msg_id"), F.col("a2.start").alias("start")
-        )
-    )
-    asked = asks.join(whole, msg, "left")
-    full = asked.where(F.col("start") == F.col("first_row")).select(*KEY, "slot", "text")
-    cut = asked.where(F.col("start") > F.col("first_row")).select(*KEY, *msg, "slot", "start")
-    rows = cand.select(*msg, F.col("row_idx").alias("r"), "s")
-    part = (
-        cut.join(rows, msg)
-        .where(F.col("r") >= F.col("start"))
-        .groupBy(*KEY, "slot")
-        .agg(ordered_concat(F.collect_list(F.struct(F.col("r").alias("row_idx"), "s"))).alias("text"))
+    items = cand.groupBy(*THREAD, F.col("reply_to").alias("key"), "msg_id").agg(
+        F.array_sort(F.collect_list(F.struct("row_idx", s.alias("s")))).alias("items")
     )
-    texts = full.unionByName(part).groupBy(*KEY).agg(
-        F.max(F.when(F.col("slot") == 1, F.col("text"))).alias("t1"),
-        F.max(F.when(F.col("slot") == 2, F.col("text"))).alias("t2"),
-    )
-    out = hits.join(texts, KEY, "left")
-    rec = lambda a, t: F.when(
-        F.col(a).isNotNull(), F.struct(F.col(f"{a}.msg_id").alias("msg_id"), F.col(t).alias("text"), F.col(f"{a}.user").alias("user"))
-    )
-    return out.select(*KEY, rec("a1", "t1").alias("r1"), rec("a2", "t2").alias("r2"))
+    rest = F.filter("items", lambda x: x["row_idx"] >= F.col("hit.start"))
+    reply = F.struct("msg_id", F.array_join(F.transform(rest, lambda x: x["s"]), " ").alias("text"), F.col("hit.user").alias("user"))
+    return asks.join(items, msg).select(*KEY, "slot", reply.alias("reply"))
+
+
+def replies_received(utt: DataFrame) -> DataFrame:
+    """For each row: the first two distinct later messages (by first appearance
+    after the row) whose rows reply to the row's author from another user.
+
+    Only the matching rows after the row count, so a message that started
+    before the row is cut to its later part.  Returns key + ``r1, r2`` (see
+    :func:`reply_events`) for rows that have replies.
+    """
+    pick = lambda i: F.max(F.when(F.col("slot") == i, F.col("reply"))).alias(f"r{i}")
+    return reply_events(utt).groupBy(*KEY).agg(pick(1), pick(2))
 
 
 def render_replies(r1: Column, r2: Column) -> Column:
@@ -300,14 +241,34 @@ def render_replies(r1: Column, r2: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Threaded narrative
 # ---------------------------------------------------------------------------
+def context_events(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """What a threaded narrative is made of, one row per key: the row's own columns, its
+    messages (J1, J3, J4), history (J2) and replies (J5).
+
+    Every lookup gives typed events (key, ``kind`` and its columns); their union meets in one
+    aggregate on the key, instead of each lookup being folded and joined on its own.
+    """
+    own = utt.select(*KEY, F.lit("row").alias("kind"), F.struct("msg_id", "user_id", "message", "reply_to", "category").alias("base"))
+    messages = message_lookups(utt, texts).select(*KEY, F.col("role").alias("kind"), F.struct("msg_id", "n_utts", "text").alias("found"))
+    history = referred_parts(utt, text_if=~_cat_is(CAT_COMMENT)).select(*KEY, F.lit("history").alias("kind"), "n", "part")
+    replies = reply_events(utt).select(*KEY, F.concat(F.lit("r"), F.col("slot")).alias("kind"), "reply")
+    events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [messages, history, replies], own)
+    of = lambda kind, c: F.first(F.when(F.col("kind") == kind, F.col(c)), ignorenulls=True)
+    got = events.groupBy(*KEY).agg(
+        of("row", "base").alias("base"), of("self", "found").alias("own"), of("prev", "found").alias("prev"), of("next", "found").alias("next"),
+        F.sum("n").alias("n_before"), F.collect_list("part").alias("parts"), of("r1", "reply").alias("r1"), of("r2", "reply").alias("r2"),
+    )
+    return got.select(
+        *KEY, "base.*", F.col("own.n_utts").alias("n_utts"), F.col("own.text").alias("text_nonblank"),
+        F.col("prev.msg_id").alias("prev_same_msg"), F.col("prev.text").alias("prev_same_text"),
+        F.col("next.msg_id").alias("next_same_msg"), F.col("next.text").alias("next_same_text"),
+        "n_before", history_text(F.col("parts")).alias("referred"), "r1", "r2",
+    )
+
+
 def context_threaded(utt: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The local-context narrative of every row (threaded layout)."""
-    j = (
-        utt.select(*KEY, "msg_id", "user_id", "message", "reply_to", "category")
-        .join(message_lookups(utt, texts), KEY, "left")
-        .join(referred_messages(utt, text_if=~_cat_is(CAT_COMMENT)), KEY, "left")
-        .join(replies_received(utt), KEY, "left")
-    )
+    j = context_events(utt, texts)
     rid = F.col("row_idx").cast("string")
     user = _s(F.col("user_id"))
     reply_to = _s(F.col("reply_to"))

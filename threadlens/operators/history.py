@@ -63,10 +63,10 @@ def history_pages(utt: DataFrame, page_msgs: int | None = None) -> DataFrame:
     )
 
 
-def referred_messages(utt: DataFrame, text_if: Column | None = None, page_msgs: int | None = None) -> DataFrame:
-    """For each row with a reply target: how many rows the target wrote before it
-    (``n_before``, starter rows included) and the text of the shown ones (``referred``; null
-    for rows where ``text_if`` is false)."""
+def referred_parts(utt: DataFrame, text_if: Column | None = None, page_msgs: int | None = None) -> DataFrame:
+    """For each row with a reply target: a row for every page that begins before it, with the
+    ``n`` rows of the page before it and the ``part`` of the text they show (``struct(page,
+    s)``; null where ``text_if`` is false).  One row with nulls if there is no such page."""
     wanted = F.lit(True) if text_if is None else F.coalesce(text_if, F.lit(False))
     chunk = F.floor(F.col("row_idx") / F.lit(scan.CHUNK_ROWS)).cast("long")
     asks = utt.where(F.col("reply_to").isNotNull() & (F.col("reply_to") != NO_TARGET)).select(
@@ -75,24 +75,31 @@ def referred_messages(utt: DataFrame, text_if: Column | None = None, page_msgs:
     asked = asks.groupBy(*THREAD, "key", "chunk").agg(F.max("row_idx").alias("last"))
     # a page goes to the chunks that have a reply after it begins
     copies = history_pages(utt, page_msgs).join(asked, THREAD + ["key"]).where(F.col("lo") < F.col("last")).drop("last")
-    group = THREAD + ["key", "chunk"]
     a, p = asks.alias("a"), copies.alias("p")
-    on = [F.col(f"a.{c}") == F.col(f"p.{c}") for c in group] + [F.col("p.lo") < F.col("a.row_idx")]
-    met = a.join(p, on, "left")
+    same = [F.col(f"a.{c}") == F.col(f"p.{c}") for c in (*THREAD, "key", "chunk")]
+    met = a.join(p, [*same, F.col("p.lo") < F.col("a.row_idx")], "left")
     whole = F.col("p.hi") < F.col("a.row_idx")
     cut = F.filter("p.items", lambda x: x["row_idx"] < F.col("a.row_idx"))
-    parts = met.select(
+    part = F.struct(F.col("p.page").alias("page"), F.when(whole, F.col("p.text")).otherwise(render_messages(cut)).alias("s"))
+    return met.select(
         *[F.col(f"a.{c}").alias(c) for c in KEY],
         F.when(whole, F.col("p.n")).otherwise(F.size(cut)).alias("n"),
-        F.when(
-            F.col("p.lo").isNotNull() & F.col("a.wanted"),
-            F.struct(F.col("p.page").alias("page"), F.when(whole, F.col("p.text")).otherwise(render_messages(cut)).alias("s")),
-        ).alias("part"),
+        F.when(F.col("p.lo").isNotNull() & F.col("a.wanted"), part).alias("part"),
         F.col("a.wanted").alias("wanted"),
     )
-    got = parts.groupBy(*KEY).agg(
+
+
+def history_text(parts: Column) -> Column:
+    """The text of a reply's ``parts``, in page order."""
+    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["s"]), "")
+
+
+def referred_messages(utt: DataFrame, text_if: Column | None = None, page_msgs: int | None = None) -> DataFrame:
+    """For each row with a reply target: how many rows the target wrote before it
+    (``n_before``, starter rows included) and the text of the shown ones (``referred``; null
+    for rows where ``text_if`` is false)."""
+    got = referred_parts(utt, text_if, page_msgs).groupBy(*KEY).agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_before"),
-        F.array_sort(F.collect_list("part")).alias("parts"), F.first("wanted").alias("wanted"),
+        F.collect_list("part").alias("parts"), F.first("wanted").alias("wanted"),
     )
-    text = F.array_join(F.transform("parts", lambda x: x["s"]), "")
-    return got.select(*KEY, "n_before", F.when(F.col("wanted"), text).alias("referred"))
+    return got.select(*KEY, "n_before", F.when(F.col("wanted"), history_text(F.col("parts"))).alias("referred"))

@@ -35,15 +35,20 @@ CUR = Window.currentRow
 @dataclass(frozen=True)
 class Op:
     """``kind``: ``last`` (running last non-null, current row included),
-    ``prev`` (value of the previous row of the group, like ``lag``) or
-    ``count`` (1-based running row count, like ``row_number``; ``value`` unused),
-    ``sum`` (running sum) or ``collect`` (running ``collect_list``, unordered:
-    callers sort the array)."""
+    ``prev`` (value of the previous row of the group, like ``lag``),
+    ``count`` (1-based running row count, like ``row_number``; ``value`` unused) or
+    ``two`` (the last non-null value, current row included, and the last one before it that
+    differs from it in ``by``: a struct ``first, second``; nulls are passed over)."""
 
     kind: str
     value: str
     out: str
     reverse: bool = False
+    by: str | None = None
+
+    def differ(self, a: Column, b: Column) -> Column:
+        """Whether two values are there and differ (in ``by``, for structs)."""
+        return (a[self.by] if self.by else a) != (b[self.by] if self.by else b)
 
 
 def chunked(df: DataFrame, group: list[str], chunk_rows: int | None = None) -> DataFrame:
@@ -62,11 +67,24 @@ def _ord_key(tiebreak: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in ["row_idx"] + tiebreak])
 
 
+def _two(op: Op, w: Window, key: Column, marks: dict, local: dict, summary: list) -> None:
+    """What a ``two`` needs of a chunk: marks where the value changes, local results, summary."""
+    value, mark = F.col(op.value), F.col(f"_m_{op.out}")
+    before = F.last(op.value, ignorenulls=True).over(w.rowsBetween(UNB, -1))
+    marks[f"_m_{op.out}"] = F.when(op.differ(before, value), before)
+    local[op.out] = F.last(op.value, ignorenulls=True).over(w.rowsBetween(UNB, CUR))
+    local[f"{op.out}_2"] = F.last(mark, ignorenulls=True).over(w.rowsBetween(UNB, CUR))
+    ends = F.min_by if op.reverse else F.max_by
+    summary.append(ends(op.value, F.when(value.isNotNull(), key)).alias(f"_s_{op.out}"))
+    summary.append(ends(mark, F.when(mark.isNotNull(), key)).alias(f"_s_{op.out}_2"))
+
+
 def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | None = None) -> DataFrame:
     """Apply ``ops`` to ``df`` (already :func:`chunked` on ``group``)."""
     tiebreak = tiebreak or []
     local = {}
     firsts = {}
+    marks = {}
     summary = []
     for op in ops:
         w = Window.partitionBy(*group, "_chunk").orderBy(*_order(op.reverse, tiebreak))
@@ -82,16 +100,14 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
         elif op.kind == "count":
             local[op.out] = F.row_number().over(w).cast("long")
             agg = F.count(F.lit(1))
-        elif op.kind == "sum":
-            local[op.out] = F.sum(op.value).over(w.rowsBetween(UNB, CUR))
-            agg = F.sum(op.value)
-        elif op.kind == "collect":
-            local[op.out] = F.collect_list(op.value).over(w.rowsBetween(UNB, CUR))
-            agg = F.collect_list(op.value)
+        elif op.kind == "two":
+            _two(op, w, key, marks, local, summary)
+            continue
         else:
             raise ValueError(op.kind)
         summary.append(agg.alias(f"_s_{op.out}"))
 
+    df = df.withColumns(marks) if marks else df
     cols = {f"_l_{o}": c for o, c in local.items()}
     cols.update({f"_f_{o}": c for o, c in firsts.items()})
     d = df.withColumns(cols)
@@ -103,11 +119,15 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
         s = F.col(f"_s_{op.out}")
         if op.kind == "last":
             carries.append(F.last(s, ignorenulls=True).over(wc.rowsBetween(UNB, -1)).alias(f"_c_{op.out}"))
-        elif op.kind in ("count", "sum"):
+        elif op.kind == "count":
             carries.append(F.sum(s).over(wc.rowsBetween(UNB, -1)).alias(f"_c_{op.out}"))
-        elif op.kind == "collect":
-            prior = F.collect_list(s).over(wc.rowsBetween(UNB, -1))
-            carries.append(F.when(F.size(prior) > 0, F.flatten(prior)).alias(f"_c_{op.out}"))
+        elif op.kind == "two":
+            before = F.last(s, ignorenulls=True).over(wc.rowsBetween(UNB, -1))
+            # what a chunk leaves as second: its own, or what it found if it holds one value only
+            left = F.coalesce(F.col(f"_s_{op.out}_2"), F.when(op.differ(before, s), before))
+            summ = summ.withColumn(f"_q_{op.out}", left)
+            second = F.last(f"_q_{op.out}", ignorenulls=True).over(wc.rowsBetween(UNB, -1))
+            carries.append(F.when(before.isNotNull(), F.struct(before.alias("first"), second.alias("second"))).alias(f"_c_{op.out}"))
         else:
             carries.append(F.lag(s).over(wc).alias(f"_c_{op.out}"))
     carry = summ.select(*group, "_chunk", *carries)
@@ -124,11 +144,16 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
         loc, car = F.col(f"_l_{op.out}"), F.col(f"_c_{op.out}")
         if op.kind == "last":
             outs[op.out] = F.coalesce(loc, car)
-        elif op.kind in ("count", "sum"):
+        elif op.kind == "count":
             outs[op.out] = loc + F.coalesce(car, F.lit(0)).cast(dict(j.dtypes)[f"_l_{op.out}"])
-        elif op.kind == "collect":
-            outs[op.out] = F.when(car.isNull(), loc).otherwise(F.concat(car, loc))
+        elif op.kind == "two":
+            one, two = F.col(f"_l_{op.out}"), F.col(f"_l_{op.out}_2")
+            changed = F.when(op.differ(car["first"], one), car["first"]).otherwise(car["second"])
+            outs[op.out] = F.struct(
+                F.coalesce(one, car["first"]).alias("first"),
+                F.when(one.isNull(), car["second"]).otherwise(F.coalesce(two, changed)).alias("second"),
+            )
         else:
             outs[op.out] = F.when(F.col(f"_f_{op.out}"), car).otherwise(loc)
-    tmp = [c for c in j.columns if c.startswith(("_l_", "_f_", "_c_"))]
+    tmp = [c for c in j.columns if c.startswith(("_l_", "_f_", "_c_", "_m_"))]
     return j.withColumns(outs).drop(*tmp)
