@@ -3,10 +3,19 @@
 Round ``a`` sends every row whose attempt ``a - 1`` did not end to the generator with
 seed ``93187 + a``, parses the answers and appends them to ``<ledger>/round=<a>`` in
 ``commit_parts`` jobs (by key hash) *before* anything else reads them, so a crash loses
-at most one part's calls.  When no row of a round is missing, a marker is written
-beside the ledger.  A round without its marker is completed: rows it already holds are not
-sent again, whatever the reason it is incomplete.  The rows a round has to send are stored
-too, so a later round reads them and not the whole prompts table.
+at most one part's calls.
+
+One write job is all that a part of a round costs: its rows are those of the round before
+that still carry their prompt (a row that has ended does not, so the next round reads
+no prompts but those it sends, and joins nothing), and how many rows are left and when the
+first of them is due are metrics observed in the write (``DataFrame.observe``).  Each written part adds a line to
+the frontier, a small table beside the ledger from which a new run takes up the work: lines
+are read once, parts that have one are skipped.  A part without a line may have left files;
+the rows in them are not sent again.
+
+With ``backoff`` every row has its own due time, 2^attempt s after its call ended (at most
+``max_wait``).  The driver sleeps until the first row of a round is due, the tasks wait for the others one
+by one; nobody waits for the slowest row of the round before.
 
 Terminal attempts: ``ok`` (valid annotation) and ``flagged`` (content-policy
 error).  Everything else (``api_error``, ``reason_short``, ``no_tags``,
@@ -17,13 +26,14 @@ from __future__ import annotations
 
 import os
 import time
+from collections import namedtuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import BASE_SEED, DEFAULT_MAX_TRIES, STATUS_FAILED, STATUS_FLAGGED
 from ..functions.text import is_policy_error
-from ..session import is_complete, mark_complete, scratch_path, table_exists
+from ..session import is_complete, mark_complete, read_if_there, scratch_path
 from .context import KEY
 from .generate import TextGenerator, backoff_seconds, generate
 from .parse import parse_responses
@@ -33,6 +43,14 @@ LEDGER_COLUMNS = KEY + [
     "attempt", "seed", "response", "error", "ts", "outcome",
     "act", "politeness", "meta", "nbf", "reasoning", "backoff_s",
 ]
+LEDGER_SCHEMA = (
+    "corpus string, thread_id bigint, row_idx bigint, attempt int, seed bigint, response string, error string, ts double, "
+    "outcome string, act string, politeness string, meta string, nbf string, reasoning string, backoff_s double"
+)
+PROMPT_SCHEMA = "corpus string, thread_id bigint, row_idx bigint, user_prompt string"
+# of the frontier: a written part of a round, the rows it leaves and when the first of them is due
+FRONTIER_SCHEMA = "attempt int, part int, parts int, left_over bigint, first_due double"
+Line = namedtuple("Line", [c.split()[0] for c in FRONTIER_SCHEMA.split(", ")])
 
 
 def classify_attempts(gen: DataFrame) -> DataFrame:
@@ -42,11 +60,17 @@ def classify_attempts(gen: DataFrame) -> DataFrame:
         F.when(F.col("error").isNotNull(), F.when(is_policy_error(F.col("error")), F.lit("flagged")).otherwise(F.lit("api_error")))
         .otherwise(F.col("outcome"))
     )
-    return parsed.withColumn("outcome", outcome).withColumn("backoff_s", backoff_seconds(F.col("attempt"))).select(*LEDGER_COLUMNS)
+    kept = [c for c in ("user_prompt", "ended") if c in gen.columns]
+    return parsed.withColumn("outcome", outcome).withColumn("backoff_s", backoff_seconds(F.col("attempt"))).select(*LEDGER_COLUMNS, *kept)
 
 
 def read_ledger(spark, ledger_dir: str) -> DataFrame:
-    return spark.read.parquet(ledger_dir).select(*LEDGER_COLUMNS)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_dir).select(*LEDGER_COLUMNS)
+
+
+def _retries(rounds: DataFrame) -> DataFrame:
+    """The rows of a written round that have to be sent again: those with their prompt."""
+    return rounds.where(F.col("user_prompt").isNotNull()).select(*KEY, "user_prompt", "due")
 
 
 def run_rounds(
@@ -65,38 +89,57 @@ def run_rounds(
 ) -> str:
     """Run attempt rounds for every row of ``prompts`` (key + ``user_prompt``).
 
-    With ``backoff`` the driver waits 2^attempt s (at most ``max_wait`` s where given)
-    before retrying a round, as a rate-limited API needs.  The first round is committed in
-    ``commit_parts`` parts, each later one in half as many.  Markers and pending rows go to
+    With ``backoff`` a row waits 2^attempt s (at most ``max_wait`` s where given) after its
+    call before it is sent again, as a rate-limited API needs.  The first round is committed in
+    ``commit_parts`` parts, each later one in half as many.  The frontier goes to
     ``state_dir`` (default: beside the ledger).  Returns the ledger folder.
     """
     spark = prompts.sparkSession
     ledger_dir = ledger_dir or scratch_path(spark, "attempts")
-    state_dir = state_dir or f"{ledger_dir.rstrip('/')}-state"
-    ended = F.col("outcome").isin(TERMINAL)
+    frontier_at = os.path.join(state_dir or f"{ledger_dir.rstrip('/')}-state", "frontier")
+    known = read_if_there(spark, frontier_at, FRONTIER_SCHEMA)
+    frontier = {(r.attempt, r.part): r for r in known.collect()} if known is not None else {}  # a line per part
+    round_schema = f"{LEDGER_SCHEMA}, user_prompt string, due double"
+    again = ~F.col("outcome").isin(TERMINAL)
+    wait = F.col("backoff_s") if max_wait is None else F.least(F.col("backoff_s"), F.lit(float(max_wait)))
     for attempt in range(max_tries):
-        out, todo_at = f"{ledger_dir}/round={attempt}", f"{state_dir}/pending={attempt}"
-        if not is_complete(spark, f"{state_dir}/round={attempt}"):
-            pending = prompts.select(*KEY, "user_prompt")
-            if attempt > 0:
-                again = spark.read.parquet(f"{ledger_dir}/round={attempt - 1}").where(~ended).select(*KEY)
-                before = spark.read.parquet(f"{state_dir}/pending={attempt - 1}") if attempt > 1 else pending
-                before.join(again, KEY, "left_semi").write.mode("overwrite").parquet(todo_at)
-                pending = spark.read.parquet(todo_at)
-            if table_exists(spark, out):
-                pending = pending.join(spark.read.parquet(out).select(*KEY), KEY, "left_anti")
-            if backoff and attempt > 0:
-                wait = 2 ** (attempt - 1)
-                time.sleep(wait if max_wait is None else min(wait, max_wait))
-            parts = max(1, commit_parts >> attempt)
-            for part in range(parts):
-                rows = pending.where(F.pmod(F.xxhash64(*KEY), F.lit(parts)) == part) if parts > 1 else pending
-                gen = generate(
-                    rows.withColumn("attempt", F.lit(attempt)), generator, system_prompt, parallelism, batch_rows, model
-                )
-                classify_attempts(gen).write.mode("append").parquet(out)
-            mark_complete(spark, f"{state_dir}/round={attempt}")
-        if spark.read.parquet(out).where(~ended).isEmpty():
+        out = f"{ledger_dir}/round={attempt}"
+        parts = next((r.parts for (a, _), r in frontier.items() if a == attempt), max(1, commit_parts >> attempt))
+        missing = [p for p in range(parts) if (attempt, p) not in frontier]
+        if missing:
+            if attempt == 0:
+                pending = prompts.select(*KEY, F.coalesce("user_prompt", F.lit("")).alias("user_prompt"))
+            else:
+                pending = _retries(spark.read.schema(round_schema).parquet(f"{ledger_dir}/round={attempt - 1}"))
+                due = [r.first_due for (a, _), r in frontier.items() if a == attempt - 1 and r.first_due is not None]
+                if backoff and due:
+                    time.sleep(max(0.0, min(due) - time.time()))
+            if not backoff and attempt:
+                pending = pending.drop("due")
+            # files of a part that was not finished; parts with a line in the frontier are not looked at
+            left = read_if_there(spark, out, round_schema)
+            if left is not None:
+                pending = pending.join(left.select(*KEY), KEY, "left_anti")
+        for part in missing:
+            mine = F.pmod(F.xxhash64(*KEY), F.lit(parts)) == part
+            gen = generate(
+                pending.where(mine).withColumn("attempt", F.lit(attempt)), generator, system_prompt, parallelism, batch_rows, model, keep=True
+            )
+            done = classify_attempts(gen)
+            done = done.withColumns(
+                {"user_prompt": F.when(again, F.col("user_prompt")), "due": F.when(again, F.col("ended") + wait)}
+            ).drop("ended")
+            seen = Observation()
+            done.observe(seen, F.count("user_prompt").alias("n"), F.min("due").alias("due")).write.mode("append").parquet(out)
+            n, due = seen.get["n"], seen.get["due"]
+            if left is not None:
+                old = left.where(mine).agg(F.count("user_prompt").alias("n"), F.min("due").alias("due")).first()
+                n, due = n + old.n, min((x for x in (due, old.due) if x is not None), default=None)
+            line = Line(attempt, part, parts, n, due)
+            typed = [F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for v, c in zip(line, FRONTIER_SCHEMA.split(", "), strict=True)]
+            spark.range(1).coalesce(1).select(*typed).write.mode("append").parquet(frontier_at)
+            frontier[attempt, part] = line
+        if not sum(frontier[attempt, p].left_over for p in range(parts)):
             break
     return ledger_dir
 
@@ -164,6 +207,6 @@ def annotate(
     if not is_complete(spark, done):
         prompts.select(*KEY, "user_prompt").write.mode("overwrite").parquet(at)
         mark_complete(spark, done)
-    stored = spark.read.parquet(at)
+    stored = spark.read.schema(PROMPT_SCHEMA).parquet(at)
     ledger_dir = run_rounds(stored, generator, system_prompt, max_tries, os.path.join(work_dir, "attempts"), **options)
     return resolve_attempts(stored, read_ledger(spark, ledger_dir), max_tries), ledger_dir

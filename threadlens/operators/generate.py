@@ -32,6 +32,8 @@ GEN_SCHEMA = (
     "corpus string, thread_id bigint, row_idx bigint, attempt int, seed bigint, "
     "response string, error string, ts double"
 )
+# what a call can keep of its row: the prompt as it came, and when the answer was there
+KEPT_SCHEMA = "user_prompt string, ended double"
 EMPTY_OUTPUT = "empty output"
 
 
@@ -215,6 +217,7 @@ def generate(
     parallelism: int | None = None,
     batch_rows: int | None = None,
     model: str | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Call the generator once per pending attempt.
 
@@ -226,15 +229,16 @@ def generate(
     model: the API concurrency limit); None keeps the input's partitioning.
     ``batch_rows`` bounds the prompts per generator call (the Arrow batch is split);
     None passes whole batches.  ``model`` selects the settings the generator gets.
+    ``keep`` also returns each row's prompt and the time its call ended.  A column ``due`` (epoch
+    seconds, may be null) is the time before which a row must not be sent: a task takes the
+    rows of an Arrow batch in that order and waits for those that are not due yet.
     """
     settings = settings_for(model) if model else None
     src = pending.select(
         "corpus", "thread_id", "row_idx", F.col("attempt").cast("int").alias("attempt"),
-        attempt_seed(F.col("attempt")).alias("seed"), "user_prompt",
+        attempt_seed(F.col("attempt")).alias("seed"), "user_prompt", *(["due"] if "due" in pending.columns else []),
     )
-    if settings and settings.flat_prompt:
-        src = src.withColumn("user_prompt", flat_prompt(F.lit(system_prompt), F.col("user_prompt")))
-        system_prompt = ""
+    flat = bool(settings and settings.flat_prompt)
     if parallelism:
         src = src.repartition(parallelism)
 
@@ -243,13 +247,22 @@ def generate(
         generator.open()
         try:
             for whole in batches:
+                if "due" in whole:
+                    whole = whole.sort_values("due", kind="stable", na_position="first")
                 size = batch_rows or max(1, len(whole))
                 for i in range(0, len(whole), size):
                     pdf = whole.iloc[i : i + size].reset_index(drop=True)
-                    got = pd.DataFrame(_call(generator, pdf, system_prompt), columns=["response", "error", "ts"], dtype=object)
+                    if "due" in pdf:
+                        wait = (pdf["due"].max() or 0) - time.time()
+                        time.sleep(wait if wait > 0 else 0)  # a missing time compares as not later
+                        pdf = pdf.drop(columns="due")
+                    asked = pdf.assign(user_prompt=system_prompt + "\n\n" + pdf["user_prompt"]) if flat else pdf
+                    answers = _call(generator, asked, "" if flat else system_prompt)
+                    got = pd.DataFrame(answers, columns=["response", "error", "ts"], dtype=object)
                     keys = pdf[["corpus", "thread_id", "row_idx", "attempt", "seed"]]
-                    yield pd.concat([keys, got.astype({"ts": float})], axis=1)
+                    out = pd.concat([keys, got.astype({"ts": float})], axis=1)
+                    yield out.assign(user_prompt=pdf["user_prompt"], ended=time.time()) if keep else out
         finally:
             generator.close()
 
-    return src.mapInPandas(run, GEN_SCHEMA)
+    return src.mapInPandas(run, f"{GEN_SCHEMA}, {KEPT_SCHEMA}" if keep else GEN_SCHEMA)

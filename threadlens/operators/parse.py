@@ -8,6 +8,8 @@ unknown values.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +55,20 @@ def parse_responses(df: DataFrame, response_col: str = "response") -> DataFrame:
     ``act``..``nbf`` are set only when ``outcome = 'ok'``; ``reasoning`` always.
     A null response (the call failed) gives null outcome: the caller decides.
     """
+    for columns in _steps(df.sparkSession.sparkContext.applicationId, response_col):
+        df = df.withColumns(columns)
+    return df.drop("_j")
+
+
+@lru_cache(maxsize=8)
+def _steps(app: str, response_col: str) -> list[dict[str, Column]]:
+    """The columns that :func:`parse_responses` adds, step by step.
+
+    They are the same for every table, and making these expressions takes the driver longer than a small round takes
+    to run, so they are made once per application.
+    """
     r = F.col(response_col)
-    tmp = df.withColumns(
-        {
-            "reasoning": reasoning_of(r),
-            "_j": parse_json_object(between_tags(r, ANNOT_OPEN, ANNOT_CLOSE)),
-        }
-    )
+    read = {"reasoning": reasoning_of(r), "_j": parse_json_object(between_tags(r, ANNOT_OPEN, ANNOT_CLOSE))}
     act = py_strip(variant_string(F.col(f"_j.`{KEY_ACT}`")))
     pol = politeness_code(F.col(f"_j.`{KEY_POLITENESS}`"))
     meta_raw = py_strip(variant_text(F.col(f"_j.`{KEY_META}`")))
@@ -73,14 +82,12 @@ def parse_responses(df: DataFrame, response_col: str = "response") -> DataFrame:
         .when(~politeness_ok(pol), F.lit("bad_politeness"))
         .otherwise(F.lit("ok"))
     )
-    tmp = tmp.withColumn("outcome", outcome)
     ok = F.col("outcome") == "ok"
-    return tmp.withColumns(
-        {
-            "act": F.when(ok, act),
-            "politeness": F.when(ok, pol),
-            "meta": F.when(ok, clean_tag_list(meta_raw, ALLOWED_META)),
-            "nbf": F.when(ok, clean_tag_list(nbf_raw, ALLOWED_NON_BONA_FIDE)),
-            "rejected_meta": F.when(ok, F.concat(rejected_tags(meta_raw, ALLOWED_META), rejected_tags(nbf_raw, ALLOWED_NON_BONA_FIDE))),
-        }
-    ).drop("_j")
+    fields = {
+        "act": F.when(ok, act),
+        "politeness": F.when(ok, pol),
+        "meta": F.when(ok, clean_tag_list(meta_raw, ALLOWED_META)),
+        "nbf": F.when(ok, clean_tag_list(nbf_raw, ALLOWED_NON_BONA_FIDE)),
+        "rejected_meta": F.when(ok, F.concat(rejected_tags(meta_raw, ALLOWED_META), rejected_tags(nbf_raw, ALLOWED_NON_BONA_FIDE))),
+    }
+    return [read, {"outcome": outcome}, fields]

@@ -11,7 +11,8 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins at run time (coalescing small
 # shuffle partitions, splitting skewed ones); the Arrow settings size the batches
@@ -117,13 +118,20 @@ def mark_complete(spark: SparkSession, path: str) -> None:
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether :func:`mark_complete` was called for ``path``."""
-    return table_exists(spark, path) and not spark.read.parquet(path).isEmpty()
+    marker = read_if_there(spark, path, "id bigint")
+    return marker is not None and not marker.isEmpty()
+
+
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet table at ``path``, read by ``schema`` (no job infers it); None without a folder."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether any readable Parquet file is at ``path`` (it may be part of a table)."""
-    from pyspark.errors import AnalysisException
-
     try:
         spark.read.parquet(path).schema
         return True
