@@ -55,7 +55,6 @@ STATUS_FLAGGED = "__FLAGGED__"
 BASE_SEED = 93187
 DEFAULT_MAX_TRIES = 20
 DEBUG_ROWS = 20
-CHECKPOINT_ROWS = 20
 
 # category values of the threaded layout
 CAT_ORIGINAL_POST = "Original post"

@@ -34,11 +34,6 @@ def text_or_blank(c) -> Column:
     return py_strip(F.coalesce(_col(c), F.lit("")))
 
 
-def is_blank(c) -> Column:
-    """True when the cell is null or only whitespace."""
-    return F.coalesce(py_strip(_col(c)) == "", F.lit(True))
-
-
 def between_tags(c, open_tag: str, close_tag: str) -> Column:
     """Text after the first ``open_tag`` up to the next ``close_tag``, stripped.
 

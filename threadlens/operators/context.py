@@ -26,7 +26,7 @@ from ..constants import CAT_COMMENT, CAT_ORIGINAL_POST, LAYOUT_THREADED
 from ..functions.text import py_strip, text_or_blank
 from .history import history_text, referred_parts
 from .messages import MSG, message_texts
-from .scan import Op, chunked, scan
+from .scan import Op, attach, chunked, scan
 from .schema import THREAD, has_reply_target, threaded_flags
 
 KEY = THREAD + ["row_idx"]
@@ -108,12 +108,7 @@ def context_pair(utt: DataFrame) -> DataFrame:
     flags = threaded_flags(utt)
     parent = reply_parent(utt)
     nb = neighbour_rows(utt)
-    j = (
-        utt.select(*KEY)
-        .join(flags, THREAD, "left")
-        .join(parent, KEY, "left")
-        .join(nb, KEY, "left")
-    )
+    j = attach(nb, flags, THREAD).join(parent, KEY, "left")
     threaded = F.coalesce(F.col("threaded"), F.lit(False))
     return j.select(
         *KEY,

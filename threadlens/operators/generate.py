@@ -158,11 +158,6 @@ def backend_route(model: Column) -> Column:
     return expr.when(F.lower(model).contains(sub), F.lit(backend))
 
 
-def model_tag(model: Column) -> Column:
-    """Model name before the first '-' (the whole name when there is none)."""
-    return F.split_part(model, F.lit("-"), F.lit(1))
-
-
 def backend_params(spark: SparkSession) -> DataFrame:
     """sampling settings per backend (four rows, from fixed values)."""
     return spark.createDataFrame(

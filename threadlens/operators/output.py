@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import OUTPUT_COLUMNS
@@ -48,12 +48,38 @@ def annotated_output(
     return j.select(*base, *OUTPUT_COLUMNS)
 
 
-def write_annotations(df: DataFrame, path: str, csv_path: str | None = None) -> None:
-    """The output as Parquet partitioned by corpus (the source of truth),
-    optionally also exported as quoted CSV with a header."""
-    df.write.mode("overwrite").partitionBy("corpus").parquet(path)
-    if csv_path:
-        df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(csv_path)
+def write_annotations(df: DataFrame, base: str, rid: str, csv: bool = False) -> str:
+    """One run's output under ``base``; returns the folder of its table.
+
+    Parquet partitioned by corpus (the source of truth), optionally also exported as quoted CSV with a
+    header.  A run has a folder of its own, ``run_id=<rid>``, and never overwrites: a
+    second run with the same id fails.  The line in ``complete`` is written last, so a run
+    that died is not read.
+    """
+    spark = df.sparkSession
+    path = f"{base}/table/run_id={rid}"
+    df.write.partitionBy("corpus").parquet(path)
+    if csv:
+        df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{base}/csv/run_id={rid}")
+    line = spark.range(1).coalesce(1).select(F.lit(rid).alias("run_id"), F.current_timestamp().alias("ended"))
+    line.write.mode("append").parquet(f"{base}/complete")
+    return path
+
+
+def complete_runs(spark: SparkSession, base: str) -> DataFrame:
+    """``run_id, ended`` of the runs under ``base`` that were written in full."""
+    return spark.read.schema("run_id string, ended timestamp").parquet(f"{base}/complete")
+
+
+def read_run(spark: SparkSession, base: str, rid: str | None = None) -> DataFrame:
+    """The output of a complete run, the newest one by default, with its ``run_id``."""
+    runs = complete_runs(spark, base)
+    known = runs if rid is None else runs.where(F.col("run_id") == rid)
+    newest = known.agg(F.max_by("run_id", F.struct("ended", "run_id")).alias("r")).first().r
+    if newest is None:
+        raise ValueError(f"no complete run {rid or ''} under {base}")
+    # the id comes from the folder's name: the read is pruned to that folder
+    return spark.read.option("basePath", f"{base}/table").parquet(f"{base}/table/run_id={newest}")
 
 
 # -- X15: run stamp and output naming ----------------------------------------------
@@ -69,13 +95,3 @@ def run_id(input_path: str, model: str, stamp: str) -> str:
     """``<input stem>_annotated_<model with / and - as _>_<stamp>``."""
     stem = os.path.splitext(os.path.basename(input_path.rstrip("/")))[0]
     return f"{stem}_annotated_{model.replace('/', '_').replace('-', '_')}_{stamp}"
-
-
-def with_run_id(df: DataFrame, rid: str) -> DataFrame:
-    """Tag output rows with their run (a partition column of the output table)."""
-    return df.withColumn("run_id", F.lit(rid))
-
-
-def epoch_to_timestamp(c: Column) -> Column:
-    """Provider epoch seconds (float) as a timestamp."""
-    return F.timestamp_seconds(c)

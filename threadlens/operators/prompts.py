@@ -20,6 +20,7 @@ from ..constants import (
 )
 from ..functions.text import py_strip
 from .context import KEY, local_context
+from .scan import attach
 from .schema import THREAD, is_thread_starter
 
 DEFAULT_SYSTEM_PROMPT = os.path.join(os.path.dirname(os.path.dirname(__file__)), "assets", "system_prompt.md")
@@ -74,11 +75,8 @@ def starter_texts(utt: DataFrame) -> DataFrame:
     )
 
 
-def global_context(utt: DataFrame, bg: DataFrame | None = None, on: str = "layout") -> DataFrame:
-    """A2: per thread, ``background ⏎⏎ Thread starter messages: ⏎ - <msg> ...`` with
-    starter messages in first-appearance order.  Only starter rows are shuffled
-    for the text; the background table (one row per layout/corpus) is broadcast."""
-    bg = bg if bg is not None else backgrounds(utt.sparkSession)
+def thread_contexts(utt: DataFrame, bg: DataFrame | None = None, on: str = "layout") -> DataFrame:
+    """:func:`global_context` with each thread's largest row (``last_row``)."""
     lines = starter_texts(utt).groupBy(*THREAD).agg(
         F.array_join(
             F.transform(
@@ -88,10 +86,13 @@ def global_context(utt: DataFrame, bg: DataFrame | None = None, on: str = "layou
             "\n",
         ).alias("starter_lines")
     )
-    threads = utt.select(*THREAD, on).distinct()
-    j = threads.join(lines, THREAD, "left").join(F.broadcast(bg), on, "left")
+    threads = utt.groupBy(*THREAD, on).agg(F.max("row_idx").alias("last_row"))
+    # the built-in table has two rows; of a caller's table the planner knows the size
+    told = bg if bg is not None else F.broadcast(backgrounds(utt.sparkSession))
+    j = threads.join(lines, THREAD, "left").join(told, on, "left")
     return j.select(
         *THREAD,
+        "last_row",
         F.concat(
             F.coalesce(F.col("background"), F.lit("")),
             F.lit("\n\n" + THREAD_STARTERS_HEADER + "\n"),
@@ -100,6 +101,13 @@ def global_context(utt: DataFrame, bg: DataFrame | None = None, on: str = "layou
     )
 
 
+def global_context(utt: DataFrame, bg: DataFrame | None = None, on: str = "layout") -> DataFrame:
+    """A2: per thread, ``background ⏎⏎ Thread starter messages: ⏎ - <msg> ...`` with
+    starter messages in first-appearance order.  Only starter rows are shuffled
+    for the text."""
+    return thread_contexts(utt, bg, on).drop("last_row")
+
+
 # -- C4: prompts -----------------------------------------------------------------------
 def reasoning_block(model: str) -> str:
     tag = model.split("-")[0] if "-" in model else model
@@ -114,12 +122,12 @@ def user_prompts(
 ) -> DataFrame:
     """C4: the user message of every row: task ⏎⏎ global ⏎⏎ narrative ⏎ reasoning ⏎ format.
 
+    A thread's context meets its rows under (thread, chunk), so a hot thread is many tasks.
     Returns key + ``user_prompt``.  The system message is the same for every row
     and is attached only where a full chat transcript is needed (X13).
     """
     narratives = narratives if narratives is not None else local_context(utt)
-    glob = global_context(utt, bg)
-    j = narratives.join(glob, THREAD, "left")
+    j = attach(narratives, thread_contexts(utt, bg), THREAD)
     return j.select(
         *KEY,
         F.concat(

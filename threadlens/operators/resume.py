@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..constants import OUTPUT_COLUMNS, STATUS_FAILED, STATUS_FLAGGED
 from ..functions.text import py_strip
 from .context import KEY
+from .schema import THREAD
 
 STATUS_MARKERS = [STATUS_FAILED, STATUS_FLAGGED]
+WORD_ROWS = 64  # rows of a thread whose completion is one long
 
 
 def read_annotations(spark, path: str, fmt: str = "parquet") -> DataFrame:
@@ -48,9 +50,24 @@ def classify_prior(prior: DataFrame, retry_failed: bool = False) -> DataFrame:
 
 
 def todo_rows(utt: DataFrame, prior: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """Utterances still to annotate = all rows minus completed ones."""
-    completed = classify_prior(prior, retry_failed).where(F.col("prior_status") != "todo").select(*KEY)
-    return utt.join(completed, KEY, "left_anti")
+    """Utterances still to annotate = all rows minus completed ones.
+
+    A thread's completed rows are exact bitmaps, one number for 64 rows, so that what is
+    shuffled of a previous run is a value per (thread, 64 rows) instead of a key per row, and the
+    rows test their bit.  A hot thread is as many keys as it has such words.
+    """
+    completed = classify_prior(prior, retry_failed).where(F.col("prior_status") != "todo")
+    done = completed.groupBy(*THREAD, _word().alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({_BIT} AS int))")).alias("_done"))
+    tested = utt.withColumn("_word", _word()).join(done, [*THREAD, "_word"], "left")
+    bit = F.expr(f"shiftright(_done, cast({_BIT} AS int)) & 1L")
+    return tested.where(F.coalesce(bit, F.lit(0)) == 0).select(*utt.columns)
+
+
+_BIT = f"pmod(row_idx, {WORD_ROWS})"
+
+
+def _word() -> Column:
+    return F.floor(F.col("row_idx") / F.lit(WORD_ROWS)).cast("long")
 
 
 def merge_annotations(*outputs: DataFrame) -> DataFrame:

@@ -157,3 +157,17 @@ def scan(df: DataFrame, group: list[str], ops: list[Op], tiebreak: list[str] | N
             outs[op.out] = F.when(F.col(f"_f_{op.out}"), car).otherwise(loc)
     tmp = [c for c in j.columns if c.startswith(("_l_", "_f_", "_c_", "_m_"))]
     return j.withColumns(outs).drop(*tmp)
+
+
+def attach(rows: DataFrame, one: DataFrame, group: list[str], last: str = "last_row") -> DataFrame:
+    """``rows`` left-joined with ``one``, a table of one row per group.
+
+    A join on the group alone would bring all rows of a group to one task.  ``one`` says how
+    far a group goes (``last``: its largest ``row_idx``), so its row is copied to the chunks that
+    the group has, which is one for most groups, and the join is on (group, chunk).
+    """
+    size = F.lit(CHUNK_ROWS)
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor(F.col(last) / size).cast("long"))
+    copies = one.withColumn("_chunk", F.explode(chunks)).drop(last)
+    at = rows.withColumn("_chunk", F.floor(F.col("row_idx") / size).cast("long"))
+    return at.join(copies, [*group, "_chunk"], "left").drop("_chunk")

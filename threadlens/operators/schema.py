@@ -71,7 +71,7 @@ def canonicalise(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     missing = [c for c in FILLED_IF_ABSENT if c not in renamed.columns]
     if missing:
         renamed = renamed.withColumns({c: F.lit("") for c in missing})
-    renamed = renamed.withColumn("msg_id", F.col("msg_id").cast("long"))
+    renamed = renamed.withColumn("msg_id", message_number(renamed))
     renamed = renamed.withColumn("user_id", F.col("user_id").cast("string"))
     if "utt_no" not in renamed.columns:
         renamed = with_utterance_number(renamed, [k for k in keys if k != "row_idx"])
@@ -83,6 +83,39 @@ def canonicalise(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return renamed.select(*lead, *base, *rest)
 
 
+def message_number(df: DataFrame) -> Column:
+    """``msg_id`` as a whole number (text like ``7`` or ``7.0`` too), null where it is none."""
+    if dict(df.dtypes)["msg_id"] != "string":
+        return F.col("msg_id").cast("long")
+    real = F.col("msg_id").try_cast("double")
+    whole = F.when(real == F.floor(real), real.try_cast("bigint"))
+    return F.coalesce(F.col("msg_id").try_cast("bigint"), whole)
+
+
+MISSING_NUMBER = "missing message number"
+BAD_NUMBER = "message number is not a whole number"
+
+
+def split_rejects(df: DataFrame, path: str, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(canonical rows, rejected rows with ``reject_reason``) of an export-shaped table.
+
+    Later steps need a message number, so rows without one are set apart.  One pass writes
+    both outputs as partitions of ``path``; reading either prunes to its files.  Accepted
+    rows keep their ``row_idx``.  ``raw_msg_id`` is the number as the export had it.
+    """
+    names = {k: v for k, v in EXPORT_NAMES.items() if k in df.columns}
+    own = next((k for k, v in names.items() if v == "msg_id"), "msg_id")
+    require_columns([*df.columns, *names.values()])
+    made = canonicalise(df.withColumn("raw_msg_id", F.col(f"`{own}`").cast("string")), keys)
+    blank = F.coalesce(py_strip(F.col("raw_msg_id")), F.lit("")) == ""
+    reason = F.when(F.col("msg_id").isNull(), F.when(blank, F.lit(MISSING_NUMBER)).otherwise(F.lit(BAD_NUMBER)))
+    both = made.withColumn("reject_reason", reason).withColumn("accepted", F.col("msg_id").isNotNull())
+    both.write.partitionBy("accepted").parquet(path)
+    stored = df.sparkSession.read.schema(both.schema).parquet(path)
+    accepted = stored.where("accepted").drop("accepted", "reject_reason", "raw_msg_id")
+    return accepted, stored.where("NOT accepted").drop("accepted", "msg_id")
+
+
 def row_ordinal(
     df: DataFrame,
     thread_cols: list[str],
@@ -135,10 +168,10 @@ def threaded_flags(df: DataFrame) -> DataFrame:
     """Per thread, whether any row has a non-blank reply target (null = blank).
 
     An aggregate (partial on the map side) rather than a window, so a very
-    large thread does not end up as one window partition.
+    large thread does not end up as one window partition.  ``last_row``: its largest row.
     """
     return df.groupBy(*THREAD).agg(
-        F.max(F.length(py_strip(F.coalesce(F.col("reply_to"), F.lit("")))) > 0).alias("threaded")
+        F.max(F.length(py_strip(F.coalesce(F.col("reply_to"), F.lit("")))) > 0).alias("threaded"), F.max("row_idx").alias("last_row")
     )
 
 
@@ -151,11 +184,3 @@ def is_thread_starter() -> Column:
 
 def thread_starters(df: DataFrame) -> DataFrame:
     return df.where(is_thread_starter())
-
-
-def split_by_layout(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """P5: (threaded rows, sequential rows)."""
-    return (
-        df.where(F.col("layout") == LAYOUT_THREADED),
-        df.where(F.col("layout") != LAYOUT_THREADED),
-    )

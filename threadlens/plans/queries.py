@@ -21,10 +21,10 @@ from ..operators import messages as M
 from ..operators import schema as P
 from ..operators.history import referred_messages
 from ..operators.attempts import resolve_attempts, winning_attempts
-from ..operators.output import annotated_output, attach_annotations, write_annotations
+from ..operators.output import annotated_output, attach_annotations, read_run, run_id, run_stamp, write_annotations
 from ..operators.parse import parse_responses, politeness_code, politeness_ok
 from ..operators.prompts import global_context, starter_texts, system_prompt_text, user_prompts
-from ..operators.resume import classify_prior, merge_annotations, read_annotations, resume_merge, todo_rows
+from ..operators.resume import blank_annotations, classify_prior, merge_annotations, read_annotations, resume_merge, todo_rows
 from ..operators.summary import debug_sample, run_summary
 from ..operators.generate import StubGenerator, generate, with_backend
 from ..session import scratch_path
@@ -120,13 +120,16 @@ def q_prompt_assets(spark, sf_dir):
     "annotation_seed, f AS format FROM resolved CROSS JOIN (SELECT unnest(['csv', 'parquet']) AS f)",
 )
 def q_write_annotations(spark, sf_dir):
-    """Write the output table partitioned by corpus and a CSV export, read both back."""
+    """An older run, the output with its CSV export and a run that never ended, read back: the newest complete one."""
     run = stub_run(spark, sf_dir)
-    path = scratch_path(spark, "output")
-    write_annotations(run.output(), path, csv_path=path + "-csv")
+    base = scratch_path(spark, "output")
+    rid = run_id(sf_dir, "gpt-4o-2024-08-06", run_stamp())
+    write_annotations(blank_annotations(run.output(), F.lit(True)), base, f"{rid}_before")
+    write_annotations(run.output(), base, rid, csv=True)
+    run.utt.limit(1).write.parquet(f"{base}/table/run_id={rid}_died/corpus=x")
     cols = [*KEY, *_TEXT_COLUMNS, "raw_response", "annotation_seed"]
-    table = spark.read.parquet(path)
-    text = read_annotations(spark, path + "-csv", "csv").select(*cols)
+    table = read_run(spark, base)
+    text = read_annotations(spark, f"{base}/csv/run_id={rid}", "csv").select(*cols)
     typed = text.select(*[F.col(c).cast(t).alias(c) for c, t in table.select(*cols).dtypes])
     both = table.select(*cols, F.lit("parquet").alias("format")).unionByName(typed.withColumn("format", F.lit("csv")))
     return both.select("*")
@@ -163,6 +166,25 @@ def q_canonical_utterances(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True).select(*_CANON_COLS)
 
 
+_NUMBER = "CASE WHEN (thread_id * 7 + row_idx) % 13 = 0 THEN NULL WHEN (thread_id + row_idx) % 17 = 0 THEN 'n/a' ELSE concat(msg_id, '.0') END"
+
+
+@query(
+    "rejected_rows",
+    W()
+    + f"SELECT corpus, thread_id, row_idx, CASE WHEN m IS NULL THEN 'missing message number' WHEN m = 'n/a' THEN 'message number is not a whole number' END "
+    f"AS reject_reason, CASE WHEN m <> 'n/a' THEN msg_id ELSE -1 END AS msg_id, m AS raw_msg_id FROM (SELECT *, {_NUMBER} AS m FROM utterances)",
+)
+def q_rejected_rows(spark, sf_dir):
+    """Exports with missing and bad message numbers, set apart in one pass; both outputs."""
+    export = _utt(spark, sf_dir).withColumn("Msg#", F.expr(_NUMBER)).withColumnsRenamed({"user_id": "User ID", "message": "Message"})
+    accepted, rejected = P.split_rejects(export.drop("msg_id"), scratch_path(spark, "rejects"))
+    good = accepted.select(*KEY, "msg_id", F.concat(F.col("msg_id").cast("string"), F.lit(".0")).alias("raw_msg_id"))
+    bad = rejected.select(*KEY, "reject_reason", "raw_msg_id")
+    both = good.unionByName(bad, allowMissingColumns=True)
+    return both.select(*KEY, "reject_reason", F.coalesce("msg_id", F.lit(-1)).alias("msg_id"), "raw_msg_id")
+
+
 @query(
     "utterance_number",
     W() + "SELECT a.corpus, a.thread_id, a.row_idx, CAST(count(*) AS BIGINT) AS utt_no FROM utterances a JOIN utterances b "
@@ -208,7 +230,7 @@ def q_layout_route(spark, sf_dir):
 )
 def q_threaded_flag(spark, sf_dir):
     """Threads with any non-blank reply target."""
-    return P.threaded_flags(_utt(spark, sf_dir))
+    return P.threaded_flags(_utt(spark, sf_dir)).drop("last_row")
 
 
 @query(
