@@ -20,11 +20,11 @@ the same links.  The few sets with too few non-empty parts to be sure also show
 signature that all such sets of the band have in common.
 
 Copies (equal sets) are one node, named by a hash of the set, so they never meet as pairs.
-Within a signature's group, every member is paired with the hub, the member that meets
-most others; where the verified links leave more than one component in a group, the same
-is done once more with the best hub of another component, and then all members of
-different components are paired, so nothing is lost, and pairs within a component, which can change
-nothing, are not made.  A pair is first held against counts of its shingles by hash
+The hub of a signature's group is the member that meets most others.  Every node proposes
+one pair, with the best hub of all its groups; where the verified links leave more than one
+component in a group, each node proposes another one, with a hub of another component, ``PROPOSALS`` times, and
+then all members of different components are paired, so nothing is lost, and pairs within a
+component, which can change nothing, are not made.  A pair is first held against counts of its shingles by hash
 bucket, which bound the common ones from above, then verified on the sets themselves.
 Components are found by repeated minima with shortcuts, all as Spark joins.
 
@@ -63,6 +63,7 @@ FULL = 65_535  # a bucket's count is known up to this
 BITMAP = 1 << 24
 FEW = 24  # members of a group whose pairs are made as rows
 BLOCK = 512  # members of a larger group that are compared at a time
+PROPOSALS = 2  # times that open groups get another pair for each node before all pairs are compared
 MEMORY = 300_000
 BATCH = 4_000_000
 
@@ -461,13 +462,16 @@ def link(docs: DataFrame, sets: DataFrame, hot: DataFrame, subset: int, name) ->
     ranked = shared.join(fame, "node")
 
     def star_of(rows: DataFrame) -> DataFrame:
-        """Pairs of a group's hub with its other members that it may be similar to."""
+        """For each node one pair with a hub of its groups that it may be similar to."""
         best = F.struct("fame", "node", "size", *[c for c in rows.columns if c == "c"])
         d = rows.withColumn("h", F.max(best).over(groups)).withColumn("hub", F.col("h.node"))
         d = d.where(F.col("hub") != F.col("node")).withColumn("hub_size", F.col("h.size")).where(_fits("size", "hub_size"))
         if "c" in rows.columns:
             d = d.where(F.col("c") != F.col("h.c"))
-        return d.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        # a node proposes one pair, with the hub that meets most others of all its groups
+        one = d.groupBy("node").agg(F.max(F.struct(F.col("h.fame").alias("fame"), "hub")).alias("top"))
+        one = one.withColumn("hub", F.col("top.hub"))
+        return one.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
     star = stored(star_of(ranked), "star")
 
@@ -477,23 +481,23 @@ def link(docs: DataFrame, sets: DataFrame, hot: DataFrame, subset: int, name) ->
         wanted = nodes.select("node", "doc_id").join(ends, "node", "left_semi").select("doc_id")
         return stored(verify(left, _sets(docs, wanted, name)), "links")
 
-    def open_groups(found: DataFrame) -> DataFrame:
-        """Groups that the links so far leave in more than one component."""
-        own = ranked.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    def open_groups(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Those of the groups that the links so far leave in more than one component."""
+        own = rows.select("sig", "node", "size", "fame").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
         own = own.withColumn("lo", F.min("c").over(groups)).withColumn("hi", F.max("c").over(groups)).where("lo <> hi")
         return stored(own.select("sig", "node", "size", "fame", "c"), "open")
 
     links = checked(star)
     found = components(links)
-    tried = star
-    for last in (False, True):
-        rows = open_groups(found)
-        if last:  # whatever is left: all pairs of different components
-            rows = stored(rows.withColumn("many", F.count("*").over(groups)), "rest-rows")
-            few = rows.where(F.col("many") <= FEW)
+    tried, rows = star, ranked
+    for turn in range(PROPOSALS + 1):
+        rows = open_groups(rows, found)  # a group that is closed stays closed
+        if turn == PROPOSALS:  # whatever is left: all pairs of different components
+            left = stored(rows.withColumn("many", F.count("*").over(groups)), "rest-rows")
+            few = left.where(F.col("many") <= FEW)
             two = few.select("sig", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
             rest = few.join(two, "sig").where("node < b AND c <> cb").where(_fits("size", "sb")).select(F.col("node").alias("a"), "b")
-            rest = rest.union(in_blocks(rows.where(F.col("many") > FEW), nodes)).distinct()
+            rest = rest.union(in_blocks(left.where(F.col("many") > FEW), nodes)).distinct()
         else:  # each group's most met member of another component than the first hub's
             first = rows.withColumn("h", F.max_by("c", F.struct("fame", "node")).over(groups))
             rest = star_of(first.withColumn("fame", F.when(F.col("c") == F.col("h"), F.lit(-1)).otherwise(F.col("fame"))).drop("h"))
