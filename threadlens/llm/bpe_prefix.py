@@ -24,10 +24,12 @@ allowed; repeated rows: each on its own; extra columns are kept.
 from __future__ import annotations
 
 import base64
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,8 +40,8 @@ MEMORY = 400_000
 # longer words are not remembered, longer pieces encoded one by one
 SHORT = 64
 BATCH = 4_000_000  # bytes of text at a time
-# a space and more white space (all that Unicode calls so)
-LOOSE = [" " + chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+# a space at the end, or a space and more white space (all that Unicode calls so)
+UNCUT = r" $| [\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 class Ranks:
@@ -204,43 +206,71 @@ class Encoder:
     def _matches(self, texts: list[str]) -> list[tuple[int, ...]]:
         """Encodings of texts, each split by the pattern."""
         split, get = self.split, self.ranks.ids.get
-        cut = [[t] if t[1:].isalpha() and (t[0] == " " or t[0].isalpha()) else split(t) for t in texts]
+        # a word of letters is one match
+        odd = {t: split(t) for t in texts if not (t[1:].isalpha() and (t[0] == " " or t[0].isalpha()))}
+        pieces = set(chain.from_iterable(odd.values()))
+        pieces.update([t for t in texts if t not in odd] if odd else texts)
         if len(self.known) > self.memory:
             self.known.clear()
         found: dict[str, tuple[int, ...]] = {}
         short = []
-        for piece in set(chain.from_iterable(cut)):
+        for piece in pieces:
             data = piece.encode()
             whole = get(data)
             if whole is not None:
                 found[piece] = (whole,)
             elif len(data) <= SHORT:
-                short.append((data, piece))
+                short.append(piece)
             else:
                 found[piece] = tuple(PrefixTable(self.ranks, data, self.known).ids())
-        short.sort()
-        found.update(zip([p for _, p in short], self._in_order([d for d, _ in short]), strict=True))
-        return [found[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(found.__getitem__, c))) for c in cut]
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        short.sort()  # code points sort as their UTF-8 bytes do
+        found.update(zip(short, self._in_order([p.encode() for p in short]), strict=True))
+        return [
+            found[t] if (c := odd.get(t)) is None else tuple(chain.from_iterable(map(found.__getitem__, c))) for t in texts
+        ]
+
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of texts; null counts as empty.
+
+        Each distinct word of the texts is encoded once, and the ids of all its
+        occurrences are gathered from there.
+        """
+        texts = pc.fill_null(texts, "")
         # no match spans the place before a space that something else than white space follows
-        whole = [bool(t) and (t[-1] == " " or any(map(t.__contains__, LOOSE))) for t in texts]
-        cut = [[t] if w else t.split(" ") if t else [""] for t, w in zip(texts, whole, strict=True)]
-        have, asked = self.words, set()
-        for c in cut:
-            asked.update(c[1:])
-        missing = asked.difference(have)
+        whole = pc.match_substring_regex(texts, UNCUT)
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        begins = ends[:-1]
+        later = np.ones(ends[-1], bool)
+        later[begins] = False
+        firsts = pc.if_else(whole, texts, cut.values.take(pa.array(begins))).dictionary_encode()
+        words = cut.values.filter(pa.array(later)).dictionary_encode()
+        said = self._after_space(_strings(words.dictionary))
+        code = np.empty(ends[-1], np.int64)
+        code[later] = words.indices.to_numpy()
+        code[begins] = firsts.indices.to_numpy() + len(said)
+        said += self._matches(_strings(firsts.dictionary))
+        size = np.fromiter(map(len, said), np.int64, len(said))
+        ids = _gather(np.fromiter(chain.from_iterable(said), np.int32, size.sum()), size, code)
+        offsets = np.concatenate([[0], np.cumsum(size[code])])[ends]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+
+    def _after_space(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Encodings of distinct words as they stand after a space."""
+        have = self.words
+        missing = [w for w in words if w not in have]
         if len(have) + len(missing) > self.memory:
             have.clear()
-            missing = asked
-        todo = list(missing)
-        have.update(zip(todo, self._matches([" " + w for w in todo]), strict=True))
-        firsts = [c[0] for c in cut]
-        starts = dict(zip(todo := list(set(firsts)), self._matches(todo), strict=True)) if firsts else {}
-        out = [[*starts[c[0]], *chain.from_iterable(map(have.__getitem__, c[1:]))] for c in cut]
-        for w in [w for w in missing if len(w) > SHORT]:
-            del have[w]
-        return out
+            missing = words
+        have.update(zip(missing, self._matches([" " + w for w in missing]), strict=True))
+        said = [have[w] for w in words]
+        for w in missing:
+            if len(w) > SHORT:
+                del have[w]
+        return said
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
 
     def append(self, pieces: list[str], more: str) -> list[str]:
         """The pieces of a text with ``more`` after it: all but its last two stay."""
@@ -249,6 +279,36 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.ranks.tokens.__getitem__, ids))
 
+    def decode_array(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of lists of ids, gathered from those of the vocabulary."""
+        blob, size = self.vocabulary
+        ends = ids.offsets.to_numpy()
+        flat = ids.values.to_numpy()[ends[0] : ends[-1]]
+        if len(flat) and not 0 <= flat.min() <= flat.max() < len(size):
+            raise ValueError("an id outside of the vocabulary")
+        places = np.concatenate([[0], np.cumsum(size[flat])])[ends - ends[0]]
+        data = _gather(blob, size, flat)
+        return pa.Array.from_buffers(
+            pa.binary(), len(ids), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)]
+        )
+
+    @cached_property
+    def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens by id, one after the other, and their lengths."""
+        tokens = [self.ranks.tokens.get(i, b"") for i in range(max(self.ranks.tokens) + 1)]
+        return np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens))
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The runs numbered ``code``, in that order; run i is ``size[i]`` items of ``flat``."""
+    start, length = np.cumsum(size) - size, size[code]
+    shift = start[code] - (np.cumsum(length) - length)
+    return flat[np.repeat(shift, length) + np.arange(length.sum())]
+
 
 def encode_texts(
     docs: DataFrame, ranks, pattern: str, text: str = "text", out: str = "ids", back: str | None = None
@@ -262,23 +322,18 @@ def encode_texts(
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = ranks.get(Encoder, pattern)
-        ids = pa.array(coder.encode(batch.column(at).to_pylist()), pa.list_(pa.int32()))
-        return [ids, _decoded(coder, ids)] if back else [ids]
+        ids = coder.encode_array(batch.column(at))
+        return [ids, coder.decode_array(ids)] if back else [ids]
 
     added = [(out, T.ArrayType(T.IntegerType(), False)), *[(back, T.BinaryType())] * bool(back)]
     return map_arrow(docs, added, columns, BATCH)
 
 
-def _decoded(coder: Encoder, ids: pa.ListArray) -> pa.Array:
-    flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
-    return pa.array([coder.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
-
-
 def decode_ids(df: DataFrame, ranks, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` plus ``out``, the bytes of the ids."""
     at = df.columns.index(ids)
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [_decoded(ranks.get(Encoder, pattern), batch.column(at))]
+        return [ranks.get(Encoder, pattern).decode_array(batch.column(at))]
 
     return map_arrow(df, [(out, T.BinaryType())], columns, BATCH)
