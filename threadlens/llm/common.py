@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mark_of(df: DataFrame) -> str:
+    """What names of added columns begin with: ``_``, or more of them if a column of ``df`` begins so."""
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return mark
+
+
+def clear_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator`` for tables whose columns may have the names of its own ones.
+
+    Columns of the input that begin with ``_`` have other names while the operator runs and
+    come back as they were; the ``_name`` columns it adds begin with ``mark_of`` the input.
+    """
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        mark = mark_of(docs)
+        if mark == "_":
+            return operator(docs, *args, **options)
+        prefix = "in"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "_in"
+        other = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        given = lambda v: other.get(v, v) if isinstance(v, str) else v
+        got = operator(
+            docs.withColumnsRenamed(other), *map(given, args), **{k: given(v) for k, v in options.items()}
+        )
+        back = {new: old for old, new in other.items()}
+        return got.toDF(*[back.get(c) or (mark + c[1:] if c.startswith("_") else c) for c in got.columns])
+
+    return run
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back.
 

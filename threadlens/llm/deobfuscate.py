@@ -22,7 +22,8 @@ back on shorter contexts.  Both bound what is broadcast.  All documents are scor
 
 Defined cases: null or empty text: the score of no evidence; null id: never a training row,
 not held out; labels of one kind only: the same score everywhere; repeated rows: each on its own;
-words over 40 characters are not taken for disguised ones; extra columns are kept.
+words over 40 characters are not taken for disguised ones; extra columns are kept
+(names that begin with ``_``: see ``clear_names``).
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.llm.common import map_arrow, per_worker, slices, stored
+from threadlens.llm.common import clear_names, map_arrow, per_worker, slices, stored
 from threadlens.llm.pairwise_rank import held_out
 
 MAX_LABELLED = 20_000
@@ -357,6 +358,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     return Learned(chars, {}, (_odds(rate), *[0.0] * 5))
 
 
+@clear_names
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus ``_held_out`` and ``_score``."""
     learned = learn(docs, labels, text)

@@ -15,7 +15,7 @@ pass measures, its narrow result is stored and scored by column expressions.
 
 Defined cases: null or empty text: the features of no words; null id: never a
 training row, not held out; no labels of one kind: all scores 0.5; repeated rows: each on
-its own; extra columns are kept.
+its own; extra columns are kept (names that begin with ``_``: see ``clear_names``).
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.llm.common import map_arrow, stored
+from threadlens.llm.common import clear_names, map_arrow, stored
 
 MAX_LABELLED = 20_000
 MAX_PAIRS = 40_000
@@ -139,6 +139,7 @@ def score(model: Ranking | None, x: Column) -> Column:
     return 1 / (1 + F.exp(-((s - model.cutoff) / model.scale + odds)))
 
 
+@clear_names
 def rank_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the text, plus ``_held_out`` and ``_score``."""
     known = measured(docs)

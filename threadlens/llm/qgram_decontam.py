@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.llm.common import map_arrow, per_worker
+from threadlens.llm.common import map_arrow, mark_of, per_worker
 
 Q = 12
 EDIT_RATE = 0.05
@@ -297,9 +297,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield block
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "_matches") -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str | None = None) -> DataFrame:
     """``docs`` plus ``out``: the benchmark items and parts of them in the whole text, as an array of
-    (item_id, start, end, edits) in code points, by start."""
+    (item_id, start, end, edits) in code points, by start.  ``out`` is ``_matches`` unless given; where
+    a column of ``docs`` begins with ``_``, with more of them (``mark_of``)."""
+    out = out or mark_of(docs) + "matches"
     at, found = docs.columns.index(text), docs
     names = []
     for i, block in enumerate(_blocks(benchmark)):
@@ -310,7 +312,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", out
             keys = ("item_id", "start", "end", "edits")
             return [pa.array([[dict(zip(keys, m, strict=True)) for m in r] for r in rows], _MATCH)]
 
-        names.append(f"{out}_{i}")
+        names.append(f"{mark_of(docs)}{i}")
         found = map_arrow(found, [(names[-1], MATCH)], columns, 2_000_000)
     every = F.array_sort(F.concat(*names)) if len(names) > 1 else F.col(names[0]) if names else F.array().cast(MATCH)
     return found.select(*docs.columns, every.alias(out))

@@ -16,7 +16,8 @@ Counts per stratum are pre-aggregated, so a hot stratum is no hot task.
 
 Defined cases: null or blank text: no words, all counts 0, fails the base rules;
 null stratum: a stratum of its own; no labels: base rules only; repeated rows are
-judged row by row; a document's labels given twice count twice; extra columns are kept.
+judged row by row; a document's labels given twice count twice; extra columns are kept
+(names that begin with ``_``: see ``clear_names``).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import stored, words_of
+from threadlens.llm.common import clear_names, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -164,6 +165,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: Column) -> DataFrame
     return df.select(*measured.columns, base_failed(m).alias("_base_failed"), (~base_failed(m) & ~over).alias("_kept"))
 
 
+@clear_names
 def quality_rules(
     docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), text: str = "text", keep_text: bool = True
 ) -> DataFrame:

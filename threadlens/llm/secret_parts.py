@@ -15,7 +15,8 @@ only in documents with a part that could complete them.
 
 Defined cases: null or empty text: no spans; repeated rows: each on its own; spans with
 equal starts: in the order of KINDS; weak candidates that overlap a strong finding are
-part of it and not reported; extra columns are kept.
+part of it and not reported; extra columns are kept (names that begin with ``_``: see
+``clear_names``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.llm.common import clear_names
+
 # fixed patterns; the kinds in the order in which equal starts are listed
 ASSIGN = (
     r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"""
@@ -82,6 +85,7 @@ def _near(spans: Column, others: Column, scope: int) -> Column:
     )
 
 
+@clear_names
 def find_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
     """``docs`` plus ``_base`` (strong spans), ``_spans`` (all reported spans, by start,
     then kind; each start, rank in KINDS, end) and the three strong counts."""

@@ -15,7 +15,8 @@ Spark runs this over Arrow batches; nothing is shuffled.  Each worker remembers
 counts of up to ``MEMORY`` words and starts afresh beyond, which changes no result.
 
 Defined cases: null, empty or blank text: 0 tokens; very long words are one pre-token
-like any other; repeated rows: each on its own; extra columns are kept.
+like any other; repeated rows: each on its own; extra columns are kept (names that
+begin with ``_``: see ``clear_names``).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from threadlens.llm.common import map_arrow
+from threadlens.llm.common import clear_names, map_arrow
 
 MEMORY = 1_000_000
 MARK = "▁"
@@ -114,6 +115,7 @@ class Counter:
         return out
 
 
+@clear_names
 def count_tokens(docs: DataFrame, pieces, text: str = "text") -> DataFrame:
     """``docs`` plus ``_n_words``, ``_n_tokens`` and ``_n_byte_tokens`` of the whole text.
 
