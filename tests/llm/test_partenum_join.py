@@ -149,3 +149,18 @@ def test_one_id_with_two_texts_links_both(ready):
     rows = [(1, a), (2, b), (5, a), (5, b), (6, "c d e f g h")]
     got = {(r.doc_id, r.component_id) for r in P.near_duplicates(ready.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 1), (2, 1), (5, 1), (6, 6)}
+
+
+def test_tables_on_the_way_are_freed(ready):
+    import os
+
+    from threadlens.session import checkpoint_dir
+
+    at = checkpoint_dir(ready).removeprefix("file:") + "/llm"
+    have = lambda: set(os.listdir(at)) if os.path.isdir(at) else set()
+    body = " ".join(f"word{i}" for i in range(60))
+    docs = ready.createDataFrame([(i, f"{body} end{i}") for i in range(5)] + [(9, "else")], "doc_id long, text string")
+    before = have()
+    got = P.near_duplicates(docs)
+    assert [n.split("-")[0] for n in have() - before] == ["components"]
+    assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 9}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -68,10 +70,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
+    _scopes()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """Paths stored in each open ``scratch`` of this thread; the first list is what no one frees."""
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = [[]]
+    return _LOCAL.scopes
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Frees at its end what is ``stored`` inside it, but for tables made by the function it gives.
+
+    That function stores a result, which then needs none of the freed tables, for
+    whoever is outside.  Only folders that ``stored`` made itself are deleted.
+    """
+    paths: list[str] = []
+    _scopes().append(paths)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        got = stored(df, name)
+        _scopes()[-2].append(paths.pop())
+        return got
+
+    try:
+        yield keep
+    finally:
+        _scopes().pop()
+        files = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            at = files(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ready(spark: SparkSession) -> None:
     """Checkpoint folder set and this package importable in Python workers."""
     checkpoint_dir(spark)

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import per_worker, slices, stored
+from threadlens.llm.common import per_worker, scratch, slices, stored
 
 WORDS = 5
 SUBSET = 1
@@ -428,17 +428,18 @@ def components(edges: DataFrame) -> DataFrame:
     Every round each node takes the smallest label among itself and its neighbours, then
     the label of its label; rounds end when no label changes.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("m"))
-        low = labels.join(near, "node").select("node", "c", F.least("c", "m").alias("m"))
-        jump = labels.select(F.col("node").alias("m"), F.col("c").alias("j"))
-        new = stored(low.join(jump, "m").select("node", "c", F.least("m", "j").alias("new")), "labels")
-        changed = new.where("new <> c").limit(1).count()
-        labels = new.select("node", F.col("new").alias("c"))
-        if not changed:
-            return labels.select("node", F.col("c").alias("component"))
+    with scratch(edges.sparkSession) as keep:
+        both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+        labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
+        while True:
+            near = both.join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("m"))
+            low = labels.join(near, "node").select("node", "c", F.least("c", "m").alias("m"))
+            jump = labels.select(F.col("node").alias("m"), F.col("c").alias("j"))
+            new = stored(low.join(jump, "m").select("node", "c", F.least("m", "j").alias("new")), "labels")
+            changed = new.where("new <> c").limit(1).count()
+            labels = new.select("node", F.col("new").alias("c"))
+            if not changed:
+                return keep(labels.select("node", F.col("c").alias("component")), "reached")
 
 
 def _fits(a: str, b: str):
@@ -512,7 +513,15 @@ def link(docs: DataFrame, sets: DataFrame, hot: DataFrame, subset: int, name) ->
 
 
 def near_duplicates(docs: DataFrame, subset: int = SUBSET) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
+
+    The result is a stored table; the tables made on the way to it are freed.
+    """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, subset), "components")
+
+
+def _near_duplicates(docs: DataFrame, subset: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets, hot = describe(docs)
     some = sets.where("node IS NOT NULL").select("node", "key").distinct()
