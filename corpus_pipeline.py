@@ -6,7 +6,7 @@ names and reads it again for the next.  All but the last return the columns of
 ``documents``.
 
 Defined cases: an empty table passes through; nulls, empty texts, repeated rows and
-extra columns are handled as each operator's docstring says.  Rows with a null id are
+extra columns, of whatever name, are handled as each operator's docstring says.  Rows with a null id are
 no near-duplicates of anything.  Of rows that share the id of the one document kept of a
 group, all stay that have that id.
 """
@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import bpe_prefix, partenum_join, qgram_decontam, risk_rules, secret_parts
-from threadlens.llm.common import per_worker, ready, stored, table
+from threadlens.llm.common import mark_of, per_worker, ready, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules (2): documents that the base or the certified rules reject go."""
     ready(spark)
     judged = risk_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return judged.where("_kept").select(*docs.columns)
+    return judged.where(mark_of(docs) + "kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +41,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Benchmark decontamination (8): documents with a benchmark passage go."""
     ready(spark)
     found = qgram_decontam.find_passages(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_matches") == 0).select(*docs.columns)
+    return found.where(F.size(mark_of(docs) + "matches") == 0).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans (10): every reported span is replaced by a mark; ``n_chars`` follows."""
     found = secret_parts.find_secrets(docs)
-    clean = found.withColumn("text", secret_parts.redacted(F.col("text"), F.col("_spans")))
-    changed = F.size("_spans") > 0
+    spans = mark_of(docs) + "spans"
+    clean = found.withColumn("text", secret_parts.redacted(F.col("text"), F.col(spans)))
+    changed = F.size(spans) > 0
     return clean.withColumn(
         "n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     ).select(*docs.columns)
@@ -81,9 +82,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written and read again."""
+    """All stages in order, each written and read again; what a stage stored on its way is
+    freed when its result is written."""
     ready(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
