@@ -12,6 +12,7 @@ from test_risk_rules import brute as brute_measures
 from test_secret_parts import brute as brute_secrets
 from threadlens.llm import qgram_decontam as Q
 from threadlens.llm import secret_parts as S
+from threadlens.llm.common import stored
 from threadlens.llm.queries import op2_quality_rules, op10_secret_scans
 
 
@@ -54,7 +55,7 @@ def test_stages_keep_the_columns_and_change_something(ready):
         after = stage(ready, before, SF_SMALL)
         assert after.schema.names == docs.schema.names and after.dtypes == docs.dtypes, name
         assert after.exceptAll(before).count() + before.exceptAll(after).count() > 0, name
-        before = C.stored(after, name)
+        before = stored(after, name)
 
 
 def test_odd_documents(ready, tmp_path):
@@ -79,3 +80,17 @@ def test_null_id_before_a_copy_with_a_near_copy(ready, tmp_path):
     ready.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     ready.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     assert sorted(r.doc_id or 0 for r in C.run(ready, at).collect()) == [0, 1]
+
+
+def test_columns_named_like_internal_ones(ready):
+    docs = ready.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    names = "_m _w _kept _base_failed _spans _base _matches _0 _ids component_id node rule".split()
+    odd = docs
+    for n in names:
+        odd = odd.withColumn(n, odd["doc_id"] * 2)
+    plain, odd = stored(docs, "plain"), stored(odd, "odd")
+    for name, stage in C.STAGES:
+        plain, odd = stored(stage(ready, plain, SF_SMALL), name), stored(stage(ready, odd, SF_SMALL), name)
+        if name != C.STAGES[-1][0]:
+            assert all(r[n] == r["doc_id"] * 2 for r in odd.collect() for n in names), name
+        assert sorted(odd.select(*plain.columns).collect()) == sorted(plain.collect()), name
