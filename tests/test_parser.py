@@ -28,6 +28,10 @@ CASES = [
     (wrap('{"act":"Accept","politeness":"}] {[ \\" ]"}'), "bad_politeness", None, None, None, None),
     (wrap('{"act":"Accept","self/reported":{"a":[1,{"b":"]}"}]}}'), "ok", "Accept", "", "", ""),
     (wrap('"str"'), "bad_json", None, None, None, None),
+    # long strings, whose brackets and escapes count for nothing
+    (wrap('{"act":"Accept","note":"' + "x" * 50_000 + '"}'), "ok", "Accept", "", "", ""),
+    (wrap('{"act":"Accept","note":"' + r'\n{\"' * 20_000 + '"}'), "ok", "Accept", "", "", ""),
+    (wrap('{"act":"Accept","note":"' + r'\n{\"' * 20_000 + '"}}'), "bad_json", None, None, None, None),
     (wrap("null"), "bad_json", None, None, None, None),
     (wrap('{"act":"Claim","act":"Thank"}'), "ok", "Thank", "", "", ""),
     (wrap("{}"), "bad_act", None, None, None, None),

@@ -25,17 +25,17 @@ def parse_json_object(c: Column) -> Column:
     return F.when((F.size(arr) == 1) & obj.isNotNull() & ends_with_first_value(c), obj)
 
 
-_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
-
-
 def ends_with_first_value(c: Column) -> Column:
     """True when nothing follows the first top-level JSON value of ``c``.
 
     The reader stops at the bracket that closes the wrapping array, so text
-    such as ``{..}] [..`` would otherwise pass.  With string literals blanked,
-    the bracket depth may reach zero only at the last character.
+    such as ``{..}] [..`` would otherwise pass.  Escapes, then string literals are
+    taken out and what stands between brackets becomes one sign, all by patterns that
+    scan without recursion; then the bracket depth, a running sum over what is left (a few
+    signs an object, however long its strings), may reach zero only at the last one.
     """
-    bare = F.regexp_replace(c, _JSON_STRING, '""')
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?s)\\.", ""), r'"[^"]*"', "x")
+    signs = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", "x"), "")
 
     def step(acc, ch):
         delta = F.when(ch.isin("{", "["), F.lit(1)).when(ch.isin("}", "]"), F.lit(-1)).otherwise(F.lit(0))
@@ -47,7 +47,7 @@ def ends_with_first_value(c: Column) -> Column:
         )
 
     init = F.struct(F.lit(0).alias("d"), F.lit(False).alias("closed"), F.lit(False).alias("bad"))
-    return ~F.aggregate(F.split(bare, ""), init, step)["bad"]
+    return ~F.aggregate(signs, init, step)["bad"]
 
 
 def variant_text(v: Column) -> Column:
