@@ -5,7 +5,8 @@ Weak candidates - account names, opaque tokens, endpoints - are common in clean
 so each is reported only where complementary parts co-occur in its scope, an interval
 of ``scope`` code points on either side: an account name near a secret, an opaque token
 near an identifier or endpoint, an endpoint near both an identifier and a secret.
-The join of the intervals is a sweep over the parts of a document in order.
+The intervals are joined within the row, each part against those that may complete it,
+so that the work grows with the square of the parts of one document.
 
 Spans are exact: matches are found by one pattern pass, and their places by the
 lengths of what lies between them; code points, end exclusive.
