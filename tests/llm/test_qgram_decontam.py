@@ -1,6 +1,7 @@
 """Benchmark decontamination: against full alignments, planted edits, edge cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -88,10 +89,16 @@ def test_windows_equal_single_alignments():
             region = np.insert(region, p, 120) if rnd.random() < 0.5 else np.delete(region, min(p, len(region) - 1))
         region = region[rnd.integers(0, 30) :]
         starts = np.arange(len(item) - Q.PART + 1)
-        got = Q.window_edits(item, starts, region, -40, 10)
+        before, under = starts - 40, np.arange(Q.PART + 50)
+        place = before[:, None] + under
+        chars = np.where((place >= 0) & (place < len(region)), region[np.clip(place, 0, len(region) - 1)], 0)
+        size = np.full(len(starts), len(region))
+        got = Q.window_edits(item[starts[:, None] + np.arange(Q.PART)], chars, before, size)
+        every = Q.align_many(item, starts, np.full(len(starts), Q.PART), region, before, before, size, 51)
         for s in starts.tolist():
             want = Q.align(item[s : s + Q.PART], region, s - 40, s + 10, Q.PART_EDITS)
             assert (got[s] if got[s] <= Q.PART_EDITS else None) == (want[0] if want else None)
+            assert tuple(every[s]) == Q.align(item[s : s + Q.PART], region, s - 40, s + 10, Q.PART)
 
 
 def test_parts_and_replaced_words(ready):
@@ -114,3 +121,50 @@ def test_parts_and_replaced_words(ready):
     assert [m[0] for m in got[3]] == [2] and got[5] == got[6] == got[9] == []
     assert [(m[0], m[1] <= a, m[2] >= b, m[3] <= 2 * Q.PART_EDITS) for d, a, b in ((0, 0, 360), (1, n, n + 200), (2, n, n + 200), (4, 0, 80)) for m in got[d]] == [(1, True, True, True)] * 4
     assert [m[0] for m in got[7]] == [1, 1] and got[8] == [(1, n, n + 400, 0)]
+
+
+def random_text(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 8))) for _ in range(n // 5))[:n]
+
+
+@pytest.mark.parametrize("size", [60, 95])
+def test_wording_that_all_items_share(size):
+    """Against all windows of all items aligned with the whole text."""
+    rnd = random.Random(size)
+    template = random_text(rnd, size)
+    items = [(k, random_text(rnd, 50) + template + random_text(rnd, 50)) for k in range(6)] + [(9, random_text(rnd, 150))]
+    text = "".join(random_text(rnd, 40) + template for _ in range(5)) + items[2][1][30:150]
+    want, codes = set(), Q.plain(text)
+    for k, t in items:
+        c = Q.plain(t)
+        if any(Q.align(c[s : s + Q.PART], codes, -s - Q.PART, len(codes) - s, Q.PART_EDITS) for s in range(len(c) - Q.PART + 1)):
+            want.add(k)
+    whole = Q.Index(items).scan([text], parts=True)[0]
+    assert {m[0] for m in whole} == want and want == ({2} if size < 75 else {*range(6)})
+    for k, a, b, e in whole:
+        assert b - a >= Q.PART - Q.PART_EDITS and e <= 2 * Q.PART_EDITS and least_edits(text[a:b], dict(items)[k]) <= e
+    if size > Q.PART:
+        assert [sum(m[0] == k for m in whole) for k, _ in items[:2]] == [6, 6]  # five times, and in the part of an item
+
+
+@pytest.mark.parametrize("rows", [1, 1000])
+def test_portions_change_nothing(rows, monkeypatch):
+    rnd = random.Random(5)
+    template = random_text(rnd, 90)
+    items = [(k % 5, random_text(random.Random(k % 7), 60) + template) for k in range(12)]  # equal texts too
+    texts = [random_text(rnd, 30) + items[i][1] + template * 2 for i in range(4)]
+    whole = Q.Index(items).scan(texts, parts=True)
+    monkeypatch.setattr(Q, "PAIR_ROWS", rows)
+    monkeypatch.setattr(Q, "WINDOW_ROWS", 7)
+    assert Q.Index(items).scan(texts, parts=True) == whole and all(whole)
+
+
+@pytest.mark.parametrize("size", [60, 100])
+def test_common_wording_many_times_is_fast(size):
+    rnd = random.Random(1)
+    template = random_text(rnd, size)
+    items = [(k, template + " " + random_text(rnd, 150)) for k in range(200)]
+    text = "".join(random_text(rnd, 30) + template for _ in range(100))
+    index, begun = Q.Index(items), time.process_time()
+    got = index.scan([text], parts=True)[0]
+    assert len(got) == (0 if size < 75 else 200 * 100) and time.process_time() - begun < 60

@@ -13,13 +13,16 @@ in the document exactly.
 Parts of an item count as well: a document is also contaminated by a stretch that is at
 most ``PART_EDITS`` edits away from some ``PART`` consecutive characters of the item.  The
 same lemma holds for every such window: of its q-grams PART - q + 1 - q * PART_EDITS are
-shared in one band, so all windows of the item that reach this bound are aligned.
+shared in one band.  The windows of the item that reach this bound are asked once more for
+shared grams of SHORT characters on the band, and what is left is aligned, many at a time; a
+window that many items have is aligned once at a place.
 Overlapping windows that match are reported as one part, aligned as a whole.
 
 Plan: the benchmark is a stated query set; it is read in blocks of at most
 ``BLOCK_CHARS`` characters (its index, some 20 bytes a character, is what is broadcast), and
 each block is one pass over the documents without a shuffle.  A pass hashes all places
-of a batch of texts at once.
+of a batch of texts at once; what texts and items share is looked at in portions of some ``PAIR_ROWS``
+rows, so a wording that all items have costs time, not memory.
 
 Defined cases: null or empty text: no match; empty or null items: ignored; items with
 equal texts: each reported; null ids are reported as such; repeated rows: each on its
@@ -29,6 +32,7 @@ part, of these the one with the fewest edits; extra columns are kept.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +47,10 @@ Q = 12
 EDIT_RATE = 0.05
 SHORT_ITEM = 3 * Q
 PART, PART_EDITS = 80, 5  # 13 words or so, one of them replaced
+SHORT = 4
 BLOCK_CHARS = 4_000_000
+PAIR_ROWS = 2_000_000  # q-grams of texts times their places in items that are looked at together
+WINDOW_ROWS = 8_000  # windows aligned together
 FILTER_BITS = 20
 MATCH = T.ArrayType(
     T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("start", "end", "edits")]])
@@ -115,30 +122,72 @@ def align(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int
     return (cost, int(row[j] % _STEP), m + low + j) if cost <= budget else None
 
 
-def window_edits(item: np.ndarray, starts: np.ndarray, region: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Per window of ``PART`` characters of ``item`` the edits to its best stretch of
-    ``region`` on the diagonals ``low`` to ``high``; what is over the budget is not exact."""
-    far = PART_EDITS + 1
-    step = np.arange(high - low + 1)
-    places = starts[:, None] + low + step
-    inside = (places >= 0) & (places <= len(region))
-    row = np.where(inside, 0, far)
-    padded = np.concatenate([np.zeros(1, np.uint32), region, np.zeros(1, np.uint32)])
-    for i in range(PART):
-        swap = row + (padded[np.clip(places + i + 1, 0, len(region) + 1)] != item[starts + i][:, None])
-        skip = np.concatenate([row[:, 1:], np.full((len(starts), 1), far)], axis=1) + 1
-        inside = (places + i + 1 >= 0) & (places + i + 1 <= len(region))
-        best = np.where(inside, np.minimum(swap, skip), far)
-        row = np.where(inside, np.minimum.accumulate(best - step, axis=1) + step, far)
-    return row.min(axis=1)
+def window_edits(windows: np.ndarray, chars: np.ndarray, before: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Per row of ``windows`` the edits to its best stretch of a text on a band of diagonals;
+    what is over the budget is not exact.  ``chars`` are the characters under the band, ``before`` is
+    the place in the text of the first of them, ``size`` the length of the text."""
+    m = windows.shape[1]
+    width, far = chars.shape[1] - m + 1, PART_EDITS + 1
+    step = np.arange(width, dtype=np.int8)[:, None]
+    windows, chars = np.ascontiguousarray(windows.T), np.ascontiguousarray(chars.T)
+    places = np.arange(width)[:, None] + before
+    edge = ((before < 0) | (before + len(chars) > size)).any()
+    row = np.where((places >= 0) & (places <= size), 0, far).astype(np.int8)
+    skip = np.full_like(row, far + 1)
+    for i in range(m):
+        np.add(row[1:], 1, out=skip[:-1])
+        row += chars[i : i + width] != windows[i]
+        np.minimum(row, skip, out=row)
+        row -= step  # characters inserted
+        for j in range(1, width):
+            np.minimum(row[j], row[j - 1], out=row[j])
+        row += step
+        np.minimum(row, far, out=row)
+        if edge:
+            row[(places + (i + 1) < 0) | (places + (i + 1) > size)] = far
+    return row.min(axis=0)
+
+
+def align_many(items: np.ndarray, at: np.ndarray, length: np.ndarray, texts: np.ndarray, base: np.ndarray, before: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """``align`` of many stretches at once, without a budget: rows (edits, start, end).
+
+    Stretch r is ``items[at[r] : at[r] + length[r]]``; the band's first cell stands at
+    ``texts[base[r]]``, which is the place ``before[r]`` of a text of ``size[r]`` characters.
+    """
+    out = np.zeros((len(at), 3), np.int64)
+    order = np.argsort(-length, kind="stable")
+    at, length, base, before, size = (x[order] for x in (at, length, base, before, size))
+    cells, step = np.arange(width, dtype=np.int64), np.arange(width, dtype=np.int64) * _STEP
+    far = (length + 1) * _STEP
+    inside = lambda i, n: (before[:n, None] + cells + i >= 0) & (before[:n, None] + cells + i <= size[:n, None])
+    row = np.where(inside(0, len(at)), before[:, None] + cells, far[:, None])
+    for i in range(int(length[0]) if len(at) else 0):
+        n = int(np.searchsorted(-length, -i, side="left"))  # those longer than i
+        row, limit = row[:n], far[:n, None]
+        place = before[:n, None] + cells + i
+        chars = np.where((place >= 0) & (place < size[:n, None]), texts[np.clip(base[:n, None] + cells + i, 0, len(texts) - 1)], 0)
+        swap = row + np.where(chars == items[at[:n] + i][:, None], 0, _STEP)
+        skip = np.concatenate([row[:, 1:], limit], axis=1) + _STEP
+        here = inside(i + 1, n)
+        best = np.where(here, np.minimum(swap, skip), limit)
+        row = np.where(here, np.minimum.accumulate(best - step, axis=1) + step, limit)
+        ended = np.flatnonzero(length[:n] == i + 1)
+        if len(ended):
+            j = np.argmin(row[ended] // _STEP, axis=1)
+            value = row[ended, j]
+            out[order[ended]] = np.stack([value // _STEP, value % _STEP, before[ended] + i + 1 + j], axis=1)
+    return out
 
 
 class Index:
     """The q-grams of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.ids = [i for i, _ in items]
-        self.codes = [plain(t) for _, t in items]
+        same: dict[bytes, list[int | None]] = {}  # the ids of each distinct text
+        for i, t in items:
+            same.setdefault(plain(t).tobytes(), []).append(i)
+        self.ids = list(same.values())
+        self.codes = [np.frombuffer(c, np.uint32) for c in same]
         self.short = [k for k, c in enumerate(self.codes) if len(c) < SHORT_ITEM]
         hashes, owner, place = [], [], []
         for k, c in enumerate(self.codes):
@@ -151,12 +200,18 @@ class Index:
         h, self.owner, self.place = joined(hashes, np.uint64), joined(owner, np.int32), joined(place, np.int32)
         order = np.argsort(h, kind="stable")
         self.owner, self.place = self.owner[order], self.place[order]
-        self.grams, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.grams, gram = np.unique(h[order], return_inverse=True)
+        # owners ascend within a gram, so the places of a gram in some items are one slice
+        self.key = gram * np.int64(len(self.codes)) + self.owner
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[_slot(self.grams)] = True
         size = np.array([len(c) for c in self.codes], np.int64)
         self.budget = np.array([edits(n) for n in size], np.int64)
         self.bound = size - Q + 1 - Q * self.budget
+        self.size = size
+        self.flat = np.concatenate([*self.codes, np.zeros(PART, np.uint32)])
+        self.offset = np.cumsum(size) - size
+        self.window = window_classes(self.flat)
 
     def scan(self, texts: list[str | None], parts: bool = False) -> list[list[tuple]]:
         """Per text the matches (item id, start, end, edits) of whole items, or of their
@@ -171,40 +226,75 @@ class Index:
             hits = np.flatnonzero(self.seen[_slot(h)])
             at = np.minimum(np.searchsorted(self.grams, h[hits]), len(self.grams) - 1)
             real = self.grams[at] == h[hits]
-            whole = self._verify(codes, out, starts, hits[real], at[real])
-            if parts:
-                self._verify_parts(codes, out, starts, hits[real], at[real], whole)
+            hits, at = hits[real], at[real]
+            owner = np.searchsorted(starts, hits, side="right") - 1
+            for one, a, b in self._shares(owner, at, 0, len(self.codes)):
+                whole = self._verify(codes, out, starts, hits[one], at[one], a, b)
+                if parts:
+                    self._verify_parts(codes, every, out, starts, hits[one], at[one], whole, a, b)
         for k in self.short:
             needle = self.codes[k].tobytes()
             for i, c in enumerate(codes) if needle else ():
                 found = _find(c.tobytes(), needle)
-                out[i] += [(self.ids[k], a, a + len(self.codes[k]), 0) for a in found]
-        return [sorted(x, key=lambda y: (y[1], y[2], y[0] is None, y[0] or 0)) for x in out]
+                out[i] += [(k, a, a + len(self.codes[k]), 0) for a in found]
+        dealt = [[(i, *m[1:]) for m in x for i in self.ids[m[0]]] for x in out]
+        return [sorted(x, key=lambda y: (y[1], y[2], y[0] is None, y[0] or 0)) for x in dealt]
+
+    def _places(self, grams, a, b) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places of each gram in the items ``a`` to ``b``."""
+        n = len(self.codes)
+        first = np.searchsorted(self.key, grams * n + a)
+        return first, np.searchsorted(self.key, grams * n + b) - first
+
+    def _shares(self, owner, grams, a, b, at=0) -> Iterator[tuple[slice, int, int]]:
+        """Slices of the hits, with a range of items, of at most ``PAIR_ROWS`` hits times places where
+        more than one text or item is left to split; each text and item are in one of them."""
+        total = int(self._places(grams, a, b)[1].sum()) if len(grams) else 0
+        if not total:
+            return
+        if total <= PAIR_ROWS or owner[0] == owner[-1] and b - a == 1:
+            yield slice(at, at + len(grams)), a, b
+        elif owner[0] != owner[-1]:
+            cut = int(np.searchsorted(owner, (owner[0] + owner[-1]) // 2, side="right"))
+            yield from self._shares(owner[:cut], grams[:cut], a, b, at)
+            yield from self._shares(owner[cut:], grams[cut:], a, b, at + cut)
+        else:
+            mid = (a + b) // 2
+            yield from self._shares(owner, grams, a, mid, at)
+            yield from self._shares(owner, grams, mid, b, at)
 
-    def _bands(self, starts, hits, grams, width, bound) -> np.ndarray:
+    def _bands(self, starts, hits, grams, width, bound, a, b) -> np.ndarray:
         """Columns (text, item, band, place in the item) of the shared q-grams, sorted, of
-        the texts and items that share as many as the bound in all."""
-        n = self.count[grams]
+        the texts and items (``a`` to ``b``) that share as many as the bound in all."""
+        first, n = self._places(grams, a, b)
         total = int(n.sum())
         # every hit with every place of its gram in the items
-        offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(self.first[grams], n) + offset
+        entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)
         place, item = self.place[entry].astype(np.int64), self.owner[entry].astype(np.int64)
         doc = np.repeat(np.searchsorted(starts, hits, side="right") - 1, n)
         diagonal = np.repeat(hits, n) - starts[doc] - place
-        _, pair, many = np.unique(doc * len(self.codes) + item, return_inverse=True, return_counts=True)
+        pairs, pair, many = np.unique(doc * len(self.codes) + item, return_inverse=True, return_counts=True)
         keep = many[pair] >= bound[item]
-        doc, item, place, diagonal = doc[keep], item[keep], place[keep], diagonal[keep]
+        pair, place, diagonal, item = pair[keep], place[keep], diagonal[keep], item[keep]
+        if not len(pair):
+            return np.empty((4, 0), np.int64)
         band = diagonal // width[item]
         # bands are two budgets wide and overlap by one: a hit is in its own and the one before
-        key = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(place, 2)])
-        return np.unique(key, axis=1)  # each q-gram of an item counts once
-
-    def _verify(self, codes, out, starts, hits, grams) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        least = int(band.min()) - 1
+        span = int(band.max()) - least + 1
+        both = np.concatenate([pair * span + (band - least), pair * span + (band - least - 1)])
+        groups, group = np.unique(both, return_inverse=True)
+        deep = int(place.max()) + 1
+        key = np.unique(group * deep + np.tile(place, 2))  # each q-gram of an item counts once
+        group, place = key // deep, key % deep
+        pair = pairs[groups // span]
+        return np.stack([(pair // len(self.codes))[group], (pair % len(self.codes))[group], (groups % span + least)[group], place])
+
+    def _verify(self, codes, out, starts, hits, grams, a, b) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """Counts per text, item and band, and aligns where the bound is met; the stretches
         found by text and item."""
         whole: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        key = self._bands(starts, hits, grams, np.maximum(self.budget, 1), self.bound)
+        key = self._bands(starts, hits, grams, np.maximum(self.budget, 1), self.bound, a, b)
         if not key.size:
             return whole
         change = np.flatnonzero((np.diff(key[:3], axis=1) != 0).any(axis=0)) + 1
@@ -220,7 +310,7 @@ class Index:
             got = align(item_codes, text[lo:hi], low - lo, high - lo, budget)
             if got is None:
                 continue
-            match = (self.ids[k], lo + got[1], lo + got[2], got[0])
+            match = (k, lo + got[1], lo + got[2], got[0])
             # neighbouring bands see the same stretch
             if last and last[:2] == (d, k) and out[d][-1][2] > match[1]:
                 if match[3] < out[d][-1][3]:
@@ -232,45 +322,135 @@ class Index:
             last = (d, k)
         return whole
 
-    def _verify_parts(self, codes, out, starts, hits, grams, whole) -> None:
-        """Aligns the windows of an item whose q-grams in one band reach the bound."""
-        more = PART - Q - Q * PART_EDITS  # shared q-grams of a window besides its first
-        key = self._bands(starts, hits, grams, *(np.full(len(self.codes), n) for n in (PART_EDITS, more + 1)))
+    def _verify_parts(self, codes, every, out, starts, hits, grams, whole, a, b) -> None:
+        """Aligns the windows of an item whose q-grams in one band reach the bound.
+
+        Before that the lemma is asked again with short grams, which leaves few windows that only
+        share a wording; a window that many items have is aligned once at a place.
+        """
+        n, more = len(self.codes), PART - Q - Q * PART_EDITS  # shared q-grams of a window besides its first
+        key = self._bands(starts, hits, grams, *(np.full(n, x) for x in (PART_EDITS, more + 1)), a, b)
         one, other = key[:, : max(0, key.shape[1] - more)], key[:, more:]
-        close = (one[:3] == other[:3]).all(axis=0) & (other[3] - one[3] <= PART - Q)
-        size = np.array([len(c) for c in self.codes])
-        some = np.flatnonzero(close & (size[one[1]] >= PART))
+        some = np.flatnonzero((one[:3] == other[:3]).all(axis=0) & (other[3] - one[3] <= PART - Q) & (self.size[one[1]] >= PART))
         if not len(some):
             return
-        cuts = np.flatnonzero((np.diff(one[:3, some], axis=1) != 0).any(axis=0)) + 1
+        one, last = one[:, some], other[3, some]
+        new = np.concatenate([[True], (np.diff(one[:3], axis=1) != 0).any(axis=0)])
+        group = np.cumsum(new) - 1
+        doc, item, band = one[:3, new]
+        # the windows that hold both ends of a run of enough shared q-grams; a segment of marks per group
+        long = self.size[item] + 1
+        segment = np.cumsum(long) - long
+        total = int(long.sum())
+        marks = np.bincount(segment[group] + np.maximum(last - (PART - Q), 0), minlength=total)
+        marks -= np.bincount(segment[group] + np.minimum(one[3], self.size[one[1]] - PART) + 1, minlength=total)
+        spot = np.flatnonzero(np.cumsum(marks) > 0)
+        group = np.searchsorted(segment, spot, side="right") - 1
+        at = spot - segment[group]
+        low = (band - 1) * PART_EDITS
+        width = 4 * PART_EDITS
+        keep = self._share_short_grams(every, starts, doc, item, low, width, segment, total, spot, group, at)
+        pair = doc * n + item
+        for (d, k), stretches in whole.items():  # wherever windows match there, they overlap the whole item's stretch
+            x, y = np.searchsorted(group, np.searchsorted(pair, [d * n + k, d * n + k + 1]))
+            near = at[x:y] + low[group[x:y]]
+            for u, v in stretches:
+                keep[x:y] &= (near + width - 1 >= v) | (near + PART <= u)
+        group, at = group[keep], at[keep]
+        length = np.array([len(c) for c in codes])
+        before = at + low[group]
+        base, flat = starts[doc[group]] + before, self.offset[item[group]] + at
+        # equal windows at one place are one row
+        spread = int(starts[-1]) + 2 * int(self.size.max()) + 2
+        _, rep, back = np.unique(self.window[flat] * spread + (base + self.size.max()), return_index=True, return_inverse=True)
+        cost = np.empty(len(rep), np.int8)
+        for x in range(0, len(rep), WINDOW_ROWS):
+            r = rep[x : x + WINDOW_ROWS]
+            size = length[doc[group[r]]]
+            under = np.arange(PART + width - 1)
+            place = before[r][:, None] + under
+            chars = np.where((place >= 0) & (place < size[:, None]), every[np.clip(base[r][:, None] + under, 0, len(every) - 1)], 0)
+            cost[x : x + WINDOW_ROWS] = window_edits(self.flat[flat[r][:, None] + np.arange(PART)], chars, before[r], size)
+        good = cost[back] <= PART_EDITS
+        group, at = group[good], at[good]
+        if not len(at):
+            return
+        head = np.concatenate([[True], (np.diff(group) != 0) | (np.diff(at) >= PART)])
+        tail = np.append(head[1:], True)
+        group, i, j = group[head], at[head], at[tail] + PART
+        before = i + low[group]
         found: dict[tuple[int, int], list[tuple]] = {}
-        for group in np.split(some, cuts):
-            d, k, b = one[:3, group[0]].tolist()
-            text, item = codes[d], self.codes[k]
-            low, high = (b - 1) * PART_EDITS, (b + 3) * PART_EDITS - 1
-            # the windows that hold both ends of a run of enough shared q-grams
-            marks = np.zeros(len(item) + 1, np.int64)
-            np.add.at(marks, np.maximum(other[3, group] - (PART - Q), 0), 1)
-            np.add.at(marks, np.minimum(one[3, group], len(item) - PART) + 1, -1)
-            at = np.flatnonzero(np.cumsum(marks) > 0)
-            for u, v in whole.get((d, k), ()):  # wherever these match, they overlap the whole item's stretch
-                at = at[(at + high >= v) | (at + low + PART <= u)]
-            if not len(at):
-                continue
-            lo, hi = max(0, low + int(at[0])), max(0, min(len(text), high + int(at[-1]) + PART))
-            at = at[window_edits(item, at, text[lo:hi], low - lo, high - lo) <= PART_EDITS]
-            for run in np.split(at, np.flatnonzero(np.diff(at) >= PART) + 1) if len(at) else ():
-                i, j = int(run[0]), int(run[-1]) + PART
-                lo, hi = max(0, low + i), min(len(text), high + j)
-                got = align(item[i:j], text[lo:hi], low + i - lo, high + i - lo, j - i)
-                if got is not None:
-                    found.setdefault((d, k), []).append((i - j, got[0], lo + got[1], lo + got[2]))
+        for x in range(0, len(i), WINDOW_ROWS):
+            y = slice(x, x + WINDOW_ROWS)
+            g = group[y]
+            got = align_many(
+                self.flat, self.offset[item[g]] + i[y], (j - i)[y], every, starts[doc[g]] + before[y], before[y], length[doc[g]], width
+            )
+            for d, k, span, (edited, u, v) in zip(doc[g].tolist(), item[g].tolist(), (i - j)[y].tolist(), got.tolist(), strict=True):
+                found.setdefault((d, k), []).append((span, edited, u, v))
         for (d, k), stretches in found.items():
-            taken = list(whole.get((d, k), ()))
-            for _, cost, x, y in sorted(stretches):
-                if all(y <= u or v <= x for u, v in taken):
-                    taken.append((x, y))
-                    out[d].append((self.ids[k], x, y, cost))
+            taken = sorted(whole.get((d, k), ()))
+            for _, edited, u, v in sorted(stretches):
+                x = bisect_left(taken, (u, v))
+                if (x == 0 or taken[x - 1][1] <= u) and (x == len(taken) or v <= taken[x][0]):
+                    taken.insert(x, (u, v))
+                    out[d].append((k, u, v, edited))
+
+    def _share_short_grams(self, every, starts, doc, item, low, width, segment, total, spot, group, at) -> np.ndarray:
+        """Whether a window shares enough of its ``SHORT``-grams on the band's diagonals."""
+        mine, theirs = short_grams(self.flat), short_grams(every)
+        # the places of the items that some window covers
+        marks = np.bincount(spot, minlength=total + PART) - np.bincount(spot + PART - SHORT + 1, minlength=total + PART)
+        need = np.flatnonzero(np.cumsum(marks)[:total] > 0)
+        owner = np.searchsorted(segment, need, side="right") - 1
+        place = need - segment[owner]
+        gram = mine[self.offset[item[owner]] + place]
+        first = starts[doc[owner]] + place + low[owner]
+        shared = np.zeros(len(need), bool)
+        for j in range(width):
+            shared |= theirs[np.clip(first + j, 0, len(theirs) - 1)] == gram
+        sums = np.zeros(total + 1, np.int32)
+        sums[need + 1] = shared
+        np.cumsum(sums, out=sums)
+        return sums[spot + PART - SHORT + 1] - sums[spot] >= PART - SHORT + 1 - SHORT * PART_EDITS
+
+
+def short_grams(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the ``SHORT``-grams."""
+    h = np.zeros(max(0, len(codes) - SHORT + 1), np.uint32)
+    with np.errstate(over="ignore"):
+        for i in range(SHORT):
+            h = h * np.uint32(0x9E3779B1) + codes[i : len(codes) - SHORT + 1 + i]
+    return h
+
+
+def window_classes(codes: np.ndarray) -> np.ndarray:
+    """Per place the number of its window of ``PART`` characters; equal numbers, equal windows."""
+    n = len(codes) - PART + 1
+    h = codes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        # by doubling the length: 80 is 64 and 16
+        power, size, made = _BASE, 1, {1: h}
+        while 2 * size <= PART:
+            h = h[:-size] * power + h[size:]
+            power, size = power * power, 2 * size
+            made[size] = h
+        whole, at = np.zeros(n, np.uint64), 0
+        for size in sorted(made, reverse=True):
+            if PART & size:
+                whole = whole * _MIX + made[size][at : at + n]
+                at += size
+    order = np.argsort(whole, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = whole[order[1:]] != whole[order[:-1]]
+    equal = np.flatnonzero(~new)
+    for x in range(0, len(equal), WINDOW_ROWS):  # equal hashes of different windows don't count
+        e = equal[x : x + WINDOW_ROWS]
+        a, b = (order[e - d][:, None] + np.arange(PART) for d in (0, 1))
+        new[e] = (codes[a] != codes[b]).any(axis=1)
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
 
 
 def _find(data: bytes, needle: bytes) -> Iterator[int]:
