@@ -38,8 +38,7 @@ def test_fit_orders_pairs():
     m = R.fit(x[y], x[~y], pairs=20_000)
     w = np.array(m.weights)
     assert w[0] > 0 > w[1] and abs(w[2]) < 0.1 * w[0] and w[1] / w[0] == pytest.approx(-0.5, abs=0.1)
-    share = ((np.clip((x - m.centre) / m.spread, -6, 6) @ w) < m.cutoff).mean()
-    assert share == pytest.approx((~y).mean(), abs=0.01)  # the quantile
+    assert m.good == pytest.approx(np.median(np.clip((x[y] - m.centre) / m.spread, -6, 6) @ w))
     assert R.fit(x[:0], x) is None
 
 
@@ -51,3 +50,31 @@ def test_odd_rows(ready):
     odd = ready.createDataFrame([(None, None), (None, 1), (1, 5), (2, 1), (2, 1)], "doc_id long, quality int")
     assert R.rank_documents(df, odd).count() == 4
     assert R.rank_documents(df.limit(0), none).count() == 0
+
+
+def test_scores_equal_a_plain_fit(ready, rows):
+    """The query's scores against gradient descent over the pairs and a sorted list of all scores."""
+    texts = {x["doc_id"]: x["text"] for x in rows("documents", SF)}
+    truth = {(x["doc_id"], x["quality"]) for x in rows("labels", SF) if x["quality"] in (0, 1) and not out(x["doc_id"]) and x["doc_id"] in texts}
+    x = {i: np.array(R.features(t)) for i, t in texts.items()}
+    good, bad = (np.array([x[i] for i, y in truth if y == k]) for k in (1, 0))
+    every = np.vstack([good, bad])
+    centre, spread = every.mean(axis=0), np.maximum(every.std(axis=0), 1e-9)
+    z = lambda v: np.clip((v - centre) / spread, -R.CLIP, R.CLIP)
+    rng = np.random.default_rng(1)
+    d = z(good)[rng.integers(0, len(good), 40_000)] - z(bad)[rng.integers(0, len(bad), 40_000)]
+    w = np.zeros(d.shape[1])
+    for _ in range(4000):
+        w += 0.5 * ((d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(axis=0) - R.RIDGE * w)
+    raw = {i: float(z(v) @ w) for i, v in x.items()}
+    cut = sorted(raw.values())[round(len(bad) / len(every) * len(raw)) - 1]
+    got = {r.doc_id: r for r in op5_quality_classifier(ready, SF).collect()}
+    agree = sum((raw[i] > cut) == bool(got[i].predicted) for i in raw) / len(raw)
+    order = [np.argsort(np.argsort([f(i) for i in sorted(raw)])) for f in (raw.__getitem__, lambda i: got[i].score)]
+    assert agree > 0.99 and np.corrcoef(*order)[0, 1] > 0.98
+
+
+def test_quantile_is_of_all_documents(ready):
+    df = ready.range(1000).selectExpr("cast(id as double) / 7 as _raw")
+    assert R.cutoff(df, 0.25) == pytest.approx((249 / 7 + 250 / 7) / 2) and R.cutoff(df, 1.0) == pytest.approx(999 / 7)
+    assert R.cutoff(df.limit(0), 0.5) == 0.0

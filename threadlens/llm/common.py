@@ -75,6 +75,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows, those with the lowest hash of ``keys``.
+
+    The hash is cut at a share computed from the count before rows are ordered, so that all
+    partitions together, not each, bring about ``n``.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    cut = min(1.0, (1.1 * n + 1000) / max(1, df.count()))
+    return df.where(place < F.lit(int(cut * (1 << 30)))).orderBy(place, *keys).limit(n)
+
+
+def largest(df: DataFrame, n: int, column: str, *ties: str) -> DataFrame:
+    """The ``n`` rows with the largest numbers in ``column``, of equals those with the least ``ties``.
+
+    As in ``hash_sample``, an approximate quantile leaves about ``n`` rows to be ordered.
+    """
+    total = df.count()
+    if total > 2 * n:
+        least = df.agg(F.percentile_approx(column, 1 - 1.2 * n / total, 10_000).alias("q")).first().q
+        df = df.where(F.col(column) >= least)
+    return df.orderBy(F.desc(column), *ties).limit(n)
+
+
 _LOCAL = threading.local()
 
 

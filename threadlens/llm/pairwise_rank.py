@@ -4,13 +4,15 @@ Every document is measured once.  Preference pairs (a document labelled good, on
 labelled bad) say that the first should win; the chance that it does is the logistic
 function of the difference of two scores, each linear in the document's features.  The
 weights minimise the logistic loss on the feature differences (Newton steps with a
-ridge).  The documents are then ranked by score, and the cutoff is the score quantile
-at the labelled share of bad documents; the reported score is a logistic curve
+ridge).  All documents are then ranked by score, and the cutoff is the quantile of all
+scores at the labelled share of bad documents (``percentile_approx``, a rank error of at most
+1 / ``ACCURACY``; half-way to the next score above); the reported score is a logistic curve
 through the cutoff, where it equals ``CUT``.
 
 Fitting uses a bounded sample: ``MAX_LABELLED`` labelled rows, those with the lowest
 hash of their id, and ``MAX_PAIRS`` pairs drawn from them with a fixed seed.  Only the
-sample's features come to the driver.  Everything else covers all rows: one Arrow
+sample's features come to the driver.  The share and the quantile cover all labels and all
+documents.  Everything else covers all rows: one Arrow
 pass measures, its narrow result is stored and scored by column expressions.
 
 Defined cases: null or empty text: the features of no words; null id: never a
@@ -29,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.llm.common import clear_names, map_arrow, stored
+from threadlens.llm.common import clear_names, hash_sample, map_arrow, stored
 
 MAX_LABELLED = 20_000
 MAX_PAIRS = 40_000
 CUT = 0.7
 RIDGE = 1e-3
+ACCURACY = 100_000
 CLIP = 6.0  # standard deviations
 FEATURES = ("words", "word_length", "neighbours_equal", "distinct", "symbols", "exclamations", "capitals", "digits", "lines_repeated", "compressed")
 
@@ -64,13 +67,12 @@ def features(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class Ranking:
-    """Weights of the standardised features, and the cutoff and scale of the score."""
+    """Weights of the standardised features, and the middle score of the good documents."""
 
     centre: tuple[float, ...]
     spread: tuple[float, ...]
     weights: tuple[float, ...]
-    cutoff: float
-    scale: float
+    good: float
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,12 +99,7 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = MAX_PAIRS, seed: int = 7
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    scores = np.sort(np.concatenate([z(good) @ w, z(bad) @ w]))
-    # the quantile lies between the last document below it and the first above
-    at = min(max(len(bad), 1), len(scores) - 1)
-    cutoff = (scores[at - 1] + scores[at]) / 2
-    scale = max(float(np.median(z(good) @ w) - cutoff) / 4, 1e-6)
-    return Ranking(*(tuple(map(float, x)) for x in (centre, spread, w)), float(cutoff), scale)
+    return Ranking(*(tuple(map(float, x)) for x in (centre, spread, w)), float(np.median(z(good) @ w)))
 
 
 def measured(docs: DataFrame, text: str = "text", out: str = "_features") -> DataFrame:
@@ -115,37 +112,51 @@ def measured(docs: DataFrame, text: str = "text", out: str = "_features") -> Dat
     return stored(map_arrow(docs, [(out, T.ArrayType(T.DoubleType()))], columns).drop(text), "features")
 
 
-def learn(known: DataFrame, labels: DataFrame, label: str = "quality") -> Ranking | None:
-    """The ranking learned from the labelled rows that are not held out."""
+def learn(known: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[Ranking | None, float]:
+    """The ranking learned from the labelled rows that are not held out, and the share of bad ones."""
     truth = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select(
         F.col("doc_id").alias("_id"), F.col(label).alias("_y")
-    )
-    rows = (
-        known.select(F.col("doc_id").alias("_id"), "_features").join(truth, "_id")
-        .orderBy(F.xxhash64("_id"), "_id", "_y").limit(MAX_LABELLED).select("_y", "_features").collect()
-    )
+    ).distinct()
+    labelled = known.select(F.col("doc_id").alias("_id"), "_features").join(truth, "_id")
+    n = labelled.agg(F.count("*").alias("all"), F.count_if(F.col("_y") == 0).alias("bad")).first()
+    rows = hash_sample(labelled, MAX_LABELLED, "_id", "_y", "_features").select("_y", "_features").collect()
     side = lambda y: np.array([r["_features"] for r in rows if r["_y"] == y]).reshape(-1, len(FEATURES))
-    return fit(side(1), side(0))
+    return fit(side(1), side(0)), n["bad"] / max(1, n["all"])
 
 
-def score(model: Ranking | None, x: Column) -> Column:
-    """The reported score, 0 to 1, as a column expression."""
-    if model is None:
-        return F.lit(0.5)
+def raw_score(model: Ranking, x: Column) -> Column:
+    """What the documents are ranked by."""
     s = F.lit(0.0)
     for i, (c, d, w) in enumerate(zip(model.centre, model.spread, model.weights, strict=True)):
         s = s + F.greatest(F.least((F.get(x, F.lit(i)) - c) / d, F.lit(CLIP)), F.lit(-CLIP)) * w
-    odds = float(np.log(CUT / (1 - CUT)))
-    return 1 / (1 + F.exp(-((s - model.cutoff) / model.scale + odds)))
+    return s
+
+
+def cutoff(scores: DataFrame, share: float) -> float:
+    """The quantile of all ``_raw`` scores, half-way between the last score below it and the first above."""
+    last = scores.agg(F.percentile_approx("_raw", share, ACCURACY).alias("q")).first().q
+    if last is None:
+        return 0.0
+    above = scores.where(F.col("_raw") > last).agg(F.min("_raw").alias("q")).first().q
+    return last if above is None else (last + above) / 2
+
+
+def reported(raw: Column, at: float, good: float) -> Column:
+    """The reported score, 0 to 1: ``CUT`` at the cutoff ``at``."""
+    scale = max((good - at) / 4, 1e-6)
+    return 1 / (1 + F.exp(-((raw - at) / scale + float(np.log(CUT / (1 - CUT))))))
 
 
 @clear_names
 def rank_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the text, plus ``_held_out`` and ``_score``."""
     known = measured(docs)
-    model = learn(known, labels)
+    model, share = learn(known, labels)
+    if model is None:
+        score = F.lit(0.5)
+    else:
+        raw = raw_score(model, F.col("_features"))
+        score = reported(raw, cutoff(known.select(raw.alias("_raw")), share), model.good)
     return known.select(
-        *[c for c in docs.columns if c != "text"],
-        held_out(F.col("doc_id")).alias("_held_out"),
-        score(model, F.col("_features")).alias("_score"),
+        *[c for c in docs.columns if c != "text"], held_out(F.col("doc_id")).alias("_held_out"), score.alias("_score")
     )
