@@ -17,12 +17,12 @@ def chars():
         s = "^^" + w + "$"
         for i in range(len(s) - 2):
             grams[s[i : i + 3]] = grams.get(s[i : i + 3], 0) + 50
-    return D.CharModel(grams)
+    return D.CharModel.of(grams)
 
 
 @pytest.mark.parametrize("hidden,word", [
     ("1d10t", "idiot"), ("st0p", "st0p"), ("$tupid", "stupid"), ("5tup1d", "stupid"), ("looooser", "loser"), ("c.l.o.w.n", "clown"),
-    ("w0rthl3ss", "worthless"), ("W0RTHLESS!!!", "worthless"), ("i-d-i-o-t", "idiot"), ("cl0wn,", "clown"),
+    ("l" + "o" * 60 + "ser", "loser"), ("-".join("i" * 30 + "diot"), "idiot"), ("c" + "." * 50 + "lown", "clown"), ("w0rthl3ss", "worthless"), ("W0RTHLESS!!!", "worthless"), ("i-d-i-o-t", "idiot"), ("cl0wn,", "clown"),
 ])
 def test_decoding(chars, hidden, word):
     assert word in D.restored(hidden, chars)
@@ -74,7 +74,7 @@ def test_odd_rows(ready):
     df = ready.createDataFrame([(None, None, "x"), (1, "", "y"), (1, "a" * 100_000 + " b", "z"), (1, "a" * 100_000 + " b", "z")], "doc_id long, text string, _t string")
     none = ready.createDataFrame([], "doc_id long, toxic int")
     got = D.score_toxicity(df, none).collect()
-    assert len(got) == 4 and len({r._score for r in got}) == 1 and sorted(r._t for r in got) == ["x", "y", "z", "z"]
+    assert len(got) == 4 and len({r["__score"] for r in got}) == 1 and sorted(r._t for r in got) == ["x", "y", "z", "z"]
     assert D.score_toxicity(df.limit(0), none).count() == 0
 
 
@@ -89,8 +89,32 @@ def test_phrases_spaced_letter_by_letter(text, words):
         s = "^^" + w + "$"
         for i in range(len(s) - 2):
             grams[s[i : i + 3]] = grams.get(s[i : i + 3], 0) + 50
-    chars = D.CharModel(grams)
+    chars = D.CharModel.of(grams)
     heavy = {w: 2.0 for w in ("stupid", "idiot")}
     assert (D.Scorer((chars, heavy)).measure([text])[0][1] == 2.0) == any(w in heavy for w in words)
     assert D.spaced_words(text, chars) == words
     assert len(D.spaced_words("a b " * 50_000, chars)) > 0
+
+
+def test_model_counts_all_trigrams(ready, monkeypatch):
+    docs = ready.createDataFrame([("abc abd " + "x" * 50,), ("abc qed",), (None,)], "text string")
+    whole = D.char_model(docs)
+    want = D.CharModel.of(whole.tri)
+    assert (whole.bi, whole.uni, whole.tri_of, whole.bi_of, whole.total) == (want.bi, want.uni, want.tri_of, want.bi_of, want.total)
+    assert whole.tri["xxx"] == 48 and whole.tri["^^a"] == 3
+    monkeypatch.setattr(D, "MAX_GRAMS", 8)
+    few = D.char_model(docs)
+    assert len(few.tri) <= 8 and few.tri["xxx"] == 48
+    assert all(few.tri_of[c] == whole.tri_of[c] for c in few.tri_of) and all(few.uni[c] == whole.uni[c] for c in few.uni)
+
+
+def test_evidence_is_ranked_by_odds(ready, monkeypatch):
+    rows = [("vile word" if i < 15 else "word", 1) for i in range(40)] + [("word" if i < 10 else "fine", 0) for i in range(60)]
+    df = ready.createDataFrame(rows, "_t string, _y int")
+    model, rate = D.per_worker(ready, D.CharModel.of({"^^a": 1})), 0.4
+    p = {"vile": (15 + 8) / (15 + 20), "word": (40 + 8) / (50 + 20)}
+    assert D._weights(df, model, rate) == {e: round(D._odds(v) - D._odds(rate), 6) for e, v in p.items()}
+    monkeypatch.setattr(D, "MAX_EVIDENCE", 1)
+    rows = [("rare common" if i < 15 else "common", 1) for i in range(40)] + [("common", 0)] * 20
+    df = ready.createDataFrame(rows, "_t string, _y int")
+    assert set(D._weights(df, model, rate)) == {"rare"}

@@ -16,13 +16,17 @@ logistic function of its three heaviest distinct words, the sum of all weights a
 length; one half of the sample gives the weights, the other half the logistic function.
 
 Fitting uses a bounded sample, the ``MAX_LABELLED`` labelled rows with the lowest hash of
-their id (joined by broadcast, so no text is shuffled), and at most ``MAX_EVIDENCE``
-words and beginnings.  The character model keeps ``MAX_GRAMS`` trigrams; rarer ones fall
-back on shorter contexts.  Both bound what is broadcast.  All documents are scored.
+their id (joined by broadcast, so no text is shuffled), and of the words and beginnings that speak for
+toxic the ``MAX_EVIDENCE`` with the highest odds.  The character model's counts are sums over all
+trigrams of the corpus; of trigrams, pairs and contexts the ``MAX_GRAMS`` commonest are broadcast,
+rarer ones fall back on shorter contexts.  All documents are scored.
+
+Runs of one sign are read as three of them, runs of separators and of a letter with its separator as one;
+words of any length are decoded.  Words cut in longer chunks (``stu pid``) are not joined.
 
 Defined cases: null or empty text: the score of no evidence; null id: never a training row,
 not held out; labels of one kind only: the same score everywhere; repeated rows: each on its own;
-words over 40 characters are not taken for disguised ones; extra columns are kept
+extra columns are kept
 (names that begin with ``_``: see ``clear_names``).
 """
 
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.llm.common import clear_names, map_arrow, per_worker, slices, stored
+from threadlens.llm.common import clear_names, hash_sample, largest, map_arrow, per_worker, slices, stored
 from threadlens.llm.pairwise_rank import held_out
 
 MAX_LABELLED = 20_000
@@ -50,7 +54,7 @@ MAX_GRAMS = 200_000
 MIN_TOXIC = 3  # toxic documents a word must be in to count as evidence
 PRIOR = 20.0  # documents that the prior share weighs
 BEGINNINGS = (4, 5, 6)
-LONGEST = 40
+SHORT_WORD = 40  # words up to this length are remembered
 MEMORY = 500_000
 
 # look-alike signs (fixed values)
@@ -64,24 +68,36 @@ START, END = "^", "$"
 
 _DISGUISED = re.compile(r"(?i)^[\w@$!|+(€£¡.*'~-]+$").match
 _RUN = re.compile(r"([^\W\d_])\1\1").search
-_SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)").findall
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)").findall
+_MANY = re.compile(r"(.)\1{3,}")
+_SPREAD = re.compile(r"([^\W\d_][.\-_*'~])\1{2,}")
+_SEPARATORS = re.compile(r"([.\-_*'~])[.\-_*'~]+")
 # channel costs in nats
 SWAP, DROP_SIGN, DROP_EDGE, DROP_BETWEEN, DROP_REPEAT, DROP_DOUBLE = 1.0, 14.0, 3.0, 0.3, 0.5, 6.0
 WORD_END, DROP_WIDE = 1.0, 3.0  # a word end at a narrow gap of a run, none at a wide one
 
 
+# the shorter sums of a trigram, as (first character, length): its last two, its last, its first two, its middle one
+SUMS = ((1, 2), (2, 1), (0, 2), (1, 1))
+
+
 class CharModel:
     """Trigram model over characters, falling back on shorter contexts."""
 
-    def __init__(self, grams: dict[str, int]):
-        self.tri, self.bi, self.uni = grams, Counter(), Counter()
-        self.tri_of, self.bi_of = Counter(), Counter()
+    def __init__(self, tri: dict[str, int], bi: dict[str, int], uni: dict[str, int], tri_of: dict[str, int], bi_of: dict[str, int]):
+        # a trigram whose context was not kept falls back as an unknown one does
+        self.tri = {g: n for g, n in tri.items() if g[:2] in tri_of}
+        self.bi, self.uni, self.tri_of, self.bi_of = Counter(bi), Counter(uni), Counter(tri_of), Counter(bi_of)
+        self.total, self.kinds = sum(uni.values()), len(uni) + 1
+
+    @classmethod
+    def of(cls, grams: dict[str, int]) -> CharModel:
+        """The model of some trigrams with their counts."""
+        parts = [Counter() for _ in SUMS]
         for g, n in grams.items():
-            self.bi[g[1:]] += n
-            self.uni[g[2]] += n
-            self.tri_of[g[:2]] += n
-            self.bi_of[g[1]] += n
-        self.total, self.kinds = sum(self.uni.values()), len(self.uni) + 1
+            for sums, (at, size) in zip(parts, SUMS, strict=True):
+                sums[g[at : at + size]] += n
+        return cls(grams, *parts)
 
     def cost(self, context: str, c: str) -> float:
         """Negative log of the chance of ``c`` after two characters."""
@@ -111,18 +127,27 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def decode(word: str, model: CharModel) -> str:
     """The likeliest reading of a disguised word."""
-    best: dict[str, tuple[float, str]] = {START * 2: (0.0, "")}
+    # per context the cost and the path as (path before, character)
+    best: dict[str, tuple[float, tuple | None]] = {START * 2: (0.0, None)}
     for options in lattice(word):
-        after: dict[str, tuple[float, str]] = {}
-        for context, (cost, said) in best.items():
+        after: dict[str, tuple[float, tuple | None]] = {}
+        for context, (cost, path) in best.items():
             for c, extra in options:
                 state, total = context, cost + extra
                 if c:
                     state, total = context[1] + c, total + model.cost(context, c)
-                if state not in after or (total, said + c) < after[state]:
-                    after[state] = total, said + c
+                if state not in after or total < after[state][0]:
+                    after[state] = total, (path, c) if c else path
         best = after
-    return min((cost + model.cost(s, END), said) for s, (cost, said) in best.items())[1]
+    return _said(min(((cost + model.cost(s, END), path) for s, (cost, path) in best.items()), key=lambda e: e[0])[1])
+
+
+def _said(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def spaced_words(text: str, model: CharModel) -> list[str]:
@@ -161,17 +186,18 @@ def spaced_words(text: str, model: CharModel) -> list[str]:
                         after[state] = total, (path, c) if c else path
             best = after
         path = min(((cost + model.cost(s, END), path) for s, (cost, path) in best.items()), key=lambda e: e[0])[1]
-        said = []
-        while path:
-            path, c = path
-            said.append(c)
-        out += "".join(reversed(said)).split()
+        out += _said(path).split()
     return out
 
 
+def squeezed(word: str) -> str:
+    """The word with long runs of a sign, of separators, and of a letter and a separator cut short."""
+    return _SPREAD.sub(r"\1", _SEPARATORS.sub(r"\1", _MANY.sub(r"\1\1\1", word)))
+
+
 def disguised(core: str) -> bool:
     """Whether a word (without outer punctuation) could be read otherwise."""
-    if len(core) < 3 or len(core) > LONGEST or core.isalpha() and not _RUN(core):
+    if len(core) < 3 or core.isalpha() and not _RUN(core):
         return False
     return bool(_DISGUISED(core)) and any(map(str.isalpha, core))
 
@@ -184,7 +210,7 @@ def restored(word: str, model: CharModel) -> list[str]:
     if bare != core:
         said.append(bare)
     for c in dict.fromkeys(said):
-        if disguised(c) and (read := decode(c, model)) not in said:
+        if disguised(c) and (read := decode(squeezed(c), model)) not in said:
             said.append(read)
     return said
 
@@ -209,14 +235,13 @@ def char_model(docs: DataFrame, text: str = "text") -> CharModel:
     """The character model of all words of all documents."""
     at = docs.columns.index(text)
 
-    def grams(words: Counter, out: Counter) -> None:
-        for w, n in words.items():
+    def grams(words: Iterable[tuple[str, int]], out: Counter) -> None:
+        for w, n in words:
             core = w.lower().strip(EDGES)
-            if core.isalpha() and len(core) <= LONGEST:
+            if core.isalpha():
                 s = START * 2 + core + END
                 for i in range(len(s) - 2):
                     out[s[i : i + 3]] += n
-        words.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, out = Counter(), Counter()
@@ -224,34 +249,64 @@ def char_model(docs: DataFrame, text: str = "text") -> CharModel:
             for t in part.column(at).to_pylist():
                 if t:
                     words.update(t.split())
+            long = [w for w in words if len(w) > SHORT_WORD]
+            grams([(w, words.pop(w)) for w in long], out)
             if len(words) > MEMORY:
-                grams(words, out)
-        grams(words, out)
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["gram", "n"])
+                grams(words.items(), out)
+                words.clear()
+            if len(out) > MEMORY:
+                yield _counts("gram", out)
+        grams(words.items(), out)
+        yield _counts("gram", out)
 
     counted = docs.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    kept = counted.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).collect()
-    return CharModel({r["gram"]: r["n"] for r in kept})
+    counted = stored(counted, "trigrams")
+    # the sums over all trigrams are made before any is left out
+    parts = [counted] + [
+        counted.groupBy(F.substring("gram", i + 1, size).alias("gram")).agg(F.sum("n").alias("n")) for i, size in SUMS
+    ]
+    return CharModel(*({r["gram"]: r["n"] for r in largest(p, MAX_GRAMS, "n", "gram").collect()} for p in parts))
+
+
+def _counts(name: str, out: Counter) -> pa.RecordBatch:
+    """What was counted so far; counting begins anew."""
+    batch = pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], [name, "n"])
+    out.clear()
+    return batch
 
 
-def _having(docs: DataFrame, model: per_worker, wanted: set[str] | None, at: int) -> DataFrame:
-    """In how many documents each piece of evidence is."""
+def _having(rows: DataFrame, model: per_worker) -> DataFrame:
+    """In how many toxic (``n``) and clean (``others``) documents each piece of evidence is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars, memo, out = model.get(_same), {}, Counter()
+        chars, memo, out = model.get(_same), {}, (Counter(), Counter())
         for part in slices(batches, 8_000_000):
-            for t in part.column(at).to_pylist():
+            for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
                 for w in {*words_of(t or ""), *spaced_words(t or "", chars)}:
-                    if w not in memo:
+                    if w in memo:
+                        found.update(memo[w])
+                        continue
+                    pieces = list(evidence(w, chars))
+                    found.update(pieces)
+                    if len(w) <= SHORT_WORD:
                         if len(memo) > MEMORY:
                             memo.clear()
-                        memo[w] = [e for e in evidence(w, chars) if wanted is None or e in wanted]
-                    found.update(memo[w])
-                out.update(found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["e", "n"])
-
-    return docs.mapInArrow(run, "e string, n long").groupBy("e").agg(F.sum("n").alias("n"))
+                        memo[w] = pieces
+                out[y].update(found)
+            if max(map(len, out)) > MEMORY:
+                yield from sides(out)
+        yield from sides(out)
+
+    def sides(out: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        for y, counted in enumerate(out):
+            b = _counts("e", counted)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, y, np.int32))], ["e", "n", "y"])
+
+    counted = rows.select("_t", "_y").mapInArrow(run, "e string, n long, y int")
+    return counted.groupBy("e").agg(
+        F.sum(F.col("n") * F.col("y")).alias("n"), F.sum(F.col("n") * (1 - F.col("y"))).alias("others")
+    )
 
 
 def _same(x):
@@ -286,7 +341,7 @@ class Scorer:
             heavy = [x for x in map(known.__getitem__, set(c)) if x]
             top = heapq.nlargest(3, heavy)
             out[i] = [1.0, *top, *[0.0] * (3 - len(top)), math.log1p(sum(heavy)), math.log1p(len(c))]
-        for w in [w for w in missing if len(w) > 64]:
+        for w in [w for w in missing if len(w) > SHORT_WORD]:
             del known[w]
         return out
 
@@ -311,12 +366,10 @@ def _odds(p: float) -> float:
 
 def _weights(rows: DataFrame, model: per_worker, rate: float) -> dict[str, float]:
     """Evidence that speaks for toxic, by its log odds over the sample's."""
-    toxic, clean = (rows.where(F.col("_y") == y).select("_t") for y in (1, 0))
-    found = _having(toxic, model, None, 0).where(F.col("n") >= MIN_TOXIC)
-    hits = {r["e"]: r["n"] for r in found.orderBy(F.desc("n"), "e").limit(MAX_EVIDENCE).collect()}
-    others = {r["e"]: r["n"] for r in _having(clean, model, set(hits), 0).collect()} if hits else {}
-    share = {e: (n + PRIOR * rate) / (n + others.get(e, 0) + PRIOR) for e, n in hits.items()}
-    return {e: round(_odds(p) - _odds(rate), 6) for e, p in share.items() if p > 1.5 * rate}
+    found = _having(rows, model).where(F.col("n") >= MIN_TOXIC)
+    share = (F.col("n") + PRIOR * rate) / (F.col("n") + F.col("others") + PRIOR)
+    strong = found.select("e", share.alias("p")).where(F.col("p") > 1.5 * rate)
+    return {r["e"]: round(_odds(r["p"]) - _odds(rate), 6) for r in largest(strong, MAX_EVIDENCE, "p", "e").collect()}
 
 
 @dataclass(frozen=True)
@@ -334,11 +387,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     chars = char_model(docs, text)
     model = per_worker(spark, chars)
     truth = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select(
-        F.col("doc_id").alias("_id"), F.col(label).alias("_y")
+        F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")
     )
     half = F.pmod(F.xxhash64(F.lit("half"), F.col("_id")), F.lit(2))
     # bounded by MAX_LABELLED, hence safe to broadcast
-    sample = F.broadcast(truth.orderBy(F.xxhash64("_id"), "_id", "_y").limit(MAX_LABELLED).withColumn("_half", half))
+    sample = F.broadcast(hash_sample(truth, MAX_LABELLED, "_id", "_y").withColumn("_half", half))
     rows = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_t")).join(sample, "_id").select("_t", "_y", "_half")
     rows = stored(rows, "labelled")
     n_toxic, n_clean = (rows.where(F.col("_y") == y).count() for y in (1, 0))
