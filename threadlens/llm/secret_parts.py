@@ -91,10 +91,11 @@ def _found(text: Column, pattern: str, rank: int, keep=None) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     good = keep or (lambda hit: F.lit(True))
     # lengths only, so that the sweep carries no texts
-    sizes = _let(hits, lambda h: F.zip_with(
+    none = F.array().cast("array<struct<gap:int,hit:int,good:boolean>>")
+    sizes = _let(hits, lambda h: F.when(F.size(h) == 0, none).otherwise(F.zip_with(
         F.slice(F.split(text, pattern, -1), 1, F.size(h)), h,
         lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("hit"), good(x).alias("good")),
-    ))
+    )))
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         begin = at + x["gap"]
@@ -142,11 +143,15 @@ def _spans(events: Column) -> Column:
 def _apart(spans: Column, rank: int, strong: Column) -> Column:
     """``spans``, all of one rank, that overlap none of ``strong``."""
     others = tuple(r for r in range(len(KINDS)) if r != rank)
-    free = F.filter(
-        _among(F.concat(spans, strong), {"other": others}),
-        lambda s: (s["rank"] == rank) & (s["before"]["other"] <= s["start"]) & (s["after"]["other"] >= s["end"]),
-    )
-    return F.when((F.size(spans) == 0) | (F.size(strong) == 0), spans).otherwise(_spans(free))
+
+    def free(spans: Column) -> Column:
+        kept = F.filter(
+            _among(F.concat(spans, strong), {"other": others}),
+            lambda s: (s["rank"] == rank) & (s["before"]["other"] <= s["start"]) & (s["after"]["other"] >= s["end"]),
+        )
+        return F.when((F.size(spans) == 0) | (F.size(strong) == 0), spans).otherwise(_spans(kept))
+
+    return _let(spans, free)
 
 
 def _linked(events: Column, scope: int) -> Column:
