@@ -70,3 +70,21 @@ def test_queries_parse_an_answer_once(spark):
     for name in ("valid_acts", "meta_tags", "politeness_codes", "annotation_json", "parse_responses"):
         plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1, name
+
+
+def test_exports_are_written_by_all_ranges(spark, tmp_path):
+    """A few short threads: their files come from as many tasks as there are ranges, in order."""
+    import glob
+    import re
+
+    from threadlens.sources.exports import read_exports, write_exports
+
+    rows = [("thr", "threaded", t, i, i + 1, 1, "u", f"m{t}.{i}", None, "Reply") for t in range(16) for i in range(2)]
+    schema = "corpus string, layout string, thread_id long, row_idx long, msg_id long, utt_no long, user_id string, message string, reply_to string, category string"
+    utt = spark.createDataFrame(rows, schema)
+    seq = utt.withColumns({"layout": F.lit("sequential"), "corpus": F.lit("seq")})
+    write_exports(utt.unionByName(seq), str(tmp_path))
+    files = glob.glob(f"{tmp_path}/threaded/*/*/*.parquet")
+    assert len({re.search(r"part-(\d+)", f)[1] for f in files}) > 4
+    got = read_exports(spark, str(tmp_path)).select("corpus", "thread_id", "row_idx", "message").collect()
+    assert sorted(map(tuple, got)) == sorted((c, t, i, f"m{t}.{i}") for c in ("thr", "seq") for t in range(16) for i in range(2))
