@@ -164,3 +164,30 @@ def test_tables_on_the_way_are_freed(ready):
     got = P.near_duplicates(docs)
     assert [n.split("-")[0] for n in have() - before] == ["components"]
     assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 9}
+
+
+def test_large_unrelated_sets_are_not_brought_together(ready):
+    rng = np.random.default_rng(3)
+    one = np.unique(rng.integers(0, 2**64 - 1, 9000, np.uint64))
+    near = np.unique(np.append(one[200:], rng.integers(0, 2**64 - 1, 200, np.uint64)))
+    other = np.unique(rng.integers(0, 2**64 - 1, 9000, np.uint64))
+    smaller = np.unique(np.append(one[:3000], rng.integers(0, 2**64 - 1, 4000, np.uint64)))  # fewer buckets
+    sets = [one, near, other, smaller]
+    coarse = np.stack([np.frombuffer(P.buckets(x), np.uint16).astype(np.int64) for x in sets])
+    assert P._may_link(coarse, coarse)[0, 2]  # the 256 buckets don't tell
+    counts = ready.createDataFrame([(i, bytearray(P.finer(x))) for i, x in enumerate(sets)], "node long, set binary")
+    pairs = ready.createDataFrame([(0, 1), (0, 2), (0, 3), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in P.closer(pairs, counts).collect()] == [(0, 1)]
+
+
+def test_shingles_of_many_texts_at_once():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    signs = ["A", "b", "ß", " ", "\t", "\n", "\x1c", " ", "", "a" * 8, "b" * 9, "C" * 16, "d" * 65]
+    texts = [None if rng.random() < 0.1 else "".join(rng.choices(signs, k=rng.choice([0, 1, 5, 40]))) for _ in range(400)]
+    got = P.shingle_sets(pa.array(texts, pa.string()).slice(3, 390))
+    want = [brute_set(t) for t in texts[3:393]]
+    assert [len(x) for x in got] == [len(s) for s in want]
+    assert len({x.tobytes() for x in got}) == len(set(map(frozenset, want)))
+    assert all((np.diff(x) > 0).all() for x in map(np.ndarray.tolist, got))

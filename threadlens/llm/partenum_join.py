@@ -22,10 +22,11 @@ signature that all such sets of the band have in common.
 Copies (equal sets) are one node, named by a hash of the set, so they never meet as pairs.
 The hub of a signature's group is the member that meets most others.  Every node proposes
 one pair, with the best hub of all its groups; where the verified links leave more than one
-component in a group, each node proposes another one, with a hub of another component, ``PROPOSALS`` times, and
-then all members of different components are paired, so nothing is lost, and pairs within a
+component in a group, each node proposes another one, with a hub of another component, up to ``PROPOSALS`` times
+(while that finds links), and then all members of different components are paired, so nothing is lost, and pairs within a
 component, which can change nothing, are not made.  A pair is first held against counts of its shingles by hash
-bucket, which bound the common ones from above, then verified on the sets themselves.
+bucket, which bound the common ones from above, what is left against counts by as many buckets as the
+sets are large, then it is verified on the sets themselves.
 Components are found by repeated minima with shortcuts, all as Spark joins.
 
 Texts are never shuffled: each pass over the documents makes what it needs of them.
@@ -45,7 +46,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import per_worker, scratch, slices, stored
@@ -60,16 +61,24 @@ MAX_HOT = 200_000  # entries of the broadcast list of frequent parts
 NAME_BYTES = 8  # of a set's digest that name its node
 BUCKETS = 256
 FULL = 65_535  # a bucket's count is known up to this
+FINE_FULL = 255  # the same of the finer buckets
 BITMAP = 1 << 24
 FEW = 24  # members of a group whose pairs are made as rows
 BLOCK = 512  # members of a larger group that are compared at a time
 PROPOSALS = 2  # times that open groups get another pair for each node before all pairs are compared
-MEMORY = 300_000
+FRUITFUL = 20  # another such turn if one proposal in so many was a link
 BATCH = 4_000_000
+LONG_WORD = 64  # bytes of words that are hashed eight at a time
 
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U)
 
+_FOLD = np.arange(256, dtype=np.uint8)  # A-Z to lower case
+_FOLD[65:91] += 32
+_SOLID = np.ones(256, bool)  # all but ASCII white space
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+_LEADING = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)  # masks of the first n of eight bytes
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes every output bit."""
@@ -79,37 +88,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(33))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-class Shingler:
-    """Sets of shingles of texts."""
-
-    def __init__(self, _=None):
-        self.hashes = _Hashes()
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes of the five-word shingles."""
-        # bytes: lower() changes A-Z only, split() cuts at ASCII white space only
-        words = (text or "").encode().lower().split()
-        h = np.fromiter(map(self.hashes.__getitem__, words), _U, len(words))
-        n = min(WORDS, len(words))
-        if not n:
-            return h
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of ``texts`` in order, and where each text's ones begin (and the last one's end)."""
+    n = len(texts)
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, n + 1, 8 * texts.offset)
+    size = int(at[-1] - at[0])
+    if not size:
+        return np.empty(0, _U), np.zeros(n + 1, np.int64)
+    given, at = np.frombuffer(data, np.uint8, size, int(at[0])), at - at[0]
+    text = np.zeros(size + 8, np.uint8)  # eight bytes can be read anywhere
+    np.take(_FOLD, given, out=text[:size])
+    solid, border = _SOLID[given], np.zeros(size + 1, bool)
+    border[at] = True
+    # a word also ends where its text does
+    apart = ~solid[:-1] | ~solid[1:] | border[1:-1]
+    first = np.flatnonzero(solid & np.append(True, apart))
+    length = np.flatnonzero(solid & np.append(apart, True)) + 1 - first
+    eight = np.ndarray(size + 1, "<u8", text, 0, (1,))
+    with np.errstate(over="ignore"):
+        h = _mix(length.astype(_U) * _FACTORS[0] ^ (eight[first] & _LEADING[np.minimum(length, 8)]))
+        more, done = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
+        while len(more):
+            left = length[more] - done
+            h[more] = _mix(h[more] * _FACTORS[1] ^ (eight[first[more] + done] & _LEADING[np.minimum(left, 8)]))
+            more, done = more[left > 8], done + 8
+    for i in np.flatnonzero(length > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(text[first[i] : first[i] + length[i]])
+    return h, np.searchsorted(first, at)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Per text the sorted distinct hashes of its five-word shingles."""
+    if not len(texts):
+        return []
+    h, at = _words(texts)
+
+    def mixed(h: np.ndarray, n: int) -> np.ndarray:
+        """Of all runs of ``n`` words."""
         with np.errstate(over="ignore"):
             total = h[: len(h) - n + 1] * _FACTORS[0] + _U(n)
             for i in range(1, n):
                 total += h[i : len(h) - n + 1 + i] * _FACTORS[i]
-        return np.unique(_mix(total))
+        return _mix(total)
+
+    whole = mixed(h, WORDS) if len(h) >= WORDS else h
+    out = []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        n = min(WORDS, j - i)
+        x = np.sort(whole[i : j - WORDS + 1] if n == WORDS else mixed(h[i:j], n) if n else h[:0])
+        new = x[1:] != x[:-1]
+        out.append(x if new.all() else x[np.append(True, new)])
+    return out
 
 
 def buckets(x: np.ndarray) -> bytes:
@@ -118,6 +149,14 @@ def buckets(x: np.ndarray) -> bytes:
     return np.minimum(counts, FULL).astype(np.uint16).tobytes()
 
 
+def finer(x: np.ndarray) -> bytes:
+    """The same by more buckets, a power of two of them: two elements a bucket, or fewer."""
+    n = BUCKETS
+    while 2 * n < len(x):
+        n *= 2
+    return np.minimum(np.bincount((x & _U(n - 1)).astype(np.int64), minlength=n), FINE_FULL).astype(np.uint8).tobytes()
+
+
 def band_of(size: int) -> int:
     """Band b holds the sizes from BAND ** b up to BAND ** (b + 1) - 1."""
     b = 0
@@ -220,7 +259,6 @@ def _namer(odd: dict[bytes, int], size: int):
 def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per document (doc_id, n, key: the set's 128-bit digest, node, counts by bucket), and per
     chunk the frequent parts (sig, n); one pass, stored."""
-    shingler = per_worker(docs.sparkSession, None)
     names = ["doc_id", "n", "key", "node", "buckets", "sig"]
     name = _namer({}, NAME_BYTES)
 
@@ -238,11 +276,9 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 [none[0], pa.array(n[keep], pa.int64()), *none[1:], pa.array(_signed(sig[keep]), pa.int64())], names
             )
 
-        make = shingler.get(Shingler).shingles
         for part in slices(batches, BATCH):
             rows = []
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                x = make(t)
+            for i, x in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
                 key = _digest(x) if len(x) else None
                 new = key is not None and i is not None and key not in seen
                 # copies in one chunk carry the counts once, on a row that link() keeps
@@ -271,17 +307,15 @@ def sign(docs: DataFrame, hot: DataFrame, subset: int = SUBSET, name=_namer({},
     sig = np.array([r["sig"] for r in rows], np.int64).view(_U)
     n = np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(sig)
-    shingler = per_worker(docs.sparkSession, None)
     listed = per_worker(docs.sparkSession, (sig[order], n[order]))  # bounded by MAX_HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, often = shingler.get(Shingler).shingles, listed.get(Often)
+        often = listed.get(Often)
         seen: set[int] = set()
         for part in slices(batches, BATCH // 4):
             sigs, nodes, sizes = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                x = make(t) if i is not None else ()
-                if len(x) and (node := name(_digest(x))) not in seen:
+            for i, x in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
+                if i is not None and len(x) and (node := name(_digest(x))) not in seen:
                     seen.add(node)
                     s = signatures(x, often, subset)
                     sigs.append(s)
@@ -295,8 +329,8 @@ def sign(docs: DataFrame, hot: DataFrame, subset: int = SUBSET, name=_namer({},
     return docs.mapInArrow(run, "sig long, node long, size int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, name) -> DataFrame:
-    """(node, set: bytes of its sorted hashes) of the documents ``wanted`` (doc_id).
+def _sets(docs: DataFrame, wanted: DataFrame, name, made=np.ndarray.tobytes) -> DataFrame:
+    """(node, set: bytes of its sorted hashes, or what ``made`` makes of them) of the documents ``wanted`` (doc_id).
 
     The ids wanted are broadcast as a bitmap of fixed size; others that it lets through
     do no harm, as the sets are joined by node.
@@ -308,17 +342,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, name) -> DataFrame:
     bits = np.zeros(BITMAP // 64, np.int64)
     for r in words.collect():  # at most BITMAP / 64 rows
         bits[r["w"]] = r["b"]
-    shingler, bitmap = per_worker(docs.sparkSession, None), per_worker(docs.sparkSession, bits)
+    bitmap = per_worker(docs.sparkSession, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, known = shingler.get(Shingler).shingles, bitmap.get(np.asarray)
+        known = bitmap.get(np.asarray)
         for part in slices(batches, BATCH):
             at = part.column(0).to_numpy()
             keep = (known[at // 64] >> (at % 64)) & 1 == 1
-            x = [make(t) for t in part.column(1).filter(pa.array(keep)).to_pylist()]
-            x = [v for v in x if len(v)]
+            x = [v for v in shingle_sets(part.column(1).filter(pa.array(keep))) if len(v)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name(_digest(v)) for v in x], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())],
+                [pa.array([name(_digest(v)) for v in x], pa.int64()), pa.array([made(v) for v in x], pa.binary())],
                 ["node", "set"],
             )
 
@@ -402,26 +435,53 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by the sets themselves."""
+def _similar(common: int, total: int) -> bool:
+    return 100 * common >= 75 * (total - common)
+
+
+def _tested(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) that pass a test of what ``sets`` (node, set) has of both."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, BATCH):
             col = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-            keep = []
-            for x, y in zip(col["sa"], col["sb"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                # both sorted and distinct: equal neighbours in the merged order are common
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common))
+            keep = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(col["sa"], col["sb"], strict=True)]
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def closer(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the counts by finer buckets do not rule out.
+
+    In large sets most of the 256 buckets have as many elements by chance, and these sets
+    are what is costly to bring together.
+    """
+
+    def test(x: pa.Buffer, y: pa.Buffer) -> bool:
+        x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+        if max(x.max(), y.max()) == FINE_FULL:
+            return True
+        y = y.reshape(-1, len(x)).sum(axis=0, dtype=np.int64)  # a bucket of fewer is several of more
+        return _similar(int(np.minimum(x, y).sum()), int(x.sum(dtype=np.int64) + y.sum()))
+
+    return _tested(pairs, counts, test)
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by the sets themselves."""
+
+    def test(x: pa.Buffer, y: pa.Buffer) -> bool:
+        x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+        # both sorted and distinct: equal neighbours in the merged order are common
+        both = np.sort(np.concatenate([x, y]), kind="stable")
+        return _similar(int((both[1:] == both[:-1]).sum()), len(both))
+
+    return _tested(pairs, sets, test)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component: smallest node reachable) of all nodes of ``edges`` (a, b).
 
@@ -442,9 +502,18 @@ def components(edges: DataFrame) -> DataFrame:
                 return keep(labels.select("node", F.col("c").alias("component")), "reached")
 
 
-def _fits(a: str, b: str):
+def _fits(a: Column, b: Column) -> Column:
     """Sizes of which similar sets can be."""
-    return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
+    return (a * 4 >= b * 3) & (b * 4 >= a * 3)
+
+
+def pairs_within(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of members of different components and fitting sizes of small groups (sig, node, size, c)."""
+    member = F.struct("node", "size", "c")
+    each = rows.groupBy("sig").agg(F.collect_list(member).alias("m")).select("m", F.explode("m").alias("x"))
+    x = F.col("x")
+    others = F.filter("m", lambda y: (y["node"] > x["node"]) & (y["c"] != x["c"]) & _fits(x["size"], y["size"]))
+    return each.select(x["node"].alias("a"), F.explode(others).alias("y")).select("a", F.col("y.node").alias("b"))
 
 
 def link(docs: DataFrame, sets: DataFrame, hot: DataFrame, subset: int, name) -> DataFrame:
@@ -466,7 +535,7 @@ def link(docs: DataFrame, sets: DataFrame, hot: DataFrame, subset: int, name) ->
         """For each node one pair with a hub of its groups that it may be similar to."""
         best = F.struct("fame", "node", "size", *[c for c in rows.columns if c == "c"])
         d = rows.withColumn("h", F.max(best).over(groups)).withColumn("hub", F.col("h.node"))
-        d = d.where(F.col("hub") != F.col("node")).withColumn("hub_size", F.col("h.size")).where(_fits("size", "hub_size"))
+        d = d.where(F.col("hub") != F.col("node")).withColumn("hub_size", F.col("h.size")).where(_fits(F.col("size"), F.col("hub_size")))
         if "c" in rows.columns:
             d = d.where(F.col("c") != F.col("h.c"))
         # a node proposes one pair, with the hub that meets most others of all its groups
@@ -478,37 +547,44 @@ def link(docs: DataFrame, sets: DataFrame, hot: DataFrame, subset: int, name) ->
 
     def checked(pairs: DataFrame) -> DataFrame:
         left = stored(possible(pairs, nodes), "possible")
-        ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.select("node", "doc_id").join(ends, "node", "left_semi").select("doc_id")
-        return stored(verify(left, _sets(docs, wanted, name)), "links")
+        for test, made, to in ((closer, finer, "closer"), (verify, np.ndarray.tobytes, "links")):
+            if left.limit(1).count():  # else no text needs to be read
+                ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+                wanted = nodes.select("node", "doc_id").join(ends, "node", "left_semi").select("doc_id")
+                left = stored(test(left, _sets(docs, wanted, name, made)), to)
+        return left
 
     def open_groups(rows: DataFrame, found: DataFrame) -> DataFrame:
         """Those of the groups that the links so far leave in more than one component."""
         own = rows.select("sig", "node", "size", "fame").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        own = own.withColumn("lo", F.min("c").over(groups)).withColumn("hi", F.max("c").over(groups)).where("lo <> hi")
-        return stored(own.select("sig", "node", "size", "fame", "c"), "open")
+        own = own.withColumn("lo", F.min("c").over(groups)).withColumn("hi", F.max("c").over(groups))
+        own = own.withColumn("many", F.count("*").over(groups)).where("lo <> hi")
+        return stored(own.select("sig", "node", "size", "fame", "c", "many"), "open")
 
     links = checked(star)
     found = components(links)
     tried, rows = star, ranked
-    for turn in range(PROPOSALS + 1):
+    turns = PROPOSALS
+    while True:
         rows = open_groups(rows, found)  # a group that is closed stays closed
-        if turn == PROPOSALS:  # whatever is left: all pairs of different components
-            left = stored(rows.withColumn("many", F.count("*").over(groups)), "rest-rows")
-            few = left.where(F.col("many") <= FEW)
-            two = few.select("sig", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
-            rest = few.join(two, "sig").where("node < b AND c <> cb").where(_fits("size", "sb")).select(F.col("node").alias("a"), "b")
-            rest = rest.union(in_blocks(left.where(F.col("many") > FEW), nodes)).distinct()
+        last = not turns
+        if last:  # whatever is left: all pairs of different components
+            rest = pairs_within(rows.where(F.col("many") <= FEW)).union(in_blocks(rows.where(F.col("many") > FEW), nodes)).distinct()
         else:  # each group's most met member of another component than the first hub's
             first = rows.withColumn("h", F.max_by("c", F.struct("fame", "node")).over(groups))
             rest = star_of(first.withColumn("fame", F.when(F.col("c") == F.col("h"), F.lit(-1)).otherwise(F.col("fame"))).drop("h"))
         rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        new = 0
         if rest.limit(1).count():
             more = checked(rest)
             tried = tried.union(rest)
-            if more.limit(1).count():
+            new = more.count()
+            if new:
                 links = links.union(more)
                 found = components(links)
+        if last:
+            break
+        turns = turns - 1 if new and FRUITFUL * new >= rest.count() else 0
     return found
 
 
