@@ -1,5 +1,6 @@
 """Toxicity: decoding, held-out recall, and edge cases."""
 
+import random
 import zlib
 
 import pytest
@@ -118,3 +119,13 @@ def test_evidence_is_ranked_by_odds(ready, monkeypatch):
     rows = [("rare common" if i < 15 else "common", 1) for i in range(40)] + [("common", 0)] * 20
     df = ready.createDataFrame(rows, "_t string, _y int")
     assert set(D._weights(df, model, rate)) == {"rare"}
+
+
+def test_runs_are_looked_for_only_where_they_can_be(chars, monkeypatch):
+    rng = random.Random(4)
+    signs = ["a", "İ", "ß", "so", "s.o", "\x1c", "　", "​", " ", " ", " ", "\n", "x"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(2000)] + ["i d i o t", "a b", ""]
+    for t in texts:
+        assert D.all_words(t, chars) == D.words_of(t) + D.spaced_words(t, chars)
+    monkeypatch.setattr(D, "_SPACED", None)  # not called
+    assert D.Scorer((chars, {})).measure(["so it is a x or y", None]).shape == (2, 6)

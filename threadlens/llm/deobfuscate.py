@@ -205,6 +205,8 @@ def disguised(core: str) -> bool:
 def restored(word: str, model: CharModel) -> list[str]:
     """The word in lower case without outer punctuation, and its likeliest reading."""
     core = word.lower().strip(EDGES)
+    if core.isalpha() and not _RUN(core):  # most words: neither signs nor repetition
+        return [core]
     said = [core]
     bare = core.strip("!$+|")
     if bare != core:
@@ -231,6 +233,16 @@ def words_of(text: str) -> list[str]:
     return text.split() + [x for s in runs for x in (s, s[1:], s[:-1])]
 
 
+def all_words(text: str, model: CharModel) -> list[str]:
+    """``words_of`` a text and its ``spaced_words``; runs are looked for only if there are
+    three words of one character that follow one another (lower case makes no word shorter)."""
+    words = text.split()
+    single = [i for i, n in enumerate(map(len, words)) if n == 1]
+    if not any(k - i == 2 for i, k in zip(single, single[2:], strict=False)):
+        return words
+    return words_of(text) + spaced_words(text, model)
+
+
 def char_model(docs: DataFrame, text: str = "text") -> CharModel:
     """The character model of all words of all documents."""
     at = docs.columns.index(text)
@@ -283,7 +295,7 @@ def _having(rows: DataFrame, model: per_worker) -> DataFrame:
         for part in slices(batches, 8_000_000):
             for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
-                for w in {*words_of(t or ""), *spaced_words(t or "", chars)}:
+                for w in set(all_words(t or "", chars)):
                     if w in memo:
                         found.update(memo[w])
                         continue
@@ -321,12 +333,17 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def _word(self, w: str) -> float:
-        have = self.weight
-        return max((have[e] for e in evidence(w, self.chars) if e in have), default=0.0)
+        have, best = self.weight, None
+        for form in restored(w, self.chars):
+            for e in (form, *[form[:n] + "~" for n in BEGINNINGS if len(form) > n]):
+                x = have.get(e)
+                if x is not None and (best is None or x > best):
+                    best = x
+        return 0.0 if best is None else best
 
     def measure(self, texts: Iterable[str | None]) -> np.ndarray:
         """Per text: 1, the three heaviest distinct words, all weights, length (both as logs)."""
-        cut = [words_of(t or "") + spaced_words(t or "", self.chars) for t in texts]
+        cut = [all_words(t or "", self.chars) for t in texts]
         known, asked = self.known, set()
         for c in cut:
             asked.update(c)
