@@ -191,3 +191,24 @@ def test_shingles_of_many_texts_at_once():
     assert [len(x) for x in got] == [len(s) for s in want]
     assert len({x.tobytes() for x in got}) == len(set(map(frozenset, want)))
     assert all((np.diff(x) > 0).all() for x in map(np.ndarray.tolist, got))
+
+
+def test_signatures_of_the_same_members_are_one_group(ready):
+    rows = [(s, n) for s in range(50) for n in (1, 2, 3)] + [(s, n) for s in range(60, 63) for n in (2, 3)]
+    rows += [(70, 4), (70, 4), (71, 4)] + [(60, 3)]  # one node alone; a row that two tasks made
+    got = P.groups_of(ready.createDataFrame(rows, "sig long, node long")).collect()
+    assert sorted((r.node, r.many, r.times) for r in got) == [(1, 3, 50), (2, 2, 3), (2, 3, 50), (3, 2, 3), (3, 3, 50)]
+    members = {}
+    for r in got:
+        members.setdefault(r.sig, set()).add(r.node)
+    assert sorted(map(sorted, members.values())) == [[1, 2, 3], [2, 3]]
+
+
+def test_counts_by_bucket_take_as_few_bits_as_they_need():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**64 - 1, n, np.uint64)) for n in (1, 300, 9000, 200, 90_000)]
+    sets.append(np.arange(70_000, dtype=np.uint64) * np.uint64(P.BUCKETS))  # more in a bucket than is counted
+    rows = [P.packed(P.buckets(x)) for x in sets]
+    assert [len(r) for r in rows] == [128, 128, 256, 128, 512, 512]
+    assert (P.unpacked(rows) == np.stack([np.frombuffer(P.buckets(x), np.uint16) for x in sets])).all()
+    assert P.unpacked([]).shape == (0, P.BUCKETS)

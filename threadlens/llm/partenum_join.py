@@ -20,7 +20,8 @@ the same links.  The few sets with too few non-empty parts to be sure also show
 signature that all such sets of the band have in common.
 
 Copies (equal sets) are one node, named by a hash of the set, so they never meet as pairs.
-The hub of a signature's group is the member that meets most others.  Every node proposes
+Signatures that the same nodes show are one group: variants of a text have many parts in
+common, and all but one of these say nothing new.  The hub of a group is the member that meets most others.  Every node proposes
 one pair, with the best hub of all its groups; where the verified links leave more than one
 component in a group, each node proposes another one, with a hub of another component, up to ``PROPOSALS`` times
 (while that finds links), and then all members of different components are paired, so nothing is lost, and pairs within a
@@ -149,6 +150,24 @@ def buckets(x: np.ndarray) -> bytes:
     return np.minimum(counts, FULL).astype(np.uint16).tobytes()
 
 
+def packed(counts: bytes) -> bytes:
+    """Counts by bucket in 4, 8 or 16 bits each, as the largest of them needs: they are shuffled often."""
+    c = np.frombuffer(counts, np.uint16)
+    if c.max() < 16:
+        return (c[::2] | c[1::2] << 4).astype(np.uint8).tobytes()
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else counts
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The counts by bucket of ``packed`` rows, as a matrix."""
+    out, sizes = np.empty((len(rows), BUCKETS), np.int32), np.array([len(r) for r in rows], np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        c = np.frombuffer(b"".join(rows[i] for i in at), np.uint16 if size == 2 * BUCKETS else np.uint8).reshape(len(at), -1)
+        out[at] = c if size >= BUCKETS else np.stack([c & 15, c >> 4], axis=2).reshape(len(at), BUCKETS)
+    return out
+
+
 def finer(x: np.ndarray) -> bytes:
     """The same by more buckets, a power of two of them: two elements a bucket, or fewer."""
     n = BUCKETS
@@ -282,7 +301,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 key = _digest(x) if len(x) else None
                 new = key is not None and i is not None and key not in seen
                 # copies in one chunk carry the counts once, on a row that link() keeps
-                rows.append((len(x), key, key and name(key), buckets(x) if new else None))
+                rows.append((len(x), key, key and name(key), packed(buckets(x)) if new else None))
                 if new:
                     seen.add(key)
                     found += [parts(x, b) for b, _ in schemes(len(x))]
@@ -302,7 +321,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def sign(docs: DataFrame, hot: DataFrame, subset: int = SUBSET, name=_namer({}, 8)) -> DataFrame:
-    """(sig, node, size) rows of all documents (doc_id, text); copies in one task sign once."""
+    """(sig, node) rows of all documents (doc_id, text); copies in one task sign once."""
     rows = hot.groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(MAX_HOT).collect()
     sig = np.array([r["sig"] for r in rows], np.int64).view(_U)
     n = np.array([r["n"] for r in rows], np.int64)
@@ -313,20 +332,31 @@ def sign(docs: DataFrame, hot: DataFrame, subset: int = SUBSET, name=_namer({},
         often = listed.get(Often)
         seen: set[int] = set()
         for part in slices(batches, BATCH // 4):
-            sigs, nodes, sizes = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            sigs, nodes = [np.empty(0, _U)], [np.empty(0, np.int64)]
             for i, x in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
                 if i is not None and len(x) and (node := name(_digest(x))) not in seen:
                     seen.add(node)
                     s = signatures(x, often, subset)
                     sigs.append(s)
                     nodes.append(np.full(len(s), node, np.int64))
-                    sizes.append(np.full(len(s), len(x), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate(sigs))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))],
-                ["sig", "node", "size"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sigs))), pa.array(np.concatenate(nodes))], ["sig", "node"])
 
-    return docs.mapInArrow(run, "sig long, node long, size int")
+    return docs.mapInArrow(run, "sig long, node long")
+
+
+def groups_of(shown: DataFrame) -> DataFrame:
+    """(sig, node, many, times): the groups of the nodes that show a signature in common, from (sig, node) rows.
+
+    Signatures of the same members (``many`` nodes) are one group, named by a hash of its
+    members, with how many times it was found.  Should groups share a hash, their
+    members meet in one, which loses no pair.
+    """
+    own = Window.partitionBy("sig")
+    met = shown.repartition("sig").withColumn("low", F.min("node").over(own)).withColumn("top", F.max("node").over(own))
+    # a part that one node alone shows links nothing
+    met = met.where("low <> top").select("sig", "node").distinct()
+    met = met.withColumn("many", F.count("*").over(own)).withColumn("members", F.bit_xor(F.xxhash64("node")).over(own))
+    return met.groupBy(F.col("members").alias("sig"), "node").agg(F.max("many").alias("many"), F.count("*").alias("times"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, name, made=np.ndarray.tobytes) -> DataFrame:
@@ -385,7 +415,7 @@ def in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         lo, hi, own, node, c = (t.column(k).to_numpy() for k in ("lo", "hi", "own", "node", "c"))
-        counts = np.frombuffer(b"".join(t.column("buckets").to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int32)
+        counts = unpacked(t.column("buckets").to_pylist())
         left = np.flatnonzero(own == lo[0])
         right = left if lo[0] == hi[0] else np.flatnonzero(own == hi[0])
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -425,9 +455,7 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, BATCH):
             col = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-            x, y = (
-                np.frombuffer(b"".join(col[c].to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int64) for c in ("ca", "cb")
-            )
+            x, y = (unpacked(col[c].to_pylist()) for c in ("ca", "cb"))
             most, total = np.minimum(x, y).sum(axis=1), (x + y).sum(axis=1)
             keep = (100 * most >= 75 * (total - most)) | (np.maximum(x, y) >= FULL).any(axis=1)
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -520,16 +548,14 @@ def link(docs: DataFrame, sets: DataFrame, hot: DataFrame, subset: int, name) ->
     """(node, component: smallest node) of the nodes that have a link."""
     groups = Window.partitionBy("sig")
     known = sets.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("buckets").alias("buckets")), "nodes")
-    shown = sign(docs, hot, subset, name).repartition("sig")
-    # a part that one node alone shows links nothing
-    shared = shown.withColumn("low", F.min("node").over(groups)).withColumn("top", F.max("node").over(groups))
-    shared = shared.withColumn("many", F.count("*").over(groups)).where("low <> top")
-    shared = stored(shared.select("sig", "node", "size", "many").distinct(), "shared")
+    of = [F.min("doc_id").alias("doc_id"), F.max("n").alias("size"), F.max("buckets").alias("buckets")]
+    nodes = stored(known.groupBy("node").agg(*of), "nodes")
+    shared = stored(groups_of(sign(docs, hot, subset, name)), "shared")
     # a group's hub is the member that meets most others in all its groups: in a family of
     # variants the one they all come from, or the one nearest to it
-    fame = stored(shared.groupBy("node").agg(F.sum("many").alias("fame")), "fame")
-    ranked = shared.join(fame, "node")
+    fame = shared.groupBy("node").agg(F.sum(F.col("many") * F.col("times")).alias("fame"))
+    fame = stored(fame.join(nodes.select("node", F.col("size").cast("int").alias("size")), "node"), "fame")
+    ranked = shared.select("sig", "node").join(fame, "node")
 
     def star_of(rows: DataFrame) -> DataFrame:
         """For each node one pair with a hub of its groups that it may be similar to."""
