@@ -112,6 +112,27 @@ def test_large_groups_are_compared_in_blocks(ready, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_a_pair_of_many_groups_is_made_in_one(ready, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    shared = rng.integers(0, 2**64 - 1, 300, np.uint64)
+    packed = [bytearray(P.packed(P.buckets(np.unique(np.append(shared, rng.integers(0, 2**64 - 1, 20, np.uint64)))))) for _ in range(14)]
+    nodes = ready.createDataFrame(list(enumerate(packed)), "node long, buckets binary")
+    # 90 groups, each without another few of the members; the last two nodes meet in one group only
+    groups = {int(s): set(rng.choice(12, 9, replace=False).tolist()) for s in rng.integers(-(2**63), 2**63 - 1, 90)}
+    groups |= {2**63 - 1: {12, 13}, -(2**63): {0, 12}, 5: {1, 13}}
+    of = [min(n, 12) // 2 + (n == 13) for n in range(14)]  # two nodes a component, but for the last two
+    rows = [(s, n, of[n], len(m)) for s, m in groups.items() for n in m]
+    want = sorted({(a, b) for m in groups.values() for a in m for b in m if a < b and of[a] != of[b]})
+    assert (12, 13) in want
+    monkeypatch.setattr(type(nodes), "distinct", lambda df: df)  # what the comparison itself makes
+    df = ready.createDataFrame(rows, "sig long, node long, c long, many long")
+    assert sorted(tuple(r) for r in P.in_blocks(df, nodes).collect()) == want
+    monkeypatch.setattr(P, "EARLIEST", 1)  # lists too short to show what is shared: more than once, but none lost
+    assert {tuple(r) for r in P.in_blocks(df, nodes).collect()} == set(want)
+
+
 def test_sets_that_share_a_name(ready, monkeypatch):
     monkeypatch.setattr(P, "NAME_BYTES", 1)
     rows = _variants(5, 40) + [(100 + i, t) for i, t in _variants(6, 40)]

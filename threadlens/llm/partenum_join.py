@@ -66,6 +66,7 @@ FINE_FULL = 255  # the same of the finer buckets
 BITMAP = 1 << 24
 FEW = 24  # members of a group whose pairs are made as rows
 BLOCK = 512  # members of a larger group that are compared at a time
+EARLIEST = 32  # of its larger groups that a node brings along, so that a pair is made in one of them
 PROPOSALS = 2  # times that open groups get another pair for each node before all pairs are compared
 FRUITFUL = 20  # another such turn if one proposal in so many was a link
 BATCH = 4_000_000
@@ -397,32 +398,51 @@ def _may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (100 * most >= 75 * (total - most)) | full
 
 
+def _met_before(x: np.ndarray, y: np.ndarray, sig: int) -> np.ndarray:
+    """Which rows of ``x`` and ``y``, each with distinct groups, have one before ``sig`` in common."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < sig)).any(axis=1)
+
+
 def in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of each group's members (sig, node, c, many) of different components
     that the counts by bucket allow, without making all pairs as rows.
 
     A group is dealt into blocks of about ``BLOCK`` members; each task compares two blocks
-    as matrices and returns the few pairs that remain.
+    as matrices and returns the few pairs that remain.  Texts that share a passage meet in
+    hundreds of groups: a pair is left to the first of them, as far as both nodes'
+    ``EARLIEST`` first groups show it.  No group before a pair's first one can be shown, so
+    none is lost; some pairs of nodes in many groups come more than once.
     """
+    last = np.iinfo(np.int64).max  # fills up shorter lists; no group is after it
+    before = rows.groupBy("node").agg(F.array_sort(F.collect_set("sig")).alias("in"))
+    before = before.select("node", F.slice(F.concat("in", F.array_repeat(F.lit(last), EARLIEST)), 1, EARLIEST).alias("before"))
+    about = nodes.select("node", "buckets").join(before, "node")
     n = F.ceil(F.col("many") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     dealt = rows.withColumn("n", n).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("sig", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "c")
     keys = ["sig", "lo", "hi"]
-    dealt = dealt.join(nodes.select("node", "buckets"), "node").select(*keys, "own", "node", "c", "buckets")
+    dealt = dealt.join(about, "node").select(*keys, "own", "node", "c", "buckets", "before")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         lo, hi, own, node, c = (t.column(k).to_numpy() for k in ("lo", "hi", "own", "node", "c"))
         counts = unpacked(t.column("buckets").to_pylist())
+        before = t.column("before").combine_chunks().flatten().to_numpy().reshape(-1, EARLIEST)
+        sig = t.column("sig")[0].as_py()
         left = np.flatnonzero(own == lo[0])
         right = left if lo[0] == hi[0] else np.flatnonzero(own == hi[0])
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in range(0, len(left), 32):
             some = left[i : i + 32]
-            x, y = np.nonzero(_may_link(counts[some], counts[right]) & (c[some][:, None] != c[right][None, :]))
-            one, two = node[some[x]], node[right[y]]
+            apart = c[some][:, None] != c[right][None, :]
+            if lo[0] == hi[0]:  # else each pair is seen from both sides
+                apart &= node[some][:, None] < node[right][None, :]
+            x, y = np.nonzero(_may_link(counts[some], counts[right]) & apart)
+            new = ~_met_before(before[some[x]], before[right[y]], sig)
+            one, two = node[some[x[new]]], node[right[y[new]]]
             a.append(np.minimum(one, two))
             b.append(np.maximum(one, two))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
@@ -444,7 +464,7 @@ def in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         if held:
             yield compare(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
