@@ -63,3 +63,34 @@ def test_a_run_leaves_no_shuffles(spark, tmp_path):
     while (more := shuffle_files(spark) - before) and time.time() < until:
         time.sleep(0.2)
     assert not more and read_run(spark, str(tmp_path)).count() == 400
+
+
+def csv_rows(spark, df, base):
+    """What the export says, as text: null and '' differ."""
+    write_annotations(df, base, "r", csv=True)
+    back = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{base}/csv/run_id=r")
+    return back.columns, sorted(map(repr, back.collect()))
+
+
+def test_the_export_has_the_rows_as_they_came(spark, tmp_path):
+    """Corpora that look like numbers or dates keep their text, '' is not null; columns keep their order."""
+    names = ["007", "1.50", "2020-01-01", "a/b c%=x", "true", None]
+    for k, corpora in enumerate((names, [*names, ""])):
+        rows = [(i, c, v, i / 3 if i % 2 else None) for i, (c, v) in enumerate((c, v) for c in corpora for v in ("", None, "x"))]
+        df = spark.createDataFrame(rows, "row_idx long, corpus string, said string, n double")
+        df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{tmp_path}/plain{k}")
+        plain = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{tmp_path}/plain{k}")
+        assert csv_rows(spark, df, f"{tmp_path}/{k}") == (plain.columns, sorted(map(repr, plain.collect())))
+
+
+def test_a_run_is_computed_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    df = table(spark, 40)
+    write_annotations(df.mapInPandas(count, df.schema), str(tmp_path), "r", csv=True)
+    assert calls.value == 40
